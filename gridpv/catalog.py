@@ -2,7 +2,7 @@
 
 Each callable takes ``(spark, sf_dir)`` and returns a DataFrame whose column
 names match the oracle SQL of the same key (``oracle_sql.py``).  Doubles are
-rounded to 6 places on both sides.
+rounded to 6 places on both sides.  Every query reads whole tables.
 """
 
 from __future__ import annotations
@@ -10,18 +10,457 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridpv.plans import generation
+from gridpv.operators import capacity as cap
+from gridpv.operators import clean, model, quality, report, series
+from gridpv.operators.series import CHUNK, DAY_US, HALF_HOUR_US
+from gridpv.plans import capacity as capplan
+from gridpv.plans import dashboard, generation, modelling
+from gridpv.sources import manifest as mf
+from gridpv.sources import requests as rq
 from gridpv.sources import testdata as td
+from gridpv.sources import weather
+from gridpv.sources.files import select_generation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+R1K = ["event_type"]
+SINCE = "1997-01-01"  # R4 ends in 2001 (FIXTURES); the reference defaults are 2010/2009.
+LAST_FULL = "2001-08-01"  # the last R4 month holds only a few GSPs
+
+
+# Capacity values of R4 are exact (integer cents / 1e8) and bit-identical in both
+# engines; rounding them would only expose the engines' different half-way rules.
+EXACT = ("cumul_capacity_mwp", "latest_capacity_mwp")
+
+
+def _round(df: DataFrame, places: int = 6, keep: tuple[str, ...] = EXACT) -> DataFrame:
+    """Round every computed double column (both sides of the oracle check do this)."""
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in keep:
+            cols.append(F.round(F.col(f.name), places).alias(f.name))
+        elif isinstance(f.dataType, T.DateType):
+            # Dates are reported as midnight timestamps so both engines hand over the same type.
+            cols.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
+def _no_chunk(df: DataFrame) -> DataFrame:
+    return df.drop(CHUNK) if CHUNK in df.columns else df
+
+
+# --------------------------------------------------------------------------- shared inputs
+
+
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    """K1 on R4/R5 with the supplier nations as known ids."""
+    return capplan.capacity_with_locations(td.r4_capacity(spark, d), td.r5_locations(spark, d),
+                                           td.known_ids(spark, d), release="R4")
+
+
+def locations_list(spark: SparkSession, d: str) -> DataFrame:
+    return clean.gsp_locations(merged(spark, d))
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """R8 with stand-in irradiance and capacity columns."""
+    s = td.r8_scored(spark, d)
+    return s.withColumns({
+        "global_tilted_irradiance_instant": F.col("pred_generation_mw") * F.lit(10.0),
+        "capacity_mwp": F.col("event_id").cast("double") / F.lit(100.0),
+    })
+
+
+def capacity_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """K4 for all GSPs (``gsp_id, install_month, year, month, cumul_capacity_mwp``)."""
+    return capplan.capacity_calendar(merged(spark, d))
+
+
+# --------------------------------------------------------------------------- queries
+
 
 def q_clean_daily_generation(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: R1 half-hours -> grid -> bounded interpolation -> hourly -> daily."""
-    return generation.clean_daily_generation(td.r1_halfhourly(spark, d), ["event_type"])
+    return generation.clean_daily_generation(td.r1_halfhourly(spark, d), R1K)
+
+
+def q_g1_interpolate_time(spark, d):
+    g = td.r2_sparse(spark, d)
+    out = series.interpolate_time(g, ["gsp_id"], "datetime_gmt", "generation_mw", limit=12, tiebreak=["event_id"])
+    return _round(_no_chunk(out))
+
+
+def q_g1_grid_limit2(spark, d):
+    r = series.regularize(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
+    out = series.interpolate_time(r, R1K, "datetime_gmt", "generation_mw", limit=2)
+    return _round(_no_chunk(out))
+
+
+def q_g2_interpolate_linear(spark, d):
+    r = series.regularize(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
+    return _round(_no_chunk(series.interpolate_linear(r, R1K, "datetime_gmt", "generation_mw")))
+
+
+def q_g3_ffill(spark, d):
+    r = series.regularize(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
+    return _round(_no_chunk(series.ffill(r, R1K, "datetime_gmt", "generation_mw")))
+
+
+def q_g4_ffill_bfill(spark, d):
+    g = td.r2_sparse(spark, d)
+    out = series.ffill_bfill(g, ["gsp_id"], "datetime_gmt", "generation_mw", tiebreak=["event_id"])
+    return _round(_no_chunk(out))
+
+
+def q_g6_time_grid(spark, d):
+    return series.time_grid(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US).drop(CHUNK)
+
+
+def q_d4_regularize(spark, d):
+    r = series.regularize(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
+    return _round(_no_chunk(r))
+
+
+def q_d7_missing_slots(spark, d):
+    return series.missing_slots(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
+
+
+def q_d7_missing_slots_period(spark, d):
+    return series.missing_slots(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US,
+                                lo="2024-01-10 00:00:00", hi="2024-01-20 23:30:00")
+
+
+def q_f1_to_hourly(spark, d):
+    r = series.regularize(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
+    return _round(_no_chunk(series.to_hourly(r, R1K, "datetime_gmt", ["generation_mw"])))
+
+
+def q_g8_nth_from_end(spark, d):
+    s = scored(spark, d).select("event_type", "datetime_gmt", "event_id", "capacity_mwp")
+    return _round(series.nth_from_end(s, R1K, "datetime_gmt", 50, tiebreak=["event_id"]))
+
+
+def q_c14_trailing(spark, d):
+    return _round(series.trailing(td.r2_sparse(spark, d), ["gsp_id"], "datetime_gmt", "7d"))
+
+
+def q_f2_daily_profile(spark, d):
+    return _round(report.daily_profile(scored(spark, d), R1K))
+
+
+def q_f3_hourly_profile(spark, d):
+    return _round(report.hourly_profile(scored(spark, d), R1K))
+
+
+def q_f6_kpis(spark, d):
+    return _round(report.kpis(scored(spark, d), R1K))
+
+
+def q_c11_last_month(spark, d):
+    g = td.r3_daily(spark, d)
+    return _round(report.last_period(g, ["gsp_id"], "datetime_gmt", "month"))
+
+
+def q_c12_last_day(spark, d):
+    s = scored(spark, d).select("event_type", "datetime_gmt", "event_id", "generation_mw")
+    return _round(report.last_period(s, R1K, "datetime_gmt", "day"))
+
+
+def q_k6_last_month_daily(spark, d):
+    return _round(dashboard.last_month_daily(scored(spark, d), R1K))
+
+
+def q_k7_last_day_hourly(spark, d):
+    return _round(dashboard.last_day_hourly(scored(spark, d), R1K))
+
+
+def q_k8_kpi_row(spark, d):
+    return _round(dashboard.kpi_row(scored(spark, d), R1K, tiebreak=["event_id"]))
+
+
+def q_k12_error_heatmap(spark, d):
+    return _round(dashboard.error_heatmap(scored(spark, d), R1K))
+
+
+def q_j1_split(spark, d):
+    s = scored(spark, d).select("event_type", "datetime_gmt", "event_id")
+    return model.split(s, R1K, "datetime_gmt", tiebreak=["event_id"])
+
+
+def q_j2_scale(spark, d):
+    s = scored(spark, d).select("event_type", "datetime_gmt", "event_id", "generation_mw", "pred_generation_mw")
+    x = model.split(s, R1K, "datetime_gmt", tiebreak=["event_id"])
+    return _round(model.scale(x, ["generation_mw", "pred_generation_mw"], R1K))
+
+
+def q_f15_regression_metrics(spark, d):
+    s = scored(spark, d)
+    x = model.split(s, R1K, "datetime_gmt", tiebreak=["event_id"])
+    return model.regression_metrics(x, by=["event_type", "split"])
+
+
+def q_k1_capacity_with_locations(spark, d):
+    return _round(merged(spark, d))
+
+
+def q_e2_gsp_locations(spark, d):
+    return _round(locations_list(spark, d))
+
+
+def q_c6_keep_known(spark, d):
+    return _round(clean.keep_known(td.r5_locations(spark, d), td.known_ids(spark, d)))
+
+
+def q_c7_unknown_ids(spark, d):
+    req = clean.distinct_values(td.r2_sparse(spark, d), ["gsp_id"]).select(F.col("gsp_id").cast("int").alias("gsp_id"))
+    return clean.unknown_ids(req, locations_list(spark, d))
+
+
+def q_e3_distinct_ids(spark, d):
+    return clean.distinct_values(td.r2_sparse(spark, d).filter(F.col("generation_mw").isNotNull()), ["gsp_id"])
+
+
+def q_c8_resolve_labels(spark, d):
+    su = td.table(spark, d, "supplier")
+    na = td.table(spark, d, "nation")
+    re_ = td.table(spark, d, "region")
+    req = (su.join(na, su.s_nationkey == na.n_nationkey).join(re_, na.n_regionkey == re_.r_regionkey)
+           .select(F.col("s_suppkey").alias("request_id"),
+                   F.when(F.col("s_acctbal") < 0, F.lit(None).cast("string"))
+                   .otherwise(F.concat("n_name", F.lit(" | "), "r_name")).alias("gsp_region")))
+    return rq.resolve_labels(req, locations_list(spark, d))
+
+
+def q_c3_validate_periods(spark, d):
+    o = td.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    li = td.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    req = o.join(li, o.o_orderkey == li.l_orderkey).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"),
+        F.col("l_shipdate").cast("date").alias("start_date"),
+        F.date_add(F.col("o_orderdate").cast("date"), 40).alias("end_date"),
+    )
+    return _round(rq.validate_periods(req))
+
+
+def q_a2_choose_release(spark, d):
+    p = td.table(spark, d, "part")
+    ptype = F.col("p_type")
+    man = p.select(
+        F.col("p_size").alias("release_ord"),
+        F.concat(F.lit("release_"), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("release"),
+        F.col("p_partkey").alias("file_ord"),
+        F.concat(
+            F.regexp_replace("p_name", " ", "_"), F.lit("_capacity_by_"),
+            F.when(ptype == "ECONOMY", "20250101_GSP").when(ptype == "STANDARD", "20220314_GSP")
+            .when(ptype == "SMALL", "llsoa").when(ptype == "MEDIUM", "gsp").otherwise("pes"),
+            F.when(F.col("p_retailprice") < 950, "_and_month").otherwise(""),
+            F.when(F.col("p_brand").endswith("7"), "_and_system_size").otherwise(""),
+            F.lit(".csv.gz"),
+        ).alias("filename"),
+    ).withColumn("url", F.concat(F.lit("file:///capacity/"), "release", F.lit("/"), "filename"))
+    outs = []
+    for i, (region, hist, size, bv) in enumerate(A2_CASES):
+        outs.append(mf.choose_release(man, region, hist, size, bv).withColumn("case_id", F.lit(i)))
+    return clean.append(outs)
+
+
+# Request parameter cases for the manifest query.
+A2_CASES = [
+    ("gsp", True, False, "20250101"),
+    ("gsp", True, True, "20220314"),
+    ("gsp", False, False, "20990101"),
+    ("llsoa", True, False, "20250101"),
+    ("pes", False, True, "20250101"),
+    ("nowhere", True, False, "20250101"),
+]
+
+
+def q_a4_select_generation(spark, d):
+    g = td.r2_sparse(spark, d)
+    return _round(select_generation(g, "2024-01-05 00:00:00", "2024-01-20 23:30:00", td.known_ids(spark, d)))
+
+
+def q_a7_explode_weather(spark, d):
+    return _round(weather.explode_weather(td.r7_payload(spark, d), R1K))
+
+
+def q_k2_clean_generation(spark, d):
+    g = td.r2_sparse(spark, d).withColumn("gsp_id", F.col("gsp_id").cast("int"))
+    out = generation.clean_generation(g, locations_list(spark, d), ["gsp_id"], tiebreak=["event_id"])
+    return _round(out)
+
+
+def q_a8_weather_requests(spark, d):
+    g = td.r2_sparse(spark, d).withColumn("gsp_id", F.col("gsp_id").cast("int"))
+    k2 = generation.clean_generation(g, locations_list(spark, d), ["gsp_id"], tiebreak=["event_id"])
+    return _round(weather.weather_requests(k2, ["gsp_id"]))
+
+
+def q_k3_generation_with_capacity(spark, d):
+    g = td.r3_daily(spark, d)
+    out = generation.generation_with_capacity(g, capacity_by_month(spark, d), ["gsp_id"], step_us=DAY_US)
+    return _round(_no_chunk(out))
+
+
+def q_k3_zero_fill(spark, d):
+    g = td.r3_daily(spark, d)
+    out = generation.generation_with_capacity(g, capacity_by_month(spark, d), ["gsp_id"], step_us=DAY_US,
+                                              method="zero")
+    return _round(_no_chunk(out))
+
+
+def q_d3_align_capacity(spark, d):
+    from gridpv.functions.columns import with_calendar
+
+    g = with_calendar(td.r3_daily(spark, d), "datetime_gmt")
+    return _round(generation.align_capacity(g, capacity_by_month(spark, d), ["gsp_id"]))
+
+
+def q_k4_capacity_calendar(spark, d):
+    return _round(capacity_by_month(spark, d))
+
+
+def q_k5_modelling_table(spark, d):
+    wx = weather.explode_weather(td.r7_payload(spark, d), R1K)
+    r = series.regularize(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
+    g = series.interpolate_time(r, R1K, "datetime_gmt", "generation_mw", limit=12)
+    g = g.withColumn("capacity_mwp", F.lit(None).cast("double"))
+    return _round(generation.modelling_table(wx, g, R1K))
+
+
+def q_i1_wide_capacity(spark, d):
+    wide = cap.wide_capacity(merged(spark, d))
+    return _round(wide, keep=tuple(wide.columns))
+
+
+def q_i2_long_capacity(spark, d):
+    return _round(cap.long_capacity(cap.wide_capacity(merged(spark, d))))
+
+
+def q_k9_location_map(spark, d):
+    return _round(capplan.location_map(merged(spark, d)))
+
+
+def q_k9_location_map_full_month(spark, d):
+    return _round(capplan.location_map(merged(spark, d), before=LAST_FULL))
+
+
+def q_f9_national_capacity(spark, d):
+    cells = cap.month_values(merged(spark, d)).filter(F.col(cap.M) < F.lit(LAST_FULL).cast("date"))
+    return cap.national_capacity(cells)
+
+
+def q_h3_top_gsps(spark, d):
+    cells = cap.month_values(merged(spark, d)).filter(F.col(cap.M) < F.lit(LAST_FULL).cast("date"))
+    return _round(cap.top_gsps(cells, n=10, start=SINCE))
+
+
+def q_k10_growth_top(spark, d):
+    cells = cap.month_values(merged(spark, d)).filter(F.col(cap.M) < F.lit(LAST_FULL).cast("date"))
+    return _round(cap.growth_top(cells, n=10, start=SINCE))
+
+
+def q_k11_annual_capacity(spark, d):
+    return _round(cap.annual(cap.month_values(merged(spark, d)), start=SINCE))
+
+
+def q_f10_null_profile(spark, d):
+    return quality.null_profile(td.r2_sparse(spark, d))
+
+
+def q_f11_nulls_by_month(spark, d):
+    from gridpv.functions.columns import with_calendar
+
+    g = with_calendar(td.r3_daily(spark, d), "datetime_gmt")
+    x = generation.align_capacity(g, capacity_by_month(spark, d), ["gsp_id"])
+    return quality.nulls_by_month(x, "capacity_mwp")
+
+
+def q_f12_rows_by_month(spark, d):
+    return quality.rows_by_month(td.r3_daily(spark, d))
+
+
+def q_f13_completeness(spark, d):
+    g = td.r3_daily(spark, d)
+    k3 = generation.generation_with_capacity(g, capacity_by_month(spark, d), ["gsp_id"], step_us=DAY_US)
+    return quality.completeness(_no_chunk(k3), ["gsp_id"], "datetime_gmt", DAY_US, ["generation_mw", "capacity_mwp"])
+
+
+def q_c13_incomplete_rows(spark, d):
+    return _round(quality.incomplete_rows(td.r2_sparse(spark, d), 20, ["datetime_gmt", "event_id"]))
+
+
+def q_k14_train_and_score(spark, d):
+    """Modelling table of R1/R7, pooled tuned boosted trees, metrics per split."""
+    wx = weather.explode_weather(td.r7_payload(spark, d), R1K)
+    r = series.regularize(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
+    g = series.interpolate_time(r, R1K, "datetime_gmt", "generation_mw", limit=12)
+    g = g.withColumn("capacity_mwp", F.lit(0.0))
+    table = generation.modelling_table(wx, g, R1K).filter(F.col("generation_mw").isNotNull())
+    _, metrics = modelling.train_and_score(table, R1K, "date", preset="boosted_tuned")
+    return metrics
 
 
 QUERIES: dict[str, Query] = {
     "clean_daily_generation": q_clean_daily_generation,
+    "g1_interpolate_time": q_g1_interpolate_time,
+    "g1_grid_limit2": q_g1_grid_limit2,
+    "g2_interpolate_linear": q_g2_interpolate_linear,
+    "g3_ffill": q_g3_ffill,
+    "g4_ffill_bfill": q_g4_ffill_bfill,
+    "g6_time_grid": q_g6_time_grid,
+    "d4_regularize": q_d4_regularize,
+    "d7_missing_slots": q_d7_missing_slots,
+    "d7_missing_slots_period": q_d7_missing_slots_period,
+    "f1_to_hourly": q_f1_to_hourly,
+    "g8_nth_from_end": q_g8_nth_from_end,
+    "c14_trailing": q_c14_trailing,
+    "f2_daily_profile": q_f2_daily_profile,
+    "f3_hourly_profile": q_f3_hourly_profile,
+    "f6_kpis": q_f6_kpis,
+    "c11_last_month": q_c11_last_month,
+    "c12_last_day": q_c12_last_day,
+    "k6_last_month_daily": q_k6_last_month_daily,
+    "k7_last_day_hourly": q_k7_last_day_hourly,
+    "k8_kpi_row": q_k8_kpi_row,
+    "k12_error_heatmap": q_k12_error_heatmap,
+    "j1_split": q_j1_split,
+    "j2_scale": q_j2_scale,
+    "f15_regression_metrics": q_f15_regression_metrics,
+    "k1_capacity_with_locations": q_k1_capacity_with_locations,
+    "e2_gsp_locations": q_e2_gsp_locations,
+    "c6_keep_known": q_c6_keep_known,
+    "c7_unknown_ids": q_c7_unknown_ids,
+    "e3_distinct_ids": q_e3_distinct_ids,
+    "c8_resolve_labels": q_c8_resolve_labels,
+    "c3_validate_periods": q_c3_validate_periods,
+    "a2_choose_release": q_a2_choose_release,
+    "a4_select_generation": q_a4_select_generation,
+    "a7_explode_weather": q_a7_explode_weather,
+    "k2_clean_generation": q_k2_clean_generation,
+    "a8_weather_requests": q_a8_weather_requests,
+    "k3_generation_with_capacity": q_k3_generation_with_capacity,
+    "k3_zero_fill": q_k3_zero_fill,
+    "d3_align_capacity": q_d3_align_capacity,
+    "k4_capacity_calendar": q_k4_capacity_calendar,
+    "k5_modelling_table": q_k5_modelling_table,
+    "i1_wide_capacity": q_i1_wide_capacity,
+    "i2_long_capacity": q_i2_long_capacity,
+    "k9_location_map": q_k9_location_map,
+    "k9_location_map_full_month": q_k9_location_map_full_month,
+    "f9_national_capacity": q_f9_national_capacity,
+    "h3_top_gsps": q_h3_top_gsps,
+    "k10_growth_top": q_k10_growth_top,
+    "k11_annual_capacity": q_k11_annual_capacity,
+    "f10_null_profile": q_f10_null_profile,
+    "f11_nulls_by_month": q_f11_nulls_by_month,
+    "f12_rows_by_month": q_f12_rows_by_month,
+    "f13_completeness": q_f13_completeness,
+    "c13_incomplete_rows": q_c13_incomplete_rows,
+    "k14_train_and_score": q_k14_train_and_score,
 }

@@ -25,3 +25,75 @@ def clean_daily_generation(gen: DataFrame, keys: Sequence[str], ts: str = "datet
     hourly = series.to_hourly(filled, keys, ts, [value]).drop(CHUNK)
     daily = report.resample(hourly, keys, ts, "day", sums=[value], out_ts="date")
     return daily.select(*keys, "date", F.round(value, 6).alias(value))
+
+
+def clean_generation(gen: DataFrame, locations: DataFrame, keys: Sequence[str] = ("gsp_id",),
+                     ts: str = "datetime_gmt", limit: int = 12, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """K2: bounded two-sided time interpolation (G1) per key, then the location
+    columns of each id (D2)."""
+    filled = series.interpolate_time(gen, list(keys), ts, "generation_mw", limit=limit, tiebreak=tiebreak)
+    from gridpv.operators.clean import attach_location
+
+    return attach_location(filled.drop(CHUNK), locations, list(keys)[0])
+
+
+def align_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence[str], on_duplicate: str = "error",
+                   value: str = "cumul_capacity_mwp") -> DataFrame:
+    """D3: generation left join monthly capacity on ``keys + (year, month)`` as
+    ``capacity_mwp``.  Two capacity rows for one month of a key fail the job
+    (``on_duplicate="error"``) or the later one wins (``"last"``)."""
+    keys = list(keys)
+    c = capacity.groupBy(*keys, "year", "month").agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by(value, "install_month").alias("capacity_mwp")
+    )
+    if on_duplicate == "error":
+        c = c.withColumn("capacity_mwp", F.when(F.col("_n") > 1, F.raise_error(
+            F.lit("several capacity rows for one month"))).otherwise(F.col("capacity_mwp")))
+    return gen.join(c.drop("_n"), keys + ["year", "month"], "left")
+
+
+def generation_with_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence[str] = ("gsp_id",),
+                             ts: str = "datetime_gmt", step_us: int = HALF_HOUR_US,
+                             method: str = "interpolate", location_cols: Sequence[str] = ()) -> DataFrame:
+    """K3: generation and monthly capacity on a complete ``step`` grid per key.
+
+    UTC calendar parts (B8, B9), capacity by month (D3) carried forward over the
+    generation rows (G3), grid min..max per key (G6, D4; off-grid rows are
+    dropped after the carry), remaining gaps of generation and capacity filled
+    linearly by position (G2, ``method="interpolate"``) or with 0 (B14,
+    ``"zero"``) or left (``"none"``), location columns carried forward (G5),
+    calendar parts recomputed.  ``capacity`` has ``keys, install_month, year,
+    month, cumul_capacity_mwp``.
+    """
+    from gridpv.functions.columns import to_utc_ntz, with_calendar
+
+    keys = list(keys)
+    g = gen.withColumn(ts, to_utc_ntz(ts))
+    g = with_calendar(g, ts)
+    g = align_capacity(g, capacity, keys)
+    loc = [c for c in location_cols if c in g.columns and c not in keys]
+    g = g.select(*keys, ts, "generation_mw", "capacity_mwp", *loc, F.lit(True).alias("_is_data"))
+
+    r = series.regularize(g, keys, ts, step_us, keep_off_grid=True)
+    r = series.ffill(r, keys, ts, "capacity_mwp")
+    r = r.withColumn("capacity_mwp", F.when(F.col("_is_data"), F.col("capacity_mwp")))
+    r = r.filter("_on_grid").drop("_on_grid", "_is_data")
+    if method == "interpolate":
+        r = series.fill_series(r, keys, ts, linear_interpolate=["generation_mw", "capacity_mwp"], forward_fill=loc)
+    else:
+        if loc:
+            r = series.ffill(r, keys, ts, loc)
+        if method == "zero":
+            r = r.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("generation_mw", "capacity_mwp")})
+    return with_calendar(r, ts)
+
+
+def modelling_table(weather: DataFrame, gen_cap: DataFrame, keys: Sequence[str], ts: str = "datetime_gmt",
+                    date: str = "date") -> DataFrame:
+    """K5: hourly weather rows with the hour mean of generation and capacity (F1,
+    D5), remaining gaps filled linearly by position (G2)."""
+    keys = list(keys)
+    hourly = series.to_hourly(gen_cap.drop(CHUNK), keys, ts, ["generation_mw", "capacity_mwp"], out_ts=date)
+    x = weather.join(hourly, keys + [date], "left")
+    x = series.interpolate_linear(x, keys, date, ["generation_mw", "capacity_mwp"])
+    return x.drop(CHUNK)

@@ -66,13 +66,15 @@ def r4_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
         o.join(c, o.o_custkey == c.c_custkey)
         .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy("n_nationkey", "n_name", F.trunc("o_orderdate", "month").alias("install_month"))
-        .agg(F.sum("o_totalprice").alias("_p"), F.count(F.lit(1)).alias("system_count"))
+        .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("_cents"),
+             F.count(F.lit(1)).alias("system_count"))
     )
     w = Window.partitionBy("n_nationkey").orderBy("install_month").rowsBetween(Window.unboundedPreceding, 0)
     return m.select(
         "install_month",
         F.when(F.col("n_nationkey") == 24, F.lit("unkown")).otherwise(F.col("n_name")).alias("GSPs"),
-        F.round(F.sum(F.col("_p") / 1e6).over(w), 6).alias("cumul_capacity_mwp"),
+        # Integer cents summed exactly, then one division: identical in every engine.
+        (F.sum("_cents").over(w) / F.lit(1e8)).alias("cumul_capacity_mwp"),
         "system_count",
     )
 
@@ -83,7 +85,7 @@ def r5_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region")
     k = F.col("n_nationkey")
     base = n.join(r, n.n_regionkey == r.r_regionkey)
-    rows = base.withColumn("row_ord", F.explode(F.array(F.lit(1), F.lit(2))).cast("long"))
+    rows = base.withColumn("row_ord", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
     shift = (F.col("row_ord") - 1).cast("double")
     return rows.select(
         F.when(k % 11 == 10, F.lit("n/a")).otherwise(k.cast("string")).alias("gsp_id"),
@@ -142,10 +144,15 @@ def r7_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("time"),
         (start + F.lit(86_400)).alias("time_end"),
         F.lit(3600).alias("interval"),
-        *[F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i, v=v: F.try_element_at(F.col(v), i)).alias(v) for v in WEATHER_VARIABLES],
+        *[_hours_array(v).alias(v) for v in WEATHER_VARIABLES],
     )
 
 
+def _hours_array(v: str):
+    """24 slots of hour -> value from the map column ``v`` (NULL where absent)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.try_element_at(F.col(v), h))
+
+
 def r8_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R8 scored table: key ``event_type``, actual ``value``, predicted ``props.k``."""
     e = table(spark, sf_dir, "events")

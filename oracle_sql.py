@@ -22,14 +22,14 @@ ROLES = {
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)""",
     "r4": """r4m AS (
   SELECT n_nationkey, n_name, CAST(date_trunc('month', o_orderdate) AS DATE) AS install_month,
-         sum(o_totalprice) AS _p, count(*) AS system_count
+         sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS _cents, count(*) AS system_count
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   GROUP BY 1, 2, 3),
 r4 AS (
   SELECT install_month,
          CASE WHEN n_nationkey = 24 THEN 'unkown' ELSE n_name END AS "GSPs",
-         round(sum(_p / 1e6) OVER (PARTITION BY n_nationkey ORDER BY install_month
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumul_capacity_mwp,
+         CAST(sum(_cents) OVER (PARTITION BY n_nationkey ORDER BY install_month
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) / 1e8::DOUBLE AS cumul_capacity_mwp,
          system_count
   FROM r4m)""",
     "r5": """r5 AS (
@@ -131,27 +131,396 @@ def grid_cte(name: str, src: str, keys: list[str], ts: str, step: str) -> str:
 {name} AS (SELECT {pk}, unnest(generate_series(_lo, _hi, INTERVAL '{step}')) AS {ts} FROM {name}_x)"""
 
 
+# --------------------------------------------------------------------------- shared CTEs
+
+NORM = r"upper(regexp_replace({c}, '^\s+|\s+$', '', 'g'))"
+
+MERGED = [
+    "r4", "r5", "known",
+    """cap AS (SELECT 'R4' AS release, install_month, "GSPs", cumul_capacity_mwp, system_count FROM r4
+  WHERE install_month IS NOT NULL AND "GSPs" IS NOT NULL AND cumul_capacity_mwp IS NOT NULL
+    AND NOT isnan(cumul_capacity_mwp) AND system_count IS NOT NULL)""",
+    """locn AS (SELECT CAST(trunc(TRY_CAST(gsp_id AS DOUBLE)) AS INTEGER) AS gsp_id, gsp_name, gsp_lat, gsp_lon,
+  region_name, pes_id, row_ord FROM r5 WHERE TRY_CAST(gsp_id AS DOUBLE) IS NOT NULL)""",
+    "lk AS (SELECT * FROM locn WHERE gsp_id IN (SELECT gsp_id FROM known))",
+    f"""ldd AS (SELECT * EXCLUDE (_r) FROM (SELECT {NORM.format(c='gsp_name')} AS _k, *,
+  row_number() OVER (PARTITION BY {NORM.format(c='gsp_name')} ORDER BY row_ord) AS _r FROM lk) WHERE _r = 1)""",
+    f"""merged AS (SELECT c.*, l.gsp_id, l.gsp_lat, l.gsp_lon, l.region_name, l.pes_id FROM cap c
+  LEFT JOIN ldd l ON {NORM.format(c='c."GSPs"')} = l._k
+  WHERE l.gsp_id IS NOT NULL AND l.gsp_lat IS NOT NULL AND l.gsp_lon IS NOT NULL AND l.region_name IS NOT NULL
+    AND l.pes_id IS NOT NULL AND c."GSPs" <> 'unkown')""",
+]
+
+GL = MERGED + [
+    """gl AS (SELECT "GSPs", arg_min(gsp_id, install_month) AS gsp_id, arg_min(gsp_lat, install_month) AS gsp_lat,
+  arg_min(gsp_lon, install_month) AS gsp_lon, arg_min(region_name, install_month) AS region_name,
+  arg_min(pes_id, install_month) AS pes_id FROM merged GROUP BY 1)""",
+    """glb AS (SELECT *, "GSPs" || ' | ' || region_name AS "GSP_region" FROM gl)""",
+]
+
+CAPM = MERGED + [
+    """capm AS (SELECT gsp_id, CAST(install_month AS TIMESTAMP) AS install_month, cumul_capacity_mwp, "GSPs",
+  gsp_lat, gsp_lon, region_name, pes_id,
+  CAST(year(install_month) AS INTEGER) AS year, CAST(month(install_month) AS INTEGER) AS month,
+  CAST(day(install_month) AS INTEGER) AS day, CAST(0 AS INTEGER) AS hour FROM merged)""",
+]
+
+CELLS = MERGED + ["""cells AS (SELECT install_month, "GSPs", min(cumul_capacity_mwp) AS cumul_capacity_mwp
+  FROM merged WHERE cumul_capacity_mwp IS NOT NULL GROUP BY 1, 2)"""]
+
+SCORED = ["r8", """scored AS (SELECT *, pred_generation_mw * 10.0::DOUBLE AS global_tilted_irradiance_instant,
+  CAST(event_id AS DOUBLE) / 100.0::DOUBLE AS capacity_mwp FROM r8)"""]
+
+K = ["event_type"]
+TS = "datetime_gmt"
+TSM = "CAST(install_month AS TIMESTAMP) AS install_month"
+
+
+def reg_r1() -> list[str]:
+    return [
+        "r1",
+        grid_cte("grid", "r1", K, TS, "30 minutes"),
+        "reg AS (SELECT g.event_type, g.datetime_gmt, r1.generation_mw FROM grid g "
+        "LEFT JOIN r1 USING (event_type, datetime_gmt))",
+    ]
+
+
+def cal_parts(ts: str) -> str:
+    return (f"CAST(year({ts}) AS INTEGER) AS year, CAST(month({ts}) AS INTEGER) AS month, "
+            f"CAST(day({ts}) AS INTEGER) AS day, CAST(hour({ts}) AS INTEGER) AS hour")
+
+
+def resample_sql(src: str, unit: str, out: str, sums: dict[str, str], means: dict[str, str]) -> tuple[list, str]:
+    """Per key period sums (0 when empty) and means on a complete calendar."""
+    step = {"hour": "1 hour", "day": "1 day"}[unit]
+    aggs = ", ".join([f"sum({c}) AS {n}" for c, n in sums.items()] + [f"avg({c}) AS {n}" for c, n in means.items()])
+    ctes = [
+        f"agg AS (SELECT event_type, date_trunc('{unit}', {TS}) AS {out}, {aggs} FROM {src} GROUP BY 1, 2)",
+        grid_cte("cal", "agg", K, out, step),
+    ]
+    cols = ", ".join([f"round(coalesce(a.{n}, 0.0), 6) AS {n}" for n in sums.values()]
+                     + [f"round(a.{n}, 6) AS {n}" for n in means.values()])
+    body = f"SELECT c.event_type, c.{out}, {cols} FROM cal c LEFT JOIN agg a USING (event_type, {out})"
+    return ctes, body
+
+
+PROFILE_SUMS = {"generation_mw": "actual_generation_mw", "pred_generation_mw": "pred_generation_mw"}
+PROFILE_MEANS = {"global_tilted_irradiance_instant": "global_tilted_irradiance_instant"}
+
+
+def split_cte(src: str, name: str = "sp") -> str:
+    h = "md5(concat_ws('|', event_type, CAST(epoch_us(datetime_gmt) AS VARCHAR), '101'))"
+    return f"""{name} AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY {h}, datetime_gmt, event_id)
+  <= ceil(count(*) OVER (PARTITION BY event_type) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM {src})"""
+
+
+def last_period_cte(src: str, keys: list[str], unit: str, name: str) -> str:
+    pk = ", ".join(keys)
+    return f"""{name} AS (SELECT s.* FROM {src} s JOIN (SELECT {pk}, date_trunc('{unit}', max({TS})) AS _lp FROM {src} GROUP BY ALL) m
+  USING ({pk}) WHERE date_trunc('{unit}', s.{TS}) = m._lp)"""
+
+
+WX = ["r6", """wdays AS (SELECT DISTINCT event_type, date_trunc('day', date) AS d FROM r6)""",
+      """whrs AS (SELECT event_type, d + to_hours(h) AS date FROM wdays, range(24) t(h))""",
+      "wx AS (SELECT h.event_type, h.date, "
+      + ", ".join(f"CAST(CAST(r6.{v} AS FLOAT) AS DOUBLE) AS {v}" for v in WEATHER)
+      + ", " + cal_parts("h.date") + " FROM whrs h LEFT JOIN r6 USING (event_type, date))"]
+
+
+def k3_sql(zero: bool) -> str:
+    ctes = ["r3"] + CAPM + [
+        f"g AS (SELECT gsp_id, {TS}, generation_mw, CAST(year({TS}) AS INTEGER) AS year, "
+        f"CAST(month({TS}) AS INTEGER) AS month FROM r3)",
+        "capg AS (SELECT gsp_id, year, month, arg_max(cumul_capacity_mwp, install_month) AS capacity_mwp "
+        "FROM capm GROUP BY ALL)",
+        f"ga AS (SELECT g.gsp_id, g.{TS}, g.generation_mw, c.capacity_mwp FROM g LEFT JOIN capg c USING (gsp_id, year, month))",
+        fill_cte("ff", "ga", ["gsp_id"], TS, "capacity_mwp", "ffill"),
+        grid_cte("kgrid", "ga", ["gsp_id"], TS, "1 day"),
+        f"kreg AS (SELECT kgrid.gsp_id, kgrid.{TS}, ff.generation_mw, ff.capacity_mwp FROM kgrid "
+        f"LEFT JOIN ff USING (gsp_id, {TS}))",
+    ]
+    if zero:
+        ctes.append(f"i2 AS (SELECT gsp_id, {TS}, coalesce(generation_mw, 0.0) AS generation_mw, "
+                    f"coalesce(capacity_mwp, 0.0) AS capacity_mwp FROM kreg)")
+    else:
+        ctes += [fill_cte("i1", "kreg", ["gsp_id"], TS, "generation_mw", "linear"),
+                 fill_cte("i2", "i1", ["gsp_id"], TS, "capacity_mwp", "linear")]
+    return with_ctes(ctes, f"SELECT gsp_id, {TS}, round(generation_mw, 6) AS generation_mw, "
+                           f"round(capacity_mwp, 6) AS capacity_mwp, {cal_parts(TS)} FROM i2")
+
+
+# --------------------------------------------------------------------------- queries
+
+
 def _entry_sql() -> str:
-    k = ["event_type"]
     return with_ctes(
-        [
-            "r1",
-            grid_cte("grid", "r1", k, "datetime_gmt", "30 minutes"),
-            "reg AS (SELECT g.event_type, g.datetime_gmt, r1.generation_mw FROM grid g "
-            "LEFT JOIN r1 USING (event_type, datetime_gmt))",
-            fill_cte("f", "reg", k, "datetime_gmt", "generation_mw", "time", limit=12),
+        reg_r1()
+        + [
+            fill_cte("f", "reg", K, TS, "generation_mw", "time", limit=12),
             "hourly AS (SELECT event_type, date_trunc('hour', datetime_gmt) AS datetime_gmt, "
             "avg(generation_mw) AS generation_mw FROM f GROUP BY ALL)",
             "daily AS (SELECT event_type, date_trunc('day', datetime_gmt) AS date, "
             "sum(generation_mw) AS generation_mw FROM hourly GROUP BY ALL)",
-            grid_cte("cal", "daily", k, "date", "1 day"),
+            grid_cte("cal", "daily", K, "date", "1 day"),
         ],
         "SELECT c.event_type, c.date, round(coalesce(d.generation_mw, 0.0), 6) AS generation_mw "
         "FROM cal c LEFT JOIN daily d USING (event_type, date)",
     )
 
 
+def _r1_fill(mode: str, limit: int | None = None) -> str:
+    return with_ctes(reg_r1() + [fill_cte("f", "reg", K, TS, "generation_mw", mode, limit=limit)],
+                     f"SELECT event_type, {TS}, round(generation_mw, 6) AS generation_mw FROM f")
+
+
+def _r2_fill(mode: str, limit: int | None = None) -> str:
+    return with_ctes(["r2", fill_cte("f", "r2", ["gsp_id"], TS, "generation_mw", mode, limit, ("event_id",))],
+                     f"SELECT gsp_id, {TS}, event_id, round(generation_mw, 6) AS generation_mw FROM f")
+
+
+def _profile(unit: str, out: str, src_ctes: list[str], src: str) -> str:
+    ctes, body = resample_sql(src, unit, out, PROFILE_SUMS, PROFILE_MEANS)
+    return with_ctes(src_ctes + ctes, body)
+
+
+# Request parameter cases for the manifest query (same as the Spark side).
+A2_CASES = [
+    ("gsp", True, False, "20250101"),
+    ("gsp", True, True, "20220314"),
+    ("gsp", False, False, "20990101"),
+    ("llsoa", True, False, "20250101"),
+    ("pes", False, True, "20250101"),
+    ("nowhere", True, False, "20250101"),
+]
+
+
+def _a2_sql() -> str:
+    man = """man AS (SELECT p_size AS release_ord, 'release_' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS release,
+  p_partkey AS file_ord,
+  replace(p_name, ' ', '_') || '_capacity_by_' ||
+    CASE p_type WHEN 'ECONOMY' THEN '20250101_GSP' WHEN 'STANDARD' THEN '20220314_GSP' WHEN 'SMALL' THEN 'llsoa'
+                WHEN 'MEDIUM' THEN 'gsp' ELSE 'pes' END ||
+    CASE WHEN p_retailprice < 950 THEN '_and_month' ELSE '' END ||
+    CASE WHEN ends_with(p_brand, '7') THEN '_and_system_size' ELSE '' END || '.csv.gz' AS filename
+  FROM part)"""
+    man2 = "man2 AS (SELECT *, 'file:///capacity/' || release || '/' || filename AS url FROM man)"
+    parts = []
+    for i, (region, hist, size, bv) in enumerate(A2_CASES):
+        tok = f"{bv}_GSP" if region == "gsp" else region
+        target = f"_capacity_by_{tok}" + ("_and_month" if hist else "") + ("_and_system_size" if size else "")
+        tier = (f"CASE WHEN contains(filename, '{target}') THEN 1 "
+                f"WHEN contains(filename, '_capacity_by_') AND (contains(filename, '{tok}') OR "
+                f"contains(filename, '_capacity_by_{region}')) THEN 2 "
+                f"WHEN contains(filename, '_capacity_by_') AND contains(filename, '{region}') THEN 3 END")
+        parts.append(f"""(SELECT release, filename, url, tier, CAST({i} AS INTEGER) AS case_id FROM
+  (SELECT *, {tier} AS tier FROM man2) WHERE tier IS NOT NULL ORDER BY release_ord, tier, file_ord LIMIT 1)""")
+    return with_ctes([man, man2], "\nUNION ALL\n".join(parts))
+
+
+def _null_profile_sql() -> str:
+    cols = ["gsp_id", "datetime_gmt", "event_id", "generation_mw"]
+    anyrow = " OR ".join(f"{c} IS NULL" for c in cols)
+    sel = []
+    for c in cols:
+        sel.append(f"SELECT '{c}' AS column_name, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, "
+                   f"sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) > 0 AS any_missing, "
+                   f"CAST(sum(CASE WHEN {anyrow} THEN 1 ELSE 0 END) AS BIGINT) AS rows_with_missing, "
+                   f"count(*) AS n_rows FROM r2")
+    return with_ctes(["r2"], "\nUNION ALL\n".join(sel))
+
+
+C8_CTES = [
+    """req AS (SELECT s_suppkey AS request_id, CASE WHEN s_acctbal < 0 THEN NULL ELSE n_name || ' | ' || r_name END
+  AS gsp_region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
+    """lab AS (SELECT "GSP_region" AS _label, arg_min(CAST(gsp_id AS VARCHAR), "GSPs") AS _raw FROM glb GROUP BY 1)""",
+    """rs AS (SELECT r.*, l._label, l._raw, TRY_CAST(l._raw AS DOUBLE) AS _d FROM req r LEFT JOIN lab l ON r.gsp_region = l._label)""",
+    """rs2 AS (SELECT *, CASE WHEN gsp_region IS NULL THEN 'No GSP_region provided.'
+  WHEN _label IS NULL THEN 'GSP_region ''' || gsp_region || ''' not found.'
+  WHEN _d IS NULL OR _d <> floor(_d) THEN 'gsp_id for ''' || gsp_region || ''' is not convertible to int: ' || _raw
+  ELSE 'ok' END AS status FROM rs)""",
+]
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
-        "clean_daily_generation": _entry_sql(),
-    }
+    q: dict[str, str] = {}
+    q["clean_daily_generation"] = _entry_sql()
+    q["g1_interpolate_time"] = _r2_fill("time", 12)
+    q["g1_grid_limit2"] = _r1_fill("time", 2)
+    q["g2_interpolate_linear"] = _r1_fill("linear")
+    q["g3_ffill"] = _r1_fill("ffill")
+    q["g4_ffill_bfill"] = _r2_fill("ffill_bfill")
+    q["g6_time_grid"] = with_ctes(reg_r1(), f"SELECT event_type, {TS} FROM grid")
+    q["d4_regularize"] = with_ctes(reg_r1(), f"SELECT event_type, {TS}, round(generation_mw, 6) AS generation_mw FROM reg")
+    q["d7_missing_slots"] = with_ctes(
+        reg_r1(), f"SELECT g.event_type, g.{TS} FROM grid g WHERE NOT EXISTS "
+        f"(SELECT 1 FROM r1 WHERE r1.event_type = g.event_type AND r1.{TS} = g.{TS})")
+    q["d7_missing_slots_period"] = with_ctes(
+        ["r1", "pk AS (SELECT DISTINCT event_type FROM r1)",
+         f"pg AS (SELECT event_type, unnest(generate_series(TIMESTAMP '2024-01-10 00:00:00', "
+         f"TIMESTAMP '2024-01-20 23:30:00', INTERVAL '30 minutes')) AS {TS} FROM pk)"],
+        f"SELECT g.event_type, g.{TS} FROM pg g WHERE NOT EXISTS "
+        f"(SELECT 1 FROM r1 WHERE r1.event_type = g.event_type AND r1.{TS} = g.{TS})")
+    q["f1_to_hourly"] = with_ctes(
+        reg_r1(), f"SELECT event_type, date_trunc('hour', {TS}) AS {TS}, round(avg(generation_mw), 6) AS generation_mw "
+        f"FROM reg GROUP BY 1, 2")
+    q["g8_nth_from_end"] = with_ctes(
+        SCORED, f"SELECT event_type, {TS}, event_id, round(capacity_mwp, 6) AS capacity_mwp FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY {TS} DESC, event_id DESC) AS _r FROM scored) "
+        f"WHERE _r = 50")
+    q["c14_trailing"] = with_ctes(
+        ["r2"], f"SELECT r.gsp_id, r.{TS}, r.event_id, round(r.generation_mw, 6) AS generation_mw FROM r2 r "
+        f"JOIN (SELECT gsp_id, max({TS}) AS _l FROM r2 GROUP BY 1) m USING (gsp_id) WHERE r.{TS} >= m._l - INTERVAL 7 DAY")
+    q["f2_daily_profile"] = _profile("day", "date", SCORED, "scored")
+    q["f3_hourly_profile"] = _profile("hour", "hour", SCORED, "scored")
+    q["f6_kpis"] = with_ctes(
+        SCORED, "SELECT event_type, round(a, 6) AS total_generation_mw, round(p, 6) AS total_predicted_generation_mw, "
+        "round((p - a) / NULLIF(a, 0.0) * 100.0, 6) AS percent_variance FROM "
+        "(SELECT event_type, coalesce(sum(generation_mw), 0.0) AS a, coalesce(sum(pred_generation_mw), 0.0) AS p "
+        "FROM scored GROUP BY 1)")
+    q["c11_last_month"] = with_ctes(
+        ["r3", last_period_cte("r3", ["gsp_id"], "month", "lm")],
+        f"SELECT gsp_id, {TS}, round(generation_mw, 6) AS generation_mw FROM lm")
+    q["c12_last_day"] = with_ctes(
+        SCORED + [last_period_cte("scored", K, "day", "ld")],
+        f"SELECT event_type, {TS}, event_id, round(generation_mw, 6) AS generation_mw FROM ld")
+    ctes, body = resample_sql("lm", "day", "date", PROFILE_SUMS, PROFILE_MEANS)
+    q["k6_last_month_daily"] = with_ctes(
+        SCORED + [last_period_cte("scored", K, "month", "lm")] + ctes + [f"prof AS ({body})"],
+        "SELECT *, strftime(date, '%Y-%m') AS period FROM prof")
+    ctes, body = resample_sql("ld", "hour", "hour", PROFILE_SUMS, PROFILE_MEANS)
+    q["k7_last_day_hourly"] = with_ctes(SCORED + [last_period_cte("scored", K, "day", "ld")] + ctes, body)
+    q["k8_kpi_row"] = with_ctes(
+        SCORED + [
+            "kp AS (SELECT event_type, coalesce(sum(generation_mw), 0.0) AS a, coalesce(sum(pred_generation_mw), 0.0) AS p "
+            "FROM scored GROUP BY 1)",
+            f"nth AS (SELECT event_type, capacity_mwp FROM (SELECT *, row_number() OVER (PARTITION BY event_type "
+            f"ORDER BY {TS} DESC, event_id DESC) AS _r FROM scored) WHERE _r = 50)"],
+        "SELECT kp.event_type, round(a, 6) AS total_generation_mw, round(p, 6) AS total_predicted_generation_mw, "
+        "round((p - a) / NULLIF(a, 0.0) * 100.0, 6) AS percent_variance, round(nth.capacity_mwp, 6) AS last_capacity_mwp "
+        "FROM kp LEFT JOIN nth USING (event_type)")
+    q["k12_error_heatmap"] = with_ctes(
+        SCORED + ["df AS (SELECT *, pred_generation_mw - generation_mw AS difference FROM scored)"],
+        f"SELECT event_type, date_trunc('day', {TS}) AS time_bin, floor(difference / 10.0) * 10.0 AS difference_bin, "
+        "round(sum(difference), 6) AS sum_difference, count(*) AS n FROM df WHERE difference IS NOT NULL GROUP BY 1, 2, 3")
+    q["j1_split"] = with_ctes(SCORED + [split_cte("scored")], f"SELECT event_type, {TS}, event_id, split FROM sp")
+    q["j2_scale"] = with_ctes(
+        SCORED + [split_cte("scored"),
+                  "st AS (SELECT event_type, avg(generation_mw) AS mg, stddev_pop(generation_mw) AS sg, "
+                  "avg(pred_generation_mw) AS mp, stddev_pop(pred_generation_mw) AS spp FROM sp WHERE split = 'train' GROUP BY 1)"],
+        f"SELECT sp.event_type, sp.{TS}, sp.event_id, sp.split, "
+        "round((generation_mw - mg) / NULLIF(sg, 0.0), 6) AS generation_mw, "
+        "round((pred_generation_mw - mp) / NULLIF(spp, 0.0), 6) AS pred_generation_mw FROM sp LEFT JOIN st USING (event_type)")
+    q["f15_regression_metrics"] = with_ctes(
+        SCORED + [split_cte("scored")],
+        "SELECT event_type, split, count(*) AS n, "
+        "round(1.0 - sum((pred_generation_mw - generation_mw) ^ 2) / (var_pop(generation_mw) * count(*)), 3) AS r2, "
+        "round(avg(abs(pred_generation_mw - generation_mw)), 3) AS mae, "
+        "round(avg((pred_generation_mw - generation_mw) ^ 2), 3) AS mse, "
+        "round(sqrt(avg((pred_generation_mw - generation_mw) ^ 2)), 3) AS rmse "
+        "FROM sp WHERE generation_mw IS NOT NULL AND pred_generation_mw IS NOT NULL GROUP BY 1, 2")
+    q["k1_capacity_with_locations"] = with_ctes(MERGED, f"SELECT * REPLACE ({TSM}) FROM merged")
+    q["e2_gsp_locations"] = with_ctes(GL, "SELECT * FROM glb")
+    q["c6_keep_known"] = with_ctes(MERGED, "SELECT * FROM lk")
+    q["c7_unknown_ids"] = with_ctes(
+        ["r2"] + GL, "SELECT DISTINCT CAST(gsp_id AS INTEGER) AS gsp_id FROM r2 WHERE gsp_id IS NOT NULL "
+        "AND CAST(gsp_id AS INTEGER) NOT IN (SELECT gsp_id FROM glb)")
+    q["e3_distinct_ids"] = with_ctes(["r2"], "SELECT DISTINCT gsp_id FROM r2 WHERE generation_mw IS NOT NULL AND gsp_id IS NOT NULL")
+    q["c8_resolve_labels"] = with_ctes(
+        GL + C8_CTES,
+        "SELECT request_id, gsp_region, CASE WHEN status = 'ok' THEN CAST(_d AS INTEGER) END AS gsp_id, status FROM rs2")
+    q["c3_validate_periods"] = with_ctes(
+        ["""req AS (SELECT l_orderkey * 10 + l_linenumber AS request_id, CAST(l_shipdate AS DATE) AS start_date,
+  CAST(CAST(o_orderdate AS DATE) + 40 AS DATE) AS end_date FROM orders JOIN lineitem ON o_orderkey = l_orderkey)""",
+         """b AS (SELECT *, CAST(start_date AS TIMESTAMP) AS start_dt,
+  CAST(end_date AS TIMESTAMP) + INTERVAL 1410 MINUTE AS end_dt FROM req)"""],
+        "SELECT * REPLACE (CAST(start_date AS TIMESTAMP) AS start_date, CAST(end_date AS TIMESTAMP) AS end_date), "
+        "CASE WHEN end_dt < start_dt THEN 'End date must not be before start date.' "
+        "WHEN end_dt < start_dt + INTERVAL 1 MONTH THEN 'End date must be at least 1 month(s) after start date.' "
+        "ELSE 'ok' END AS status FROM b")
+    q["a2_choose_release"] = _a2_sql()
+    q["a4_select_generation"] = with_ctes(
+        ["r2", "known"], f"SELECT gsp_id, {TS}, round(generation_mw, 6) AS generation_mw FROM r2 "
+        f"WHERE {TS} BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:30:00' AND gsp_id >= 1 "
+        "AND gsp_id IN (SELECT gsp_id FROM known)")
+    q["a7_explode_weather"] = with_ctes(
+        WX, "SELECT event_type, date, " + ", ".join(f"round({v}, 6) AS {v}" for v in WEATHER)
+        + ", year, month, day, hour FROM wx")
+    k2 = ["r2"] + GL + [fill_cte("f", "r2", ["gsp_id"], TS, "generation_mw", "time", 12, ("event_id",)),
+                        "k2 AS (SELECT CAST(f.gsp_id AS INTEGER) AS gsp_id, f.datetime_gmt, f.event_id, f.generation_mw, "
+                        "g.\"GSPs\", g.gsp_lat, g.gsp_lon, g.region_name, g.pes_id, g.\"GSP_region\" FROM f "
+                        "LEFT JOIN glb g ON CAST(f.gsp_id AS INTEGER) = g.gsp_id)"]
+    q["k2_clean_generation"] = with_ctes(
+        k2, "SELECT * REPLACE (round(generation_mw, 6) AS generation_mw, round(gsp_lat, 6) AS gsp_lat, "
+        "round(gsp_lon, 6) AS gsp_lon) FROM k2")
+    q["a8_weather_requests"] = with_ctes(
+        k2, f"SELECT gsp_id, round(arg_min(gsp_lat, CASE WHEN gsp_lat IS NOT NULL AND gsp_lon IS NOT NULL THEN {TS} END), 6) AS latitude, "
+        f"round(arg_min(gsp_lon, CASE WHEN gsp_lat IS NOT NULL AND gsp_lon IS NOT NULL THEN {TS} END), 6) AS longitude, "
+        f"strftime(min({TS}), '%Y-%m-%d') AS start_date, strftime(max({TS}), '%Y-%m-%d') AS end_date FROM k2 GROUP BY 1")
+    q["k3_generation_with_capacity"] = k3_sql(zero=False)
+    q["k3_zero_fill"] = k3_sql(zero=True)
+    capg = ("capg AS (SELECT gsp_id, year, month, arg_max(cumul_capacity_mwp, install_month) AS capacity_mwp "
+            "FROM capm GROUP BY ALL)")
+    q["d3_align_capacity"] = with_ctes(
+        ["r3"] + CAPM + [capg, f"g AS (SELECT gsp_id, {TS}, generation_mw, {cal_parts(TS)} FROM r3)"],
+        "SELECT g.*, round(c.capacity_mwp, 6) AS capacity_mwp FROM g LEFT JOIN capg c USING (gsp_id, year, month)")
+    q["k4_capacity_calendar"] = with_ctes(CAPM, "SELECT * FROM capm")
+    q["k5_modelling_table"] = with_ctes(
+        WX + reg_r1() + [
+            fill_cte("f", "reg", K, TS, "generation_mw", "time", limit=12),
+            f"hr AS (SELECT event_type, date_trunc('hour', {TS}) AS date, avg(generation_mw) AS generation_mw, "
+            f"CAST(NULL AS DOUBLE) AS capacity_mwp FROM f GROUP BY 1, 2)",
+            "j AS (SELECT w.*, hr.generation_mw, hr.capacity_mwp FROM wx w LEFT JOIN hr USING (event_type, date))",
+            fill_cte("m1", "j", K, "date", "generation_mw", "linear"),
+            fill_cte("m2", "m1", K, "date", "capacity_mwp", "linear")],
+        "SELECT event_type, date, " + ", ".join(f"round({v}, 6) AS {v}" for v in WEATHER)
+        + ", year, month, day, hour, round(generation_mw, 6) AS generation_mw, round(capacity_mwp, 6) AS capacity_mwp FROM m2")
+    q["i1_wide_capacity"] = with_ctes(
+        CELLS, f'SELECT * FROM (PIVOT (SELECT * REPLACE ({TSM}) FROM cells) ON "GSPs" USING first(cumul_capacity_mwp) GROUP BY install_month)')
+    q["i2_long_capacity"] = with_ctes(CELLS, f"SELECT * REPLACE ({TSM}) FROM cells")
+    loc_map = ("SELECT g.*, c.cumul_capacity_mwp AS latest_capacity_mwp FROM glb g LEFT JOIN "
+               "(SELECT * FROM {src} WHERE install_month = (SELECT max(install_month) FROM {src})) c USING (\"GSPs\")")
+    q["k9_location_map"] = with_ctes(GL + CELLS[len(MERGED):], loc_map.format(src="cells"))
+    q["k9_location_map_full_month"] = with_ctes(
+        GL + CELLS[len(MERGED):] + ["cf AS (SELECT * FROM cells WHERE install_month < DATE '2001-08-01')"],
+        loc_map.format(src="cf"))
+    cf = CELLS + ["cf AS (SELECT * FROM cells WHERE install_month < DATE '2001-08-01')"]
+    q["f9_national_capacity"] = with_ctes(
+        cf, "SELECT (SELECT count(DISTINCT \"GSPs\") FROM cf) AS gsp_count, "
+        "CAST(trunc(coalesce(sum(cumul_capacity_mwp), 0.0) / 1000) AS BIGINT) AS total_solar_capacity_gwp "
+        "FROM cf WHERE install_month = (SELECT max(install_month) FROM cf)")
+    top = ("top AS (SELECT \"GSPs\", cumul_capacity_mwp FROM cs WHERE install_month = (SELECT max(install_month) FROM cs) "
+           "ORDER BY cumul_capacity_mwp DESC NULLS LAST, \"GSPs\" LIMIT 10)")
+    cs = cf + ["cs AS (SELECT * FROM cf WHERE install_month >= DATE '1997-01-01')", top]
+    q["h3_top_gsps"] = with_ctes(cs, "SELECT \"GSPs\", cumul_capacity_mwp FROM top")
+    q["k10_growth_top"] = with_ctes(
+        cs, "SELECT CAST(install_month AS TIMESTAMP) AS install_month, \"GSPs\", cumul_capacity_mwp FROM cs "
+        "WHERE \"GSPs\" IN (SELECT \"GSPs\" FROM top)")
+    q["k11_annual_capacity"] = with_ctes(
+        CELLS + [
+            "cy AS (SELECT *, CAST(year(install_month) AS INTEGER) AS year FROM cells WHERE install_month >= DATE '1997-01-01')",
+            "ly AS (SELECT \"GSPs\", year, arg_max(cumul_capacity_mwp, install_month) AS v FROM cy GROUP BY 1, 2)",
+            "tot AS (SELECT year, sum(v) AS t FROM ly GROUP BY 1)",
+            "yrs AS (SELECT CAST(unnest(range(min(year), max(year) + 1)) AS INTEGER) AS year FROM cy)",
+            "t2 AS (SELECT y.year, coalesce(t.t, 0.0) AS total_capacity_mwp FROM yrs y LEFT JOIN tot t USING (year))"],
+        "SELECT year, round(coalesce(total_capacity_mwp - lag(total_capacity_mwp) OVER (ORDER BY year), 0.0), 6) "
+        "AS annual_increase_mwp, round(total_capacity_mwp, 6) AS total_capacity_mwp FROM t2")
+    q["f10_null_profile"] = _null_profile_sql()
+    q["f11_nulls_by_month"] = with_ctes(
+        ["r3"] + CAPM + [capg, f"g AS (SELECT gsp_id, {TS}, generation_mw, {cal_parts(TS)} FROM r3)",
+                         "a AS (SELECT g.*, c.capacity_mwp FROM g LEFT JOIN capg c USING (gsp_id, year, month))"],
+        f"SELECT CAST(year({TS}) AS INTEGER) AS year, CAST(month({TS}) AS INTEGER) AS month, "
+        "CAST(sum(CASE WHEN capacity_mwp IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing FROM a GROUP BY 1, 2")
+    q["f12_rows_by_month"] = with_ctes(["r3"], f"SELECT strftime({TS}, '%Y-%m') AS month, count(*) AS n_rows FROM r3 GROUP BY 1")
+    k3 = k3_sql(zero=False)
+    span = f"(epoch_us(max({TS})) - epoch_us(min({TS}))) // 86400000000 + 1"
+    q["f13_completeness"] = (
+        f"WITH k3 AS ({k3})\n"
+        f"SELECT gsp_id, count(*) AS n_rows, CAST({span} AS BIGINT) AS expected_rows, "
+        "CAST(sum(CASE WHEN generation_mw IS NULL THEN 1 ELSE 0 END) + "
+        "sum(CASE WHEN capacity_mwp IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, "
+        f"count(*) = {span} AND "
+        "sum(CASE WHEN generation_mw IS NULL OR capacity_mwp IS NULL THEN 1 ELSE 0 END) = 0 AS complete FROM k3 GROUP BY 1")
+    q["c13_incomplete_rows"] = with_ctes(
+        ["r2"], f"SELECT gsp_id, {TS}, event_id, round(generation_mw, 6) AS generation_mw FROM r2 WHERE gsp_id IS NULL "
+        f"OR {TS} IS NULL OR event_id IS NULL OR generation_mw IS NULL ORDER BY {TS}, event_id LIMIT 20")
+    return q
