@@ -84,7 +84,7 @@ def test_gap_of_30_with_limit_12_leaves_6(spark):
     got = _collect(series.interpolate_time(_series_df(spark, rows), ["k"], "ts", "v", limit=12,
                                            chunk_us=SMALL_CHUNK))["a"]
     assert sum(v is None for v in got) == 6
-    assert got[:14] == pytest.approx([1.0 + i for i in range(14)])
+    assert got[:13] == pytest.approx([1.0 + i for i in range(13)]) and got[13:19] == [None] * 6
     assert got[-13:] == pytest.approx([20.0 + i for i in range(13)])
 
 
