@@ -71,8 +71,21 @@ def to_utc_ntz(c: str | Column, from_tz: str | None = None) -> Column:
 
 
 def epoch_us(ts: str | Column) -> Column:
-    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (bigint)."""
-    return F.timestamp_diff("MICROSECOND", EPOCH(), col_of(ts))
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (bigint).
+
+    Built from the date and the time-of-day parts, which do not involve the
+    session time zone (``timestamp_diff`` would cast NTZ to the session zone,
+    and a zone with daylight saving would shift the arithmetic).
+    """
+    t = col_of(ts).cast("timestamp_ntz")
+    days = F.unix_date(t.cast("date")).cast("long")
+    sec = F.extract(F.lit("SECOND"), t)  # decimal(8,6): seconds with fraction
+    return (
+        days * F.lit(86_400_000_000)
+        + F.hour(t).cast("long") * F.lit(3_600_000_000)
+        + F.minute(t).cast("long") * F.lit(60_000_000)
+        + (sec * F.lit(1_000_000)).cast("long")
+    )
 
 
 def from_epoch_seconds(c: str | Column) -> Column:

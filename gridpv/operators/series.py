@@ -63,7 +63,14 @@ def neighbours(
     (its ``_rn``) and ``fields`` evaluated on that row.  NULL when none exists.
     """
     keys = list(keys)
+    # Rows without a key or a time have no place in a series (pandas drops
+    # missing group keys).  Filtering here also keeps both uses of ``x`` (rows
+    # and chunk summary) identical, so they share one shuffle.
     x = with_chunk(df, ts, chunk_us)
+    notnull = F.col(CHUNK).isNotNull()
+    for k in keys:
+        notnull = notnull & F.col(k).isNotNull()
+    x = x.filter(notnull)
     part = keys + [CHUNK]
     order = _order_cols(ts, tiebreak)
     w_fwd = Window.partitionBy(*part).orderBy(*order)
