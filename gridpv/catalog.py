@@ -18,6 +18,7 @@ from gridpv.operators import clean, model, quality, report, series
 from gridpv.operators.series import CHUNK, DAY_US, HALF_HOUR_US
 from gridpv.plans import capacity as capplan
 from gridpv.plans import dashboard, generation, modelling
+from gridpv.schemas import LOCATION_COLUMNS
 from gridpv.sources import manifest as mf
 from gridpv.sources import requests as rq
 from gridpv.sources import testdata as td
@@ -57,16 +58,38 @@ def _no_chunk(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- shared inputs
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def _shared(fn):
+    """Build a shared input once per session and sf_dir (DataFrames are immutable)."""
+
+    def wrapper(spark: SparkSession, d: str) -> DataFrame:
+        key = (fn.__name__, id(spark), d)
+        df = _SHARED.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = fn(spark, d)
+            _SHARED[key] = df
+        return df
+
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+@_shared
 def merged(spark: SparkSession, d: str) -> DataFrame:
     """K1 on R4/R5 with the supplier nations as known ids."""
     return capplan.capacity_with_locations(td.r4_capacity(spark, d), td.r5_locations(spark, d),
                                            td.known_ids(spark, d), release="R4")
 
 
+@_shared
 def locations_list(spark: SparkSession, d: str) -> DataFrame:
     return clean.gsp_locations(merged(spark, d))
 
 
+@_shared
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """R8 with stand-in irradiance and capacity columns."""
     s = td.r8_scored(spark, d)
@@ -76,6 +99,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
+@_shared
 def capacity_by_month(spark: SparkSession, d: str) -> DataFrame:
     """K4 for all GSPs (``gsp_id, install_month, year, month, cumul_capacity_mwp``)."""
     return capplan.capacity_calendar(merged(spark, d))
@@ -314,6 +338,36 @@ def q_k3_zero_fill(spark, d):
     return _round(_no_chunk(out))
 
 
+def q_k3_with_locations(spark, d):
+    """K3 on R3 with the location columns attached first; new grid rows get them by G5."""
+    g = td.r3_daily(spark, d).withColumn("gsp_id", F.col("gsp_id").cast("int"))
+    g = clean.attach_location(g, locations_list(spark, d))
+    out = generation.generation_with_capacity(g, capacity_by_month(spark, d), ["gsp_id"], step_us=DAY_US,
+                                              location_cols=LOCATION_COLUMNS)
+    return _round(_no_chunk(out))
+
+
+def q_k3_no_fill(spark, d):
+    g = td.r3_daily(spark, d)
+    out = generation.generation_with_capacity(g, capacity_by_month(spark, d), ["gsp_id"], step_us=DAY_US,
+                                              method="none")
+    return _round(_no_chunk(out))
+
+
+def q_k13_quality_report(spark, d):
+    """Missing-value profile (F10) of the complete daily grid before unbounded filling."""
+    g = td.r3_daily(spark, d)
+    k3 = generation.generation_with_capacity(g, capacity_by_month(spark, d), ["gsp_id"], step_us=DAY_US,
+                                             method="none")
+    return quality.null_profile(_no_chunk(k3), ["gsp_id", "datetime_gmt", "generation_mw", "capacity_mwp"])
+
+
+def q_f7_time_extents(spark, d):
+    """first and last timestamp per key."""
+    g = td.r2_sparse(spark, d)
+    return g.groupBy("gsp_id").agg(F.min("datetime_gmt").alias("first_ts"), F.max("datetime_gmt").alias("last_ts"))
+
+
 def q_d3_align_capacity(spark, d):
     from gridpv.functions.columns import with_calendar
 
@@ -446,6 +500,10 @@ QUERIES: dict[str, Query] = {
     "a8_weather_requests": q_a8_weather_requests,
     "k3_generation_with_capacity": q_k3_generation_with_capacity,
     "k3_zero_fill": q_k3_zero_fill,
+    "k3_with_locations": q_k3_with_locations,
+    "k3_no_fill": q_k3_no_fill,
+    "k13_quality_report": q_k13_quality_report,
+    "f7_time_extents": q_f7_time_extents,
     "d3_align_capacity": q_d3_align_capacity,
     "k4_capacity_calendar": q_k4_capacity_calendar,
     "k5_modelling_table": q_k5_modelling_table,

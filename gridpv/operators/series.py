@@ -70,58 +70,57 @@ def neighbours(
     notnull = F.col(CHUNK).isNotNull()
     for k in keys:
         notnull = notnull & F.col(k).isNotNull()
-    x = x.filter(notnull)
     part = keys + [CHUNK]
     order = _order_cols(ts, tiebreak)
     w_fwd = Window.partitionBy(*part).orderBy(*order)
     w_bwd = Window.partitionBy(*part).orderBy(*[o.desc() for o in order]).rowsBetween(_U, _C)
 
-    x = x.withColumn("_rl", F.row_number().over(w_fwd))
-    for name, (present, fields) in specs.items():
-        pay = F.struct(F.col("_rl").alias("rl"), *[col_of(c).alias(k) for k, c in fields.items()])
-        x = x.withColumn(f"_{name}_pay", F.when(present, pay))
-    fwd = {f"_{n}_pl": F.last(f"_{n}_pay", ignorenulls=True).over(w_fwd.rowsBetween(_U, _C)) for n in specs}
-    x = x.withColumns(fwd)
-    bwd = {f"_{n}_nl": F.last(f"_{n}_pay", ignorenulls=True).over(w_bwd) for n in specs}
-    x = x.withColumns(bwd)
+    # Few DataFrame steps on purpose: each step re-analyses the whole plan.
+    rl = F.row_number().over(w_fwd)
+    pays = [
+        F.when(present, F.struct(rl.alias("rl"), *[col_of(c).alias(k) for k, c in fields.items()])).alias(f"_{n}_pay")
+        for n, (present, fields) in specs.items()
+    ]
+    x = x.filter(notnull).select("*", rl.alias("_rl"), *pays)
+    x = x.select(
+        "*",
+        *[F.last(f"_{n}_pay", ignorenulls=True).over(w_fwd.rowsBetween(_U, _C)).alias(f"_{n}_pl") for n in specs],
+        *[F.last(f"_{n}_pay", ignorenulls=True).over(w_bwd).alias(f"_{n}_nl") for n in specs],
+    )
 
     # One row per (key, chunk): row count, first and last present payloads.
+    # rl is the first struct field and unique, so max/min pick last/first.
     aggs = [F.count(F.lit(1)).alias("_n")]
     for n in specs:
-        # rl is the first struct field and unique, so max/min pick last/first.
         aggs += [F.max(f"_{n}_pay").alias(f"_{n}_max"), F.min(f"_{n}_pay").alias(f"_{n}_min")]
     s = x.groupBy(*part).agg(*aggs)
     w_k = Window.partitionBy(*keys).orderBy(CHUNK)
     w_kd = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc())
-    s = s.withColumns(
-        {
-            "_off": F.coalesce(F.sum("_n").over(w_k.rowsBetween(_U, -1)), F.lit(0).cast("long")),
-            "_cnt": F.sum("_n").over(Window.partitionBy(*keys)),
-        }
+    s = s.select(
+        *part, *[f"_{n}_{m}" for n in specs for m in ("max", "min")],
+        F.coalesce(F.sum("_n").over(w_k.rowsBetween(_U, -1)), F.lit(0).cast("long")).alias("_off"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_cnt"),
+    )
+
+    def glob(c: Column) -> Column:
+        return F.when(c.isNotNull(), c.withField("rl", c["rl"] + F.col("_off")))
+
+    s = s.select(
+        *part, "_off", "_cnt",
+        *[F.last(glob(F.col(f"_{n}_max")), ignorenulls=True).over(w_k.rowsBetween(_U, -1)).alias(f"_{n}_pc")
+          for n in specs],
+        *[F.last(glob(F.col(f"_{n}_min")), ignorenulls=True).over(w_kd.rowsBetween(_U, -1)).alias(f"_{n}_nc")
+          for n in specs],
     )
-    glob = {}
-    for n in specs:
-        for side in ("max", "min"):
-            c = F.col(f"_{n}_{side}")
-            glob[f"_{n}_{side}"] = F.when(c.isNotNull(), c.withField("rl", c["rl"] + F.col("_off")))
-    s = s.withColumns(glob)
-    carry = {}
-    for n in specs:
-        carry[f"_{n}_pc"] = F.last(f"_{n}_max", ignorenulls=True).over(w_k.rowsBetween(_U, -1))
-        carry[f"_{n}_nc"] = F.last(f"_{n}_min", ignorenulls=True).over(w_kd.rowsBetween(_U, -1))
-    s = s.withColumns(carry)
-    s = s.select(*part, "_off", "_cnt", *[f"_{n}_{d}" for n in specs for d in ("pc", "nc")])
 
     out = x.join(s, part, "inner")
-    res = {"_rn": F.col("_rl") + F.col("_off")}
+    internal = {"_rl", "_off"} | {f"_{n}_{d}" for n in specs for d in ("pay", "pl", "nl", "pc", "nc")}
+    keep = [c for c in x.columns if c not in internal] + ["_cnt"]
+    res = [(F.col("_rl") + F.col("_off")).alias("_rn")]
     for n in specs:
         for local, carried, outname in (("pl", "pc", "prev"), ("nl", "nc", "next")):
-            c = F.col(f"_{n}_{local}")
-            g = F.when(c.isNotNull(), c.withField("rl", c["rl"] + F.col("_off")))
-            res[f"{n}_{outname}"] = F.coalesce(g, F.col(f"_{n}_{carried}"))
-    out = out.withColumns(res)
-    drop = ["_rl", "_off"] + [f"_{n}_{d}" for n in specs for d in ("pay", "pl", "nl", "pc", "nc")]
-    return out.drop(*drop)
+            res.append(F.coalesce(glob(F.col(f"_{n}_{local}")), F.col(f"_{n}_{carried}")).alias(f"{n}_{outname}"))
+    return out.select(*keep, *res)
 
 
 def row_index(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = (),

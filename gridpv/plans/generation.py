@@ -52,32 +52,51 @@ def align_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence[str], on_
     return gen.join(c.drop("_n"), keys + ["year", "month"], "left")
 
 
+def carried_capacity(gen_months: DataFrame, capacity: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """D3 + G3 at month grain: capacity of each (key, year, month) that has
+    generation rows, carried forward from the last earlier such month with a
+    value.
+
+    Capacity is constant within a month, so carrying it forward over the
+    generation rows equals carrying it over the months that hold rows.  The
+    table has one row per key and month (small), so the window over a key's
+    months stays cheap even for a key with a large share of the rows.
+    """
+    from pyspark.sql import Window
+
+    keys = list(keys)
+    m = align_capacity(gen_months, capacity, keys)
+    w = Window.partitionBy(*keys).orderBy("year", "month").rowsBetween(Window.unboundedPreceding, 0)
+    return m.select(*keys, "year", "month", F.last("capacity_mwp", ignorenulls=True).over(w).alias("capacity_mwp"))
+
+
 def generation_with_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence[str] = ("gsp_id",),
                              ts: str = "datetime_gmt", step_us: int = HALF_HOUR_US,
                              method: str = "interpolate", location_cols: Sequence[str] = ()) -> DataFrame:
     """K3: generation and monthly capacity on a complete ``step`` grid per key.
 
-    UTC calendar parts (B8, B9), capacity by month (D3) carried forward over the
-    generation rows (G3), grid min..max per key (G6, D4; off-grid rows are
-    dropped after the carry), remaining gaps of generation and capacity filled
-    linearly by position (G2, ``method="interpolate"``) or with 0 (B14,
-    ``"zero"``) or left (``"none"``), location columns carried forward (G5),
-    calendar parts recomputed.  ``capacity`` has ``keys, install_month, year,
-    month, cumul_capacity_mwp``.
+    UTC calendar parts (B8, B9); capacity by month (D3) carried forward over the
+    generation rows (G3, done at month grain by :func:`carried_capacity`); grid
+    min..max per key (G6, D4; rows off the grid are dropped); remaining gaps of
+    generation and capacity filled linearly by position (G2,
+    ``method="interpolate"``) or with 0 (B14, ``"zero"``) or left (``"none"``);
+    location columns carried forward (G5); calendar parts recomputed.
+    ``capacity`` has ``keys, install_month, year, month, cumul_capacity_mwp``.
+
+    One shuffle of the generation rows by ``(keys, day chunk)``; the month
+    capacity table joins in by broadcast when small (AQE decides at run time).
     """
     from gridpv.functions.columns import to_utc_ntz, with_calendar
 
     keys = list(keys)
     g = gen.withColumn(ts, to_utc_ntz(ts))
-    g = with_calendar(g, ts)
-    g = align_capacity(g, capacity, keys)
+    g = g.withColumns({"year": F.year(ts), "month": F.month(ts)})
+    months = g.select(*keys, "year", "month").distinct()
+    g = g.join(carried_capacity(months, capacity, keys), keys + ["year", "month"], "left")
     loc = [c for c in location_cols if c in g.columns and c not in keys]
-    g = g.select(*keys, ts, "generation_mw", "capacity_mwp", *loc, F.lit(True).alias("_is_data"))
+    g = g.select(*keys, ts, "generation_mw", "capacity_mwp", *loc)
 
-    r = series.regularize(g, keys, ts, step_us, keep_off_grid=True)
-    r = series.ffill(r, keys, ts, "capacity_mwp")
-    r = r.withColumn("capacity_mwp", F.when(F.col("_is_data"), F.col("capacity_mwp")))
-    r = r.filter("_on_grid").drop("_on_grid", "_is_data")
+    r = series.regularize(g, keys, ts, step_us)
     if method == "interpolate":
         r = series.fill_series(r, keys, ts, linear_interpolate=["generation_mw", "capacity_mwp"], forward_fill=loc)
     else:

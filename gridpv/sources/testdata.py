@@ -13,8 +13,18 @@ from gridpv.functions.columns import epoch_us
 from gridpv.schemas import WEATHER_VARIABLES
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table, read once per session (listing and footer reads are eager)."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 def _k(props: str = "props"):

@@ -227,8 +227,8 @@ WX = ["r6", """wdays AS (SELECT DISTINCT event_type, date_trunc('day', date) AS
       + ", " + cal_parts("h.date") + " FROM whrs h LEFT JOIN r6 USING (event_type, date))"]
 
 
-def k3_sql(zero: bool) -> str:
-    ctes = ["r3"] + CAPM + [
+def k3_sql(zero: bool, method: str | None = None, locations: bool = False) -> str:
+    ctes = ["r3"] + (GL if locations else MERGED) + CAPM[len(MERGED):] + [
         f"g AS (SELECT gsp_id, {TS}, generation_mw, CAST(year({TS}) AS INTEGER) AS year, "
         f"CAST(month({TS}) AS INTEGER) AS month FROM r3)",
         "capg AS (SELECT gsp_id, year, month, arg_max(cumul_capacity_mwp, install_month) AS capacity_mwp "
@@ -239,12 +239,24 @@ def k3_sql(zero: bool) -> str:
         f"kreg AS (SELECT kgrid.gsp_id, kgrid.{TS}, ff.generation_mw, ff.capacity_mwp FROM kgrid "
         f"LEFT JOIN ff USING (gsp_id, {TS}))",
     ]
-    if zero:
+    method = method or ("zero" if zero else "interpolate")
+    if method == "none":
+        ctes.append("i2 AS (SELECT * FROM kreg)")
+    elif method == "zero":
         ctes.append(f"i2 AS (SELECT gsp_id, {TS}, coalesce(generation_mw, 0.0) AS generation_mw, "
                     f"coalesce(capacity_mwp, 0.0) AS capacity_mwp FROM kreg)")
     else:
         ctes += [fill_cte("i1", "kreg", ["gsp_id"], TS, "generation_mw", "linear"),
                  fill_cte("i2", "i1", ["gsp_id"], TS, "capacity_mwp", "linear")]
+    if locations:
+        # Location columns are constant per id, so carrying them forward onto new
+        # grid rows equals joining them on the id.
+        ctes.append('i3 AS (SELECT i2.*, g."GSPs", g.gsp_lat, g.gsp_lon, g.region_name, g.pes_id, g."GSP_region" '
+                    'FROM i2 LEFT JOIN glb g USING (gsp_id))')
+        return with_ctes(ctes, f"SELECT gsp_id, {TS}, round(generation_mw, 6) AS generation_mw, "
+                               f"round(capacity_mwp, 6) AS capacity_mwp, {cal_parts(TS)}, \"GSPs\", "
+                               "round(gsp_lat, 6) AS gsp_lat, round(gsp_lon, 6) AS gsp_lon, region_name, pes_id, "
+                               "\"GSP_region\" FROM i3")
     return with_ctes(ctes, f"SELECT gsp_id, {TS}, round(generation_mw, 6) AS generation_mw, "
                            f"round(capacity_mwp, 6) AS capacity_mwp, {cal_parts(TS)} FROM i2")
 
@@ -460,6 +472,17 @@ def oracle_sql() -> dict[str, str]:
     q["k3_zero_fill"] = k3_sql(zero=True)
     capg = ("capg AS (SELECT gsp_id, year, month, arg_max(cumul_capacity_mwp, install_month) AS capacity_mwp "
             "FROM capm GROUP BY ALL)")
+    q["k3_with_locations"] = k3_sql(zero=False, locations=True)
+    q["k3_no_fill"] = k3_sql(zero=False, method="none")
+    q["k13_quality_report"] = (
+        f"WITH k3 AS ({k3_sql(zero=False, method='none')})\n"
+        + "\nUNION ALL\n".join(
+            f"SELECT '{c}' AS column_name, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, "
+            f"sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) > 0 AS any_missing, "
+            "CAST(sum(CASE WHEN gsp_id IS NULL OR datetime_gmt IS NULL OR generation_mw IS NULL OR capacity_mwp IS NULL "
+            "THEN 1 ELSE 0 END) AS BIGINT) AS rows_with_missing, count(*) AS n_rows FROM k3"
+            for c in ["gsp_id", "datetime_gmt", "generation_mw", "capacity_mwp"]))
+    q["f7_time_extents"] = with_ctes(["r2"], f"SELECT gsp_id, min({TS}) AS first_ts, max({TS}) AS last_ts FROM r2 GROUP BY 1")
     q["d3_align_capacity"] = with_ctes(
         ["r3"] + CAPM + [capg, f"g AS (SELECT gsp_id, {TS}, generation_mw, {cal_parts(TS)} FROM r3)"],
         "SELECT g.*, round(c.capacity_mwp, 6) AS capacity_mwp FROM g LEFT JOIN capg c USING (gsp_id, year, month)")
