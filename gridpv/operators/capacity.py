@@ -55,17 +55,12 @@ def long_capacity(wide: DataFrame, cols: Sequence[str] | None = None, time_col:
     return out.filter(F.col(value).isNotNull()) if dropna else out
 
 
-def last_month(cells: DataFrame, time_col: str = M) -> DataFrame:
-    """The last month of the table (one row)."""
-    return cells.agg(F.max(time_col).alias("_last"))
-
-
 def latest_capacity(cells: DataFrame, gsp_locations: DataFrame, time_col: str = M, gsp_col: str = G,
                     value: str = V, out: str = "latest_capacity_mwp") -> DataFrame:
     """G9 + D6: each GSP's value in the table's last month (missing if it has none
     then), joined onto the location list."""
-    last = cells.groupBy().agg(F.max(time_col).alias(time_col))
-    snap = cells.join(last, time_col, "left_semi").select(gsp_col, F.col(value).alias(out))
+    last = cells.select(F.max(time_col)).scalar()
+    snap = cells.filter(F.col(time_col) == last).select(gsp_col, F.col(value).alias(out))
     return gsp_locations.join(snap, gsp_col, "left")
 
 
@@ -73,24 +68,19 @@ def national_capacity(cells: DataFrame, time_col: str = M, gsp_col: str = G, val
                       skip_first: bool = False) -> DataFrame:
     """F8 + F9: GSP count and GWp total of the last month (``/1000``, truncated).
 
-    ``skip_first`` reproduces the reference's figure, which leaves out the
-    alphabetically first GSP column.
+    One aggregate; the last month (and the first GSP name for ``skip_first``)
+    enter as scalar subqueries.  ``skip_first`` reproduces the reference's
+    figure, which leaves out the alphabetically first GSP column.
     """
-    last = cells.groupBy().agg(F.max(time_col).alias(time_col))
-    snap = cells.join(last, time_col, "left_semi")
+    last = cells.select(F.max(time_col)).scalar()
+    in_total = F.col(time_col) == last
     if skip_first:
-        first = cells.groupBy().agg(F.min(gsp_col).alias(gsp_col))
-        snap = snap.join(first, gsp_col, "left_anti")
-    total = snap.groupBy().agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_t"))
-    count = cells.groupBy().agg(F.countDistinct(gsp_col).alias("gsp_count"))
-    return _one_row(count, total)
-
-
-def _one_row(count: DataFrame, total: DataFrame) -> DataFrame:
-    # Both sides are single-row global aggregates; join them on a constant.
-    c = count.withColumn("_one", F.lit(1))
-    t = total.withColumn("_one", F.lit(1))
-    return c.join(t, "_one").select("gsp_count", (F.col("_t") / 1000).cast("long").alias("total_solar_capacity_gwp"))
+        in_total = in_total & (F.col(gsp_col) != cells.select(F.min(gsp_col)).scalar())
+    agg = cells.agg(
+        F.countDistinct(gsp_col).alias("gsp_count"),
+        F.coalesce(F.sum(F.when(in_total, F.col(value))), F.lit(0.0)).alias("_t"),
+    )
+    return agg.select("gsp_count", (F.col("_t") / 1000).cast("long").alias("total_solar_capacity_gwp"))
 
 
 def top_gsps(cells: DataFrame, n: int = 50, start: str | None = None, time_col: str = M,
@@ -98,8 +88,7 @@ def top_gsps(cells: DataFrame, n: int = 50, start: str | None = None, time_col:
     """H3: the ``n`` GSPs with the largest value in the last month (since ``start``);
     ties by name.  ``orderBy().limit()`` is a per-partition top-k plus one merge."""
     x = cells if start is None else cells.filter(F.col(time_col) >= F.lit(start).cast("date"))
-    last = x.groupBy().agg(F.max(time_col).alias(time_col))
-    snap = x.join(last, time_col, "left_semi")
+    snap = x.filter(F.col(time_col) == x.select(F.max(time_col)).scalar())
     return snap.orderBy(F.col(value).desc_nulls_last(), F.col(gsp_col)).limit(n).select(gsp_col, value)
 
 

@@ -67,7 +67,9 @@ def scale(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), fit_on:
     if keys:
         x = df.join(stats, keys, "left")
     else:
-        x = df.withColumn("_one", F.lit(1)).join(stats.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # One row of statistics, as StandardScaler.fit returns to the driver.
+        row = stats.first().asDict()
+        x = df.withColumns({k: F.lit(v).cast("double") for k, v in row.items()})
     new = {c: F.try_divide(F.col(c) - F.col(f"_mu_{c}"), F.nullif(F.col(f"_sd_{c}"), F.lit(0.0))) for c in cols}
     return x.withColumns(new).drop(*[f"_{s}_{c}" for c in cols for s in ("mu", "sd")])
 
