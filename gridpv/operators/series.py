@@ -327,6 +327,38 @@ def regularize(
     return r.select(*cols)
 
 
+def merge_on_time(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
+                  chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
+    """Left join of two keyed time tables on ``(keys, ts)`` through one shuffle.
+
+    Both sides are unioned and co-partitioned by ``(keys, chunk)``, then grouped by
+    timestamp, so the result already has the partitioning the ordered operators
+    of this module need (a sort-merge join would shuffle by ``(keys, ts)`` and
+    the next window again by ``(keys, chunk)``).  Each side must hold at most
+    one row per key and timestamp; a repeat fails the job, since a join would
+    multiply rows.
+    """
+    keys = list(keys)
+    lx, rx = with_chunk(left, ts, chunk_us), with_chunk(right, ts, chunk_us)
+    fixed = set(keys) | {ts, CHUNK}
+    lcols = [c for c in lx.columns if c not in fixed]
+    rcols = [c for c in rx.columns if c not in fixed and c not in lcols]
+    lt = lx.select(F.struct(*lcols).alias("_l")).schema["_l"].dataType
+    rt = rx.select(F.struct(*rcols).alias("_r")).schema["_r"].dataType
+    lpart = lx.select(*keys, ts, CHUNK, F.struct(*lcols).alias("_l"), F.lit(None).cast(rt).alias("_r"))
+    rpart = rx.select(*keys, ts, CHUNK, F.lit(None).cast(lt).alias("_l"), F.struct(*rcols).alias("_r"))
+    u = lpart.unionByName(rpart).repartition(*keys, CHUNK)
+    g = u.groupBy(*keys, CHUNK, ts).agg(
+        F.count("_l").alias("_nl"), F.max("_l").alias("_l"), F.count("_r").alias("_nr"), F.max("_r").alias("_r")
+    )
+    dup = (F.col("_nl") > 1) | (F.col("_nr") > 1)
+    g = g.filter(F.col("_nl") > 0).withColumn(
+        "_l", F.when(dup, F.raise_error(F.lit("repeated timestamp within a key"))).otherwise(F.col("_l"))
+    )
+    return g.select(*keys, ts, CHUNK, *[F.col("_l")[c].alias(c) for c in lcols],
+                    *[F.col("_r")[c].alias(c) for c in rcols])
+
+
 def missing_slots(df: DataFrame, keys: Sequence[str], ts: str, step_us: int = HALF_HOUR_US,
                   lo: str | None = None, hi: str | None = None) -> DataFrame:
     """Grid timestamps with no row (grid minus present)."""

@@ -112,7 +112,8 @@ def modelling_table(weather: DataFrame, gen_cap: DataFrame, keys: Sequence[str],
     """K5: hourly weather rows with the hour mean of generation and capacity (F1,
     D5), remaining gaps filled linearly by position (G2)."""
     keys = list(keys)
-    hourly = series.to_hourly(gen_cap.drop(CHUNK), keys, ts, ["generation_mw", "capacity_mwp"], out_ts=date)
-    x = weather.join(hourly, keys + [date], "left")
+    hourly = series.to_hourly(gen_cap, keys, ts, ["generation_mw", "capacity_mwp"], out_ts=date)
+    x = series.merge_on_time(weather.drop(CHUNK) if CHUNK in weather.columns else weather,
+                             hourly.drop(CHUNK), keys, date)
     x = series.interpolate_linear(x, keys, date, ["generation_mw", "capacity_mwp"])
     return x.drop(CHUNK)

@@ -41,3 +41,20 @@ def test_write_and_read_generation_roundtrip(spark):
     assert back.count() == exp.count()
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "datetime_gmt" in plan.split("PushedFilters")[1][:300]
+
+
+def test_weather_payload_roundtrip_and_explode(spark):
+    from gridpv.sources.files import read_weather_payload
+    from gridpv.sources.testdata import r7_payload
+    from gridpv.sources.weather import explode_weather
+
+    d = tempfile.mkdtemp(prefix="gridpv-wx-")
+    p = r7_payload(spark, "/root/testdata/sf0.001").withColumnRenamed("event_type", "gsp_name")
+    from pyspark.sql import functions as F
+
+    p = p.withColumn("gsp_id", F.hash("gsp_name")).drop("gsp_name")
+    write_table(p, os.path.join(d, "payload"))
+    back = read_weather_payload(spark, os.path.join(d, "payload"))
+    rows = explode_weather(back, ["gsp_id"])
+    assert rows.count() == 24 * p.count()
+    assert set(rows.columns) >= {"gsp_id", "date", "year", "month", "day", "hour", "shortwave_radiation"}

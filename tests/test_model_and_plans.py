@@ -103,3 +103,17 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.columns == ["event_type", "date", "generation_mw"]
     assert df.count() > 0
+
+
+def test_evaluate_compares_presets(spark):
+    df = _model_fixture(spark)
+    x = model.materialize(model.split(df, ["gsp_id"], "date"))
+    feats = model.feature_columns(x, exclude=["date", "split", "gsp_id"])
+    train = x.filter("split = 'train'")
+    scored = {p: model.predict(model.fit(train, feats, preset=p, select=False), x)
+              for p in ("extra_trees_tuned", "forest_tuned")}
+    table = model.evaluate(scored)
+    assert {(r["model"], r["split"]) for r in table.collect()} == {
+        (p, s) for p in scored for s in ("train", "test")}
+    pts = model.residual_points(scored["forest_tuned"])
+    assert pts.columns == ["split", "generation_mw", "pred_generation_mw"] and pts.count() == df.count()
