@@ -120,6 +120,18 @@ PRESETS = {
                               featureSubsetStrategy="sqrt", seed=42),
     "gradient_boosting": dict(kind="gbt", maxIter=30, stepSize=0.15, maxDepth=2, minInstancesPerNode=5,
                               subsamplingRate=0.9, featureSubsetStrategy="sqrt", seed=42),
+    "gradient_boosting_default": dict(kind="gbt", maxIter=100, stepSize=0.1, maxDepth=3, seed=42),
+}
+
+# The estimator each reference pipeline uses for feature selection.
+SELECTORS = {
+    "boosted_tuned": "selector",
+    "boosted_default": "boosted_default",
+    "forest_default": "forest_default",
+    "forest_tuned": "forest_default",
+    "extra_trees_default": "extra_trees_default",
+    "extra_trees_tuned": "extra_trees_default",
+    "gradient_boosting": "gradient_boosting_default",
 }
 
 
@@ -168,16 +180,20 @@ def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
 
 def fit(train: DataFrame, features: Sequence[str], preset: str = "boosted_tuned", select: bool = True,
         label: str = TARGET) -> PipelineModel:
-    """Assemble, optionally select features by importance, fit the preset.
+    """Assemble, optionally select features by importance (with the
+    selector the reference pairs with this preset), fit the preset.
 
-    Training data should be materialised first (see :func:`materialize`).
+    The reference's forest pipelines also standard-scale first; tree splits
+    (and Spark's quantile binning) do not change under a per-feature monotone
+    transform, so that step is left out.  Training data should be materialised
+    first (see :func:`materialize`).
     """
     features = list(features)
     train = complete_rows(train, features + [label])
     asm = VectorAssembler(inputCols=features, outputCol="_all_features", handleInvalid="keep")
     stages = [asm]
     if select:
-        keep = select_features(train, features, label=label)
+        keep = select_features(train, features, preset=SELECTORS.get(preset, "selector"), label=label)
         idx = [features.index(f) for f in keep]
         stages.append(VectorSlicer(inputCol="_all_features", outputCol="features", indices=idx))
     else:

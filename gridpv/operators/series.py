@@ -36,7 +36,13 @@ _C = Window.currentRow
 
 
 def with_chunk(df: DataFrame, ts: str, chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
-    """Add the time bucket used to split keys into bounded partitions."""
+    """Add the time bucket used to split keys into bounded partitions.
+
+    Widths are whole hours, so an hour never straddles two chunks (the hourly
+    mean groups by the chunk to keep the partitioning).
+    """
+    if chunk_us <= 0 or chunk_us % HOUR_US:
+        raise ValueError("chunk width must be a positive number of whole hours")
     if CHUNK in df.columns:
         return df
     return df.withColumn(CHUNK, floor_div(epoch_us(F.col(ts)), chunk_us))
@@ -175,11 +181,10 @@ def fill_series(
         new[c] = F.coalesce(F.col(c), F.col(f"{c}_prev")["v"])
     for c in forward_back_fill:
         new[c] = F.coalesce(F.col(c), F.col(f"{c}_prev")["v"], F.col(f"{c}_next")["v"])
-    x = x.withColumns(new)
-    drop = [f"{c}_{d}" for c in specs for d in ("prev", "next")]
+    drop = {f"{c}_{d}" for c in specs for d in ("prev", "next")}
     if not keep_index:
-        drop += ["_rn", "_cnt"]
-    return x.drop(*drop)
+        drop |= {"_rn", "_cnt"}
+    return x.select(*[new[c].alias(c) if c in new else F.col(c) for c in x.columns if c not in drop])
 
 
 def _fill_two_sided(v: Column, p: Column, q: Column, rn: Column, limit: int | None, *,
