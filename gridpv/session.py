@@ -25,18 +25,19 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder named by ``spark.checkpoint.dir``.
+    """The reliable checkpoint folder: ``spark.checkpoint.dir`` of the session.
 
-    On a cluster this must be set by the deployment (a shared file system).
-    Only a local-mode session without the setting gets a fresh folder of its
-    own, which is what tests and local benches use.
+    On a cluster the deployment names a shared folder there (Spark then also
+    points the context's checkpoint directory at it).  Only a local-mode
+    session without the setting gets a fresh folder of its own, as tests and
+    local benches need; any other session without it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this job")
         path = tempfile.mkdtemp(prefix="gridpv-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -21,6 +20,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gridpv-test-ckpt-"))
+    from gridpv.session import checkpoint_dir
+
+    checkpoint_dir(s)  # the session's setting, or a local folder when unset
     yield s
