@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "EPOCH",
+    "quote",
+    "epoch_us_sql",
     "col_of",
     "norm_key",
     "coerce_int",
@@ -70,14 +72,30 @@ def to_utc_ntz(c: str | Column, from_tz: str | None = None) -> Column:
     return F.convert_timezone(F.lit(from_tz), F.lit("UTC"), c)
 
 
+def quote(name: str) -> str:
+    """A column name as a SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def epoch_us_sql(name: str) -> str:
+    """SQL text of :func:`epoch_us` for a named column."""
+    t = f"CAST({quote(name)} AS TIMESTAMP_NTZ)"
+    return (f"(unix_date(CAST({t} AS DATE)) * 86400000000L + hour({t}) * 3600000000L"
+            f" + minute({t}) * 60000000L + CAST(extract(SECOND FROM {t}) * 1000000 AS BIGINT))")
+
+
 def epoch_us(ts: str | Column) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (bigint).
 
     Built from the date and the time-of-day parts, which do not involve the
     session time zone (``timestamp_diff`` would cast NTZ to the session zone,
-    and a zone with daylight saving would shift the arithmetic).
+    and a zone with daylight saving would shift the arithmetic).  For a named
+    column the expression is one SQL snippet (one call into the JVM instead of
+    about twenty).
     """
-    t = col_of(ts).cast("timestamp_ntz")
+    if isinstance(ts, str):
+        return F.expr(epoch_us_sql(ts))
+    t = ts.cast("timestamp_ntz")
     days = F.unix_date(t.cast("date")).cast("long")
     sec = F.extract(F.lit("SECOND"), t)  # decimal(8,6): seconds with fraction
     return (

@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpv.functions.columns import EPOCH, col_of, epoch_us, floor_div, trunc_ntz
+from gridpv.functions.columns import EPOCH, col_of, epoch_us, epoch_us_sql, floor_div, trunc_ntz
 
 SECOND_US = 1_000_000
 MINUTE_US = 60 * SECOND_US
@@ -45,7 +45,9 @@ def with_chunk(df: DataFrame, ts: str, chunk_us: int = DEFAULT_CHUNK_US) -> Data
         raise ValueError("chunk width must be a positive number of whole hours")
     if CHUNK in df.columns:
         return df
-    return df.withColumn(CHUNK, floor_div(epoch_us(F.col(ts)), chunk_us))
+    e = epoch_us_sql(ts)
+    # (e - pmod(e, w)) is a multiple of w, so integral division is exact floor division.
+    return df.withColumn(CHUNK, F.expr(f"({e} - pmod({e}, {int(chunk_us)}L)) div {int(chunk_us)}L"))
 
 
 def _order_cols(ts: str, tiebreak: Sequence[str]) -> list[Column]:
@@ -165,7 +167,7 @@ def fill_series(
     """
     specs: dict[str, tuple[Column, dict[str, Column]]] = {}
     for c in list(time_interpolate):
-        specs[c] = (F.col(c).isNotNull(), {"v": F.col(c), "t": epoch_us(F.col(ts))})
+        specs[c] = (F.col(c).isNotNull(), {"v": F.col(c), "t": epoch_us(ts)})
     for c in list(linear_interpolate) + list(forward_fill) + list(forward_back_fill):
         specs.setdefault(c, (F.col(c).isNotNull(), {"v": F.col(c)}))
     x = neighbours(df, keys, ts, specs, tiebreak, chunk_us)
@@ -173,7 +175,7 @@ def fill_series(
     new = {}
     for c in time_interpolate:
         new[c] = _fill_two_sided(F.col(c), F.col(f"{c}_prev"), F.col(f"{c}_next"), rn, limit,
-                                 x_i=epoch_us(F.col(ts)), by_time=True)
+                                 x_i=epoch_us(ts), by_time=True)
     for c in linear_interpolate:
         new[c] = _fill_two_sided(F.col(c), F.col(f"{c}_prev"), F.col(f"{c}_next"), rn, limit,
                                  x_i=rn, by_time=False)
