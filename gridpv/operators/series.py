@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpv.functions.columns import EPOCH, col_of, epoch_us, epoch_us_sql, floor_div, trunc_ntz
+from gridpv.functions.columns import EPOCH, col_of, epoch_us, floor_div, quote, trunc_ntz
 
 SECOND_US = 1_000_000
 MINUTE_US = 60 * SECOND_US
@@ -45,9 +45,13 @@ def with_chunk(df: DataFrame, ts: str, chunk_us: int = DEFAULT_CHUNK_US) -> Data
         raise ValueError("chunk width must be a positive number of whole hours")
     if CHUNK in df.columns:
         return df
-    e = epoch_us_sql(ts)
-    # (e - pmod(e, w)) is a multiple of w, so integral division is exact floor division.
-    return df.withColumn(CHUNK, F.expr(f"({e} - pmod({e}, {int(chunk_us)}L)) div {int(chunk_us)}L"))
+    # Hours since the epoch from the date and the hour: integer-only and free of
+    # the session time zone.  (h - pmod(h, n)) is a multiple of n, so `div` is
+    # exact floor division.
+    t = f"CAST({quote(ts)} AS TIMESTAMP_NTZ)"
+    h = f"(unix_date(CAST({t} AS DATE)) * 24L + hour({t}))"
+    n = chunk_us // HOUR_US
+    return df.withColumn(CHUNK, F.expr(f"({h} - pmod({h}, {n}L)) div {n}L"))
 
 
 def _order_cols(ts: str, tiebreak: Sequence[str]) -> list[Column]:
