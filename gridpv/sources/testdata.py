@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridpv.functions.columns import epoch_us
 from gridpv.schemas import WEATHER_VARIABLES
 
 
@@ -114,21 +113,20 @@ def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weather_aggs() -> list:
-    k = _k()
-    v = F.col("value")
+    k = "CAST(get_json_object(props, '$.k') AS DOUBLE)"
     exprs = {
-        "shortwave_radiation": F.avg(k),
-        "direct_radiation": F.min(k),
-        "diffuse_radiation": F.max(k) - F.min(k),
-        "direct_normal_irradiance": F.avg(v),
-        "global_tilted_irradiance": F.sum(k),
-        "shortwave_radiation_instant": F.max(v),
-        "direct_radiation_instant": F.min(v),
-        "diffuse_radiation_instant": F.count(F.lit(1)).cast("double"),
-        "direct_normal_irradiance_instant": F.sum(v),
-        "global_tilted_irradiance_instant": F.max(k),
+        "shortwave_radiation": f"avg({k})",
+        "direct_radiation": f"min({k})",
+        "diffuse_radiation": f"max({k}) - min({k})",
+        "direct_normal_irradiance": "avg(value)",
+        "global_tilted_irradiance": f"sum({k})",
+        "shortwave_radiation_instant": "max(value)",
+        "direct_radiation_instant": "min(value)",
+        "diffuse_radiation_instant": "CAST(count(1) AS DOUBLE)",
+        "direct_normal_irradiance_instant": "sum(value)",
+        "global_tilted_irradiance_instant": f"max({k})",
     }
-    return [F.round(exprs[name], 6).alias(name) for name in WEATHER_VARIABLES]
+    return [F.expr(f"round({exprs[name]}, 6)").alias(name) for name in WEATHER_VARIABLES]
 
 
 def r6_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,26 +141,20 @@ def r7_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     Hours without weather rows hold NULL in the arrays.
     """
     w = r6_weather(spark, sf_dir)
-    day = F.col("date").cast("date").cast("timestamp_ntz")
-    h = F.hour("date")
-    g = w.withColumn("_day", day).groupBy("event_type", "_day").agg(
-        *[F.map_from_entries(F.collect_list(F.struct(h, F.col(v).cast("float")))).alias(v) for v in WEATHER_VARIABLES]
+    g = w.withColumn("_day", F.col("date").cast("date").cast("timestamp_ntz")).groupBy("event_type", "_day").agg(
+        *[F.expr(f"map_from_entries(collect_list(struct(hour(date), CAST({v} AS FLOAT))))").alias(v)
+          for v in WEATHER_VARIABLES]
     )
-    start = (epoch_us("_day") / 1_000_000).cast("long")
+    start = F.expr("unix_date(CAST(_day AS DATE)) * 86400L")
     return g.select(
         "event_type",
         start.alias("time"),
         (start + F.lit(86_400)).alias("time_end"),
         F.lit(3600).alias("interval"),
-        *[_hours_array(v).alias(v) for v in WEATHER_VARIABLES],
+        *[F.expr(f"transform(sequence(0, 23), h -> try_element_at({v}, h))").alias(v) for v in WEATHER_VARIABLES],
     )
 
 
-def _hours_array(v: str):
-    """24 slots of hour -> value from the map column ``v`` (NULL where absent)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.try_element_at(F.col(v), h))
-
-
 def r8_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R8 scored table: key ``event_type``, actual ``value``, predicted ``props.k``."""
     e = table(spark, sf_dir, "events")

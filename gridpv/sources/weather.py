@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpv.functions.columns import day_string, from_epoch_seconds, with_calendar
+from gridpv.functions.columns import day_string, with_calendar
 from gridpv.schemas import WEATHER_VARIABLES
 
 
@@ -16,17 +16,21 @@ def explode_weather(payload: DataFrame, keys: Sequence[str], variables: Sequence
     """One row per grid time ``time + k*interval < time_end``; each array is cut
     to the grid length (positions past an array's end are NULL); float values
     become double; calendar parts added (B9)."""
+    from gridpv.functions.columns import quote
+
     keys = list(keys)
-    step = F.col("interval").cast("long")
-    n = F.floor((F.col("time_end") - F.col("time") + step - F.lit(1)) / step).cast("int")
+    # Grid length: ceil((time_end - time) / interval); one SQL text per column
+    # keeps the plan-building calls few.
+    n = "CAST((time_end - time + CAST(`interval` AS BIGINT) - 1) div CAST(`interval` AS BIGINT) AS INT)"
     x = payload.select(
         *keys, "time", "interval", *variables,
-        F.explode(F.when(n > 0, F.sequence(F.lit(0), n - F.lit(1)))).alias("_k"),
+        F.expr(f"explode(CASE WHEN {n} > 0 THEN sequence(0, {n} - 1) END)").alias("_k"),
     )
+    t = "timestampadd(SECOND, time + CAST(_k AS BIGINT) * CAST(`interval` AS BIGINT), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
     out = x.select(
         *keys,
-        from_epoch_seconds(F.col("time") + F.col("_k").cast("long") * step).alias(ts),
-        *[F.try_element_at(F.col(v), F.col("_k") + F.lit(1)).cast("double").alias(v) for v in variables],
+        F.expr(t).alias(ts),
+        *[F.expr(f"CAST(try_element_at({quote(v)}, _k + 1) AS DOUBLE)").alias(v) for v in variables],
     )
     return with_calendar(out, ts)
 
