@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridpv.functions.columns import round_to
 from gridpv.operators import capacity as cap
 from gridpv.operators import clean, model, quality, report, series
 from gridpv.operators.series import CHUNK, DAY_US, HALF_HOUR_US
@@ -42,7 +43,7 @@ def _round(df: DataFrame, places: int = 6, keep: tuple[str, ...] = EXACT) -> Dat
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in keep:
-            cols.append(F.round(F.col(f.name), places).alias(f.name))
+            cols.append(round_to(f.name, places).alias(f.name))
         elif isinstance(f.dataType, T.DateType):
             # Dates are reported as midnight timestamps so both engines hand over the same type.
             cols.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))

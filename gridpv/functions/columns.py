@@ -182,4 +182,12 @@ def with_error(df: DataFrame, actual: str = "generation_mw", pred: str = "pred_g
 
 
 def round_to(c: str | Column, places: int = 6) -> Column:
-    return F.round(col_of(c), places)
+    """Round to ``places`` decimals as ``round(x * 10^p) / 10^p``.
+
+    The scaled value is rounded half away from zero and divided back, the same
+    IEEE steps in every engine, so ties (e.g. x.xxxxxx5 from halving) come out
+    the same everywhere; ``round(x, p)`` resolves such ties from the decimal
+    text in one engine and from the binary value in another.
+    """
+    scale = float(10 ** places)
+    return F.round(col_of(c) * F.lit(scale)) / F.lit(scale)

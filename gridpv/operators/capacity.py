@@ -23,7 +23,9 @@ def _present(df: DataFrame, value: str = V) -> DataFrame:
 
 def month_values(merged: DataFrame, time_col: str = M, gsp_col: str = G, value: str = V,
                  order: Sequence[str] = ()) -> DataFrame:
-    """Long form of the pivot cells: first non-missing value per (month, GSP)."""
+    """Long form of the pivot cells: per (month, GSP) the first non-missing value in
+    ``order``; without an order, the smallest one (capacity files hold one row
+    per month and GSP, so both agree there)."""
     p = _present(merged, value)
     if order:
         ordv = F.struct(*[F.col(o) for o in order])
@@ -40,8 +42,8 @@ def pivot_values(merged: DataFrame, gsp_col: str = G, value: str = V) -> list[st
 
 def wide_capacity(merged: DataFrame, time_col: str = M, gsp_col: str = G, value: str = V,
                   order: Sequence[str] = (), values: list[str] | None = None) -> DataFrame:
-    """Month x GSP table of the first non-missing value; GSPs without any value
-    have no column; rows are months."""
+    """Month x GSP table of the first non-missing value (see
+    :func:`month_values`); GSPs without any value have no column; rows are months."""
     cells = month_values(merged, time_col, gsp_col, value, order)
     vals = values if values is not None else pivot_values(merged, gsp_col, value)
     return cells.groupBy(time_col).pivot(gsp_col, vals).agg(F.first(value))

@@ -95,12 +95,14 @@ def regression_metrics(df: DataFrame, actual: str = TARGET, pred: str = PRED, by
         F.avg(e * e).alias("_mse"),
     )
     r2 = F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_var") * F.col("n"))
+    from gridpv.functions.columns import round_to
+
     return agg.select(
         *by, "n",
-        F.round(r2, places).alias("r2"),
-        F.round("_mae", places).alias("mae"),
-        F.round("_mse", places).alias("mse"),
-        F.round(F.sqrt("_mse"), places).alias("rmse"),
+        round_to(r2, places).alias("r2"),
+        round_to("_mae", places).alias("mae"),
+        round_to("_mse", places).alias("mse"),
+        round_to(F.sqrt("_mse"), places).alias("rmse"),
     )
 
 

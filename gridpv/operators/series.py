@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpv.functions.columns import EPOCH, col_of, epoch_us, floor_div, quote, trunc_ntz
+from gridpv.functions.columns import EPOCH, epoch_us, epoch_us_sql, floor_div, quote, trunc_ntz
 
 SECOND_US = 1_000_000
 MINUTE_US = 60 * SECOND_US
@@ -62,76 +62,80 @@ def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
-    specs: Mapping[str, tuple[Column, Mapping[str, Column]]],
+    specs: Mapping[str, tuple[str, Mapping[str, str]]],
     tiebreak: Sequence[str] = (),
     chunk_us: int = DEFAULT_CHUNK_US,
 ) -> DataFrame:
     """Row index and nearest present rows, per key, in ``(ts, *tiebreak)`` order.
 
     Adds ``_rn`` (1-based row number within the key), ``_cnt`` (rows in the
-    key) and, for every ``name -> (present, fields)`` of ``specs``, two struct
-    columns ``{name}_prev`` / ``{name}_next``: the nearest row at or before /
-    at or after the current one where ``present`` holds, with fields ``rl``
-    (its ``_rn``) and ``fields`` evaluated on that row.  NULL when none exists.
+    key) and, for every ``name -> (present, fields)`` of ``specs`` (SQL text),
+    two struct columns ``{name}_prev`` / ``{name}_next``: the nearest row at or
+    before / at or after the current one where ``present`` holds, with fields
+    ``rl`` (its ``_rn``) and ``fields`` evaluated on that row.  NULL when none
+    exists.  Expressions are SQL text so that building the plan takes few calls
+    into the JVM.
     """
     keys = list(keys)
+    x = with_chunk(df, ts, chunk_us)
+    part = ", ".join(quote(c) for c in keys + [CHUNK])
+    kpart = ", ".join(quote(c) for c in keys)
+    order = [ts, *tiebreak]
+    asc = ", ".join(f"{quote(o)} ASC NULLS FIRST" for o in order)
+    desc = ", ".join(f"{quote(o)} DESC NULLS LAST" for o in order)
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    w_fwd = f"(PARTITION BY {part} ORDER BY {asc} {run})"
+    w_bwd = f"(PARTITION BY {part} ORDER BY {desc} {run})"
+    w_k = f"(PARTITION BY {kpart} ORDER BY {quote(CHUNK)} ASC {before})"
+    w_kd = f"(PARTITION BY {kpart} ORDER BY {quote(CHUNK)} DESC {before})"
+
     # Rows without a key or a time have no place in a series (pandas drops
     # missing group keys).  Filtering here also keeps both uses of ``x`` (rows
     # and chunk summary) identical, so they share one shuffle.
-    x = with_chunk(df, ts, chunk_us)
-    notnull = F.col(CHUNK).isNotNull()
-    for k in keys:
-        notnull = notnull & F.col(k).isNotNull()
-    part = keys + [CHUNK]
-    order = _order_cols(ts, tiebreak)
-    w_fwd = Window.partitionBy(*part).orderBy(*order)
-    w_bwd = Window.partitionBy(*part).orderBy(*[o.desc() for o in order]).rowsBetween(_U, _C)
-
-    # Few DataFrame steps on purpose: each step re-analyses the whole plan.
-    rl = F.row_number().over(w_fwd)
-    pays = [
-        F.when(present, F.struct(rl.alias("rl"), *[col_of(c).alias(k) for k, c in fields.items()])).alias(f"_{n}_pay")
-        for n, (present, fields) in specs.items()
-    ]
-    x = x.filter(notnull).select("*", rl.alias("_rl"), *pays)
+    notnull = " AND ".join(f"{quote(c)} IS NOT NULL" for c in keys + [CHUNK])
+    x = x.filter(F.expr(notnull)).select(
+        "*", F.expr(f"row_number() OVER (PARTITION BY {part} ORDER BY {asc})").alias("_rl"))
+
+    def struct(rl: str, src: str | None, fields: Mapping[str, str]) -> str:
+        vals = [f"'{k}', {v if src is None else f'{src}.{k}'}" for k, v in fields.items()]
+        return f"named_struct('rl', {rl}, {', '.join(vals)})" if vals else f"named_struct('rl', {rl})"
+
+    def glob(c: str, fields: Mapping[str, str]) -> str:
+        return f"CASE WHEN {c} IS NOT NULL THEN {struct(f'{c}.rl + _off', c, fields)} END"
+
+    x = x.select("*", *[F.expr(f"CASE WHEN {present} THEN {struct('_rl', None, fields)} END").alias(f"_{n}_pay")
+                        for n, (present, fields) in specs.items()])
     x = x.select(
         "*",
-        *[F.last(f"_{n}_pay", ignorenulls=True).over(w_fwd.rowsBetween(_U, _C)).alias(f"_{n}_pl") for n in specs],
-        *[F.last(f"_{n}_pay", ignorenulls=True).over(w_bwd).alias(f"_{n}_nl") for n in specs],
+        *[F.expr(f"last(_{n}_pay, true) OVER {w_fwd}").alias(f"_{n}_pl") for n in specs],
+        *[F.expr(f"last(_{n}_pay, true) OVER {w_bwd}").alias(f"_{n}_nl") for n in specs],
     )
 
     # One row per (key, chunk): row count, first and last present payloads.
     # rl is the first struct field and unique, so max/min pick last/first.
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = [F.expr("count(1)").alias("_n")]
     for n in specs:
-        aggs += [F.max(f"_{n}_pay").alias(f"_{n}_max"), F.min(f"_{n}_pay").alias(f"_{n}_min")]
-    s = x.groupBy(*part).agg(*aggs)
-    w_k = Window.partitionBy(*keys).orderBy(CHUNK)
-    w_kd = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc())
+        aggs += [F.expr(f"max(_{n}_pay)").alias(f"_{n}_max"), F.expr(f"min(_{n}_pay)").alias(f"_{n}_min")]
+    s = x.groupBy(*keys, CHUNK).agg(*aggs)
     s = s.select(
-        *part, *[f"_{n}_{m}" for n in specs for m in ("max", "min")],
-        F.coalesce(F.sum("_n").over(w_k.rowsBetween(_U, -1)), F.lit(0).cast("long")).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_cnt"),
+        *keys, CHUNK, *[f"_{n}_{m}" for n in specs for m in ("max", "min")],
+        F.expr(f"coalesce(sum(_n) OVER {w_k}, 0L)").alias("_off"),
+        F.expr(f"sum(_n) OVER (PARTITION BY {kpart})").alias("_cnt"),
     )
-
-    def glob(c: Column) -> Column:
-        return F.when(c.isNotNull(), c.withField("rl", c["rl"] + F.col("_off")))
-
     s = s.select(
-        *part, "_off", "_cnt",
-        *[F.last(glob(F.col(f"_{n}_max")), ignorenulls=True).over(w_k.rowsBetween(_U, -1)).alias(f"_{n}_pc")
-          for n in specs],
-        *[F.last(glob(F.col(f"_{n}_min")), ignorenulls=True).over(w_kd.rowsBetween(_U, -1)).alias(f"_{n}_nc")
-          for n in specs],
+        *keys, CHUNK, "_off", "_cnt",
+        *[F.expr(f"last({glob(f'_{n}_max', f)}, true) OVER {w_k}").alias(f"_{n}_pc") for n, (_, f) in specs.items()],
+        *[F.expr(f"last({glob(f'_{n}_min', f)}, true) OVER {w_kd}").alias(f"_{n}_nc") for n, (_, f) in specs.items()],
     )
 
-    out = x.join(s, part, "inner")
+    out = x.join(s, keys + [CHUNK], "inner")
     internal = {"_rl", "_off"} | {f"_{n}_{d}" for n in specs for d in ("pay", "pl", "nl", "pc", "nc")}
     keep = [c for c in x.columns if c not in internal] + ["_cnt"]
-    res = [(F.col("_rl") + F.col("_off")).alias("_rn")]
-    for n in specs:
-        for local, carried, outname in (("pl", "pc", "prev"), ("nl", "nc", "next")):
-            res.append(F.coalesce(glob(F.col(f"_{n}_{local}")), F.col(f"_{n}_{carried}")).alias(f"{n}_{outname}"))
+    res = [F.expr("_rl + _off").alias("_rn")]
+    for n, (_, f) in specs.items():
+        res.append(F.expr(f"coalesce({glob(f'_{n}_pl', f)}, _{n}_pc)").alias(f"{n}_prev"))
+        res.append(F.expr(f"coalesce({glob(f'_{n}_nl', f)}, _{n}_nc)").alias(f"{n}_next"))
     return out.select(*keep, *res)
 
 
@@ -141,11 +145,6 @@ def row_index(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[st
     return neighbours(df, keys, ts, {}, tiebreak, chunk_us)
 
 
-def _interp(p: Column, q: Column, x_i: Column, x_p: Column, x_q: Column) -> Column:
-    """``v_p + (v_q - v_p) * (x_i - x_p) / (x_q - x_p)``."""
-    return p["v"] + F.try_divide((q["v"] - p["v"]) * (x_i - x_p), x_q - x_p)
-
-
 def fill_series(
     df: DataFrame,
     keys: Sequence[str],
@@ -169,48 +168,40 @@ def fill_series(
       value; ``limit`` applies the same way when given.
     * ``forward_fill`` (G3), ``forward_back_fill`` (G4).
     """
-    specs: dict[str, tuple[Column, dict[str, Column]]] = {}
+    specs: dict[str, tuple[str, dict[str, str]]] = {}
     for c in list(time_interpolate):
-        specs[c] = (F.col(c).isNotNull(), {"v": F.col(c), "t": epoch_us(ts)})
+        specs[c] = (f"{quote(c)} IS NOT NULL", {"v": quote(c), "t": epoch_us_sql(ts)})
     for c in list(linear_interpolate) + list(forward_fill) + list(forward_back_fill):
-        specs.setdefault(c, (F.col(c).isNotNull(), {"v": F.col(c)}))
+        specs.setdefault(c, (f"{quote(c)} IS NOT NULL", {"v": quote(c)}))
     x = neighbours(df, keys, ts, specs, tiebreak, chunk_us)
-    rn = F.col("_rn")
     new = {}
     for c in time_interpolate:
-        new[c] = _fill_two_sided(F.col(c), F.col(f"{c}_prev"), F.col(f"{c}_next"), rn, limit,
-                                 x_i=epoch_us(ts), by_time=True)
+        new[c] = _fill_two_sided_sql(c, limit, x_i=epoch_us_sql(ts), field="t")
     for c in linear_interpolate:
-        new[c] = _fill_two_sided(F.col(c), F.col(f"{c}_prev"), F.col(f"{c}_next"), rn, limit,
-                                 x_i=rn, by_time=False)
+        new[c] = _fill_two_sided_sql(c, limit, x_i="_rn", field="rl")
     for c in forward_fill:
-        new[c] = F.coalesce(F.col(c), F.col(f"{c}_prev")["v"])
+        new[c] = f"coalesce({quote(c)}, {quote(c + '_prev')}.v)"
     for c in forward_back_fill:
-        new[c] = F.coalesce(F.col(c), F.col(f"{c}_prev")["v"], F.col(f"{c}_next")["v"])
+        new[c] = f"coalesce({quote(c)}, {quote(c + '_prev')}.v, {quote(c + '_next')}.v)"
     drop = {f"{c}_{d}" for c in specs for d in ("prev", "next")}
     if not keep_index:
         drop |= {"_rn", "_cnt"}
-    return x.select(*[new[c].alias(c) if c in new else F.col(c) for c in x.columns if c not in drop])
+    return x.select(*[F.expr(new[c]).alias(c) if c in new else F.col(c) for c in x.columns if c not in drop])
 
 
-def _fill_two_sided(v: Column, p: Column, q: Column, rn: Column, limit: int | None, *,
-                    x_i: Column, by_time: bool) -> Column:
-    has_p, has_q = p.isNotNull(), q.isNotNull()
+def _fill_two_sided_sql(c: str, limit: int | None, *, x_i: str, field: str) -> str:
+    """The fill of column ``c`` from its ``_prev``/``_next`` neighbours (SQL text):
+    ``v_p + (v_q - v_p) * (x_i - x_p) / (x_q - x_p)`` inside the limit, the single
+    neighbour at an edge, NULL otherwise."""
+    v, p, q = quote(c), quote(c + "_prev"), quote(c + "_next")
     if limit is None:
-        ok = has_p | has_q
+        ok = f"({p} IS NOT NULL OR {q} IS NOT NULL)"
     else:
-        ok = (has_p & (rn - p["rl"] <= limit)) | (has_q & (q["rl"] - rn <= limit))
-    if by_time:
-        line = _interp(p, q, x_i, p["t"], q["t"])
-    else:
-        line = _interp(p, q, x_i, p["rl"], q["rl"])
-    return (
-        F.when(v.isNotNull(), v)
-        .when(~ok, F.lit(None))
-        .when(has_p & has_q, line)
-        .when(has_p, p["v"])
-        .otherwise(q["v"])
-    )
+        ok = f"(({p} IS NOT NULL AND _rn - {p}.rl <= {int(limit)}) OR ({q} IS NOT NULL AND {q}.rl - _rn <= {int(limit)}))"
+    line = f"{p}.v + try_divide(({q}.v - {p}.v) * ({x_i} - {p}.{field}), {q}.{field} - {p}.{field})"
+    return (f"CASE WHEN {v} IS NOT NULL THEN {v} WHEN NOT {ok} THEN NULL "
+            f"WHEN {p} IS NOT NULL AND {q} IS NOT NULL THEN {line} "
+            f"WHEN {p} IS NOT NULL THEN {p}.v ELSE {q}.v END")
 
 
 def interpolate_time(df: DataFrame, keys: Sequence[str], ts: str, cols: str | Sequence[str],

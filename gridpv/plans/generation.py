@@ -24,7 +24,9 @@ def clean_daily_generation(gen: DataFrame, keys: Sequence[str], ts: str = "datet
     filled = series.interpolate_time(grid, keys, ts, value, limit=limit)
     hourly = series.to_hourly(filled, keys, ts, [value]).drop(CHUNK)
     daily = report.resample(hourly, keys, ts, "day", sums=[value], out_ts="date")
-    return daily.select(*keys, "date", F.round(value, 6).alias(value))
+    from gridpv.functions.columns import round_to
+
+    return daily.select(*keys, "date", round_to(value, 6).alias(value))
 
 
 def clean_generation(gen: DataFrame, locations: DataFrame, keys: Sequence[str] = ("gsp_id",),

@@ -11,8 +11,9 @@ from gridpv.operators import model
 
 def train_and_score(table: DataFrame, keys: Sequence[str], ts: str = "date", preset: str = "boosted_tuned",
                     select: bool = True, key_features: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Pooled model over all keys: J1 split per key, J3 selection, J4 fit on train,
-    J9 predict every row, F15/J10 metrics per split.  Returns (scored, metrics)."""
+    """Pooled model over all keys: J1 split per key, J3 selection, fit of the preset
+    (J4 by default) on the train rows, J9 predictions for every row, F15 metrics
+    per split.  Returns (scored, metrics)."""
     keys = list(keys)
     x = model.split(table, keys, ts)
     x = model.materialize(x)

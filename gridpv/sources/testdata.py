@@ -126,7 +126,7 @@ def _weather_aggs() -> list:
         "direct_normal_irradiance_instant": "sum(value)",
         "global_tilted_irradiance_instant": f"max({k})",
     }
-    return [F.expr(f"round({exprs[name]}, 6)").alias(name) for name in WEATHER_VARIABLES]
+    return [F.expr(f"round(({exprs[name]}) * 1e6) / 1e6").alias(name) for name in WEATHER_VARIABLES]
 
 
 def r6_weather(spark: SparkSession, sf_dir: str) -> DataFrame:

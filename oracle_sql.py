@@ -73,9 +73,43 @@ WEATHER = [
 ]
 
 
+def scaled_round(sql: str) -> str:
+    """Rewrite every ``round(x, p)`` as ``round((x) * 1eP) / 1eP``, the rounding the
+    Spark side uses (ties resolve the same way in both engines)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 6, -1
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        inner = sql[j + 6:k]
+        if comma < 0 or not sql[comma + 1:k].strip().isdigit():
+            out.append(sql[i:j] + "round(" + scaled_round(inner) + ")")
+        else:
+            p = int(sql[comma + 1:k].strip())
+            out.append(sql[i:j] + f"(round(({scaled_round(sql[j + 6:comma])}) * 1e{p}) / 1e{p})")
+        i = k + 1
+
+
 def with_ctes(ctes: list[str], body: str) -> str:
     parts = [ROLES.get(c, c) for c in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return scaled_round("WITH " + ",\n".join(parts) + "\n" + body)
 
 
 def fill_cte(name: str, src: str, keys: list[str], ts: str, col: str, mode: str,
@@ -474,7 +508,7 @@ def oracle_sql() -> dict[str, str]:
             "FROM capm GROUP BY ALL)")
     q["k3_with_locations"] = k3_sql(zero=False, locations=True)
     q["k3_no_fill"] = k3_sql(zero=False, method="none")
-    q["k13_quality_report"] = (
+    q["k13_quality_report"] = scaled_round(
         f"WITH k3 AS ({k3_sql(zero=False, method='none')})\n"
         + "\nUNION ALL\n".join(
             f"SELECT '{c}' AS column_name, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, "
@@ -536,7 +570,7 @@ def oracle_sql() -> dict[str, str]:
     q["f12_rows_by_month"] = with_ctes(["r3"], f"SELECT strftime({TS}, '%Y-%m') AS month, count(*) AS n_rows FROM r3 GROUP BY 1")
     k3 = k3_sql(zero=False)
     span = f"(epoch_us(max({TS})) - epoch_us(min({TS}))) // 86400000000 + 1"
-    q["f13_completeness"] = (
+    q["f13_completeness"] = scaled_round(
         f"WITH k3 AS ({k3})\n"
         f"SELECT gsp_id, count(*) AS n_rows, CAST({span} AS BIGINT) AS expected_rows, "
         "CAST(sum(CASE WHEN generation_mw IS NULL THEN 1 ELSE 0 END) + "
