@@ -35,7 +35,7 @@ def test_query_matches_oracle(spark, duck, name):
     from __spark_entry__ import oracle_sql, queries
 
     s = queries()[name](spark, SF).toArrow()
-    d = duck.execute(oracle_sql()[name]).to_arrow_table()
+    d = duck.sql(oracle_sql()[name]).to_arrow_table()
     assert sorted(s.column_names) == sorted(d.column_names)
     assert {f.name: str(f.type) for f in s.schema} == {f.name: str(f.type) for f in d.schema}
     cols = sorted(s.column_names)
