@@ -45,3 +45,21 @@ def test_first_per_key_uses_the_order(spark):
     df = spark.createDataFrame([("x", 2, "late"), ("x", 1, "early"), ("y", 5, "only")], "k string, o int, v string")
     got = {r["k"]: r["v"] for r in clean.first_per_key(df, ["k"], ["o"]).collect()}
     assert got == {"x": "early", "y": "only"}
+
+
+def test_describe_schema_and_utc_conversion(spark):
+    from pyspark.sql import functions as F
+
+    from gridpv.functions.columns import coerce_int, norm_key, parse_ts, to_utc_ntz
+    from gridpv.operators.quality import describe_schema
+
+    df = spark.createDataFrame([("2024-07-01 12:00:00", " a\tb ", "12.7"), ("bad", "x", "n/a")],
+                               "s string, name string, id string")
+    n, cols = describe_schema(df)
+    assert n == 2 and cols == [("s", "string"), ("name", "string"), ("id", "string")]
+    out = df.select(parse_ts("s").alias("t"), norm_key("name").alias("k"), coerce_int("id").alias("i")).collect()
+    assert out[0]["t"] == dt.datetime(2024, 7, 1, 12, 0) and out[1]["t"] is None
+    assert out[0]["k"] == "A\tB" and out[0]["i"] == 12 and out[1]["i"] is None
+    # Summer time in London is UTC+1: 12:00 local is 11:00 UTC; naive values are taken as UTC.
+    conv = df.select(to_utc_ntz(parse_ts("s"), "Europe/London").alias("u"), to_utc_ntz(parse_ts("s")).alias("n")).first()
+    assert conv["u"] == dt.datetime(2024, 7, 1, 11, 0) and conv["n"] == dt.datetime(2024, 7, 1, 12, 0)
