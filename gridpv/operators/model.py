@@ -27,22 +27,25 @@ PRED = "pred_generation_mw"
 
 
 def split(df: DataFrame, keys: Sequence[str], ts: str = "date", test_size: float = 0.2, seed: int = 101,
-          tiebreak: Sequence[str] = ()) -> DataFrame:
+          tiebreak: Sequence[str] = (), bucket_bits: int = 12) -> DataFrame:
     """Per key, rows ordered by ``md5(key|epoch_us|seed)``; the first
     ``ceil(test_size * n)`` are ``test``, the rest ``train``.
 
     Deterministic and stable under repartitioning.  The per-key ranking is
-    skew-safe: rows are bucketed by the first 16 bits of the hash (uniform), each
-    bucket is ranked on its own and bucket offsets come from a small per-key
-    table (see :func:`gridpv.operators.series.neighbours`).
+    skew-safe: rows are bucketed by the first ``bucket_bits`` bits of the hash
+    (uniform; a multiple of 4), each bucket is ranked on its own and bucket
+    offsets come from a small per-key table (at most ``2**bucket_bits`` rows per
+    key; see :func:`gridpv.operators.series.neighbours`).
     """
+    if bucket_bits <= 0 or bucket_bits % 4:
+        raise ValueError("bucket_bits must be a positive multiple of 4")
     from gridpv.operators.series import CHUNK, neighbours
 
     keys = list(keys)
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
     h = F.md5(F.concat_ws("|", *parts, epoch_us(ts).cast("string"), F.lit(str(seed))))
     x = df.withColumns({"_h": h})
-    x = x.withColumn(CHUNK, F.conv(F.substring("_h", 1, 4), 16, 10).cast("long"))
+    x = x.withColumn(CHUNK, F.conv(F.substring("_h", 1, bucket_bits // 4), 16, 10).cast("long"))
     x = neighbours(x, keys, "_h", {}, tiebreak=[ts, *tiebreak])
     n_test = F.ceil(F.col("_cnt") * F.lit(test_size))
     return x.withColumn("split", F.when(F.col("_rn") <= n_test, "test").otherwise("train")).drop(

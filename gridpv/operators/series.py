@@ -35,6 +35,13 @@ _U = Window.unboundedPreceding
 _C = Window.currentRow
 
 
+def chunk_for_step(step_us: int, rows: int = 256) -> int:
+    """A chunk width holding about ``rows`` steps of a regular series, in whole
+    hours (at least one).  The chunk summary then has ~1/rows of the rows, and no
+    chunk holds more than ~rows rows of one key.  Results do not depend on it."""
+    return max(1, -(-int(step_us) * rows // HOUR_US)) * HOUR_US
+
+
 def with_chunk(df: DataFrame, ts: str, chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
     """Add the time bucket used to split keys into bounded partitions.
 

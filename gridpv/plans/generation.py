@@ -20,8 +20,9 @@ def clean_daily_generation(gen: DataFrame, keys: Sequence[str], ts: str = "datet
     interpolation (G1), hour means (F1), daily sums with empty days as 0 (F2).
     """
     keys = list(keys)
-    grid = series.regularize(gen.select(*keys, ts, value), keys, ts, step_us)
-    filled = series.interpolate_time(grid, keys, ts, value, limit=limit)
+    chunk = series.chunk_for_step(step_us)
+    grid = series.regularize(gen.select(*keys, ts, value), keys, ts, step_us, chunk_us=chunk)
+    filled = series.interpolate_time(grid, keys, ts, value, limit=limit, chunk_us=chunk)
     hourly = series.to_hourly(filled, keys, ts, [value]).drop(CHUNK)
     daily = report.resample(hourly, keys, ts, "day", sums=[value], out_ts="date")
     from gridpv.functions.columns import round_to
@@ -85,7 +86,8 @@ def generation_with_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence
     location columns carried forward (G5); calendar parts recomputed.
     ``capacity`` has ``keys, install_month, year, month, cumul_capacity_mwp``.
 
-    One shuffle of the generation rows by ``(keys, day chunk)``; the month
+    One shuffle of the generation rows by ``(keys, chunk)`` (chunks of ~256
+    grid steps); the month
     capacity table joins in by broadcast when small (AQE decides at run time).
     """
     from gridpv.functions.columns import to_utc_ntz, with_calendar
@@ -98,7 +100,7 @@ def generation_with_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence
     loc = [c for c in location_cols if c in g.columns and c not in keys]
     g = g.select(*keys, ts, "generation_mw", "capacity_mwp", *loc)
 
-    r = series.regularize(g, keys, ts, step_us)
+    r = series.regularize(g, keys, ts, step_us, chunk_us=series.chunk_for_step(step_us))
     if method == "interpolate":
         r = series.fill_series(r, keys, ts, linear_interpolate=["generation_mw", "capacity_mwp"], forward_fill=loc)
     else:
@@ -115,7 +117,8 @@ def modelling_table(weather: DataFrame, gen_cap: DataFrame, keys: Sequence[str],
     D5), remaining gaps filled linearly by position (G2)."""
     keys = list(keys)
     hourly = series.to_hourly(gen_cap, keys, ts, ["generation_mw", "capacity_mwp"], out_ts=date)
+    chunk = series.chunk_for_step(series.HOUR_US)
     x = series.merge_on_time(weather.drop(CHUNK) if CHUNK in weather.columns else weather,
-                             hourly.drop(CHUNK), keys, date)
+                             hourly.drop(CHUNK), keys, date, chunk_us=chunk)
     x = series.interpolate_linear(x, keys, date, ["generation_mw", "capacity_mwp"])
     return x.drop(CHUNK)
