@@ -63,3 +63,19 @@ def test_describe_schema_and_utc_conversion(spark):
     # Summer time in London is UTC+1: 12:00 local is 11:00 UTC; naive values are taken as UTC.
     conv = df.select(to_utc_ntz(parse_ts("s"), "Europe/London").alias("u"), to_utc_ntz(parse_ts("s")).alias("n")).first()
     assert conv["u"] == dt.datetime(2024, 7, 1, 11, 0) and conv["n"] == dt.datetime(2024, 7, 1, 12, 0)
+
+
+def test_quality_report_tables(spark):
+    from gridpv.plans.quality import quality_report
+
+    rows = [("a", T0 + dt.timedelta(minutes=30 * i), None if i in (2, 3) else float(i)) for i in range(10) if i != 5]
+    df = spark.createDataFrame(rows, "k string, datetime_gmt timestamp_ntz, generation_mw double")
+    rep = quality_report(df, ["k"])
+    assert set(rep) == {"null_profile", "nulls_by_month", "rows_by_month", "completeness", "missing_slots",
+                        "incomplete_rows"}
+    comp = rep["completeness"].first()
+    assert (comp["n_rows"], comp["expected_rows"], comp["n_missing"], comp["complete"]) == (9, 10, 2, False)
+    assert [r["datetime_gmt"] for r in rep["missing_slots"].collect()] == [T0 + dt.timedelta(minutes=150)]
+    assert rep["incomplete_rows"].count() == 2
+    prof = {r["column_name"]: r["n_missing"] for r in rep["null_profile"].collect()}
+    assert prof == {"k": 0, "datetime_gmt": 0, "generation_mw": 2}
