@@ -309,18 +309,22 @@ def regularize(
     one timestamp of a key fail the job (``on_duplicate="error"``, as
     ``reindex`` does) or keep the larger payload (``"max"``).
 
-    The grid and the rows meet in one shuffle by ``(keys, chunk)``; the
-    aggregation by timestamp and any later per-chunk window reuse it.
+    The rows are shuffled once by ``(keys, chunk)``; the grid is generated in
+    that partitioning (see :func:`time_grid`), so the aggregation by timestamp
+    and any later per-chunk window reuse it.
     """
     keys = list(keys)
     data = with_chunk(df, ts, chunk_us)
     payload = [c for c in data.columns if c not in keys and c not in (ts, CHUNK)]
-    d = data.select(*keys, ts, CHUNK, F.lit(True).alias("_g0"), F.lit(False).alias("_g"),
-                    F.struct(*payload).alias("_d"))
+    # Only the rows are shuffled by (keys, chunk); the grid is generated already
+    # partitioned that way (from one row per key and chunk), and the union keeps
+    # the common partitioning, so the aggregation below needs no further shuffle.
+    d = data.repartition(*keys, CHUNK).select(*keys, ts, CHUNK, F.lit(True).alias("_g0"), F.lit(False).alias("_g"),
+                                              F.struct(*payload).alias("_d"))
     grid = time_grid(data, keys, ts, step_us, chunk_us=chunk_us)
     g = grid.select(*keys, ts, CHUNK, F.lit(False).alias("_g0"), F.lit(True).alias("_g"),
                     F.lit(None).cast(d.schema["_d"].dataType).alias("_d"))
-    u = d.unionByName(g).repartition(*keys, CHUNK)
+    u = d.unionByName(g)
     r = u.groupBy(*keys, CHUNK, ts).agg(F.max("_g").alias("_on_grid"), F.count("_d").alias("_n"),
                                         F.max("_d").alias("_d"))
     if on_duplicate == "error":
