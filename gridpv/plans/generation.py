@@ -90,17 +90,35 @@ def generation_with_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence
     grid steps); the month
     capacity table joins in by broadcast when small (AQE decides at run time).
     """
-    from gridpv.functions.columns import to_utc_ntz, with_calendar
+    from gridpv.functions.columns import floor_div, to_utc_ntz, with_calendar
 
     keys = list(keys)
+    chunk_us = series.chunk_for_step(step_us)
     g = gen.withColumn(ts, to_utc_ntz(ts))
-    g = g.withColumns({"year": F.year(ts), "month": F.month(ts)})
-    months = g.select(*keys, "year", "month").distinct()
-    g = g.join(carried_capacity(months, capacity, keys), keys + ["year", "month"], "left")
-    loc = [c for c in location_cols if c in g.columns and c not in keys]
-    g = g.select(*keys, ts, "generation_mw", "capacity_mwp", *loc)
+    months = g.select(*keys, F.year(ts).alias("year"), F.month(ts).alias("month")).distinct()
+    cap = carried_capacity(months, capacity, keys)
+    # Each (key, month) is repeated for the chunks the month overlaps (a handful),
+    # so it can meet the rows on (keys, chunk), the partitioning they already have.
+    n_h = chunk_us // series.HOUR_US
+    first = F.make_date("year", "month", F.lit(1))
+    h0 = F.unix_date(first).cast("long") * 24
+    h1 = F.unix_date(F.add_months(first, 1)).cast("long") * 24 - 1
+    cap = cap.select(*keys, (F.col("year") * 12 + F.col("month")).alias("_ym"), "capacity_mwp",
+                     F.explode(F.sequence(floor_div(h0, n_h), floor_div(h1, n_h))).alias(CHUNK))
 
-    r = series.regularize(g, keys, ts, step_us, chunk_us=series.chunk_for_step(step_us))
+    loc = [c for c in location_cols if c in g.columns and c not in keys]
+    data = g.select(*keys, ts, "generation_mw", *loc, F.lit(True).alias("_is_data"))
+    r = series.regularize(data, keys, ts, step_us, chunk_us=chunk_us)
+    # Equi-join on (keys, chunk) only; the month test stays a residual predicate
+    # (one expression over both sides), so the rows are not shuffled again.
+    rr, cc = r.alias("_r"), cap.alias("_c")
+    cond = [F.col(f"_r.{k}") == F.col(f"_c.{k}") for k in keys + [CHUNK]]
+    ym = F.year(F.col(f"_r.{ts}")) * 12 + F.month(F.col(f"_r.{ts}"))
+    cond.append((ym - F.col("_c._ym")) == 0)
+    r = rr.join(cc, cond, "left").select(
+        *[F.col(f"_r.{c}") for c in r.columns if c != "_is_data"],
+        F.when(F.col("_r._is_data"), F.col("_c.capacity_mwp")).alias("capacity_mwp"),
+    )
     if method == "interpolate":
         r = series.fill_series(r, keys, ts, linear_interpolate=["generation_mw", "capacity_mwp"], forward_fill=loc)
     else:
