@@ -8,7 +8,6 @@ thresholds, no minimum split size (SURVEY §7.5).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -252,6 +251,3 @@ def materialize(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def ceil_test_rows(n: int, test_size: float = 0.2) -> int:
-    return math.ceil(n * test_size)

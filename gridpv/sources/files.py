@@ -66,7 +66,8 @@ def select_generation(gen: DataFrame, start: str, end: str, gsp_ids: DataFrame |
 def read_generation(spark: SparkSession, path: str, start: str, end: str,
                     gsp_ids: DataFrame | Sequence[int] | None = None, include_national: bool = False,
                     extra_fields: Sequence[str] = ()) -> DataFrame:
-    """A4/A5: generation parquet (layout: partitioned by month, clustered by id)."""
+    """A4/A5: generation parquet.  Stored partitioned by month and sorted by id, the
+    period filter prunes files and the id filter skips row groups."""
     gen = spark.read.parquet(path)
     if not extra_fields:
         gen = gen.select(*[f.name for f in GENERATION_SCHEMA.fields if f.name in gen.columns])
