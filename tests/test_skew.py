@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from gridpv.operators import series
-from gridpv.operators.series import CHUNK, DAY_US, with_chunk
+from gridpv.operators.series import CHUNK, DAY_US, HOUR_US, with_chunk
 from tests.reference_rules import fill_two_sided
 
 T0 = dt.datetime(2024, 1, 1)
@@ -48,3 +48,29 @@ def test_hot_key_is_split_by_chunk_and_exact(spark):
         xs = [(t - T0).total_seconds() for kk, _, t, _ in rows if kk == k]
         exp = fill_two_sided(vals, xs, 12)
         assert all((a is None and b is None) or abs(a - b) < 1e-9 for a, b in zip(got[k], exp)), k
+
+
+def test_k3_capacity_join_keeps_the_row_partitioning(spark):
+    """Without broadcast, K3 joins the month capacity on (key, chunk): the gridded
+    rows are not shuffled again (the month test is a residual predicate)."""
+    from __spark_entry__ import queries
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = queries()["k3_generation_with_capacity"](spark, "/root/testdata/sf0.001") \
+            ._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert re.search(r"SortMergeJoin \[gsp_id#\d+, _chunk#\d+L?\], \[gsp_id#\d+, _chunk#\d+L?\], LeftOuter", plan)
+
+
+def test_chunk_for_step_sizes():
+    from gridpv.operators.series import HALF_HOUR_US, chunk_for_step
+
+    assert chunk_for_step(HALF_HOUR_US) == 128 * HOUR_US
+    assert chunk_for_step(HOUR_US) == 256 * HOUR_US
+    assert chunk_for_step(DAY_US) == 256 * DAY_US
+    assert chunk_for_step(60 * 1_000_000) == 5 * HOUR_US
