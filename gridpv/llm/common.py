@@ -68,6 +68,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial."""
+    size = len(buf)
+    up, down = _powers(size + 1)
+    sums = np.zeros(size + 1, dtype=np.uint64)
+    values = buf.astype(np.uint64)
+    values += np.uint64(1)
+    values *= up[:size]
+    np.cumsum(values, out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Texts:
     """The texts of one Arrow slice as bytes, with the spans of their words.
 
@@ -105,17 +118,7 @@ class Texts:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; ``lower`` maps A-Z to a-z first."""
-        size = len(self.buf)
-        if size == 0:
-            return np.zeros(0, np.uint64)
-        up, down = _powers(size + 1)
-        sums = np.zeros(size + 1, dtype=np.uint64)
-        values = (_LOWER[self.buf] if lower else self.buf).astype(np.uint64)
-        values += np.uint64(1)
-        values *= up[:size]
-        np.cumsum(values, out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return span_hashes(_LOWER[self.buf] if lower else self.buf, self.starts, self.ends)
 
     def word(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
