@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -56,15 +57,17 @@ class PerfectHash:
     keys to free slots.  Buckets of one key name a free slot directly, as a negative number.
     """
 
-    def __init__(self, keys: list[bytes], per_bucket: int = 4):
+    def __init__(self, shift: np.ndarray, key_at: np.ndarray):
+        self.shift, self.key_at = shift, key_at
+        self.buckets, self.size = len(shift), len(key_at)
+
+    @classmethod
+    def build(cls, keys: list[bytes], per_bucket: int = 4) -> PerfectHash:
         hashes = bytes_hashes(keys)
         n = len(keys)
         if len(np.unique(hashes)) != n:
             raise ValueError("keys repeat")
-        self.size = n
-        self.buckets = max(1, n // per_bucket)
-        self.shift = np.zeros(self.buckets, np.int64)
-        self.key_at = np.zeros(n, np.int64)
+        self = cls(np.zeros(max(1, n // per_bucket), np.int64), np.zeros(n, np.int64))
         bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         first = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -92,6 +95,7 @@ class PerfectHash:
         slots = np.flatnonzero(free)
         self.shift[lone] = -1 - slots
         self.key_at[slots] = order[first[lone]]
+        return self
 
     def _slots(self, hashes: np.ndarray, shift: np.ndarray) -> np.ndarray:
         moved = mix(hashes + shift.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -136,14 +140,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Vocabulary:
     """The tables of a rank file: tokens by id, ranks by token, and the perfect hash."""
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: list[bytes], hashing: PerfectHash | None = None):
         self.tokens = tokens
-        self.hash = PerfectHash(tokens)
+        self.hash = hashing or PerfectHash.build(tokens)
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.ends = np.cumsum([len(t) for t in tokens])
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def send(self, spark: SparkSession):
+        """A broadcast from which tasks restore the vocabulary (``received``)."""
+        return spark.sparkContext.broadcast((self.tokens, self.hash.shift, self.hash.key_at))
+
+    @classmethod
+    def received(cls, sent) -> Vocabulary:
+        tokens, shift, key_at = sent.value
+        return cls(tokens, PerfectHash(shift, key_at))
+
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token: the perfect hash first, the heap for what it lacks."""
         if not pieces:
@@ -184,16 +197,20 @@ class ChunkMemo:
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` (array of int): the token ids of ``text_col``."""
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
+    sent = Vocabulary(read_ranks(path)).send(docs.sparkSession)
 
-    def run_all():
+    def chunk_memo():
+        vocabulary = Vocabulary.received(sent)
         split = regex.compile(pattern).findall
+        packed: dict[str, bytes] = {}
 
         def fill(chunks: list[str]) -> list[bytes]:
+            if len(packed) > MEMO:
+                packed.clear()
             pieces = [split(c) for c in chunks]
-            distinct = list({p for ps in pieces for p in ps})
-            ids = sent.value.encode_pieces([p.encode() for p in distinct])
-            packed = {p: np.array(i, np.int32).tobytes() for p, i in zip(distinct, ids, strict=True)}
+            new = list({p for ps in pieces for p in ps}.difference(packed))
+            ids = vocabulary.encode_pieces([p.encode() for p in new])
+            packed.update((p, struct.pack(f"{len(i)}i", *i)) for p, i in zip(new, ids, strict=True))
             return [b"".join([packed[p] for p in ps]) for ps in pieces]
 
         return ChunkMemo(fill)
@@ -202,7 +219,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
     def run(batch):
         if not state:
-            state.append(run_all())
+            state.append(chunk_memo())
         for part in slices(batch, text_col):
             packed = [b"".join(x) for x in state[0].lookup(part.column(text_col).to_pylist())]
             offsets = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
@@ -214,13 +231,16 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` with ``bytes_col`` (binary): the bytes of the token ids in ``ids_col``."""
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
+    sent = Vocabulary(read_ranks(path)).send(docs.sparkSession)
+    state: list[Vocabulary] = []
 
     def run(batch):
+        if not state:
+            state.append(Vocabulary.received(sent))
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             lists = part.column(ids_col)
-            yield part, ([sent.value.decode(np.asarray(x.values)).tobytes() if x.is_valid else b"" for x in lists],)
+            yield part, ([state[0].decode(np.asarray(x.values)).tobytes() if x.is_valid else b"" for x in lists],)
 
     return add_columns(docs, f"`{bytes_col}` binary", run)
 

@@ -6,12 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpv.llm import substring_dedup
+from gridpv.llm import (
+    best_fit_packing,
+    byte_bpe,
+    chat_format,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op9_best_fit_packing": best_fit_packing.op9_best_fit_packing,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op6_chat_format": chat_format.ORACLE_SQL,
 }

@@ -148,13 +148,17 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class Scorer:
-    """Finds significant segments with token weights and a calibration."""
+    """Finds significant segments with token weights and a calibration; ``state`` is what tasks need."""
 
     def __init__(self, weights: dict[str, float], rate: float = 1.0, scale: float = 1.0, fit: tuple = (0.0, 1.0, 0.0)):
         self.weights, self.rate, self.scale, self.fit = weights, rate, scale, fit
         self.memo: dict[str, float] = {}
         self.pattern = re.compile(TOKEN)
 
+    @property
+    def state(self) -> tuple:
+        return self.weights, self.rate, self.scale, self.fit
+
     def _score(self, word: str) -> float:
         whole, stem = _features(word)
         own = self.weights.get(whole)
@@ -245,11 +249,12 @@ def train(rows: DataFrame) -> tuple[Scorer, DataFrame]:
 def fitted(rows: DataFrame) -> Scorer:
     """``train`` and the logistic fit on the sample."""
     scorer, sample = train(rows)
-    sent = sample.sparkSession.sparkContext.broadcast(scorer)
+    sent = sample.sparkSession.sparkContext.broadcast(scorer.state)
 
     def points(batches):
+        own = Scorer(*sent.value)
         for batch in batches:
-            found = [sent.value.evidence(t) for t in batch.column("text").to_pylist()]
+            found = [own.evidence(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), batch.column("toxic")],
                 names=["strength", "share", "toxic"],
@@ -266,10 +271,13 @@ def fitted(rows: DataFrame) -> Scorer:
 def score_documents(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``passages``: the significant segments as character
     spans of the text with their E-values."""
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+    sent = docs.sparkSession.sparkContext.broadcast(scorer.state)
+    own: list[Scorer] = []
 
     def run(batch):
-        scorer = sent.value
+        if not own:
+            own.append(Scorer(*sent.value))
+        scorer = own[0]
         for part in slices(batch, text_col):
             scores, passages = [], []
             for text in part.column(text_col).to_pylist():
