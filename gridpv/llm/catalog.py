@@ -10,6 +10,7 @@ from gridpv.llm import (
     best_fit_packing,
     byte_bpe,
     chat_format,
+    minhash_dedup,
     quality_rules,
     substring_dedup,
     token_counts,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op9_best_fit_packing": best_fit_packing.op9_best_fit_packing,
     "op10_token_counts": token_counts.op10_token_counts,
 }
@@ -29,4 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op6_chat_format": chat_format.ORACLE_SQL,
+    "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
 }
