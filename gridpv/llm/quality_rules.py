@@ -1,15 +1,16 @@
 """Quality rules: distribution divergence from language references, with minimum lengths.
 
 Method: each document's histogram of character classes, and that of its common words, is compared
-to the reference of its language by the Jensen-Shannon distance.  References are the mean
-histograms of all documents of a language with enough words, so they cover the corpus.
+to the reference of its language by the Jensen-Shannon distance.  References are the median
+class shares and mean word shares of all documents of a language with enough words, so they cover the corpus.
 
 Only Spark's own functions are used.  A document is rejected if a base rule fails (fewer than
-``MIN_WORDS`` words, or more than half of its words in 3-word windows that come twice or more), if it
-has at least ``CLASS_GUARD`` word characters and its class distance is over ``CLASS_LIMIT``, or if it
-has at least ``WORD_GUARD`` words and its common-word distance is over ``WORD_LIMIT``.
+``MIN_WORDS`` words, or more than half of its words in 3-word windows that come twice or more).  With at
+least ``GUARD`` word characters it is also rejected if its class distance is over ``CLASS_FAR``, or over
+``CLASS_LIMIT`` while its common-word distance is over ``WORD_LIMIT``: shorter texts are too
+noisy to be judged by one histogram, and a listing or a table needs both to be told from prose.
 
-Languages without a word list use the class reference of all documents and no word rule.  A null or
+Languages without a word list use the class reference of all documents and ``CLASS_FAR`` alone.  A null or
 empty text has no words and fails the base rule; all counts are 0.  Rows are judged one by one,
 so repeated rows get equal results.
 """
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from gridpv.llm.common import WORD, read_table
 
 MIN_WORDS = 50
-CLASS_GUARD = 200
-CLASS_LIMIT = 0.2
-WORD_GUARD = 100
-WORD_LIMIT = 0.45
+GUARD = 200
+CLASS_FAR = 0.3
+CLASS_LIMIT = 0.15
+WORD_LIMIT = 0.22
 
 #: Frequent function words of the languages in the corpus.
 COMMON_WORDS = {
@@ -139,8 +140,8 @@ def _share(counts: Column) -> Column:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, list[float]]]:
-    """Per language, and for all (``*``), the mean class and common-word histograms of the documents
-    that have enough words.
+    """Per language, and for all (``*``), the median share of each class (scaled to add up to 1) and
+    the mean share of each common word, over the documents that have enough words.
 
     At most one row per listed language and one more come to the driver.
     """
@@ -148,15 +149,20 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     classes = df.select("_q_lang", "_q_classes", "_q_common", F.col("_q_n"))
     classes = classes.select("_q_lang", _share(F.col("_q_classes")).alias("c"), _share(F.col("_q_common")).alias("w"))
     longest = max(map(len, COMMON_WORDS.values())) + 1
-    mean = lambda name, n: [F.avg(F.get(F.col(name), F.lit(i))).alias(f"{name}{i}") for i in range(n)]
-    rows = classes.groupBy("_q_lang").agg(F.count("*").alias("n"), *mean("c", len(CLASSES)), *mean("w", longest)).collect()
+    middle = lambda i: F.percentile_approx(F.get("c", F.lit(i)), 0.5, 1000).alias(f"c{i}")
+    mean = lambda i: F.avg(F.get("w", F.lit(i))).alias(f"w{i}")
+    sums = [F.count("*").alias("n"), *map(middle, range(len(CLASSES))), *map(mean, range(longest))]
     out = {}
-    for r in rows:
-        size = len(COMMON_WORDS.get(r["_q_lang"], ())) + 1
-        out[r["_q_lang"]] = {"classes": [r[f"c{i}"] for i in range(len(CLASSES))], "common": [r[f"w{i}"] for i in range(size)]}
-    if rows:
-        total = sum(r["n"] for r in rows)
-        out[ALL] = {"classes": [sum(r["n"] * r[f"c{i}"] for r in rows) / total for i in range(len(CLASSES))], "common": [1.0]}
+    for r in classes.cube("_q_lang").agg(F.grouping("_q_lang").alias("all"), *sums).collect():
+        name = ALL if r["all"] or r["_q_lang"] == ALL else r["_q_lang"]
+        if name == ALL and not r["all"] or not r["n"]:
+            continue
+        size = len(COMMON_WORDS.get(name, ())) + 1
+        total = sum(r[f"c{i}"] for i in range(len(CLASSES))) or 1.0
+        out[name] = {
+            "classes": [r[f"c{i}"] / total for i in range(len(CLASSES))],
+            "common": [r[f"w{i}"] for i in range(size)] if name != ALL else [1.0],
+        }
     return out
 
 
@@ -188,9 +194,9 @@ def judge(docs: DataFrame, known: dict, text_col: str = "text", lang_col: str =
     }
     kept = [c for c in docs.columns if c.lower() not in {*added, "base_failed", "kept"}]
     df = df.select(*kept, *[v.alias(k) for k, v in added.items()])
-    far = lambda size, guard, distance, limit: (F.col(size) >= guard) & (F.coalesce(F.col(distance), F.lit(0.0)) > limit)
     failed = base_failed()
-    odd = far("word_chars", CLASS_GUARD, "class_distance", CLASS_LIMIT) | far("n_words", WORD_GUARD, "word_distance", WORD_LIMIT)
+    by_class, by_word = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("class_distance", "word_distance"))
+    odd = (F.col("word_chars") >= GUARD) & ((by_class > CLASS_FAR) | (by_class > CLASS_LIMIT) & (by_word > WORD_LIMIT))
     return df.withColumns({"base_failed": failed, "kept": ~failed & ~odd})
 
 
