@@ -1,7 +1,7 @@
 """Toxicity: maximum-scoring segments over token log-odds.
 
 Method.  (1) Token weights are log-odds ratios between toxic and other labelled documents with an
-informative Dirichlet prior (the corpus share of the token times ``PRIOR``); tokens count once
+informative Dirichlet prior (the token's own counts times ``PRIOR``); tokens count once
 per distinct document, and only weights beyond ``MIN_Z`` standard errors are used.  A word that has
 no weight takes that of its first ``STEM`` characters, which are tokens too; all others
 score ``DEFAULT``.  (2) A linear-time scan finds every maximal-scoring segment of a document.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridpv.llm.common import add_columns, checkpoint, read_table, slices
 
-PRIOR = 500.0
+PRIOR = 0.05
 MIN_Z = 2.5
 STEM = 4
 DEFAULT = -0.25
@@ -95,8 +95,8 @@ def token_weights(rows: DataFrame) -> tuple[dict[str, float], dict[str, int], in
     )
     y1, y0 = F.col("toxic").cast("double"), F.col("other").cast("double")
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
-    prior = F.lit(PRIOR) * (y1 + y0) / (n1 + n0)
-    odds = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
+    prior = F.lit(PRIOR) * (y1 + y0)
+    odds = lambda y, n: F.log((y + prior) / (n + F.lit(PRIOR) * (n1 + n0) - y - prior))
     scored = (
         counts.where("token <> ''")
         .crossJoin(F.broadcast(sums.selectExpr("toxic AS n1", "other AS n0", "times AS total")))  # one row
