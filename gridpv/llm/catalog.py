@@ -10,6 +10,7 @@ from gridpv.llm import (
     best_fit_packing,
     byte_bpe,
     chat_format,
+    fingerprints,
     minhash_dedup,
     quality_rules,
     substring_dedup,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_best_fit_packing": best_fit_packing.op9_best_fit_packing,
     "op10_token_counts": token_counts.op10_token_counts,
 }
