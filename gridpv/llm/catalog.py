@@ -11,6 +11,7 @@ from gridpv.llm import (
     byte_bpe,
     chat_format,
     fingerprints,
+    html_extract,
     minhash_dedup,
     quality_rules,
     substring_dedup,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_html_extract": html_extract.op4_html_extract,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
