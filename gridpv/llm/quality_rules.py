@@ -193,7 +193,9 @@ def judge(docs: DataFrame, known: dict, text_col: str = "text", lang_col: str =
         "word_distance": _distance(F.col("_q_common"), F.col("_q_rw")),
     }
     kept = [c for c in docs.columns if c.lower() not in {*added, "base_failed", "kept"}]
-    df = df.select(*kept, *[v.alias(k) for k, v in added.items()])
+    # a generator of one row: filters on its columns stay above it instead of repeating the work below
+    signals = F.explode(F.array(F.struct(*[v.alias(k) for k, v in added.items()]))).alias("_q_signals")
+    df = df.select(*kept, signals).select(*kept, "_q_signals.*")
     failed = base_failed()
     by_class, by_word = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("class_distance", "word_distance"))
     odd = (F.col("word_chars") >= GUARD) & ((by_class > CLASS_FAR) | (by_class > CLASS_LIMIT) & (by_word > WORD_LIMIT))
