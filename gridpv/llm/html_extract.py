@@ -149,9 +149,7 @@ def parse(page: str) -> tuple[list[tuple[str, _Element]], list[list[int]]]:
         attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(match["attrs"])}
         inside = any(e.tag in ("article", "main") for e in stack)
         kind = attrs.get("class", "").split()
-        element = _Element(tag, stack[-1], _off(tag, attrs, inside), tag + "".join(f".{k}" for k in kind))
-        if not match["attrs"].rstrip().endswith("/") or tag in _BLOCK:
-            stack.append(element)
+        stack.append(_Element(tag, stack[-1], _off(tag, attrs, inside), tag + "".join(f".{k}" for k in kind)))
     text(page[at:])
     return nodes, [b for b in blocks if b]
 
