@@ -19,6 +19,7 @@ from gridpv.operators import clean, model, quality, report, series
 from gridpv.operators.series import CHUNK, DAY_US, HALF_HOUR_US
 from gridpv.plans import capacity as capplan
 from gridpv.plans import dashboard, generation, modelling
+from gridpv.plans import quality as qualityplan
 from gridpv.schemas import LOCATION_COLUMNS
 from gridpv.sources import manifest as mf
 from gridpv.sources import requests as rq
@@ -30,6 +31,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 R1K = ["event_type"]
 SINCE = "1997-01-01"  # R4 ends in 2001 (FIXTURES); the reference defaults are 2010/2009.
+# The nation names of the test tables, which stand in for GSP names (the pivot's columns).
+NATIONS = [f"NATION_{i}" for i in range(25)]
 LAST_FULL = "2001-08-01"  # the last R4 month holds only a few GSPs
 
 
@@ -355,6 +358,42 @@ def q_k3_no_fill(spark, d):
     return _round(_no_chunk(out))
 
 
+def q_d5_half_hour_weather(spark, d):
+    """D5 on weather of half-hour steps that start off the hour: every row gets the mean of its hour."""
+    wx = weather.explode_weather(td.r7_payload(spark, d), R1K).select("event_type", "date", "shortwave_radiation")
+    wx = wx.withColumn("date", F.explode(F.array(*[
+        F.timestamp_add("MINUTE", F.lit(m), F.col("date")) for m in (10, 40)])))
+    hourly = series.to_hourly(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", ["generation_mw"], out_ts="date")
+    return _round(_no_chunk(series.merge_on_hour(wx, hourly, R1K, "date")))
+
+
+def _report_table(name):
+    """One table of K13's report on the sparse series R2."""
+    def query(spark, d):
+        report = qualityplan.quality_report(td.r2_sparse(spark, d).select("gsp_id", "datetime_gmt", "generation_mw"),
+                                            ["gsp_id"], step_us=DAY_US)
+        return _round(report[name])
+    query.__doc__ = f"K13: the table ``{name}`` of the quality report of R2."
+    return query
+
+
+def q_c5_select_ids(spark, d):
+    """Rows of the listed ids only (a list, and the distinct ids of a table)."""
+    g = td.r2_sparse(spark, d)
+    lo, hi = "1900-01-01", "2100-01-01"
+    some = select_generation(g, lo, hi, gsp_ids=[1, 2, 3])
+    table = select_generation(g, lo, hi, gsp_ids=g.filter("gsp_id > 5").select("gsp_id").distinct())
+    out = some.withColumn("source", F.lit("list")).unionByName(table.withColumn("source", F.lit("table")))
+    return out.groupBy("source", "gsp_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_j11_residual_points(spark, d):
+    """Actual and predicted value per split, on every row of R8."""
+    x = model.split(scored(spark, d), R1K, "datetime_gmt", tiebreak=["event_id"])
+    return _round(model.residual_points(x).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("generation_mw").alias("actual"), F.sum("pred_generation_mw").alias("predicted")))
+
+
 def q_k13_quality_report(spark, d):
     """Missing-value profile (F10) of the complete daily grid before unbounded filling."""
     g = td.r3_daily(spark, d)
@@ -380,21 +419,26 @@ def q_k4_capacity_calendar(spark, d):
     return _round(capacity_by_month(spark, d))
 
 
+def _key_capacity(spark, d, g):
+    """Stand-in capacity of the event series: the R4 total of each calendar month over all GSPs."""
+    total = cap.month_values(merged(spark, d)).groupBy(F.month(cap.M).alias("_m")).agg(F.sum(cap.V).alias("capacity_mwp"))
+    return g.withColumn("_m", F.month("datetime_gmt")).join(total, "_m", "left").drop("_m")
+
+
 def q_k5_modelling_table(spark, d):
     wx = weather.explode_weather(td.r7_payload(spark, d), R1K)
     r = series.regularize(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
     g = series.interpolate_time(r, R1K, "datetime_gmt", "generation_mw", limit=12)
-    g = g.withColumn("capacity_mwp", F.lit(None).cast("double"))
-    return _round(generation.modelling_table(wx, g, R1K))
+    return _round(generation.modelling_table(wx, _key_capacity(spark, d, g), R1K))
 
 
 def q_i1_wide_capacity(spark, d):
-    wide = cap.wide_capacity(merged(spark, d))
+    wide = cap.wide_capacity(merged(spark, d), values=NATIONS)
     return _round(wide, keep=tuple(wide.columns))
 
 
 def q_i2_long_capacity(spark, d):
-    return _round(cap.long_capacity(cap.wide_capacity(merged(spark, d))))
+    return _round(cap.long_capacity(cap.wide_capacity(merged(spark, d), values=NATIONS)))
 
 
 def q_k9_location_map(spark, d):
@@ -405,19 +449,33 @@ def q_k9_location_map_full_month(spark, d):
     return _round(capplan.location_map(merged(spark, d), before=LAST_FULL))
 
 
+def _full_months(spark, d):
+    """The cells before the last month, which holds only a few GSPs."""
+    return cap.month_values(merged(spark, d)).filter(F.col(cap.M) < F.lit(LAST_FULL).cast("date"))
+
+
 def q_f9_national_capacity(spark, d):
-    cells = cap.month_values(merged(spark, d)).filter(F.col(cap.M) < F.lit(LAST_FULL).cast("date"))
-    return cap.national_capacity(cells)
+    return cap.national_capacity(cap.month_values(merged(spark, d)))
+
+
+def q_f9_national_capacity_full_month(spark, d):
+    return cap.national_capacity(_full_months(spark, d))
 
 
 def q_h3_top_gsps(spark, d):
-    cells = cap.month_values(merged(spark, d)).filter(F.col(cap.M) < F.lit(LAST_FULL).cast("date"))
-    return _round(cap.top_gsps(cells, n=10, start=SINCE))
+    return _round(cap.top_gsps(cap.month_values(merged(spark, d)), n=10, start=SINCE))
+
+
+def q_h3_top_gsps_full_month(spark, d):
+    return _round(cap.top_gsps(_full_months(spark, d), n=10, start=SINCE))
 
 
 def q_k10_growth_top(spark, d):
-    cells = cap.month_values(merged(spark, d)).filter(F.col(cap.M) < F.lit(LAST_FULL).cast("date"))
-    return _round(cap.growth_top(cells, n=10, start=SINCE))
+    return _round(cap.growth_top(cap.month_values(merged(spark, d)), n=10, start=SINCE))
+
+
+def q_k10_growth_top_full_month(spark, d):
+    return _round(cap.growth_top(_full_months(spark, d), n=10, start=SINCE))
 
 
 def q_k11_annual_capacity(spark, d):
@@ -455,7 +513,7 @@ def q_k14_train_and_score(spark, d):
     wx = weather.explode_weather(td.r7_payload(spark, d), R1K)
     r = series.regularize(td.r1_halfhourly(spark, d), R1K, "datetime_gmt", HALF_HOUR_US)
     g = series.interpolate_time(r, R1K, "datetime_gmt", "generation_mw", limit=12)
-    g = g.withColumn("capacity_mwp", F.lit(0.0))
+    g = _key_capacity(spark, d, g)
     table = generation.modelling_table(wx, g, R1K).filter(F.col("generation_mw").isNotNull())
     _, metrics = modelling.train_and_score(table, R1K, "date", preset="boosted_tuned")
     return metrics
@@ -513,8 +571,20 @@ QUERIES: dict[str, Query] = {
     "k9_location_map": q_k9_location_map,
     "k9_location_map_full_month": q_k9_location_map_full_month,
     "f9_national_capacity": q_f9_national_capacity,
+    "f9_national_capacity_full_month": q_f9_national_capacity_full_month,
     "h3_top_gsps": q_h3_top_gsps,
+    "h3_top_gsps_full_month": q_h3_top_gsps_full_month,
     "k10_growth_top": q_k10_growth_top,
+    "k10_growth_top_full_month": q_k10_growth_top_full_month,
+    "c5_select_ids": q_c5_select_ids,
+    "d5_half_hour_weather": q_d5_half_hour_weather,
+    "j11_residual_points": q_j11_residual_points,
+    "k13_null_profile": _report_table("null_profile"),
+    "k13_nulls_by_month": _report_table("nulls_by_month"),
+    "k13_rows_by_month": _report_table("rows_by_month"),
+    "k13_completeness": _report_table("completeness"),
+    "k13_missing_slots": _report_table("missing_slots"),
+    "k13_incomplete_rows": _report_table("incomplete_rows"),
     "k11_annual_capacity": q_k11_annual_capacity,
     "f10_null_profile": q_f10_null_profile,
     "f11_nulls_by_month": q_f11_nulls_by_month,

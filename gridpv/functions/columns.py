@@ -60,16 +60,23 @@ def gsp_label(name: str | Column, region: str | Column) -> Column:
 
 
 def parse_ts(c: str | Column) -> Column:
-    """Text to TIMESTAMP_NTZ; NULL where the text does not parse."""
+    """Text to TIMESTAMP_NTZ; NULL where the text does not parse (the reference then keeps the
+    whole column as text; a distributed column has one type, so bad values become NULL)."""
     return col_of(c).cast("string").try_cast("timestamp_ntz")
 
 
 def to_utc_ntz(c: str | Column, from_tz: str | None = None) -> Column:
-    """Naive values are taken as UTC; values of a named zone are converted."""
-    c = col_of(c).cast("timestamp_ntz")
-    if from_tz is None:
-        return c
-    return F.convert_timezone(F.lit(from_tz), F.lit("UTC"), c)
+    """Naive values are taken as UTC; values of a named zone are converted.
+
+    An instant (TIMESTAMP) is converted from its epoch, whatever the session's zone; ``from_tz``
+    does not apply to it.  The branch is chosen by the column's type when the plan is made.
+    """
+    c = col_of(c)
+    naive = c.cast("timestamp_ntz")
+    if from_tz is not None:
+        naive = F.convert_timezone(F.lit(from_tz), F.lit("UTC"), naive)
+    instant = F.timestamp_add("MICROSECOND", F.unix_micros(c.cast("timestamp")), EPOCH())
+    return F.when(F.typeof(c) == "timestamp", instant).otherwise(naive)
 
 
 def quote(name: str) -> str:
@@ -136,11 +143,10 @@ def from_epoch_seconds(c: str | Column) -> Column:
 def floor_div(a: Column, b: int) -> Column:
     """Floor division of a bigint by a positive constant.
 
-    ``a - pmod(a, b)`` is an exact multiple of ``b``; below 2**53 the double
-    quotient is exact, which covers epoch microseconds for ~285 years.
+    ``a - pmod(a, b)`` is an exact multiple of ``b``, so the integral division is exact.
     """
     b = int(b)
-    return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("long")
+    return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b))
 
 
 def trunc_ntz(ts: str | Column, unit: str) -> Column:

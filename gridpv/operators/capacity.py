@@ -24,13 +24,15 @@ def _present(df: DataFrame, value: str = V) -> DataFrame:
 def month_values(merged: DataFrame, time_col: str = M, gsp_col: str = G, value: str = V,
                  order: Sequence[str] = ()) -> DataFrame:
     """Long form of the pivot cells: per (month, GSP) the first non-missing value in
-    ``order``; without an order, the smallest one (capacity files hold one row
-    per month and GSP, so both agree there)."""
+    ``order``.  Without an order a month and GSP with two values fails the job, since
+    there is no first one."""
     p = _present(merged, value)
     if order:
         ordv = F.struct(*[F.col(o) for o in order])
         return p.groupBy(time_col, gsp_col).agg(F.min_by(value, ordv).alias(value))
-    return p.groupBy(time_col, gsp_col).agg(F.min(value).alias(value))
+    cells = p.groupBy(time_col, gsp_col).agg(F.min(value).alias(value), F.count(F.lit(1)).alias("_n"))
+    fail = F.raise_error(F.lit("several capacity values for one month and GSP; name an order"))
+    return cells.select(time_col, gsp_col, F.when(F.col("_n") > 1, fail.cast("double")).otherwise(F.col(value)).alias(value))
 
 
 def pivot_values(merged: DataFrame, gsp_col: str = G, value: str = V) -> list[str]:

@@ -3,7 +3,8 @@
 The reference fits scikit-learn / XGBoost estimators on one machine; here the
 same presets are expressed with ``pyspark.ml`` tree regressors, trained
 distributedly.  Differences: no L1/L2 penalties on trees, no random split
-thresholds, no minimum split size (SURVEY §7.5).
+thresholds, no minimum split size (SURVEY §7.5), a depth of 30 where the reference
+sets no limit, and missing features imputed (see :func:`preparation`).
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpv.functions.columns import epoch_us
+from gridpv.functions.columns import epoch_us, quote
 
 TARGET = "generation_mw"
 PRED = "pred_generation_mw"
@@ -30,26 +31,37 @@ def split(df: DataFrame, keys: Sequence[str], ts: str = "date", test_size: float
     """Per key, rows ordered by ``md5(key|epoch_us|seed)``; the first
     ``ceil(test_size * n)`` are ``test``, the rest ``train``.
 
-    Deterministic and stable under repartitioning.  The per-key ranking is
-    skew-safe: rows are bucketed by the first ``bucket_bits`` bits of the hash
-    (uniform; a multiple of 4), each bucket is ranked on its own and bucket
-    offsets come from a small per-key table (at most ``2**bucket_bits`` rows per
-    key; see :func:`gridpv.operators.series.neighbours`).
+    Deterministic and stable under repartitioning.  Every row is kept: a missing key is a
+    key of its own, written as '' in the hash.  Rows are counted per key and first ``bucket_bits`` bits of
+    the hash (uniform; a multiple of 4); buckets before the boundary are test, those after it
+    train, and only the one bucket of a key that holds the boundary is ranked.
     """
     if bucket_bits <= 0 or bucket_bits % 4:
         raise ValueError("bucket_bits must be a positive multiple of 4")
-    from gridpv.operators.series import CHUNK, neighbours
+    from pyspark.sql import Window
 
     keys = list(keys)
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
     h = F.md5(F.concat_ws("|", *parts, epoch_us(ts).cast("string"), F.lit(str(seed))))
-    x = df.withColumns({"_h": h})
-    x = x.withColumn(CHUNK, F.conv(F.substring("_h", 1, bucket_bits // 4), 16, 10).cast("long"))
-    x = neighbours(x, keys, "_h", {}, tiebreak=[ts, *tiebreak])
-    n_test = F.ceil(F.col("_cnt") * F.lit(test_size))
-    return x.withColumn("split", F.when(F.col("_rn") <= n_test, "test").otherwise("train")).drop(
-        "_h", "_rn", "_cnt", CHUNK
+    x = df.withColumns({"_h": h}).withColumn("_b", F.conv(F.substring("_h", 1, bucket_bits // 4), 16, 10).cast("long"))
+    counts = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    per_key = Window.partitionBy(*keys)
+    before = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    n_test = F.ceil(F.sum("_n").over(per_key) * F.lit(test_size))
+    counts = counts.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), "_n",
+        (n_test - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_need"),
     )
+    same = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    x = x.join(counts, same)
+    split_at = (F.col("_need") > 0) & (F.col("_need") < F.col("_n"))
+    whole = x.filter(~split_at).withColumn("split", F.when(F.col("_need") > 0, "test").otherwise("train"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_h", ts, *tiebreak)
+    edge = x.filter(split_at).withColumn("_r", F.row_number().over(inside))
+    edge = edge.withColumn("split", F.when(F.col("_r") <= F.col("_need"), "test").otherwise("train")).drop("_r")
+    return whole.unionByName(edge).select(*df.columns, "split")
 
 
 # --------------------------------------------------------------------------- J2 scale
@@ -140,14 +152,16 @@ SELECTORS = {
 
 
 def estimator(preset: str = "boosted_tuned", features: str = "features", label: str = TARGET,
-              prediction: str = PRED, max_depth_cap: int = 30):
-    p = dict(PRESETS[preset])
+              prediction: str = PRED, **changes):
+    """The estimator of a preset, with parameters of the preset replaced by ``changes``."""
+    p = PRESETS[preset] | changes
     kind = p.pop("kind")
-    p["maxDepth"] = min(p.get("maxDepth", 5), max_depth_cap)
+    if p.get("maxDepth", 5) > 30:
+        raise ValueError("trees deeper than 30 levels are not supported")
     # Node-id caching pays off for deep trees only (measured ~2x slower at depth 6);
     # checkpoints every 10 iterations keep the lineage of boosting short.
     common = dict(featuresCol=features, labelCol=label, predictionCol=prediction, maxBins=64,
-                  checkpointInterval=10, cacheNodeIds=p["maxDepth"] > 10)
+                  checkpointInterval=10, cacheNodeIds=p.get("maxDepth", 5) > 10)
     if kind == "gbt":
         return GBTRegressor(**common, **p)
     return RandomForestRegressor(**common, **p)
@@ -162,69 +176,99 @@ def feature_columns(df: DataFrame, target: str = TARGET, exclude: Sequence[str]
             if isinstance(f.dataType, num) and f.name != target and f.name not in exclude]
 
 
+def preparation(train: DataFrame, features: Sequence[str], out: str = "_all_features") -> Pipeline:
+    """Stages that turn rows into one vector, whatever is missing.
+
+    The reference's boosted trees take missing values; Spark's do not.  A missing number becomes the
+    median of the train rows (0 if none is present) and, where train rows lack it, an indicator feature
+    says so.  Text features are indexed by frequency; values not seen in training get an index of
+    their own.
+    """
+    from pyspark.sql import types as T
+
+    features = list(features)
+    text = [c for c in features if isinstance(train.schema[c].dataType, T.StringType)]
+    numbers = [c for c in features if c not in text]
+    value = lambda c: f"nanvl(CAST({quote(c)} AS DOUBLE), NULL)"
+    seen = train.agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"count({value(c)})").alias(f"c{i}") for i, c in enumerate(numbers)])
+    row = seen.first()
+    gaps = [c for i, c in enumerate(numbers) if row[f"c{i}"] < row["n"]]
+    empty = [c for i, c in enumerate(numbers) if row[f"c{i}"] == 0]
+    columns = [f"{'CAST(0 AS DOUBLE)' if c in empty else value(c)} AS `_imp_{c}`" for c in numbers]
+    columns += [f"CAST({value(c)} IS NULL AS DOUBLE) AS `_gap_{c}`" for c in gaps]
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")] if columns else []
+    filled = [f"_imp_{c}" for c in numbers if c not in empty]
+    if filled:
+        stages.append(Imputer(strategy="median", inputCols=filled, outputCols=filled))
+    if text:
+        stages.append(StringIndexer(inputCols=text, outputCols=[f"_idx_{c}" for c in text], handleInvalid="keep"))
+    names = [f"_imp_{c}" for c in numbers] + [f"_idx_{c}" for c in text] + [f"_gap_{c}" for c in gaps]
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=names, outputCol=out)])
+
+
+def _important(vectors: DataFrame, n: int, preset: str, label: str) -> list[int]:
+    """Positions of the vector whose importance is at least the mean."""
+    model = estimator(preset, features="_all_features", label=label, prediction="_fs_pred").fit(vectors)
+    imp = model.featureImportances.toArray()
+    mean = float(imp.mean()) if len(imp) else 0.0
+    return [i for i, v in enumerate(imp) if v >= mean] or list(range(n))
+
+
+def _vectors(prepared: PipelineModel, train: DataFrame, label: str) -> DataFrame:
+    """The training vectors, kept while models are fitted on them."""
+    rows = prepared.transform(train).filter(F.col(label).isNotNull())
+    return rows.select("_all_features", label).persist()
+
+
+def _feature_names(prepared: PipelineModel) -> list[str]:
+    names = [c[5:] if c[:5] in ("_imp_", "_idx_") else f"{c[5:]}_missing" for c in prepared.stages[-1].getInputCols()]
+    return names
+
+
 def select_features(train: DataFrame, features: Sequence[str], preset: str = "selector",
                     label: str = TARGET) -> list[str]:
     """Fit a tree model; keep features with importance >= mean importance."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="_fs_features", handleInvalid="keep")
-    est = estimator(preset, features="_fs_features", label=label, prediction="_fs_pred")
-    model = est.fit(asm.transform(complete_rows(train, list(features) + [label])))
-    imp = model.featureImportances.toArray()
-    mean = float(imp.mean()) if len(imp) else 0.0
-    keep = [f for f, v in zip(features, imp) if v >= mean]
-    return keep or list(features)
+    prepared = preparation(train, features).fit(train)
+    vectors = _vectors(prepared, train, label)
+    names = _feature_names(prepared)
+    keep = [names[i] for i in _important(vectors, len(names), preset, label)]
+    vectors.unpersist()
+    return keep
 
 
 def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     """H4: importance per selected feature, descending."""
-    tree = model.stages[-1]
-    names = model.stages[0].getInputCols()
+    names = _feature_names(model.stages[0])
     if len(model.stages) > 2:
         names = [names[i] for i in model.stages[1].getIndices()]
-    imp = tree.featureImportances.toArray()
+    imp = model.stages[-1].featureImportances.toArray()
     rows = sorted(zip(names, (float(v) for v in imp)), key=lambda r: -r[1])
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
 def fit(train: DataFrame, features: Sequence[str], preset: str = "boosted_tuned", select: bool = True,
         label: str = TARGET) -> PipelineModel:
-    """Assemble, optionally select features by importance (with the
-    selector the reference pairs with this preset), fit the preset.
+    """Prepare the features, optionally select them by importance (with the selector the
+    reference pairs with this preset), fit the preset.  Rows without a label are not used.
 
     The reference's forest pipelines also standard-scale first; tree splits
     (and Spark's quantile binning) do not change under a per-feature monotone
     transform, so that step is left out.  Training data should be materialised
-    first (see :func:`materialize`).
+    first (see :func:`materialize`).  The vectors are made once for all fits.
     """
-    features = list(features)
-    train = complete_rows(train, features + [label])
-    asm = VectorAssembler(inputCols=features, outputCol="_all_features", handleInvalid="keep")
-    stages = [asm]
-    if select:
-        keep = select_features(train, features, preset=SELECTORS.get(preset, "selector"), label=label)
-        idx = [features.index(f) for f in keep]
-        stages.append(VectorSlicer(inputCol="_all_features", outputCol="features", indices=idx))
-    else:
-        asm.setOutputCol("features")
-    stages.append(estimator(preset, label=label))
-    return Pipeline(stages=stages).fit(train)
-
-
-def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows where every one of ``cols`` is present (trees take no missing values)."""
-    return df.na.drop("any", subset=list(cols))
+    prepared = preparation(train, list(features)).fit(train)
+    vectors = _vectors(prepared, train, label)
+    n = len(prepared.stages[-1].getInputCols())
+    keep = _important(vectors, n, SELECTORS.get(preset, "selector"), label) if select else list(range(n))
+    slicer = VectorSlicer(inputCol="_all_features", outputCol="features", indices=keep)
+    tree = estimator(preset, label=label).fit(slicer.transform(vectors))
+    vectors.unpersist()
+    return PipelineModel(stages=[prepared, slicer, tree])
 
 
 def predict(model: PipelineModel, df: DataFrame, pred: str = PRED) -> DataFrame:
-    """Predictions for every row (train and test together); rows with a missing
-    feature keep a NULL prediction."""
-    feats = model.stages[0].getInputCols()
-    ok = F.lit(True)
-    for c in feats:
-        ok = ok & F.col(c).isNotNull()
-    out = model.transform(df.filter(ok))
-    drop = [c for c in ("_all_features", "features", "_fs_features") if c in out.columns]
-    rest = df.filter(~ok).withColumn(pred, F.lit(None).cast("double"))
-    return out.drop(*drop).unionByName(rest)
+    """Predictions for every row (train and test together), also where features are missing."""
+    return model.transform(df).select(*[c for c in df.columns if c != pred], pred)
 
 
 def evaluate(scored: dict[str, DataFrame], actual: str = TARGET, pred: str = PRED) -> DataFrame:

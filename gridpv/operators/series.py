@@ -86,7 +86,7 @@ def neighbours(
     keys = list(keys)
     x = with_chunk(df, ts, chunk_us)
     part = ", ".join(quote(c) for c in keys + [CHUNK])
-    kpart = ", ".join(quote(c) for c in keys)
+    kpart = ", ".join(quote(c) for c in keys) or "1"  # no keys: the table is one series
     order = [ts, *tiebreak]
     asc = ", ".join(f"{quote(o)} ASC NULLS FIRST" for o in order)
     desc = ", ".join(f"{quote(o)} DESC NULLS LAST" for o in order)
@@ -319,22 +319,25 @@ def regularize(
     # Only the rows are shuffled by (keys, chunk); the grid is generated already
     # partitioned that way (from one row per key and chunk), and the union keeps
     # the common partitioning, so the aggregation below needs no further shuffle.
-    d = data.repartition(*keys, CHUNK).select(*keys, ts, CHUNK, F.lit(True).alias("_g0"), F.lit(False).alias("_g"),
-                                              F.struct(*payload).alias("_d"))
+    strict = on_duplicate == "error"
+    # One row per slot at most when duplicates fail, so the maximum of each column is that row's
+    # value and fixed-width columns aggregate by hash; "max" compares whole rows instead.
+    held = [F.col(c) for c in payload] if strict else [F.struct(*payload).alias("_d")]
+    d = data.repartition(*keys, CHUNK).select(*keys, ts, CHUNK, F.lit(False).alias("_g"), *held)
+    names = [c for c in d.columns if c not in keys and c not in (ts, CHUNK, "_g")]
     grid = time_grid(data, keys, ts, step_us, chunk_us=chunk_us)
-    g = grid.select(*keys, ts, CHUNK, F.lit(False).alias("_g0"), F.lit(True).alias("_g"),
-                    F.lit(None).cast(d.schema["_d"].dataType).alias("_d"))
-    u = d.unionByName(g)
-    r = u.groupBy(*keys, CHUNK, ts).agg(F.max("_g").alias("_on_grid"), F.count("_d").alias("_n"),
-                                        F.max("_d").alias("_d"))
-    if on_duplicate == "error":
-        dcol = F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate timestamps within a key"))).otherwise(F.col("_d"))
-    else:
-        dcol = F.col("_d")
-    r = r.withColumn("_d", dcol)
+    g = grid.select(*keys, ts, CHUNK, F.lit(True).alias("_g"),
+                    *[F.lit(None).cast(d.schema[c].dataType).alias(c) for c in names])
+    r = d.unionByName(g).groupBy(*keys, CHUNK, ts).agg(
+        F.max("_g").alias("_on_grid"), F.count(F.when(~F.col("_g"), 1)).alias("_n"), *[F.max(c).alias(c) for c in names])
     if not keep_off_grid:
         r = r.filter("_on_grid")
-    cols = [*keys, ts, CHUNK] + [F.col("_d")[c].alias(c) for c in payload]
+    if strict:
+        r = r.filter(F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate timestamps within a key")).cast("boolean"))
+                     .otherwise(F.lit(True)))
+        cols = [*keys, ts, CHUNK, *payload]
+    else:
+        cols = [*keys, ts, CHUNK] + [F.col("_d")[c].alias(c) for c in payload]
     if keep_off_grid:
         cols.append("_on_grid")
     return r.select(*cols)
@@ -356,20 +359,44 @@ def merge_on_time(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: st
     fixed = set(keys) | {ts, CHUNK}
     lcols = [c for c in lx.columns if c not in fixed]
     rcols = [c for c in rx.columns if c not in fixed and c not in lcols]
-    lt = lx.select(F.struct(*lcols).alias("_l")).schema["_l"].dataType
-    rt = rx.select(F.struct(*rcols).alias("_r")).schema["_r"].dataType
-    lpart = lx.select(*keys, ts, CHUNK, F.struct(*lcols).alias("_l"), F.lit(None).cast(rt).alias("_r"))
-    rpart = rx.select(*keys, ts, CHUNK, F.lit(None).cast(lt).alias("_l"), F.struct(*rcols).alias("_r"))
+    none = lambda x, cols: [F.lit(None).cast(x.schema[c].dataType).alias(c) for c in cols]
+    lpart = lx.select(*keys, ts, CHUNK, F.lit(True).alias("_is_left"), *lcols, *none(rx, rcols))
+    rpart = rx.select(*keys, ts, CHUNK, F.lit(False).alias("_is_left"), *none(lx, lcols), *rcols)
     u = lpart.unionByName(rpart).repartition(*keys, CHUNK)
+    # One row a side at most (checked), so the maximum of each column is that row's value.
     g = u.groupBy(*keys, CHUNK, ts).agg(
-        F.count("_l").alias("_nl"), F.max("_l").alias("_l"), F.count("_r").alias("_nr"), F.max("_r").alias("_r")
-    )
+        F.count(F.when(F.col("_is_left"), 1)).alias("_nl"), F.count(F.when(~F.col("_is_left"), 1)).alias("_nr"),
+        *[F.max(c).alias(c) for c in lcols + rcols])
     dup = (F.col("_nl") > 1) | (F.col("_nr") > 1)
-    g = g.filter(F.col("_nl") > 0).withColumn(
-        "_l", F.when(dup, F.raise_error(F.lit("repeated timestamp within a key"))).otherwise(F.col("_l"))
-    )
-    return g.select(*keys, ts, CHUNK, *[F.col("_l")[c].alias(c) for c in lcols],
-                    *[F.col("_r")[c].alias(c) for c in rcols])
+    fail = F.raise_error(F.lit("repeated timestamp within a key")).cast("boolean")
+    return g.filter(F.col("_nl") > 0).filter(F.when(dup, fail).otherwise(F.lit(True))).select(*keys, ts, CHUNK, *lcols, *rcols)
+
+
+def merge_on_hour(left: DataFrame, hourly: DataFrame, keys: Sequence[str], ts: str,
+                  chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
+    """Each row of ``left`` with the row of ``hourly`` (at full hours, one per key and hour) of its
+    hour, whatever the step of ``left``.
+
+    Both sides are unioned, co-partitioned by ``(keys, chunk)`` and grouped by hour; the rows of
+    an hour (as many as its steps) are listed and expanded again.  A repeated hour fails the job.
+    """
+    keys = list(keys)
+    lx, rx = with_chunk(left, ts, chunk_us), with_chunk(hourly, ts, chunk_us)
+    fixed = set(keys) | {ts, CHUNK}
+    lcols = [c for c in lx.columns if c not in fixed]
+    rcols = [c for c in rx.columns if c not in fixed and c not in lcols]
+    row = F.struct(ts, *lcols)
+    lpart = lx.select(*keys, CHUNK, trunc_ntz(ts, "hour").alias("_hour"), row.alias("_l"),
+                      *[F.lit(None).cast(rx.schema[c].dataType).alias(c) for c in rcols])
+    rpart = rx.select(*keys, CHUNK, F.col(ts).alias("_hour"), F.lit(None).cast(lpart.schema["_l"].dataType).alias("_l"), *rcols)
+    u = lpart.unionByName(rpart).repartition(*keys, CHUNK)
+    g = u.groupBy(*keys, CHUNK, "_hour").agg(
+        F.collect_list("_l").alias("_ls"), F.count(F.when(F.col("_l").isNull(), 1)).alias("_nr"),
+        *[F.max(c).alias(c) for c in rcols])
+    fail = F.raise_error(F.lit("repeated hour within a key")).cast("boolean")
+    g = g.filter(F.when(F.col("_nr") > 1, fail).otherwise(F.lit(True)))
+    g = g.select(*keys, CHUNK, F.explode("_ls").alias("_l"), *rcols)
+    return g.select(*keys, F.col("_l")[ts].alias(ts), CHUNK, *[F.col("_l")[c].alias(c) for c in lcols], *rcols)
 
 
 def missing_slots(df: DataFrame, keys: Sequence[str], ts: str, step_us: int = HALF_HOUR_US,
@@ -403,9 +430,22 @@ def to_hourly(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
 
 def nth_from_end(df: DataFrame, keys: Sequence[str], ts: str, n: int = 50,
                  tiebreak: Sequence[str] = (), chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
-    """The n-th row from the end of each key (``iloc[-n]``), skew-safe."""
-    x = row_index(df, keys, ts, tiebreak, chunk_us)
-    return x.filter(F.col("_rn") == F.col("_cnt") - F.lit(n - 1)).drop("_rn", "_cnt", CHUNK)
+    """The n-th row from the end of each key (``iloc[-n]``), skew-safe.
+
+    Rows are counted per (key, chunk); only the chunk that holds the n-th row is numbered.
+    """
+    from pyspark.sql import Window
+
+    keys = list(keys)
+    x = with_chunk(df, ts, chunk_us).dropna(subset=[*keys, CHUNK])
+    later = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = x.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    place = counts.filter((F.col("_later") < n) & (F.col("_later") + F.col("_n") >= n)).drop("_n")
+    order = [F.col(c).desc_nulls_last() for c in [ts, *tiebreak]]
+    own = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    x = x.join(place, [*keys, CHUNK]).withColumn("_r", F.row_number().over(own))
+    return x.filter(F.col("_r") == F.lit(n) - F.col("_later")).select(*[c for c in df.columns if c != CHUNK])
 
 
 def trailing(df: DataFrame, keys: Sequence[str], ts: str, span: str) -> DataFrame:
@@ -420,4 +460,6 @@ def trailing(df: DataFrame, keys: Sequence[str], ts: str, span: str) -> DataFram
         "1m": F.timestamp_add("MONTH", F.lit(-1), F.col("_last")),
         "3m": F.timestamp_add("MONTH", F.lit(-3), F.col("_last")),
     }
-    return df.join(last, keys).filter(F.col(ts) >= spans[span]).drop("_last")
+    # the earliest cut-off of all keys bounds the scan before the join
+    bound = last.select(F.min(spans[span])).scalar()
+    return df.filter(F.col(ts) >= bound).join(last, keys).filter(F.col(ts) >= spans[span]).drop("_last")

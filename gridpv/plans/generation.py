@@ -94,7 +94,8 @@ def generation_with_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence
 
     keys = list(keys)
     chunk_us = series.chunk_for_step(step_us)
-    g = gen.withColumn(ts, to_utc_ntz(ts))
+    # Rows without a key or a time have no place in a series: they go with every method.
+    g = gen.withColumn(ts, to_utc_ntz(ts)).dropna(subset=[*keys, ts])
     months = g.select(*keys, F.year(ts).alias("year"), F.month(ts).alias("month")).distinct()
     cap = carried_capacity(months, capacity, keys)
     # Each (key, month) is repeated for the chunks the month overlaps (a handful),
@@ -131,12 +132,12 @@ def generation_with_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence
 
 def modelling_table(weather: DataFrame, gen_cap: DataFrame, keys: Sequence[str], ts: str = "datetime_gmt",
                     date: str = "date") -> DataFrame:
-    """K5: hourly weather rows with the hour mean of generation and capacity (F1,
+    """K5: weather rows (of any step) with the mean of generation and capacity of their hour (F1,
     D5), remaining gaps filled linearly by position (G2)."""
     keys = list(keys)
     hourly = series.to_hourly(gen_cap, keys, ts, ["generation_mw", "capacity_mwp"], out_ts=date)
     chunk = series.chunk_for_step(series.HOUR_US)
-    x = series.merge_on_time(weather.drop(CHUNK) if CHUNK in weather.columns else weather,
+    x = series.merge_on_hour(weather.drop(CHUNK) if CHUNK in weather.columns else weather,
                              hourly.drop(CHUNK), keys, date, chunk_us=chunk)
     x = series.interpolate_linear(x, keys, date, ["generation_mw", "capacity_mwp"])
     return x.drop(CHUNK)

@@ -18,7 +18,9 @@ def train_and_score(table: DataFrame, keys: Sequence[str], ts: str = "date", pre
     x = model.split(table, keys, ts)
     x = model.materialize(x)
     exclude = [ts, "split"] + ([] if key_features else keys)
-    feats = [f for f in model.feature_columns(x, exclude=exclude)]
+    feats = model.feature_columns(x, exclude=exclude)
+    if key_features:  # text keys become features too
+        feats += [k for k in keys if k not in feats]
     train = x.filter("split = 'train'")
     m = model.fit(train, feats, preset=preset, select=select)
     scored = model.predict(m, x)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "gridpv") -> SparkSession:
-    """A session configured the way the library expects: UTC, AQE on, no UI."""
-    return (
+def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "gridpv",
+                checkpoint: str | None = None) -> SparkSession:
+    """A session configured the way the library expects: UTC, AQE on, no UI; ``checkpoint`` is a
+    folder that all executors share."""
+    builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -20,24 +20,23 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder: ``spark.checkpoint.dir`` of the session.
 
-    On a cluster the deployment names a shared folder there (Spark then also
-    points the context's checkpoint directory at it).  Only a local-mode
-    session without the setting gets a fresh folder of its own, as tests and
-    local benches need; any other session without it is an error.
+    The deployment names a folder there that all executors share (Spark then also points the
+    context's checkpoint directory at it).  Without it this is an error: tests and benches set a
+    folder of their own.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this job")
-        path = tempfile.mkdtemp(prefix="gridpv-ckpt-")
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this job")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

@@ -36,11 +36,18 @@ def read_capacity(spark: SparkSession, path: str, history: bool = True, release:
 
 def read_locations(spark: SparkSession, path: str) -> DataFrame:
     """A3: location CSV; ids stay text (they are coerced by C6); ``row_ord`` keeps
-    the file order for "first row" rules."""
+    the order of rows, file by file (by path), for "first row" rules."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     types = {"gsp_lat": "double", "gsp_lon": "double", "pes_id": "int"}
     cols = [F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in raw.columns]
-    return raw.select(*cols, F.monotonically_increasing_id().alias("row_ord"))
+    # the partition order of several files is not theirs; the rank of a path is over file names only
+    place = raw.select(*cols, F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
+    paths = sorted(r[0] for r in place.select("_path").distinct().collect())
+    if len(paths) < 2:
+        return place.select(*raw.columns, F.col("_id").alias("row_ord"))
+    rank = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p), F.lit(i))])[F.col("_path")]
+    # ids have 33 bits within a partition; a file of several partitions keeps their order
+    return place.select(*raw.columns, (rank.cast("decimal(38,0)") * (1 << 62) + F.col("_id")).alias("row_ord"))
 
 
 def select_generation(gen: DataFrame, start: str, end: str, gsp_ids: DataFrame | Sequence[int] | None = None,
@@ -84,7 +91,7 @@ def read_weather_payload(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
-                mode: str = "overwrite") -> None:
+                mode: str = "errorifexists") -> None:
     """Export (CSV with header or parquet), optionally partitioned."""
     w = df.write.mode(mode)
     if partition_by:

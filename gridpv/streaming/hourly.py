@@ -3,9 +3,8 @@
 Generation files land in a folder (parquet, :data:`GENERATION_SCHEMA`).  Each
 row joins its hour; rows arriving up to ``watermark`` late still count; an hour
 is written once, when the watermark passes its end (append mode).  State is
-one partial mean per key and open hour.  The checkpoint lives in the session's
-``spark.checkpoint.dir`` (a shared folder on a cluster), so a restarted or
-moved driver resumes where it stopped.
+one partial mean per key and open hour.  The caller names the checkpoint folder, so a
+restarted or moved driver resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -38,11 +37,9 @@ def hourly_stream(spark: SparkSession, source: str, keys: Sequence[str] = ("gsp_
     )
 
 
-def write_hourly(df: DataFrame, target: str, name: str = "gridpv_hourly", once: bool = True) -> StreamingQuery:
-    """Append closed hours to a parquet table; checkpoint under ``spark.checkpoint.dir``."""
-    from gridpv.session import checkpoint_dir
-
-    ckpt = checkpoint_dir(df.sparkSession).rstrip("/") + f"/{name}"
-    w = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
+def write_hourly(df: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Append closed hours to a parquet table.  ``checkpoint`` is the state folder of this very job
+    (source and target), on storage that all executors share."""
+    w = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="1 minute")
     return w.start(target)

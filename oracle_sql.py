@@ -7,6 +7,8 @@ FIXTURES.md Part 2.
 
 from __future__ import annotations
 
+from gridpv.catalog import NATIONS
+
 ROLES = {
     "r1": """r1 AS (
   SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) AS datetime_gmt,
@@ -522,17 +524,18 @@ def oracle_sql() -> dict[str, str]:
         "SELECT g.*, round(c.capacity_mwp, 6) AS capacity_mwp FROM g LEFT JOIN capg c USING (gsp_id, year, month)")
     q["k4_capacity_calendar"] = with_ctes(CAPM, "SELECT * FROM capm")
     q["k5_modelling_table"] = with_ctes(
-        WX + reg_r1() + [
+        WX + reg_r1() + CELLS + [
+            "capm AS (SELECT month(install_month) AS m, sum(cumul_capacity_mwp) AS capacity_mwp FROM cells GROUP BY 1)",
             fill_cte("f", "reg", K, TS, "generation_mw", "time", limit=12),
             f"hr AS (SELECT event_type, date_trunc('hour', {TS}) AS date, avg(generation_mw) AS generation_mw, "
-            f"CAST(NULL AS DOUBLE) AS capacity_mwp FROM f GROUP BY 1, 2)",
+            f"avg(k.capacity_mwp) AS capacity_mwp FROM f LEFT JOIN capm k ON k.m = month(f.{TS}) GROUP BY 1, 2)",
             "j AS (SELECT w.*, hr.generation_mw, hr.capacity_mwp FROM wx w LEFT JOIN hr USING (event_type, date))",
             fill_cte("m1", "j", K, "date", "generation_mw", "linear"),
             fill_cte("m2", "m1", K, "date", "capacity_mwp", "linear")],
         "SELECT event_type, date, " + ", ".join(f"round({v}, 6) AS {v}" for v in WEATHER)
         + ", year, month, day, hour, round(generation_mw, 6) AS generation_mw, round(capacity_mwp, 6) AS capacity_mwp FROM m2")
-    q["i1_wide_capacity"] = with_ctes(
-        CELLS, f'SELECT * FROM (PIVOT (SELECT * REPLACE ({TSM}) FROM cells) ON "GSPs" USING first(cumul_capacity_mwp) GROUP BY install_month)')
+    names = ", ".join(f"""max(cumul_capacity_mwp) FILTER (WHERE "GSPs" = '{n}') AS "{n}\"""" for n in NATIONS)
+    q["i1_wide_capacity"] = with_ctes(CELLS, f"SELECT {TSM}, {names} FROM cells GROUP BY install_month")
     q["i2_long_capacity"] = with_ctes(CELLS, f"SELECT * REPLACE ({TSM}) FROM cells")
     loc_map = ("SELECT g.*, c.cumul_capacity_mwp AS latest_capacity_mwp FROM glb g LEFT JOIN "
                "(SELECT * FROM {src} WHERE install_month = (SELECT max(install_month) FROM {src})) c USING (\"GSPs\")")
@@ -541,17 +544,50 @@ def oracle_sql() -> dict[str, str]:
         GL + CELLS[len(MERGED):] + ["cf AS (SELECT * FROM cells WHERE install_month < DATE '2001-08-01')"],
         loc_map.format(src="cf"))
     cf = CELLS + ["cf AS (SELECT * FROM cells WHERE install_month < DATE '2001-08-01')"]
-    q["f9_national_capacity"] = with_ctes(
-        cf, "SELECT (SELECT count(DISTINCT \"GSPs\") FROM cf) AS gsp_count, "
-        "CAST(trunc(coalesce(sum(cumul_capacity_mwp), 0.0) / 1000) AS BIGINT) AS total_solar_capacity_gwp "
-        "FROM cf WHERE install_month = (SELECT max(install_month) FROM cf)")
     top = ("top AS (SELECT \"GSPs\", cumul_capacity_mwp FROM cs WHERE install_month = (SELECT max(install_month) FROM cs) "
            "ORDER BY cumul_capacity_mwp DESC NULLS LAST, \"GSPs\" LIMIT 10)")
-    cs = cf + ["cs AS (SELECT * FROM cf WHERE install_month >= DATE '1997-01-01')", top]
-    q["h3_top_gsps"] = with_ctes(cs, "SELECT \"GSPs\", cumul_capacity_mwp FROM top")
-    q["k10_growth_top"] = with_ctes(
-        cs, "SELECT CAST(install_month AS TIMESTAMP) AS install_month, \"GSPs\", cumul_capacity_mwp FROM cs "
-        "WHERE \"GSPs\" IN (SELECT \"GSPs\" FROM top)")
+    for suffix, base in (("", CELLS + ["cf AS (SELECT * FROM cells)"]), ("_full_month", cf)):
+        q[f"f9_national_capacity{suffix}"] = with_ctes(
+            base, "SELECT (SELECT count(DISTINCT \"GSPs\") FROM cf) AS gsp_count, "
+            "CAST(trunc(coalesce(sum(cumul_capacity_mwp), 0.0) / 1000) AS BIGINT) AS total_solar_capacity_gwp "
+            "FROM cf WHERE install_month = (SELECT max(install_month) FROM cf)")
+        cs = base + ["cs AS (SELECT * FROM cf WHERE install_month >= DATE '1997-01-01')", top]
+        q[f"h3_top_gsps{suffix}"] = with_ctes(cs, "SELECT \"GSPs\", cumul_capacity_mwp FROM top")
+        q[f"k10_growth_top{suffix}"] = with_ctes(
+            cs, "SELECT CAST(install_month AS TIMESTAMP) AS install_month, \"GSPs\", cumul_capacity_mwp FROM cs "
+            "WHERE \"GSPs\" IN (SELECT \"GSPs\" FROM top)")
+    q["c5_select_ids"] = with_ctes(
+        ["r2"], "SELECT 'list' AS source, gsp_id, count(*) AS n_rows FROM r2 WHERE gsp_id IN (1, 2, 3) GROUP BY gsp_id "
+        "UNION ALL SELECT 'table', gsp_id, count(*) FROM r2 WHERE gsp_id > 5 GROUP BY gsp_id")
+    q["d5_half_hour_weather"] = with_ctes(
+        WX + ["r1", f"hr AS (SELECT event_type, date_trunc('hour', {TS}) AS h, avg(generation_mw) AS generation_mw FROM r1 GROUP BY 1, 2)"],
+        "SELECT w.event_type, w.date + m * INTERVAL 1 MINUTE AS date, round(w.shortwave_radiation, 6) AS shortwave_radiation, "
+        "round(hr.generation_mw, 6) AS generation_mw FROM wx w CROSS JOIN (VALUES (10), (40)) o(m) "
+        "LEFT JOIN hr ON hr.event_type = w.event_type AND hr.h = date_trunc('hour', w.date)")
+    q["j11_residual_points"] = with_ctes(
+        SCORED + [split_cte("scored")], "SELECT split, count(*) AS n, round(sum(generation_mw), 6) AS actual, "
+        "round(sum(pred_generation_mw), 6) AS predicted FROM sp GROUP BY 1")
+    r2 = ["r2", f"t AS (SELECT gsp_id, {TS}, generation_mw FROM r2)"]
+    q["k13_null_profile"] = with_ctes(
+        r2, " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS n_missing, count(*) FILTER (WHERE {c} IS NULL) > 0 "
+            f"AS any_missing, count(*) FILTER (WHERE gsp_id IS NULL OR {TS} IS NULL OR generation_mw IS NULL) AS rows_with_missing, "
+            "count(*) AS n_rows FROM t" for c in ("gsp_id", TS, "generation_mw")))
+    q["k13_nulls_by_month"] = with_ctes(
+        r2, f"SELECT CAST(year({TS}) AS INTEGER) AS year, CAST(month({TS}) AS INTEGER) AS month, "
+        "count(*) FILTER (WHERE generation_mw IS NULL) AS n_missing FROM t GROUP BY 1, 2")
+    q["k13_rows_by_month"] = with_ctes(r2, f"SELECT strftime({TS}, '%Y-%m') AS month, count(*) AS n_rows FROM t GROUP BY 1")
+    day = 86_400_000_000
+    q["k13_completeness"] = with_ctes(
+        r2, f"SELECT gsp_id, n AS n_rows, e AS expected_rows, m AS n_missing, n = e AND m = 0 AS complete FROM (SELECT gsp_id, count(*) AS n, "
+        f"(epoch_us(max({TS})) - epoch_us(min({TS}))) // {day} + 1 AS e, count(*) FILTER (WHERE generation_mw IS NULL) AS m FROM t GROUP BY 1)")
+    q["k13_missing_slots"] = with_ctes(
+        r2 + [f"x AS (SELECT gsp_id, min({TS}) AS lo, max({TS}) AS hi FROM t GROUP BY 1)",
+              f"g AS (SELECT gsp_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS {TS} FROM x)"],
+        f"SELECT g.gsp_id, g.{TS} FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.gsp_id = g.gsp_id AND t.{TS} = g.{TS})")
+    q["k13_incomplete_rows"] = with_ctes(
+        r2, f"SELECT gsp_id, {TS}, round(generation_mw, 6) AS generation_mw FROM t WHERE gsp_id IS NULL OR {TS} IS NULL "
+        f"OR generation_mw IS NULL ORDER BY gsp_id NULLS FIRST, {TS} NULLS FIRST LIMIT 20")
     q["k11_annual_capacity"] = with_ctes(
         CELLS + [
             "cy AS (SELECT *, CAST(year(install_month) AS INTEGER) AS year FROM cells WHERE install_month >= DATE '1997-01-01')",

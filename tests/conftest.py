@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,10 +18,12 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gridpv-tests-"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     from gridpv.session import checkpoint_dir
 
-    checkpoint_dir(s)  # the session's setting, or a local folder when unset
+    checkpoint_dir(s)
     yield s

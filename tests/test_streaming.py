@@ -24,10 +24,10 @@ def test_streaming_hourly_matches_batch_for_closed_hours(spark):
     base = tempfile.mkdtemp(prefix="gridpv-stream-")
     src, out = os.path.join(base, "src"), os.path.join(base, "out")
     spark.createDataFrame(_rows(6), GENERATION_SCHEMA).write.parquet(os.path.join(src, "b1"))
-    q = write_hourly(hourly_stream(spark, src + "/*"), out, name=f"hourly-{os.path.basename(base)}")
+    q = write_hourly(hourly_stream(spark, src + "/*"), out, os.path.join(base, "state"))
     q.awaitTermination()
     spark.createDataFrame(_rows(6, start=6), GENERATION_SCHEMA).write.parquet(os.path.join(src, "b2"))
-    q = write_hourly(hourly_stream(spark, src + "/*"), out, name=f"hourly-{os.path.basename(base)}")
+    q = write_hourly(hourly_stream(spark, src + "/*"), out, os.path.join(base, "state"))
     q.awaitTermination()
 
     got = {(r["gsp_id"], r["datetime_gmt"]): r["generation_mw"] for r in spark.read.parquet(out).collect()}
