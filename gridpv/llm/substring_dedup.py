@@ -234,7 +234,7 @@ def _route_places(window: int):
     return run
 
 
-def _segments(window: int):
+def _segments(window: int, text_col: str):
     """Rows (route, id, digest, start, stop, segment): the segments on repeated routes, and with
     a null segment the spans that are repeats within the batch."""
 
@@ -243,14 +243,16 @@ def _segments(window: int):
             kept: dict[bytes, tuple] = {}
             ties: list[tuple] = []
             spans: list[tuple] = []
-            for part in slices(batch, "text"):
-                texts = Texts(part.column("text"))
+            batch = batch.append_column("_sd_text", batch.column("_sd_row").field(text_col))
+            for part in slices(batch, "_sd_text"):
+                texts = Texts(part.column("_sd_text"))
                 words = texts.hashes()
-                ids = part.column("id").to_pylist()
-                digests = part.column("digest").to_pylist()
+                ids = part.column("_sd_id").to_pylist()
+                digests = part.column("_sd_digest").to_pylist()
                 known = part.column("routes").to_pylist()
+                copies = part.column("copies").to_pylist()
                 for i, (a, b) in enumerate(zip(texts.first[:-1], texts.first[1:], strict=True)):
-                    if b - a < window or not known[i]:
+                    if b - a < window or digests[i] in (copies[i] or ()):
                         continue
                     route, _ = routes(words[a:b], window)
                     repeated = np.array([x["route"] for x in known[i]], np.int64).view(np.uint64)
@@ -374,9 +376,13 @@ def _rank(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents (id, digest, ...) and per document its spans (start, stop) of words to
-    remove; a span from 0 to -1 stands for a whole document equal to an earlier one."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+    """All rows of ``docs`` with ``n_words``, ``n_removed`` (long) and ``kept_text``: the words not
+    covered by an earlier window, joined by one space.  See the module for the rules.
+
+    Whole rows travel as one struct next to their id, so the two joins that need the texts share
+    one exchange.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(_rank(id_col).alias("id"), text.alias("text"))
     counts = plain.select("text").mapInArrow(_route_counts(window), "route long, times long")
@@ -387,55 +393,43 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     places = plain.mapInArrow(_route_places(window), "route long, id long")
     known = (
         places.join(repeated, "route")
-        .groupBy("id")
+        .groupBy(F.col("id").alias("_sd_id"))
         .agg(F.collect_set(F.struct("route", (F.col("times") > HOT).alias("hot"))).alias("routes"))
     )
     hashed = plain.select("id", F.xxhash64("text").alias("digest"), F.sha2("text", 256).alias("whole"))
     firsts = hashed.groupBy("whole").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = (
-        hashed.join(firsts.select("whole", "least"), "whole")
-        .where("id > least")
-        .select("id", "digest", F.lit(True).alias("copy"))
-        .distinct()
-    )
-    keyed = docs.select("*", _rank(id_col).alias("_sd_id"), F.xxhash64(text).alias("_sd_digest"))
-    slim = plain.select("id", "text", F.xxhash64("text").alias("digest"))
+    copied = hashed.join(firsts.select("whole", "least"), "whole").where("id > least")
+    copies = copied.groupBy(F.col("id").alias("_sd_id")).agg(F.collect_set("digest").alias("copies"))
+
+    keyed = docs.select(F.struct("*").alias("_sd_row"), _rank(id_col).alias("_sd_id"), F.xxhash64(text).alias("_sd_digest"))
     dealt = (
-        slim.join(known, "id")
-        .join(copies, ["id", "digest"], "left_anti")
-        .select("id", "digest", "text", "routes")
-        .mapInArrow(_segments(window), _SEGMENT_DDL)
+        keyed.join(known, "_sd_id")
+        .join(copies, "_sd_id", "left")
+        .mapInArrow(_segments(window, text_col), _SEGMENT_DDL)
         .select(F.pmod("route", F.lit(shards)).alias("shard"), "id", "digest", "start", "stop", "segment")
     )
     spans = dealt.groupBy("shard").applyInArrow(_shard(window), "id long, digest long, start int, stop int")
-    whole = copies.select("id", "digest", F.lit(0).alias("start"), F.lit(-1).alias("stop"))
-    removed = (
-        spans.unionByName(whole)
-        .groupBy(F.col("id").alias("_sd_id"), F.col("digest").alias("_sd_digest"))
-        .agg(F.collect_set(F.struct("start", "stop")).alias("_sd_spans"))
+    removed = spans.groupBy(F.col("id").alias("_sd_id")).agg(
+        F.collect_set(F.struct("digest", "start", "stop")).alias("_sd_spans")
     )
-    return keyed, removed
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """All rows of ``docs`` with ``n_words``, ``n_removed`` (long) and ``kept_text``: the words not
-    covered by an earlier window, joined by one space.  See the module for the rules."""
-    keyed, removed = repeated_spans(docs, id_col, text_col, window)
 
     def kept(batch):
-        for part in slices(batch, text_col):
-            texts = Texts(part.column(text_col))
+        batch = batch.append_column("_sd_text", batch.column("_sd_row").field(text_col))
+        for part in slices(batch, "_sd_text"):
+            texts = Texts(part.column("_sd_text"))
             spans = part.column("_sd_spans").to_pylist()
+            copies = part.column("copies").to_pylist()
+            digests = part.column("_sd_digest").to_pylist()
             total, gone, out = [], [], []
             for i, (a, b) in enumerate(zip(texts.first[:-1], texts.first[1:], strict=True)):
                 n = int(b - a)
                 mask = np.zeros(n, bool)
                 for s in spans[i] or ():
-                    if s["stop"] >= 0:
+                    if s["digest"] == digests[i]:
                         mask[s["start"] : s["stop"]] = True
-                    elif n >= window:
-                        mask[:] = True
-                words = texts.buf[texts.offs[i] : texts.offs[i + 1]].tobytes().split()  # bytes split at the same six separators
+                if n >= window and digests[i] in (copies[i] or ()):
+                    mask[:] = True  # equal to an earlier document
+                words = texts.buf[texts.offs[i] : texts.offs[i + 1]].tobytes().split()  # at the same six separators
                 if mask.any():
                     words = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
                 total.append(n)
@@ -443,14 +437,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append(b" ".join(words).decode())
             yield part, (total, gone, out)
 
-    joined = keyed.join(removed, ["_sd_id", "_sd_digest"], "left")
-    return add_columns(
-        joined, "n_words long, n_removed long, kept_text string", kept, drop=("_sd_id", "_sd_digest", "_sd_spans")
-    ).select(*[c for c in docs.columns if c.lower() not in {"n_words", "n_removed", "kept_text"}], "n_words", "n_removed", "kept_text")
-
-
-
-
+    joined = keyed.join(removed, "_sd_id", "left").join(copies, "_sd_id", "left")
+    added = ["n_words", "n_removed", "kept_text"]
+    out = add_columns(
+        joined, "n_words long, n_removed long, kept_text string", kept, drop=("_sd_id", "_sd_digest", "_sd_spans", "copies")
+    )
+    names = [c for c in docs.columns if c.lower() not in added]
+    return out.select(*[F.col("_sd_row").getField(c).alias(c) for c in names], *added)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
