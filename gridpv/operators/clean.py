@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpv.operators.joins import small_side
 from gridpv.functions.columns import coerce_int, gsp_label, norm_key
 
 LOCATION_FIELDS = ["gsp_id", "gsp_lat", "gsp_lon", "region_name", "pes_id"]
@@ -88,7 +89,7 @@ def gsp_locations(merged: DataFrame, gsp_col: str = "GSPs", order: str = "instal
 def attach_location(gen: DataFrame, locations: DataFrame, col: str = "gsp_id") -> DataFrame:
     """Generation left join location columns on the id."""
     loc = locations.drop(*[c for c in ("row_ord",) if c in locations.columns])
-    return gen.join(loc, col, "left")
+    return gen.join(small_side(loc), col, "left")
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpv.functions.columns import epoch_us, quote
+from gridpv.operators.joins import small_side
 
 TARGET = "generation_mw"
 PRED = "pred_generation_mw"
@@ -79,7 +80,7 @@ def scale(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), fit_on:
         *[F.avg(c).alias(f"_mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols]
     )
     if keys:
-        x = df.join(stats, keys, "left")
+        x = df.join(small_side(stats), keys, "left")
     else:
         # One row of statistics, as StandardScaler.fit returns to the driver.
         row = stats.first().asDict()

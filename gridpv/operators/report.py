@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridpv.operators.joins import small_side
 from gridpv.functions.columns import trunc_ntz
 from gridpv.operators.series import CHUNK, DAY_US, HOUR_US, time_grid
 
@@ -72,15 +73,18 @@ def hourly_profile(df: DataFrame, keys: Sequence[str], ts: str = "datetime_gmt",
 def last_period(df: DataFrame, keys: Sequence[str], ts: str, unit: str) -> DataFrame:
     """C11 (``month``) / C12 (``day``): the rows in each key's last period.
 
-    The per-key maximum is an aggregate (partial, skew-safe) joined back; it has
-    one row per key, so AQE turns the join into a broadcast at run time.
+    The per-key maximum is an aggregate (partial, skew-safe) of one row per key, joined back as a
+    small side; the earliest period of all keys bounds the scan.
     C12's fallback to the previous day cannot trigger: the last day always holds
     the row that defined it.
     """
     keys = list(keys)
-    last = df.groupBy(*keys).agg(trunc_ntz(F.max(ts), unit).alias("_last_p"))
+    last = small_side(df.groupBy(*keys).agg(trunc_ntz(F.max(ts), unit).alias("_last_p")))
+    bound = last.select(F.min("_last_p")).scalar()
+    rows = df.filter(F.col(ts) >= bound)
+    joined = rows.join(last, keys) if keys else rows.crossJoin(last)  # one row without keys
     return (
-        df.join(last, keys)
+        joined
         .filter(trunc_ntz(F.col(ts), unit) == F.col("_last_p"))
         .drop("_last_p")
     )

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpv.functions.columns import EPOCH, epoch_us, epoch_us_sql, floor_div, quote, trunc_ntz
+from gridpv.operators.joins import small_side
 
 SECOND_US = 1_000_000
 MINUTE_US = 60 * SECOND_US
@@ -453,7 +454,7 @@ def trailing(df: DataFrame, keys: Sequence[str], ts: str, span: str) -> DataFram
     keys = list(keys)
     if span == "all":
         return df
-    last = df.groupBy(*keys).agg(F.max(ts).alias("_last"))
+    last = small_side(df.groupBy(*keys).agg(F.max(ts).alias("_last")))
     spans = {
         "1d": F.timestamp_add("DAY", F.lit(-1), F.col("_last")),
         "7d": F.timestamp_add("DAY", F.lit(-7), F.col("_last")),
@@ -462,4 +463,6 @@ def trailing(df: DataFrame, keys: Sequence[str], ts: str, span: str) -> DataFram
     }
     # the earliest cut-off of all keys bounds the scan before the join
     bound = last.select(F.min(spans[span])).scalar()
-    return df.filter(F.col(ts) >= bound).join(last, keys).filter(F.col(ts) >= spans[span]).drop("_last")
+    rows = df.filter(F.col(ts) >= bound)
+    joined = rows.join(last, keys) if keys else rows.crossJoin(last)  # one row without keys
+    return joined.filter(F.col(ts) >= spans[span]).drop("_last")

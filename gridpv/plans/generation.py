@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpv.operators import report, series
+from gridpv.operators.joins import small_side
 from gridpv.operators.series import CHUNK, HALF_HOUR_US
 
 
@@ -52,7 +53,7 @@ def align_capacity(gen: DataFrame, capacity: DataFrame, keys: Sequence[str], on_
     if on_duplicate == "error":
         c = c.withColumn("capacity_mwp", F.when(F.col("_n") > 1, F.raise_error(
             F.lit("several capacity rows for one month"))).otherwise(F.col("capacity_mwp")))
-    return gen.join(c.drop("_n"), keys + ["year", "month"], "left")
+    return gen.join(small_side(c.drop("_n")), keys + ["year", "month"], "left")
 
 
 def carried_capacity(gen_months: DataFrame, capacity: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridpv.operators.joins import small_side
 from gridpv.schemas import GENERATION_SCHEMA, weather_payload_schema
 
 
@@ -63,7 +64,7 @@ def select_generation(gen: DataFrame, start: str, end: str, gsp_ids: DataFrame |
     x = gen.filter(F.col(ts).between(F.lit(start).cast(t), F.lit(end).cast(t)))
     x = x.filter(F.col(col) >= F.lit(0 if include_national else 1))
     if isinstance(gsp_ids, DataFrame):
-        x = x.join(gsp_ids.select(col), col, "left_semi")
+        x = x.join(small_side(gsp_ids.select(col)), col, "left_semi")
     elif gsp_ids is not None:
         x = x.filter(F.col(col).isin(list(gsp_ids)))
     keep = [c for c in gen.columns if c in (col, ts, "generation_mw") or c in extra_fields]

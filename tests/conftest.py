@@ -12,7 +12,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[*]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '*')}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -7,10 +7,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gridpv.functions.columns import to_utc_ntz
-from gridpv.operators import capacity, model, series
+from gridpv.operators import capacity, clean, model, report, series
+from gridpv.operators.joins import small_side
 from gridpv.plans import generation
 from gridpv.plans.modelling import train_and_score
 from gridpv.session import checkpoint_dir
+from gridpv.sources.files import select_generation
 
 T0 = dt.datetime(2024, 6, 1)
 
@@ -94,6 +96,35 @@ def test_missing_features_and_text_keys_are_trained_on(spark):
     assert all(r["r2"] > 0.5 and r["rmse"] >= 0 for r in metrics.collect())
 
 
+@pytest.mark.parametrize("name", ["trailing", "last_period", "scale", "attach", "select"])
+def test_rows_are_not_shuffled_for_a_small_side(spark, tmp_path, name):
+    rows = [(i % 3, T0 + dt.timedelta(hours=i), float(i), "train") for i in range(60)]
+    spark.createDataFrame(rows, "gsp_id int, datetime_gmt timestamp_ntz, generation_mw double, split string").write.parquet(str(tmp_path / "g"))
+    g = spark.read.parquet(str(tmp_path / "g"))
+    loc = spark.createDataFrame([(0, "n"), (1, "s")], "gsp_id int, region_name string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        out = {
+            "trailing": lambda: series.trailing(g, ["gsp_id"], "datetime_gmt", "1d"),
+            "last_period": lambda: report.last_period(g, ["gsp_id"], "datetime_gmt", "day"),
+            "scale": lambda: model.scale(g, ["generation_mw"], ["gsp_id"]),
+            "attach": lambda: clean.attach_location(g, loc),
+            "select": lambda: select_generation(g, "2024-01-01", "2025-01-01", gsp_ids=loc.select("gsp_id")),
+        }[name]()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        assert out.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_small_side_beyond_its_bound_stays_a_table(spark):
+    df = spark.range(50)
+    assert small_side(df, 10) is df
+    assert small_side(df, 50).count() == 50
+
+
 def test_limits_raise(spark):
     with pytest.raises(ValueError):
         model.estimator("forest_default", maxDepth=31)
