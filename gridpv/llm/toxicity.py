@@ -7,8 +7,9 @@ no weight takes that of its first ``STEM`` characters, which are tokens too; all
 score ``DEFAULT``.  (2) A linear-time scan finds every maximal-scoring segment of a document.
 (3) Extreme-value calibration: the decay rate solves ``sum p * exp(rate * score) = 1`` over
 the scores of the other documents' tokens and the scale factor follows from their best segments;
-a segment of score S in m tokens has the E-value ``scale * m * exp(-rate * S)``.  (4) The least
-E-value and the share of tokens in significant segments go through a logistic fit.
+a segment of score S in m tokens has the E-value ``scale * m * exp(-rate * S)``.  (4) The joint
+significance of a document's best segments (the sum statistic of extreme values) and the share
+of tokens in significant segments go through a logistic fit.
 
 The classifier is fitted on a bounded sample: the ``TRAIN`` training rows whose ids have the least
 hash, which are few enough to be picked by a broadcast join.  The model keeps the ``MAX_TOKENS``
@@ -174,18 +175,29 @@ class Scorer:
         return np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
 
     def evidence(self, text: str | None) -> tuple[float, float, list[tuple[int, int, float]]]:
-        """-ln of the least E-value, the share of tokens in significant segments, and those
-        segments as (first token, end token, E-value)."""
+        """-ln of the joint significance of the segments, the share of tokens in significant
+        segments, and those segments as (first token, end token, E-value).
+
+        The joint significance is that of the sum of the ``r`` best normalised scores, for the best
+        ``r``: exp(-T) * T^(r-1) / (r! (r-1)!).
+        """
         scores = self.tokens(text or "")
         m = max(len(scores), 1)
-        best, inside, out = 0.0, 0, []
+        base = math.log(self.scale * m)
+        normal, inside, out = [], 0, []
         for a, b, score in segments(scores):
-            best = max(best, score)
-            e = self.scale * m * math.exp(-self.rate * score)
-            if e <= SIGNIFICANT:
+            normal.append(self.rate * score - base)
+            if normal[-1] >= -math.log(SIGNIFICANT):
                 inside += b - a
-                out.append((a, b, e))
-        return self.rate * best - math.log(self.scale * m), inside / m, out
+                out.append((a, b, math.exp(-normal[-1])))
+        normal.sort(reverse=True)
+        strength, total = normal[0] if normal else -base, 0.0
+        for r, value in enumerate(normal, 1):
+            total += value
+            if total < r:
+                break
+            strength = max(strength, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+        return strength, inside / m, out
 
     def probability(self, strength: float, share: float) -> float:
         x = self.fit[0] + self.fit[1] * max(min(strength, 50.0), -20.0) + self.fit[2] * share
