@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpv.operators.report import since
+
 M, G, V = "install_month", "GSPs", "cumul_capacity_mwp"
 
 
@@ -91,7 +93,7 @@ def top_gsps(cells: DataFrame, n: int = 50, start: str | None = None, time_col:
              gsp_col: str = G, value: str = V) -> DataFrame:
     """H3: the ``n`` GSPs with the largest value in the last month (since ``start``);
     ties by name.  ``orderBy().limit()`` is a per-partition top-k plus one merge."""
-    x = cells if start is None else cells.filter(F.col(time_col) >= F.lit(start).cast("date"))
+    x = cells if start is None else since(cells, time_col, start)
     snap = x.filter(F.col(time_col) == x.select(F.max(time_col)).scalar())
     return snap.orderBy(F.col(value).desc_nulls_last(), F.col(gsp_col)).limit(n).select(gsp_col, value)
 
@@ -99,7 +101,7 @@ def top_gsps(cells: DataFrame, n: int = 50, start: str | None = None, time_col:
 def growth_top(cells: DataFrame, n: int = 50, start: str = "2010-01-01", time_col: str = M,
                gsp_col: str = G, value: str = V) -> DataFrame:
     """Monthly values since ``start`` of the top-``n`` GSPs (long form)."""
-    x = cells.filter(F.col(time_col) >= F.lit(start).cast("date"))
+    x = since(cells, time_col, start)
     top = top_gsps(cells, n, start, time_col, gsp_col, value).select(gsp_col)
     return x.join(top, gsp_col, "left_semi").select(time_col, gsp_col, value)
 
@@ -113,7 +115,7 @@ def annual(cells: DataFrame, start: str = "2009-01-01", time_col: str = M, gsp_c
     as ``resample('Y').last().sum(axis=1)``).  The final window runs over one
     row per year.
     """
-    x = cells.filter(F.col(time_col) >= F.lit(start).cast("date")).withColumn("year", F.year(time_col))
+    x = since(cells, time_col, start).withColumn("year", F.year(time_col))
     last = x.groupBy(gsp_col, "year").agg(F.max_by(value, time_col).alias(value))
     tot = last.groupBy("year").agg(F.sum(value).alias("total_capacity_mwp"))
     years = x.groupBy().agg(F.min("year").alias("_lo"), F.max("year").alias("_hi")).select(

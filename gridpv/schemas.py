@@ -19,33 +19,10 @@ WEATHER_VARIABLES = [
     "direct_normal_irradiance_instant",
     "global_tilted_irradiance_instant",
 ]
-# The two extra variables some notebook variants also request.
-EXTRA_WEATHER_VARIABLES = ["terrestrial_radiation", "terrestrial_radiation_instant"]
 
 # Location columns carried forward onto new grid rows (K3).
 LOCATION_COLUMNS = ["gsp_id", "GSPs", "gsp_lat", "gsp_lon", "region_name", "pes_id", "GSP_region"]
 
-CAPACITY_SCHEMA = T.StructType(
-    [
-        T.StructField("install_month", T.DateType()),
-        T.StructField("GSPs", T.StringType()),
-        T.StructField("dc_capacity_MWp", T.DoubleType()),
-        T.StructField("cumul_capacity_mwp", T.DoubleType()),
-        T.StructField("system_count", T.DoubleType()),
-    ]
-)
-
-LOCATION_SCHEMA = T.StructType(
-    [
-        T.StructField("gsp_id", T.StringType()),
-        T.StructField("gsp_name", T.StringType()),
-        T.StructField("gsp_lat", T.DoubleType()),
-        T.StructField("gsp_lon", T.DoubleType()),
-        T.StructField("region_name", T.StringType()),
-        T.StructField("pes_id", T.IntegerType()),
-    ]
-)
-
 GENERATION_SCHEMA = T.StructType(
     [
         T.StructField("gsp_id", T.IntegerType()),

@@ -22,6 +22,7 @@ def choose_release(manifest: DataFrame, region: str = "gsp", include_history: bo
                    by_system_size: bool = False, boundaries_version: str = "20250101") -> DataFrame:
     """Zero or one row: ``release, filename, url, tier``."""
     tok = region_token(region, boundaries_version)
+    # Fragments of the release files' names.
     target = f"_capacity_by_{tok}" + ("_and_month" if include_history else "") + (
         "_and_system_size" if by_system_size else ""
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import datetime as _dt
 
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,20 +39,13 @@ def validate_periods(requests: DataFrame, start: str = "start_date", end: str =
 
 def validate_period(start: _dt.date, end: _dt.date, min_months: int = 1) -> tuple[_dt.datetime, _dt.datetime]:
     """C3, single call: the bounds, or ``ValueError`` with the reference's text."""
-    sd = start.date() if isinstance(start, _dt.datetime) else start
-    ed = end.date() if isinstance(end, _dt.datetime) else end
-    s = _dt.datetime.combine(sd, _dt.time(0, 0))
-    e = _dt.datetime.combine(ed, _dt.time(23, 30))
-    if e < s:
+    first = pd.Timestamp(start).normalize()
+    last = pd.Timestamp(end).normalize() + pd.Timedelta(hours=23, minutes=30)
+    if last < first:
         raise ValueError(END_BEFORE_START)
-    y, m = divmod(s.month - 1 + min_months, 12)
-    import calendar
-
-    year, month = s.year + y, m + 1
-    day = min(s.day, calendar.monthrange(year, month)[1])
-    if e < s.replace(year=year, month=month, day=day):
+    if last < first + pd.DateOffset(months=min_months):
         raise ValueError(SPAN_TOO_SHORT.format(m=min_months))
-    return s, e
+    return first.to_pydatetime(), last.to_pydatetime()
 
 
 def resolve_labels(requests: DataFrame, locations: DataFrame, label: str = "gsp_region",
