@@ -8,9 +8,10 @@ alike for all documents), banded buckets, and star-shaped candidate edges.
 Equal sets form a class first; only class representatives (least id) are bucketed.  In each bucket
 the other members are compared to a star centre (the least id) on full sets; connected components
 follow.  A bucket whose members are then in one component is done; the others get a second star around the
-member most like the first centre.  What is left goes through an exact prefix filter: a member
-outside the largest component of its bucket can only be linked to a set that holds one of its
-``n - ceil(t * n) + 1`` rarest shingles, and such pairs of two components are compared on full sets.  So no
+member most like the first centre.  What is left goes through an exact prefix and position
+filter: linked sets share one of the ``n - ceil(t * n) + 1`` rarest shingles of each, and from the first
+that they share enough shingles have to follow in both.  Members outside the largest component of
+their bucket are so matched with those of other components, and compared on full sets.  So no
 bucket emits all its pairs, and no link between two members of a bucket is lost that would join
 two components.
 
@@ -165,26 +166,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        out = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v`` only, and no ``v`` is a ``u``."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("ups"), F.lit(0).alias("top"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("n").agg(F.sum("ups").alias("ups"), F.max("top").alias("top"))
+    return ends.where("ups > 1 OR ups = 1 AND top = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node that it reaches) for the nodes of ``edges`` (a, b), by
-    alternating large-star and small-star steps until nothing changes."""
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    edges = checkpoint(edges)
-    before = mark(edges)
-    while before[0]:
-        edges = checkpoint(_star(_star(edges, True), False))
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
+    large-star and small-star steps until each component is a star around its least node."""
+    edges = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while not _are_stars(edges):
+        edges = checkpoint(_star(_star(edges, True), False).distinct())
     tops = edges.select(F.col("v").alias("u")).distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
 
@@ -244,15 +245,18 @@ def near_duplicates(
         some = rest.select("node", "component").distinct()
         held = texts.join(some, "node").select("node", "text").mapInArrow(_sets(k), "node long, n long, shingle long")
         times = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
-        odd = rest.where("component <> largest").select(F.col("node")).distinct()
-        # shingles of one set only cannot be shared; they count as the rarest all the same
-        ranked = held.join(odd, "node", "left_semi").join(times, "shingle", "left")
         order = Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(1)), "shingle")
         prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-        rare = ranked.withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= prefix) & F.col("times").isNotNull())
-        rare = rare.select("shingle", F.col("node").alias("x")).join(some.toDF("x", "x_component"), "x")
-        held = held.select("shingle", F.col("node").alias("y")).join(some.toDF("y", "y_component"), "y")
-        pairs = rare.join(held, "shingle").where("x_component <> y_component")
+        # shingles of one set only cannot be shared; they count as the rarest all the same
+        ranked = held.join(times, "shingle", "left").withColumn("nth", F.row_number().over(order))
+        ranked = ranked.where((F.col("nth") <= prefix) & F.col("times").isNotNull()).drop("times").join(some, "node")
+        odd = rest.where("component <> largest").select("node").distinct()
+        left = ranked.join(odd, "node", "left_semi").toDF("x", "shingle", "x_n", "x_nth", "x_component")
+        right = ranked.toDF("y", "shingle", "y_n", "y_nth", "y_component")
+        # at the first shingle that two sets share, what follows in either bounds all they share
+        shared_at_most = 1 + F.least(F.col("x_n") - F.col("x_nth"), F.col("y_n") - F.col("y_nth"))
+        enough = (100 + percent) * shared_at_most >= percent * (F.col("x_n") + F.col("y_n"))
+        pairs = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("x_component") != F.col("y_component")) & enough)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         last = compared(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"))
         links = links.union(last.where("linked").select("a", "b"))
