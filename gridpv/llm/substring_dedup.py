@@ -406,7 +406,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keyed.join(known, "_sd_id")
         .join(copies, "_sd_id", "left")
         .mapInArrow(_segments(window, text_col), _SEGMENT_DDL)
-        .select(F.pmod("route", F.lit(shards)).alias("shard"), "id", "digest", "start", "stop", "segment")
+        # spans that are certain already pass through; they are spread by their document
+        .withColumn("dealt", F.when(F.col("segment").isNull(), F.xxhash64("id", "digest")).otherwise(F.col("route")))
+        .select(F.pmod("dealt", F.lit(shards)).alias("shard"), "id", "digest", "start", "stop", "segment")
     )
     spans = dealt.groupBy("shard").applyInArrow(_shard(window), "id long, digest long, start int, stop int")
     removed = spans.groupBy(F.col("id").alias("_sd_id")).agg(
