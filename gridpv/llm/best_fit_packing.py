@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from gridpv.llm.byte_bpe import ChunkMemo, read_ranks
 from gridpv.llm.common import add_columns, checkpoint, read_table, slices
 
-#: Rows of a (length, chunk) group on average for the most frequent length.
-CHUNK_ROWS = 20_000
+#: Rows of a (length, chunk) group on average; rarer lengths have one chunk.
+CHUNK_ROWS = 1_000
 
 
 def token_pieces(
@@ -142,9 +142,12 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = 2048, length_col:
     if any(k is None or not 1 <= k <= capacity for k in counts):
         raise ValueError("a length is outside 1 to the capacity")
     plan = schedule(minimum_bin_slack(counts, capacity))
-    chunks = max(1, -(-max(counts.values(), default=1) // CHUNK_ROWS))
     length = F.col(length_col)
-    keyed = pieces.withColumns({"_p_length": length, "_p_chunk": F.pmod(F.xxhash64(*order), F.lit(chunks))})
+    common = {k: -(-n // CHUNK_ROWS) for k, n in counts.items() if n > CHUNK_ROWS}
+    chunks = F.lit(1)
+    if common:
+        chunks = F.coalesce(F.create_map(*[F.lit(x) for pair in common.items() for x in pair])[length], chunks)
+    keyed = pieces.withColumns({"_p_length": length, "_p_chunk": F.pmod(F.xxhash64(*order), chunks)})
     per = keyed.groupBy("_p_length", "_p_chunk").agg(F.count("*").alias("_p_n"))
     before = Window.partitionBy("_p_length").orderBy("_p_chunk").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_p_length", "_p_chunk", F.coalesce(F.sum("_p_n").over(before), F.lit(0)).alias("_p_before"))
