@@ -249,7 +249,8 @@ def near_duplicates(
         prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
         # shingles of one set only cannot be shared; they count as the rarest all the same
         ranked = held.join(times, "shingle", "left").withColumn("nth", F.row_number().over(order))
-        ranked = ranked.where((F.col("nth") <= prefix) & F.col("times").isNotNull()).drop("times").join(some, "node")
+        ranked = ranked.where((F.col("nth") <= prefix) & F.col("times").isNotNull()).drop("times")
+        ranked = checkpoint(ranked.join(some, "node"))
         odd = rest.where("component <> largest").select("node").distinct()
         left = ranked.join(odd, "node", "left_semi").toDF("x", "shingle", "x_n", "x_nth", "x_component")
         right = ranked.toDF("y", "shingle", "y_n", "y_nth", "y_component")
