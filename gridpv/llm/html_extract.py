@@ -2,10 +2,12 @@
 
 Method: text nodes are grouped by their root-to-leaf tag path.  Each path gets the ratios of text
 length and of punctuation to its nodes; both are smoothed over the page in node order and fused with the
-share of text outside links.  Paths over a threshold are content.  The article is the deepest element
-that holds most of the content; its other blocks belong to it too unless they are link lists.
-Without such an element (content right under the body), blocks over the threshold are kept and the
-headings and short blocks that stand directly before content.
+share of text outside links.  Paths over a threshold are content, and blocks with content are always
+kept.  The article is the deepest element that holds all of the content, or the ``article`` or ``main``
+around it, or, if it has no main heading, the ``div`` or ``section`` around it that has one; its other blocks
+belong to it too unless they are link lists.  Where only the body holds all of the content, that goes for
+each outermost section, list or table with content.  There, and where the main heading stands outside the
+article, the headings and short blocks that stand directly before content are kept as well.
 
 Elements whose tag, role, class or id says that they are a menu, header, footer, sidebar, notice, advert,
 form, comment section or not shown at all take no part.  A ``header`` inside an article is
@@ -23,14 +25,13 @@ import html
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpv.llm.common import add_columns, read_table, slices
 
-#: Share of the content that the article element holds at least.
-HOLDS = 0.7
 #: A node is content from this share of the page's mean fused score (weighted by text length).
 THRESHOLD = 0.4
 #: Weights of a node and its neighbours when scores are smoothed.
@@ -59,6 +60,8 @@ _ENDS = {
 }
 _SCOPE = set("article section div body main table ul ol dl td th aside blockquote form nav footer header figure fieldset details".split())
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that can be a whole article or one of its parts.
+_REGIONS = {"article", "main", "section", "div"}
 #: Elements that are never part of an article, and words of class or id that say the same.
 _OFF_TAGS = set("nav footer aside form head button select menu dialog search fieldset label input datalist object audio video canvas map".split())
 _OFF_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip status".split())
@@ -73,15 +76,16 @@ _HEADER_WORDS = {"header", "head", "top"}
 
 
 class _Element:
-    __slots__ = ("tag", "path", "off", "parent", "link", "depth", "held")
+    __slots__ = ("tag", "path", "off", "parent", "link", "held", "titled", "title", "region")
 
     def __init__(self, tag: str, parent: _Element | None, off: bool, name: str):
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}>{name}" if parent else name
         self.off = off or bool(parent and parent.off)
         self.link = tag == "a" or bool(parent and parent.link)
-        self.depth = parent.depth + 1 if parent else 0
         self.held = 0
+        self.titled = self.title = False  # a main heading stands right in it (or in its header); anywhere in it
+        self.region: _Element | None = parent and parent.region or (self if tag in _SCOPE and tag != "body" else None)
 
 
 def _off(tag: str, attrs: dict[str, str], inside: bool) -> bool:
@@ -150,6 +154,11 @@ def parse(page: str) -> tuple[list[tuple[str, _Element]], list[list[int]]]:
         inside = any(e.tag in ("article", "main") for e in stack)
         kind = attrs.get("class", "").split()
         stack.append(_Element(tag, stack[-1], _off(tag, attrs, inside), tag + "".join(f".{k}" for k in kind)))
+        if tag == "h1" and not stack[-1].off:
+            above = stack[-2]
+            (above.parent if above.tag in ("header", "hgroup") and above.parent else above).titled = True
+            for element in _above(above):
+                element.title = True
     text(page[at:])
     return nodes, [b for b in blocks if b]
 
@@ -198,24 +207,10 @@ def extract(page: str | None) -> str:
         return ""
     limit = THRESHOLD * sum(s * n for s, n in zip(scores, sizes, strict=True)) / total
     content = [i for i, n in enumerate(sizes) if n and scores[i] >= limit and scores[i] > 0]
-    weight = sum(sizes[i] for i in content)
-    for i in content:
-        element: _Element | None = nodes[i][1]
-        while element is not None:
-            element.held += sizes[i]
-            element = element.parent
-    article = None
-    for i in content:
-        element = nodes[i][1]
-        while element is not None:
-            wide = element.tag in _SCOPE and element.held >= HOLDS * weight
-            if wide and (article is None or element.depth > article.depth):
-                article = element
-            element = element.parent
     chosen = set(content)
+    regions, whole = _regions(nodes, sizes, content)
     out: list[str] = []
     pending: list[str] = []  # headings and short blocks that wait for content
-    whole = article is not None and article.tag not in ("", "html", "body")
     for block in blocks:
         own = [i for i in block if sizes[i] or not nodes[i][1].off]
         text = _clean("".join(nodes[i][0] for i in own))
@@ -223,25 +218,41 @@ def extract(page: str | None) -> str:
         if not text or not size:
             continue
         linked = sum(sizes[i] for i in own if nodes[i][1].link)
-        if whole:
-            if _within(nodes[own[0]][1], article) and (2 * linked <= size or chosen.intersection(own)):
-                out.append(text)
-        elif chosen.intersection(own):
+        if chosen.intersection(own) or 2 * linked <= size and _within(nodes[own[0]][1], regions):
             out += [*pending, text]
             pending = []
-        elif 2 * linked <= size:
-            pending.append(text)
-        else:
+        elif whole or 2 * linked > size:
             pending = []
+        else:
+            pending.append(text)
     return "\n\n".join(out)
 
 
-def _within(element: _Element | None, article: _Element) -> bool:
+def _above(element: _Element | None) -> Iterator[_Element]:
+    """The element and those around it, from the inside."""
     while element is not None:
-        if element is article:
-            return True
+        yield element
         element = element.parent
-    return False
+
+
+def _regions(nodes: list[tuple[str, _Element]], sizes: list[int], content: list[int]) -> tuple[set[_Element], bool]:
+    """The article element, or without one the outermost elements with content; and whether that is all."""
+    for i in content:
+        for element in _above(nodes[i][1]):
+            element.held += sizes[i]
+    weight = sum(sizes[i] for i in content)
+    around = [e for e in _above(nodes[content[0]][1]) if e.held == weight and e.tag in _REGIONS] if content else []
+    if not around:
+        return {e for i in content if (e := nodes[i][1].region)}, False
+    named = [e for e in around if e.tag in ("article", "main")]
+    article = (named or around)[0]
+    if not article.title:
+        article = next((e for e in named or around if e.titled), article)
+    return {article}, article.title or not any(e.titled for e in _above(article))
+
+
+def _within(element: _Element, regions: set[_Element]) -> bool:
+    return any(e in regions for e in _above(element))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

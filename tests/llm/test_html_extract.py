@@ -42,6 +42,34 @@ def test_article_without_boilerplate(wrap):
     assert extract(page) == want
 
 
+SHORT = "Brief, too."
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        # sections of one article, the first with most of the text
+        (f"<article><h1>T</h1><section><p>{LONG * 10}</p></section><section><p>{LONG * 3}</p></section></article>", ["T", LONG * 10, LONG * 3]),
+        (f"<div><h1>T</h1><section><p>{LONG * 10}</p></section><section><p>{LONG * 3}</p></section></div>", ["T", LONG * 10, LONG * 3]),
+        (f"<section><p>{LONG * 10}</p></section><section><h2>More</h2><p>{LONG * 3}</p></section>", [LONG * 10, "More", LONG * 3]),
+        # title and introduction beside the body of the text
+        (f"<article><h1>T</h1><p>{SHORT}</p><div class='body'><p>{LONG * 5}</p></div><p>End</p></article>", ["T", SHORT, LONG * 5, "End"]),
+        (f"<main><h1>T</h1><article><p>{LONG}</p></article></main>", ["T", LONG]),
+        (f"<div><h1>T</h1><p>{SHORT}</p><div class='body'><p>{LONG * 5}</p></div><p>End</p></div>", ["T", SHORT, LONG * 5, "End"]),
+        (f"<h1>T</h1><div class='body'><p>{LONG * 5}</p></div>", ["T", LONG * 5]),
+        # one long list, quotation or table
+        (f"<article><h1>T</h1><p>{SHORT}</p><ul><li>{LONG * 4}<li>{LONG * 4}</ul><p>End</p></article>", ["T", SHORT, LONG * 4, LONG * 4, "End"]),
+        (f"<article><p>{LONG}</p><blockquote><p>{LONG * 9}</p></blockquote><p>End</p></article>", [LONG, LONG * 9, "End"]),
+        (f"<h1>T</h1><table><tr><td><p>{LONG * 9}</p><h3>End</h3></td></tr></table>", ["T", LONG * 9, "End"]),
+        # content outside the article element
+        (f"<div><p>{LONG}</p></div><article><p>{LONG * 5}</p></article>", [LONG, LONG * 5]),
+    ],
+)
+def test_all_parts_of_an_article_are_kept(page, blocks):
+    links = "<div><a href='/'>Home page</a> <a href='/all'>All of the pages</a></div>"
+    assert extract(f"<html><body>{links}{page}{links}</body></html>") == "\n\n".join(blocks)
+
+
 def test_long_and_deep_pages():
     assert extract("<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>").count("\n\n") == 19_999
     assert extract("<div>" * 5000 + LONG) == LONG
