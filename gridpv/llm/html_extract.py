@@ -11,7 +11,10 @@ article, the headings and short blocks that stand directly before content are ke
 
 Elements whose tag, role, class or id says that they are a menu, header, footer, sidebar, notice, advert,
 form, comment section or not shown at all take no part.  A ``header`` inside an article is
-part of it.  Character references are decoded, white space inside a block (a line break included)
+part of it.  Names are weighed: those of headings never count, inside an article those of paragraphs, list items,
+cells and inline elements do not either, and there a name that may also be a topic (``legal``, ``search``) or
+comes from a section's id takes a container out only if that is a link list or a few words without
+punctuation.  A form, or a container with such a name, that holds the whole article stays.  Character references are decoded, white space inside a block (a line break included)
 becomes one space, blocks are joined in page order by two line feeds, and nothing else is
 dropped or shortened.  Broken markup is read as browsers do in the main: unclosed paragraphs and
 list items end where the next one begins, an unclosed comment or script runs to the end.
@@ -63,49 +66,127 @@ _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements that can be a whole article or one of its parts.
 _REGIONS = {"article", "main", "section", "div"}
 #: Elements that are never part of an article, and words of class or id that say the same.
-_OFF_TAGS = set("nav footer aside form head button select menu dialog search fieldset label input datalist object audio video canvas map".split())
-_OFF_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip status".split())
+_OFF_TAGS = set("nav footer aside head button select menu dialog search fieldset label input datalist object audio video canvas map".split())
+_OFF_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tooltip status".split())
 _OFF_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
-    "notices notification alert popup modal overlay sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs footer "
-    "masthead topbar toolbar comment comments commentlist disqus discussion reply replies respond share sharing social related "
-    "recommended recommendations newsletter subscribe subscription signup login search pagination pager widget widgets skip hidden "
-    "copyright legal disclaimer".split()
+    "ad ads adv advert adverts advertisement advertisements sponsored promo cookie cookies consent gdpr popup modal sidebar footer masthead "
+    "comment comments commentlist disqus newsletter subscribe signup login hidden".split()
+)
+#: Words that name boilerplate or a topic of the article.
+_DOUBTFUL_WORDS = set(
+    "advertising sponsor promotion banner notice notices notification alert overlay aside menu menus nav navbar navigation breadcrumb "
+    "breadcrumbs topbar toolbar discussion reply replies respond share sharing social related recommended recommendations subscription "
+    "search pagination pager widget widgets skip copyright legal disclaimer".split()
 )
 _HEADER_WORDS = {"header", "head", "top"}
+#: Elements whose name speaks for all below them, also inside an article.
+_HOLDERS = set("blockquote center details dir div dl figure hgroup ol section table ul".split())
+#: Characters from which a text without any punctuation is not taken for a label.
+BRIEF = 200
 
 
 class _Element:
-    __slots__ = ("tag", "path", "off", "parent", "link", "held", "titled", "title", "region")
+    __slots__ = (
+        "tag", "path", "off", "named", "parent", "link", "held", "titled", "headed", "title", "region", "inside", "size", "linked", "marks", "heads"
+    )
 
-    def __init__(self, tag: str, parent: _Element | None, off: bool, name: str):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Element | None, off: bool, named: str, name: str):
+        self.tag, self.parent, self.named = tag, parent, named
         self.path = f"{parent.path}>{name}" if parent else name
         self.off = off or bool(parent and parent.off)
         self.link = tag == "a" or bool(parent and parent.link)
         self.held = 0
         self.titled = self.title = False  # a main heading stands right in it (or in its header); anywhere in it
+        self.headed = False  # a heading of the first or second level stands right in it
         self.region: _Element | None = parent and parent.region or (self if tag in _SCOPE and tag != "body" else None)
+        self.inside = False  # an article
+        self.size = self.linked = self.marks = self.heads = 0  # of its text, and articles and main headings
+
+
+def _above(element: _Element | None) -> Iterator[_Element]:
+    """The element and those around it, from the inside."""
+    while element is not None:
+        yield element
+        element = element.parent
 
 
 def _off(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether an element is boilerplate by name; ``inside`` an article headers are not."""
+    """Whether an element is boilerplate for certain; ``inside`` an article headers are not."""
     if tag in _OFF_TAGS or tag == "header" and not inside:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    if attrs.get("role", "").lower() in _OFF_ROLES:
-        return True
-    if tag in ("html", "body", "article", "main"):
+    return attrs.get("role", "").lower() in _OFF_ROLES
+
+
+def _named(tag: str, attrs: dict[str, str]) -> str:
+    """What the name of an element says of it: "off", "doubtful", "header", "form" or nothing."""
+    if tag == "form" or attrs.get("role", "").lower() == "form":
+        return "form"
+    if tag in ("html", "body", "article", "main") or tag in _HEADINGS:
+        return ""
+    kinds, own = ({w.lower() for w in _WORDS.findall(attrs.get(k, ""))} for k in ("class", "id"))
+    if kinds & _OFF_WORDS:
+        return "off"
+    if own & _OFF_WORDS:  # ids of sections are often made from their headings
+        return "doubtful" if tag == "section" or "section" in kinds else "off"
+    if (kinds | own) & _DOUBTFUL_WORDS:
+        return "doubtful"
+    return "header" if (kinds | own) & _HEADER_WORDS else ""
+
+
+def _dropped(element: _Element, page: _Element) -> bool:
+    """Whether a named element is boilerplate, by where it stands and what it holds."""
+    if not element.named:
         return False
-    words = {w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    return bool(words & _OFF_WORDS) or not inside and bool(words & _HEADER_WORDS) and tag not in _HEADINGS
+    most = 2 * element.size >= page.size and (not page.heads or element.inside)
+    if element.named == "header":
+        return not element.inside and not most
+    if 0 < element.heads == page.heads:
+        return False  # the whole article
+    if element.named == "form":
+        return not most
+    if element.tag not in _HOLDERS:
+        return not element.inside
+    if element.named == "off" or not element.inside and not most:
+        return True
+    return 2 * element.linked >= element.size or not element.headed and not element.marks and element.size < BRIEF
+
+
+def _settle(elements: list[_Element], nodes: list[tuple[str, _Element]]) -> None:
+    """Decides which of the named elements take no part; ``elements`` are in order."""
+    for text, element in nodes:
+        if not element.off and (size := len(_clean(text))):
+            element.size += size
+            element.linked += size * element.link
+            element.marks += len(_PUNCTUATION.findall(text))
+    for element in reversed(elements[1:]):
+        above = element.parent
+        if element.off or above is None:
+            continue
+        element.heads += element.tag in ("article", "main", "h1")
+        above.size += element.size
+        above.linked += element.linked
+        above.marks += element.marks
+        above.heads += element.heads
+        if element.tag in _HEADINGS:
+            while above.tag in ("header", "hgroup") and above.parent:
+                above = above.parent
+            above.titled |= element.tag == "h1"
+            above.headed |= element.tag in ("h1", "h2")
+    for element in elements[1:]:
+        above = element.parent
+        element.inside = above.inside or above.tag in ("article", "main") or above.headed and above.tag in ("div", "section")
+        element.off = element.off or above.off or _dropped(element, elements[0])
+        if element.tag == "h1" and not element.off:
+            for around in _above(above):
+                around.title = True
 
 
 def parse(page: str) -> tuple[list[tuple[str, _Element]], list[list[int]]]:
     """Text nodes (text, element) in order, and the blocks as lists of their numbers."""
-    root = _Element("", None, False, "")
-    stack = [root]
+    root = _Element("", None, False, "", "")
+    stack, elements = [root], [root]
     nodes: list[tuple[str, _Element]] = []
     blocks: list[list[int]] = [[]]
 
@@ -153,13 +234,11 @@ def parse(page: str) -> tuple[list[tuple[str, _Element]], list[list[int]]]:
         attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(match["attrs"])}
         inside = any(e.tag in ("article", "main") for e in stack)
         kind = attrs.get("class", "").split()
-        stack.append(_Element(tag, stack[-1], _off(tag, attrs, inside), tag + "".join(f".{k}" for k in kind)))
-        if tag == "h1" and not stack[-1].off:
-            above = stack[-2]
-            (above.parent if above.tag in ("header", "hgroup") and above.parent else above).titled = True
-            for element in _above(above):
-                element.title = True
+        name = tag + "".join(f".{k}" for k in kind)
+        stack.append(_Element(tag, stack[-1], _off(tag, attrs, inside), _named(tag, attrs), name))
+        elements.append(stack[-1])
     text(page[at:])
+    _settle(elements, nodes)
     return nodes, [b for b in blocks if b]
 
 
@@ -228,13 +307,6 @@ def extract(page: str | None) -> str:
     return "\n\n".join(out)
 
 
-def _above(element: _Element | None) -> Iterator[_Element]:
-    """The element and those around it, from the inside."""
-    while element is not None:
-        yield element
-        element = element.parent
-
-
 def _regions(nodes: list[tuple[str, _Element]], sizes: list[int], content: list[int]) -> tuple[set[_Element], bool]:
     """The article element, or without one the outermost elements with content; and whether that is all."""
     for i in content:

@@ -70,6 +70,38 @@ def test_all_parts_of_an_article_are_kept(page, blocks):
     assert extract(f"<html><body>{links}{page}{links}</body></html>") == "\n\n".join(blocks)
 
 
+@pytest.mark.parametrize("wrap", ["<article><h1>T</h1>{}</article>", "<main><h1>T</h1>{}</main>", "<div><h1>T</h1>{}</div>"])
+@pytest.mark.parametrize(
+    ("part", "blocks"),
+    [
+        (f"<section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section>", ["Discussion", LONG]),
+        (f"<section id='comments'><h2>Comments</h2><p>{LONG}</p></section>", ["Comments", LONG]),
+        (f"<h2 id='related-work'>Related work</h2><p>{LONG}</p><h2 id='search'>Search</h2><p>{LONG}</p>", ["Related work", LONG, "Search", LONG]),
+        (f"<div class='legal'><p>{LONG}</p></div><p class='notice'>Mind the gap.</p>", [LONG, "Mind the gap."]),
+        ("<p>See <span id='legal'>the law</span>, it says so.</p><ul><li class='menu'>Soup</li></ul>", ["See the law, it says so.", "Soup"]),
+        ("<section id='search'><h2>Search</h2><pre>find x</pre></section>", ["Search", "find x"]),
+        # still boilerplate
+        ("<div class='related'><h2>Related</h2><ul><li><a href=x>One more, of many</a></li></ul></div><div class='share'>Share this</div>", []),
+        ("<div class='ad'>Buy this, now.</div><div id='comments'><p>I agree, a lot.</p></div><form><p>Write, to us.</p></form>", []),
+    ],
+)
+def test_names_inside_an_article(wrap, part, blocks):
+    page = "".join(BOILER[:6]) + wrap.format(f"<p>{LONG}</p>{part}<p>{LONG}</p>") + "".join(BOILER[6:])
+    assert extract(f"<html><body>{page}</body></html>") == "\n\n".join(["T", LONG, *blocks, LONG])
+
+
+@pytest.mark.parametrize("tag", ["form id=page", "div class=search-widget", "div role=form"])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div>{}</div>", "{}"])
+@pytest.mark.parametrize("title", ["<h1>T</h1>", "<h2>T</h2>"])
+def test_a_name_around_the_whole_page(tag, wrap, title):
+    body = wrap.format(f"{title}<p>{LONG}</p><p>{LONG}</p>")
+    assert extract(f"<body>{BOILER[0]}<{tag}>{BOILER[1]}{body}{BOILER[2]}</{tag.split()[0]}></body>") == f"T\n\n{LONG}\n\n{LONG}"
+
+
+def test_a_wrapper_with_the_main_heading_is_no_sidebar():
+    assert extract(f"<body>{BOILER[0]}<div class='page has-sidebar'><h1>T</h1><p>{LONG}</p></div></body>") == f"T\n\n{LONG}"
+
+
 def test_long_and_deep_pages():
     assert extract("<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>").count("\n\n") == 19_999
     assert extract("<div>" * 5000 + LONG) == LONG
