@@ -15,6 +15,7 @@ from gridpv.llm import (
     html_extract,
     merkle_manifest,
     minhash_dedup,
+    phrases,
     quality_rules,
     substring_dedup,
     token_counts,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_best_fit_packing": best_fit_packing.op9_best_fit_packing,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_phrases": phrases.op11_phrases,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
@@ -40,6 +42,7 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op6_chat_format": chat_format.ORACLE_SQL,
     "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
+    "op11_phrases": phrases.ORACLE_SQL,
     "op12_exact_dedup": exact_dedup.ORACLE_SQL,
     "op13_merkle_manifest": merkle_manifest.ORACLE_SQL,
 }
