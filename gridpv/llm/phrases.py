@@ -44,9 +44,9 @@ LEAST, TOP, LONGEST = 100, 2000, 5
 BAND = 16
 FILTER_BITS = 26
 #: Distinct words or phrases that a worker adds up before it passes them on, and bytes of words.
-HELD, HELD_BYTES = 500_000, 1 << 26
+HELD, HELD_BYTES = 200_000, 1 << 25
 #: Positions that are sorted at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))] = True
