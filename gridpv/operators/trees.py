@@ -37,8 +37,8 @@ SCALE = 1 << 20
 LOCAL = 100_000
 #: Bytes of bin borders that are sent to the workers; more are joined to the rows.
 SENT_BORDERS = 64 << 20
-#: Levels (deep trees) or rounds (boosting) after which the lineage is cut.
-CUT_EVERY = 5
+#: Levels of a deep tree, and rounds of boosting, after which the lineage is cut.
+CUT_LEVELS, CUT_ROUNDS = 8, 5
 
 _NODE = ["model", "tree", "node"]
 
@@ -187,19 +187,22 @@ def bin_values(rows: DataFrame, bins: int, sent: int = SENT_BORDERS) -> DataFram
 # --------------------------------------------------------------------------- one level
 
 
-def _soft(g: Column, l1: float) -> Column:
+# Written as SQL text: a level is one query, analysed once (a chain of DataFrame calls costs more than its job).
+
+
+def _soft(g: str, p: TreeParams) -> str:
     """The gradient sum less the L1 penalty."""
-    return F.signum(g) * F.greatest(F.abs(g) - F.lit(l1 * SCALE), F.lit(0.0)) if l1 else g
+    g = f"CAST({g} AS DOUBLE)"
+    return f"signum({g}) * greatest(abs({g}) - {p.l1 * SCALE!r}D, 0.0D)" if p.l1 else g
 
 
-def _worth(g: Column, w: Column, p: TreeParams) -> Column:
-    s = _soft(g.cast("double"), p.l1)
-    return s * s / (w.cast("double") + F.lit(p.l2))
+def _worth(g: str, w: str, p: TreeParams) -> str:
+    return f"({_soft(g, p)}) * ({_soft(g, p)}) / (CAST({w} AS DOUBLE) + {float(p.l2)!r}D)"
 
 
-def _leaf(g: Column, w: Column, p: TreeParams) -> Column:
+def _leaf(g: str, w: str, p: TreeParams) -> str:
     rate = p.rate if p.kind == "boosted" else 1.0
-    return _fixed(-_soft(g.cast("double"), p.l1) / (w.cast("double") + F.lit(p.l2)) * F.lit(rate))
+    return f"CAST(floor(-({_soft(g, p)}) / (CAST({w} AS DOUBLE) + {float(p.l2)!r}D) * {float(rate)!r}D + 0.5D) AS BIGINT)"
 
 
 def _tried(p: TreeParams, features: int) -> int:
@@ -209,76 +212,76 @@ def _tried(p: TreeParams, features: int) -> int:
     return min(max(n, 1), features)
 
 
-def _candidates(rows: DataFrame, p: TreeParams, features: int, level: int, columns: Sequence[int] | None) -> DataFrame:
-    """Per node, feature and threshold ``v`` the sums to its left (gl, wl, cl), of missing values (gm, wm, cm)
-    and of the node (gt, wt, ct)."""
-    long = rows.select(*_NODE, "g", "w", F.posexplode("x").alias("f", "v"))
+def _each(text: str) -> str:
+    """``text`` for the sums of gradients, weights and rows."""
+    return ", ".join(text.format(n=n) for n in "gwc")
+
+
+def _candidates(p: TreeParams, features: int, level: int, columns: Sequence[int] | None) -> str:
+    """CTEs up to ``cand``: per node, feature and threshold ``v`` the sums to its left (gl, wl, cl), of missing values
+    (gm, wm, cm) and of the node (gt, wt, ct)."""
+    tests = ["true"]
     if columns is not None and len(columns) < features:
-        long = long.where(F.col("f").isin(list(columns)))
-    tried = _tried(p, features)
-    if tried < features:
+        tests.append(f"f IN ({', '.join(map(str, columns))})")
+    if (tried := _tried(p, features)) < features:
         order = f"transform(sequence(0, {features - 1}), i -> struct(xxhash64({p.seed}L, tree, {level}L, node, CAST(i AS BIGINT)) AS h, i AS i))"
-        long = long.where(F.expr(f"array_contains(slice(array_sort({order}), 1, {tried}).i, f)"))
-    sums = [("g", F.col("g")), ("w", F.col("w")), ("c", F.lit(1).cast("long"))]
+        tests.append(f"array_contains(slice(array_sort({order}), 1, {tried}).i, f)")
+    node, spot = "model, tree, node", "model, tree, node, f"
+    long = f"long AS (SELECT {node}, g, w, 1L AS c, f, v FROM {{rows}} LATERAL VIEW posexplode(x) AS f, v WHERE {' AND '.join(tests)})"
     if p.kind == "extra":
-        drawn = long.groupBy(*_NODE, "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
-        at = F.col("lo") + uniform(p.seed + 1, "tree", F.lit(level), "node", "f") * (F.col("hi") - F.col("lo"))
-        drawn = drawn.select(*_NODE, "f", F.when(at < F.col("hi"), at).otherwise(F.col("lo")).alias("at"))
-        joined = long.join(drawn, [*_NODE, "f"])
-        left, gone = F.col("v") <= F.col("at"), F.col("v").isNull()
-        part = lambda cond, x: F.sum(F.when(cond, x).otherwise(F.lit(0).cast("long")))
-        return joined.groupBy(*_NODE, "f", F.col("at").alias("v")).agg(
-            *[part(left, x).alias(f"{n}l") for n, x in sums], *[part(gone, x).alias(f"{n}m") for n, x in sums],
-            *[F.sum(x).alias(f"{n}t") for n, x in sums],
-        )
-    hist = long.groupBy(*_NODE, "f", "v").agg(*[F.sum(x).alias(n) for n, x in sums])
-    whole = Window.partitionBy(*_NODE, "f")
-    upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    there = lambda n, yes: F.when(F.col("v").isNotNull() if yes else F.col("v").isNull(), F.col(n)).otherwise(F.lit(0).cast("long"))
-    out = hist.select(
-        *_NODE, "f", "v", *[F.sum(there(n, True)).over(upto).alias(f"{n}l") for n, _ in sums],
-        *[F.sum(there(n, False)).over(whole).alias(f"{n}m") for n, _ in sums], *[F.sum(n).over(whole).alias(f"{n}t") for n, _ in sums],
-    )
-    return out.where("v IS NOT NULL")
+        u = f"(xxhash64({p.seed + 1}L, tree, {level}L, node, CAST(f AS BIGINT)) & {(1 << 53) - 1}L) / {float(1 << 53)!r}D"
+        return f"""{long},
+        ends AS (SELECT {spot}, min(v) AS lo, max(v) AS hi FROM long GROUP BY {spot}),
+        drawn AS (SELECT {spot}, lo, hi, lo + {u} * (hi - lo) AS at FROM ends WHERE lo < hi),
+        cand AS (SELECT {spot}, at AS v, {_each("sum(IF(v <= at, {n}, 0L)) AS {n}l")}, {_each("sum(IF(v IS NULL, {n}, 0L)) AS {n}m")},
+          {_each("sum({n}) AS {n}t")} FROM long JOIN (SELECT {spot}, IF(at < hi, at, lo) AS at FROM drawn) USING ({spot}) GROUP BY {spot}, at)"""
+    return f"""{long},
+        hist AS (SELECT {spot}, v, {_each("sum({n}) AS {n}")} FROM long GROUP BY {spot}, v),
+        cand AS (SELECT {spot}, v, {_each("sum(IF(v IS NOT NULL, {n}, 0L)) OVER upto AS {n}l")},
+          {_each("sum(IF(v IS NULL, {n}, 0L)) OVER whole AS {n}m")}, {_each("sum({n}) OVER whole AS {n}t")}
+          FROM hist WINDOW whole AS (PARTITION BY {spot}), upto AS (PARTITION BY {spot} ORDER BY v ROWS UNBOUNDED PRECEDING))"""
 
 
 def best_splits(rows: DataFrame, p: TreeParams, features: int, level: int = 0, columns: Sequence[int] | None = None) -> DataFrame:
-    """The split of each node that has one: f, threshold, missing_left, gain, child (the number of its left
-    child on the next level; the right one follows), and the rows (cl, cr) and values (vl, vr) of both sides.
+    """The split of each node that has one: f, threshold, missing_left, gain, and the rows (cl, cr) and
+    values (vl, vr) of both sides.
 
     ``rows``: model, tree, node, x, g (gradient) and w (weight).  gain is half the loss that the split saves.
     """
-    c = _candidates(rows, p, features, level, columns).where(F.col("ct") >= p.min_split)
-    c = c.withColumn("missing_left", F.explode(F.when(F.col("cm") > 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    side = lambda n: F.col(f"{n}l") + F.when(F.col("missing_left"), F.col(f"{n}m")).otherwise(F.lit(0).cast("long"))
-    c = c.select(*_NODE, "f", "v", "missing_left", *[side(n).alias(f"{n}l") for n in "gwc"], *[f"{n}t" for n in "gwc"])
-    c = c.withColumns({f"{n}r": F.col(f"{n}t") - F.col(f"{n}l") for n in "gwc"})
-    enough = [F.col(f"c{s}") >= max(p.min_leaf, 1) for s in "lr"] + [F.col(f"w{s}") >= F.lit(p.min_weight) for s in "lr"]
-    for cond in enough:
-        c = c.where(cond)
-    saved = _worth(F.col("gl"), F.col("wl"), p) + _worth(F.col("gr"), F.col("wr"), p) - _worth(F.col("gt"), F.col("wt"), p)
-    c = c.withColumn("gain", saved * F.lit(0.5 / SCALE**2)).where(F.col("gain") > p.min_gain)
-    values = {"vl": _leaf(F.col("gl"), F.col("wl"), p), "vr": _leaf(F.col("gr"), F.col("wr"), p)}
-    rank = F.struct("gain", (-F.col("f")).alias("f"), (-F.col("v")).alias("v"), (~F.col("missing_left")).alias("right"))
-    kept = F.struct("f", F.col("v").alias("threshold"), "missing_left", "gain", "cl", "cr", *[v.alias(n) for n, v in values.items()])
-    best = c.groupBy(*_NODE).agg(F.max_by(kept, rank).alias("s")).select(*_NODE, "s.*")
-    nth = F.row_number().over(Window.partitionBy("model", "tree").orderBy("node"))
-    return best.withColumn("child", (nth.cast("long") - 1) * 2)
-
-
-def _go(split: str = "") -> Column:
-    """0 for the left child, 1 for the right one."""
-    v = F.col("x")[F.col("f")]
-    return F.when(v.isNull(), F.when(F.col("missing_left"), 0).otherwise(1)).when(v <= F.col("threshold"), 0).otherwise(1)
-
-
-def _held(splits: DataFrame, at_most: int) -> tuple[DataFrame, int]:
-    """The splits of a level as a small local table, or in a checkpoint where there may be more than ``LOCAL``."""
-    if at_most <= LOCAL:
-        rows = splits.collect()
-        return splits.sparkSession.createDataFrame(rows, splits.schema), len(rows)
-    kept = _cut(splits)
-    return kept, kept.count()
+    least = max(p.min_leaf, 1)
+    saved = f"({_worth('gl', 'wl', p)} + {_worth('gr', 'wr', p)} - {_worth('gt', 'wt', p)}) * {0.5 / SCALE**2!r}D"
+    query = f"""WITH {_candidates(p, features, level, columns)},
+        sided AS (SELECT model, tree, node, f, v, missing_left, {_each("{n}t")}, {_each("{n}l + IF(missing_left, {n}m, 0L) AS {n}l")}
+          FROM cand LATERAL VIEW explode(IF(cm > 0, array(false, true), array(false))) AS missing_left
+          WHERE v IS NOT NULL AND ct >= {p.min_split}),
+        both AS (SELECT *, {_each("{n}t - {n}l AS {n}r")} FROM sided),
+        valued AS (SELECT *, {saved} AS gain FROM both
+          WHERE cl >= {least} AND cr >= {least} AND wl >= {float(p.min_weight)!r}D AND wr >= {float(p.min_weight)!r}D),
+        best AS (SELECT model, tree, node, max_by(struct(f, v, missing_left, gain, cl, cr, gl, wl, gr, wr), struct(gain, -f, -v, NOT missing_left)) AS s
+          FROM valued WHERE gain > {float(p.min_gain)!r}D GROUP BY model, tree, node)
+        SELECT model, tree, node, s.f, s.v AS threshold, s.missing_left, s.gain, s.cl, s.cr,
+          {_leaf('s.gl', 's.wl', p)} AS vl, {_leaf('s.gr', 's.wr', p)} AS vr FROM best"""
+    return rows.sparkSession.sql(query, rows=rows)
+
+
+#: 0 for the left child, 1 for the right one.
+_GO = "IF(x[f] IS NULL, IF(missing_left, 0L, 1L), IF(x[f] <= threshold, 0L, 1L))"
+
+
+def _numbered(splits: DataFrame, at_most: int) -> tuple[DataFrame, int]:
+    """The splits of a level with ``child``, the number of the left child on the next level (the right one follows),
+    and how many there are: a small local table, or a checkpoint where there may be more than ``LOCAL``."""
+    schema = T.StructType([*splits.schema.fields, T.StructField("child", T.LongType())])
+    if at_most > LOCAL:
+        nth = F.row_number().over(Window.partitionBy("model", "tree").orderBy("node"))
+        kept = _cut(splits.withColumn("child", (nth.cast("long") - 1) * 2))
+        return kept, kept.count()
+    out, last, child = [], None, 0
+    for r in sorted(splits.collect(), key=lambda r: (r["model"], r["tree"], r["node"])):
+        child = child + 2 if (r["model"], r["tree"]) == last else 0
+        last = r["model"], r["tree"]
+        out.append((*r, child))
+    return splits.sparkSession.createDataFrame(out, schema), len(out)
 
 
 def _side(splits: DataFrame, n: int) -> DataFrame:
@@ -295,14 +298,14 @@ class Grown:
 
 def grow(rows: DataFrame, p: TreeParams, features: int, models: int, trees: int, columns: Sequence[int] | None = None) -> Grown:
     """Grow the trees of ``rows`` (model, tree, x, g, w): one aggregate per level (two for extra trees)."""
+    spark = rows.sparkSession
     at_most = models * trees
-    totals = rows.groupBy("model", "tree").agg(F.sum("g").alias("g"), F.sum("w").alias("w"))
-    roots = totals.select("model", "tree", _leaf(F.col("g"), F.col("w"), p).alias("value"))
-    out = Grown(_held(roots, at_most)[0])
+    roots = rows.groupBy("model", "tree").agg(F.expr(f"{_leaf('sum(g)', 'sum(w)', p)} AS value"))
+    out = Grown(spark.createDataFrame(roots.collect(), roots.schema) if at_most <= LOCAL else _cut(roots))
     here = rows.withColumn("node", F.lit(0).cast("long"))
     level = 0
     while p.depth is None or level < p.depth:
-        splits, n = _held(best_splits(here, p, features, level, columns), at_most)
+        splits, n = _numbered(best_splits(here, p, features, level, columns), at_most)
         if not n:
             break
         out.levels.append((splits, n))
@@ -310,8 +313,8 @@ def grow(rows: DataFrame, p: TreeParams, features: int, models: int, trees: int,
         if level == p.depth:
             break
         # rows of nodes without a split stay behind
-        here = here.join(_side(splits, n), _NODE).select("model", "tree", "x", "g", "w", (F.col("child") + _go()).alias("node"))
-        if level % CUT_EVERY == 0:
+        here = here.join(_side(splits, n), _NODE).selectExpr("model", "tree", "x", "g", "w", f"child + {_GO} AS node")
+        if level % CUT_LEVELS == 0:
             here = _cut(here)
         at_most = 2 * n
     return out
@@ -324,10 +327,7 @@ def walk(rows: DataFrame, grown: Grown, models: int) -> DataFrame:
     here = rows.join(roots, ["model", "tree"], "left").withColumn("node", F.lit(0).cast("long"))
     for splits, n in grown.levels:
         side = _side(splits.select(*_NODE, "f", "threshold", "missing_left", "child", "vl", "vr"), n)
-        went = _go()
-        here = here.join(side, _NODE, "left").select(
-            *kept, F.coalesce(F.when(went == 0, F.col("vl")).otherwise(F.col("vr")), "value").alias("value"), (F.col("child") + went).alias("node")
-        )
+        here = here.join(side, _NODE, "left").selectExpr(*kept, f"coalesce(IF({_GO} = 0, vl, vr), value) AS value", f"child + {_GO} AS node")
     return here.select(*kept, "value")
 
 
@@ -425,8 +425,8 @@ def _boost(rows: DataFrame, p: TreeParams, features: int, base: DataFrame, model
             moved = walk(one, grown, models)
             moved = moved.select("rid", "model", "y", "x", (F.col("pred") + F.coalesce("value", F.lit(0).cast("long"))).alias("pred"))
             # kept in memory and on disk between rounds; a lost executor costs the rounds since the last cut
-            last, here = here, _cut(moved) if (tree + 1) % CUT_EVERY == 0 else moved.persist()
-            here.count() if (tree + 1) % CUT_EVERY else None
+            last, here = here, _cut(moved) if (tree + 1) % CUT_ROUNDS == 0 else moved.persist()
+            here.count() if (tree + 1) % CUT_ROUNDS else None
             last.unpersist()
     here.unpersist()
     return parts
