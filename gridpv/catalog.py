@@ -8,15 +8,17 @@ rounded to 6 places on both sides.  Every query reads whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpv.functions.columns import round_to
+from gridpv.functions.columns import parse_ts, round_to
 from gridpv.operators import capacity as cap
-from gridpv.operators import clean, model, quality, report, series
+from gridpv.operators import clean, model, quality, report, series, trees
 from gridpv.operators.series import CHUNK, DAY_US, HALF_HOUR_US
+from gridpv.operators.trees import TreeParams
 from gridpv.plans import capacity as capplan
 from gridpv.plans import dashboard, generation, modelling
 from gridpv.plans import quality as qualityplan
@@ -519,6 +521,68 @@ def q_k14_train_and_score(spark, d):
     return metrics
 
 
+def _tree_table(spark, d):
+    """R8 as a modelling table: the label, features with missing values, ties and many values."""
+    s = scored(spark, d)
+    return s.select(
+        "event_type", "datetime_gmt", "event_id", "generation_mw",
+        F.when(F.col("event_id") % 7 != 0, F.col("global_tilted_irradiance_instant")).alias("irradiance"),
+        F.hour("datetime_gmt").cast("double").alias("hour"), F.dayofmonth("datetime_gmt").cast("double").alias("day"), "capacity_mwp")
+
+
+TREE_FEATURES = ["irradiance", "hour", "day", "capacity_mwp"]
+
+
+def q_j4_root_splits(spark, d):
+    """The first split of each key's boosted model (L1, L2, missing direction) and the values of its sides."""
+    p = replace(trees.TREE_PRESETS["boosted_tuned"], trees=1, depth=1, rows=1.0, columns=1.0)
+    fitted = trees.fit_trees(_tree_table(spark, d), TREE_FEATURES, "generation_mw", ["event_id"], R1K, p)
+    s = fitted.splits()
+    value = lambda c: (F.col(c) / F.lit(float(trees.SCALE))).alias({"vl": "left_value", "vr": "right_value"}[c])
+    return _round(s.select(
+        F.get_json_object("model", "$.event_type").alias("event_type"), "feature", "threshold", "missing_left", "gain",
+        F.col("cl").alias("n_left"), F.col("cr").alias("n_right"), value("vl"), value("vr")))
+
+
+def q_k14_split_coverage(spark, d):
+    """K14 per key without shrinkage or penalties, so that the mean prediction of the train rows is the mean label."""
+    p = TreeParams(trees=1, rate=1.0, depth=3)
+    out = modelling.train_per_key(_tree_table(spark, d), R1K, "datetime_gmt", p, tiebreak=["event_id"])
+    c = modelling.split_coverage(out.scored, R1K)
+    known = F.col("split") == "train"
+    return c.select("event_type", "split", "n_rows", "n_predicted", round_to("mean_actual", 3).alias("mean_actual"),
+                    round_to(F.when(known, F.col("mean_predicted")), 3).alias("mean_predicted_train"))
+
+
+def q_k14_per_key(spark, d):
+    """K14 with one tuned boosted model per key (5 of its 50 rounds), after a selection of features."""
+    p = replace(trees.TREE_PRESETS["boosted_tuned"], trees=5)
+    selector = replace(trees.TREE_PRESETS["selector"], trees=1)
+    return modelling.train_per_key(_tree_table(spark, d), R1K, "datetime_gmt", p, selector, tiebreak=["event_id"]).metrics
+
+
+def q_j10_compare_presets(spark, d):
+    """Four presets (some of their trees) per key on one shared table."""
+    few = {"boosted_tuned": 2, "forest_tuned": 2, "extra_trees_tuned": 10, "gradient_boosting": 3}
+    presets = {name: replace(trees.TREE_PRESETS[name], trees=n) for name, n in few.items()}
+    return modelling.compare_presets(_tree_table(spark, d), R1K, presets, "datetime_gmt", tiebreak=["event_id"])[0]
+
+
+def q_j10_metrics_of_models(spark, d):
+    """Metrics of given predictions of three models, in one aggregate."""
+    x = model.split(scored(spark, d), R1K, "datetime_gmt", tiebreak=["event_id"])
+    x = x.withColumns({"shifted": F.col("pred_generation_mw") + 1.5, "by_hour": F.when(F.col("event_id") % 5 != 0, F.hour("datetime_gmt") * 2.0)})
+    return model.evaluate_columns(x, {"given": "pred_generation_mw", "shifted": "shifted", "by_hour": "by_hour"})
+
+
+def q_b7_unparsed(spark, d):
+    """Texts of times that do not parse, counted per key."""
+    text = F.date_format("datetime_gmt", "yyyy-MM-dd HH:mm:ss")
+    bad = F.when(F.col("event_id") % 13 == 0, "n/a").when(F.col("event_id") % 17 == 0, "31 May").when(F.col("event_id") % 19 != 0, text)
+    x = scored(spark, d).select("event_type", bad.alias("start"), text.alias("end"))
+    return quality.unparsed(x, ["start", "end"], parse_ts, R1K)
+
+
 QUERIES: dict[str, Query] = {
     "clean_daily_generation": q_clean_daily_generation,
     "g1_interpolate_time": q_g1_interpolate_time,
@@ -592,4 +656,10 @@ QUERIES: dict[str, Query] = {
     "f13_completeness": q_f13_completeness,
     "c13_incomplete_rows": q_c13_incomplete_rows,
     "k14_train_and_score": q_k14_train_and_score,
+    "j4_root_splits": q_j4_root_splits,
+    "k14_split_coverage": q_k14_split_coverage,
+    "k14_per_key": q_k14_per_key,
+    "j10_compare_presets": q_j10_compare_presets,
+    "j10_metrics_of_models": q_j10_metrics_of_models,
+    "b7_unparsed": q_b7_unparsed,
 }

@@ -281,6 +281,14 @@ def evaluate(scored: dict[str, DataFrame], actual: str = TARGET, pred: str = PRE
     return out
 
 
+def evaluate_columns(df: DataFrame, preds: dict[str, str], actual: str = TARGET, by: Sequence[str] = ("split",)) -> DataFrame:
+    """J10 for models whose predictions are columns of one table (model name -> column): all metrics in one
+    aggregate.  Rows without both values are skipped per model."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.col(c).cast("double").alias("_pred")) for name, c in preds.items()]))
+    long = df.select(*by, F.col(actual).alias("_actual"), each.alias("_m")).select(*by, "_actual", "_m.*")
+    return regression_metrics(long, "_actual", "_pred", by=["model", *by])
+
+
 def residual_points(df: DataFrame, actual: str = TARGET, pred: str = PRED, fraction: float | None = None,
                     seed: int = 42) -> DataFrame:
     """Actual-vs-predicted pairs per split (optionally sampled for plotting)."""

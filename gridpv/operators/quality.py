@@ -86,3 +86,14 @@ def incomplete_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 def describe_schema(df: DataFrame) -> tuple[int, list[tuple[str, str]]]:
     """F16: shape and column types (an action: counts the rows)."""
     return df.count(), [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
+def unparsed(df: DataFrame, cols: Sequence[str], parse, keys: Sequence[str] = ()) -> DataFrame:
+    """B7's check: per key and column the rows with text, and those of them that ``parse`` (text column ->
+    value) turns into NULL, with the least such text.  The reference keeps such a column as text."""
+    texts = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("_text")) for c in cols]))
+    long = df.select(*keys, texts.alias("_t")).select(*keys, "_t.*").filter(F.col("_text").isNotNull())
+    bad = parse(F.col("_text")).isNull()
+    return long.groupBy(*keys, "column_name").agg(
+        F.count(F.lit(1)).alias("n_text"), F.sum(bad.cast("long")).alias("n_unparsed"), F.min(F.when(bad, F.col("_text"))).alias("example"),
+    )

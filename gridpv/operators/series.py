@@ -31,6 +31,8 @@ DAY_US = 24 * HOUR_US
 
 CHUNK = "_chunk"
 DEFAULT_CHUNK_US = DAY_US
+#: Rows of a dense chunk that one task numbers when only its last few are wanted.
+PART_ROWS = 65_536
 
 _U = Window.unboundedPreceding
 _C = Window.currentRow
@@ -62,6 +64,38 @@ def with_chunk(df: DataFrame, ts: str, chunk_us: int = DEFAULT_CHUNK_US) -> Data
     return df.withColumn(CHUNK, F.expr(f"({h} - pmod({h}, {n}L)) div {n}L"))
 
 
+def bounded_chunks(df: DataFrame, keys: Sequence[str], ts: str, rows: int = 100_000,
+                   chunk_us: int = DEFAULT_CHUNK_US, slices: int = 256) -> DataFrame:
+    """``df`` with chunks of at most about ``rows`` rows of a key, for dense irregular series.
+
+    Time buckets are counted; those with more rows are cut at approximate quantiles of their times, again
+    and again until none is too large.  Only rows of one instant stay together.  Chunks ascend with time
+    within a key, which is all that ordered passes need, so results do not depend on the cuts; the cuts are
+    kept in a checkpoint, so that every use of the rows sees the same ones.  An hour may be
+    split: drop the chunk column before hourly means.
+    """
+    from gridpv.session import checkpoint_dir
+
+    keys = list(keys)
+    checkpoint_dir(df.sparkSession)
+    x = with_chunk(df, ts, chunk_us)
+    group = [*keys, CHUNK]
+    t = epoch_us_sql(ts)
+    shares = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
+    while True:
+        counted = x.dropna(subset=group).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.expr(f"min({t}) AS _lo"), F.expr(f"max({t}) AS _hi"))
+        large = counted.filter((F.col("_n") > rows) & (F.col("_lo") < F.col("_hi"))).select(*group).checkpoint()
+        n = large.count()
+        if not n:
+            return x
+        side = F.broadcast if n <= 4096 else (lambda d: d)
+        cuts = x.join(side(large), group).groupBy(*group).agg(F.expr(f"array_distinct(percentile_approx({t}, array({shares}), 10000)) AS _cuts"))
+        cuts = cuts.checkpoint()
+        # the instant of a cut is a slice of its own, so that every round takes something apart
+        nth = f"coalesce(size(filter(_cuts, c -> c < {t})) + size(filter(_cuts, c -> c <= {t})), 0)"
+        x = x.join(side(cuts), group, "left").withColumn(CHUNK, F.expr(f"{CHUNK} * {2 * slices}L + {nth}")).select(*x.columns)
+
+
 def _order_cols(ts: str, tiebreak: Sequence[str]) -> list[Column]:
     return [F.col(ts)] + [F.col(c) for c in tiebreak]
 
@@ -166,6 +200,7 @@ def fill_series(
     tiebreak: Sequence[str] = (),
     chunk_us: int = DEFAULT_CHUNK_US,
     keep_index: bool = False,
+    max_chunk_rows: int | None = None,
 ) -> DataFrame:
     """All per-key gap fills of one table in a single ordered pass.
 
@@ -175,7 +210,12 @@ def fill_series(
     * ``linear_interpolate`` (G2): x = row position, edges copy the nearest
       value; ``limit`` applies the same way when given.
     * ``forward_fill`` (G3), ``forward_back_fill`` (G4).
+
+    ``max_chunk_rows`` bounds the rows of a key in one window (:func:`bounded_chunks`), for series whose time
+    buckets may be dense; the chunk column is then left out of the result.
     """
+    if max_chunk_rows:
+        df = bounded_chunks(df.drop(CHUNK), keys, ts, max_chunk_rows, chunk_us)
     specs: dict[str, tuple[str, dict[str, str]]] = {}
     for c in list(time_interpolate):
         specs[c] = (f"{quote(c)} IS NOT NULL", {"v": quote(c), "t": epoch_us_sql(ts)})
@@ -192,6 +232,8 @@ def fill_series(
     for c in forward_back_fill:
         new[c] = f"coalesce({quote(c)}, {quote(c + '_prev')}.v, {quote(c + '_next')}.v)"
     drop = {f"{c}_{d}" for c in specs for d in ("prev", "next")}
+    if max_chunk_rows:
+        drop.add(CHUNK)
     if not keep_index:
         drop |= {"_rn", "_cnt"}
     return x.select(*[F.expr(new[c]).alias(c) if c in new else F.col(c) for c in x.columns if c not in drop])
@@ -433,7 +475,8 @@ def nth_from_end(df: DataFrame, keys: Sequence[str], ts: str, n: int = 50,
                  tiebreak: Sequence[str] = (), chunk_us: int = DEFAULT_CHUNK_US) -> DataFrame:
     """The n-th row from the end of each key (``iloc[-n]``), skew-safe.
 
-    Rows are counted per (key, chunk); only the chunk that holds the n-th row is numbered.
+    Rows are counted per (key, chunk); only the chunk that holds the n-th row is numbered.  A dense chunk is
+    dealt by hash into parts of about ``PART_ROWS`` rows first, of which the last ``n`` each go on.
     """
     from pyspark.sql import Window
 
@@ -442,10 +485,14 @@ def nth_from_end(df: DataFrame, keys: Sequence[str], ts: str, n: int = 50,
     later = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     counts = x.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
-    place = counts.filter((F.col("_later") < n) & (F.col("_later") + F.col("_n") >= n)).drop("_n")
+    place = counts.filter((F.col("_later") < n) & (F.col("_later") + F.col("_n") >= n))
+    place = place.withColumn("_parts", F.ceil(F.col("_n") / PART_ROWS).cast("long")).drop("_n")
     order = [F.col(c).desc_nulls_last() for c in [ts, *tiebreak]]
     own = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    x = x.join(place, [*keys, CHUNK]).withColumn("_r", F.row_number().over(own))
+    part = Window.partitionBy(*keys, CHUNK, "_part").orderBy(*order)
+    x = x.join(place, [*keys, CHUNK]).withColumn("_part", F.pmod(F.xxhash64(ts, *tiebreak), F.col("_parts")))
+    x = x.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= F.lit(n) - F.col("_later"))
+    x = x.withColumn("_r", F.row_number().over(own))
     return x.filter(F.col("_r") == F.lit(n) - F.col("_later")).select(*[c for c in df.columns if c != CHUNK])
 
 

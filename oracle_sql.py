@@ -616,4 +616,59 @@ def oracle_sql() -> dict[str, str]:
     q["c13_incomplete_rows"] = with_ctes(
         ["r2"], f"SELECT gsp_id, {TS}, event_id, round(generation_mw, 6) AS generation_mw FROM r2 WHERE gsp_id IS NULL "
         f"OR {TS} IS NULL OR event_id IS NULL OR generation_mw IS NULL ORDER BY {TS}, event_id LIMIT 20")
+    q["j4_root_splits"] = _root_splits_sql()
+    q["k14_split_coverage"] = with_ctes(
+        SCORED + [split_cte("scored")],
+        "SELECT event_type, split, count(*) AS n_rows, count(*) AS n_predicted, round(avg(generation_mw), 3) AS mean_actual, "
+        "round(CASE WHEN split = 'train' THEN avg(generation_mw) END, 3) AS mean_predicted_train FROM sp GROUP BY 1, 2")
+    models = ("('given', pred_generation_mw), ('shifted', pred_generation_mw + 1.5::DOUBLE), "
+              "('by_hour', CASE WHEN event_id % 5 <> 0 THEN hour(datetime_gmt) * 2.0::DOUBLE END)")
+    q["j10_metrics_of_models"] = with_ctes(
+        SCORED + [split_cte("scored"), f"m AS (SELECT sp.split, sp.generation_mw AS a, t.model, t.p FROM sp, LATERAL (VALUES {models}) t(model, p))"],
+        "SELECT model, split, count(*) AS n, round(1.0 - sum((p - a) ^ 2) / (var_pop(a) * count(*)), 3) AS r2, "
+        "round(avg(abs(p - a)), 3) AS mae, round(avg((p - a) ^ 2), 3) AS mse, round(sqrt(avg((p - a) ^ 2)), 3) AS rmse "
+        "FROM m WHERE a IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2")
+    text = "strftime(datetime_gmt, '%Y-%m-%d %H:%M:%S')"
+    q["b7_unparsed"] = with_ctes(
+        SCORED + [f"""x AS (SELECT event_type, 'end' AS column_name, {text} AS t FROM scored UNION ALL
+          SELECT event_type, 'start', CASE WHEN event_id % 13 = 0 THEN 'n/a' WHEN event_id % 17 = 0 THEN '31 May'
+          WHEN event_id % 19 <> 0 THEN {text} END FROM scored)"""],
+        "SELECT event_type, column_name, count(*) AS n_text, count(*) FILTER (TRY_CAST(t AS TIMESTAMP) IS NULL) AS n_unparsed, "
+        "min(t) FILTER (TRY_CAST(t AS TIMESTAMP) IS NULL) AS example FROM x WHERE t IS NOT NULL GROUP BY 1, 2")
     return q
+
+
+def _root_splits_sql(bins: int = 256, l1: float = 1.0, l2: float = 1.0, rate: float = 0.05) -> str:
+    """The best first split per key, from the histogram of first gradients over the bins of each feature."""
+    unit = 1 << 20
+    features = {"irradiance": "CASE WHEN event_id % 7 <> 0 THEN global_tilted_irradiance_instant END", "hour": f"CAST(hour({TS}) AS DOUBLE)",
+                "day": f"CAST(day({TS}) AS DOUBLE)", "capacity_mwp": "capacity_mwp"}
+    long = " UNION ALL ".join(f"SELECT event_type, {i} AS f, '{n}' AS feature, {e} AS v, y FROM y" for i, (n, e) in enumerate(features.items()))
+    soft = lambda g: f"(sign({g}) * greatest(abs({g}) - {l1 * unit!r}::DOUBLE, 0.0::DOUBLE))"
+    worth = lambda s: f"({soft('g' + s)} ^ 2 / (c{s} + {l2}::DOUBLE))"
+    leaf = lambda s: f"floor(-{soft('g' + s)} / (c{s} + {l2}::DOUBLE) * {rate}::DOUBLE + 0.5::DOUBLE) / {unit}::DOUBLE"
+    return with_ctes(
+        SCORED + [
+            f"y AS (SELECT *, CAST(floor(generation_mw * {unit}::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS y FROM scored WHERE generation_mw IS NOT NULL)",
+            "b AS (SELECT event_type, CAST(floor(sum(y) / count(*) + 0.5::DOUBLE) AS BIGINT) AS base FROM y GROUP BY 1)",
+            f"l AS (SELECT l.event_type, f, feature, v, base - y AS g FROM ({long}) l JOIN b USING (event_type))",
+            "k AS (SELECT event_type, f, v, count(*) AS c FROM l WHERE v IS NOT NULL GROUP BY 1, 2, 3)",
+            """r AS (SELECT *, count(*) OVER (PARTITION BY event_type, f) AS kinds, sum(c) OVER (PARTITION BY event_type, f) AS n,
+              sum(c) OVER (PARTITION BY event_type, f ORDER BY v) AS upto FROM k)""",
+            f"e AS (SELECT event_type, f, v AS e FROM r WHERE kinds <= {bins} OR floor(upto * {bins} / n) > floor((upto - c) * {bins} / n))",
+            "m AS (SELECT l.event_type, l.f, l.feature, e.e AS v, l.g FROM l ASOF LEFT JOIN e ON l.event_type = e.event_type AND l.f = e.f AND l.v <= e.e)",
+            "h AS (SELECT event_type, f, feature, v, CAST(sum(g) AS DOUBLE) AS g, count(*) AS c FROM m GROUP BY 1, 2, 3, 4)",
+            """w AS (SELECT event_type, f, feature, v,
+              sum(CASE WHEN v IS NOT NULL THEN g ELSE 0 END) OVER u AS gu, sum(CASE WHEN v IS NOT NULL THEN c ELSE 0 END) OVER u AS cu,
+              sum(CASE WHEN v IS NULL THEN g ELSE 0 END) OVER p AS gm, sum(CASE WHEN v IS NULL THEN c ELSE 0 END) OVER p AS cm,
+              sum(g) OVER p AS gt, CAST(sum(c) OVER p AS BIGINT) AS ct
+              FROM h WINDOW p AS (PARTITION BY event_type, f), u AS (PARTITION BY event_type, f ORDER BY v NULLS FIRST ROWS UNBOUNDED PRECEDING))""",
+            """s AS (SELECT w.*, m.missing_left, gu + CASE WHEN m.missing_left THEN gm ELSE 0 END AS gl,
+              CAST(cu + CASE WHEN m.missing_left THEN cm ELSE 0 END AS BIGINT) AS cl
+              FROM w, (VALUES (false), (true)) m(missing_left) WHERE v IS NOT NULL AND (cm > 0 OR NOT m.missing_left))""",
+            "z AS (SELECT *, gt - gl AS gr, ct - cl AS cr FROM s)",
+            f"""q AS (SELECT *, ({worth('l')} + {worth('r')} - {worth('t')}) * 0.5::DOUBLE / {float(unit) ** 2!r}::DOUBLE AS gain FROM z WHERE cl >= 1 AND cr >= 1
+              QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY gain DESC, f, v, missing_left) = 1)""",
+        ],
+        f"""SELECT event_type, feature, round(v, 6) AS threshold, missing_left, round(gain, 6) AS gain, cl AS n_left, cr AS n_right,
+          round({leaf('l')}, 6) AS left_value, round({leaf('r')}, 6) AS right_value FROM q WHERE gain > 0.000001""")
