@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridpv.operators import series
 from gridpv.operators.joins import small_side
 from gridpv.schemas import GENERATION_SCHEMA, weather_payload_schema
 
@@ -101,3 +102,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def write_series(df: DataFrame, table: str, keys: Sequence[str], ts: str, step_us: int | None = None, buckets: int = 200,
+                 path: str | None = None, mode: str = "errorifexists") -> None:
+    """A9 for series: a table bucketed by (keys, chunk) and sorted by time, the layout of the ordered operators.
+
+    With ``step_us`` (a regular series) chunks hold about 256 steps, as the pipelines use them, else one day.  Read
+    with ``spark.table``, the fills, interpolations and row numbers of a key need no exchange of the rows:
+    the chunk column is there already and each bucket holds whole chunks.  One file is written per bucket.
+    """
+    keys = list(keys)
+    width = series.chunk_for_step(step_us) if step_us else series.DEFAULT_CHUNK_US
+    x = series.with_chunk(df.drop(series.CHUNK), ts, width).repartition(buckets, *keys, series.CHUNK)
+    w = x.write.mode(mode).format("parquet").bucketBy(buckets, *keys, series.CHUNK).sortBy(*keys, series.CHUNK, ts)
+    (w.option("path", path) if path else w).saveAsTable(table)

@@ -58,3 +58,28 @@ def test_weather_payload_roundtrip_and_explode(spark):
     rows = explode_weather(back, ["gsp_id"])
     assert rows.count() == 24 * p.count()
     assert set(rows.columns) >= {"gsp_id", "date", "year", "month", "day", "hour", "shortwave_radiation"}
+
+
+def test_series_table_needs_no_exchange_of_its_rows(spark, tmp_path):
+    """A table written by (key, chunk) is filled, numbered and interpolated without a shuffle of the rows."""
+    from gridpv.operators import series
+    from gridpv.sources import testdata as td
+    from gridpv.sources.files import write_series
+
+    rows = td.r1_halfhourly(spark, "/root/testdata/sf0.001").persist()
+    keys, ts = ["event_type"], "datetime_gmt"
+    spark.sql("DROP TABLE IF EXISTS generation_by_chunk")
+    write_series(rows, "generation_by_chunk", keys, ts, series.HALF_HOUR_US, buckets=8, path=str(tmp_path / "t"))
+    table = spark.table("generation_by_chunk")
+    assert len(table.inputFiles()) <= 8
+    stored = series.interpolate_time(table, keys, ts, "generation_mw", limit=2)
+    plain = series.interpolate_time(rows, keys, ts, "generation_mw", limit=2)
+    assert sorted(map(str, stored.select(*rows.columns).collect())) == sorted(map(str, plain.select(*rows.columns).collect()))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    # the one exchange is that of the chunk summary, by key alone
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(event_type" in plan
+    line = next(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    assert "_chunk" not in line
+    spark.sql("DROP TABLE generation_by_chunk")
+    rows.unpersist()
