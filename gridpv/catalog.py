@@ -7,6 +7,7 @@ rounded to 6 places on both sides.  Every query reads whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -23,6 +24,8 @@ from gridpv.plans import capacity as capplan
 from gridpv.plans import dashboard, generation, modelling
 from gridpv.plans import quality as qualityplan
 from gridpv.schemas import LOCATION_COLUMNS
+from gridpv.session import checkpoint_dir
+from gridpv.sources import files
 from gridpv.sources import manifest as mf
 from gridpv.sources import requests as rq
 from gridpv.sources import testdata as td
@@ -583,6 +586,69 @@ def q_b7_unparsed(spark, d):
     return quality.unparsed(x, ["start", "end"], parse_ts, R1K)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes and reads again."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_a1_read_capacity(spark, d):
+    """Capacity as gzip CSV with the source's column name and some bad numbers, read back."""
+    path = _folder(spark, "capacity")
+    bad = F.when(F.col("system_count") % 37 == 0, "n/k").otherwise(F.col("cumul_capacity_mwp").cast("string"))
+    raw = td.r4_capacity(spark, d).select(
+        "install_month", "GSPs", (F.col("cumul_capacity_mwp") * 1.25).alias("dc_capacity_MWp"), bad.alias("cumul_capacity_mwp"), "system_count")
+    raw.write.option("header", True).option("compression", "gzip").csv(path)
+    return _round(files.read_capacity(spark, path, release="R4"))
+
+
+def q_a3_read_locations(spark, d):
+    """Locations as CSV, read back; the first row of each name in file order."""
+    path = _folder(spark, "locations")
+    rows = td.r5_locations(spark, d).orderBy("row_ord", "gsp_name").coalesce(1).drop("row_ord")
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return _round(clean.first_per_key(files.read_locations(spark, path), ["gsp_name"], ["row_ord"]).drop("row_ord"))
+
+
+def q_a6_read_weather_payload(spark, d):
+    """Weather payloads as JSON, read back with the payload schema and turned to rows."""
+    path = _folder(spark, "weather")
+    payload = td.r7_payload(spark, d)
+    payload.withColumn("gsp_id", F.ascii("event_type")).drop("event_type").write.json(path)
+    return _round(weather.explode_weather(files.read_weather_payload(spark, path, "json"), ["gsp_id"]))
+
+
+def q_a9_write_table(spark, d):
+    """Daily generation exported as parquet by year and as CSV; the rows of both exports."""
+    rows = td.r3_daily(spark, d).withColumn("year", F.year("datetime_gmt"))
+    paths = {fmt: _folder(spark, fmt) for fmt in ("parquet", "csv")}
+    files.write_table(rows, paths["parquet"], partition_by=["year"])
+    files.write_table(rows, paths["csv"], "csv")
+    ddl = rows.select("gsp_id", "datetime_gmt", "generation_mw", "year").schema
+    back = {"parquet": spark.read.parquet(paths["parquet"]), "csv": spark.read.schema(rows.schema).option("header", True).csv(paths["csv"])}
+    return _round(clean.append([df.select(*ddl.names, F.lit(fmt).alias("fmt")) for fmt, df in back.items()]))
+
+
+def q_e5_append_ordered(spark, d):
+    """E5: train and test rows appended again, in the order of time."""
+    x = model.split(scored(spark, d).select("event_type", "datetime_gmt", "event_id", "generation_mw"), R1K, "datetime_gmt", tiebreak=["event_id"])
+    both = clean.append([x.filter("split = 'train'"), x.filter("split = 'test'")])
+    return _round(series.row_index(both, R1K, "datetime_gmt", ["event_id"]).select(
+        *both.columns, F.col("_rn").cast("long").alias("place")).orderBy("event_type", "place"))
+
+
+def q_f16_describe_schema(spark, d):
+    """F16: rows, column names and types of the scored table."""
+    n, columns = quality.describe_schema(td.r8_scored(spark, d))
+    return spark.createDataFrame([(name, kind, n) for name, kind in columns], "column_name string, column_type string, n_rows long")
+
+
+def q_h4_importance(spark, d):
+    """H4: importance of the features in the first split of each key's boosted model."""
+    p = replace(trees.TREE_PRESETS["boosted_tuned"], trees=1, depth=1, rows=1.0, columns=1.0)
+    found = trees.fit_trees(_tree_table(spark, d), TREE_FEATURES, "generation_mw", ["event_id"], R1K, p).importance()
+    return _round(found.select(F.get_json_object("model", "$.event_type").alias("event_type"), "feature", "importance"))
+
+
 QUERIES: dict[str, Query] = {
     "clean_daily_generation": q_clean_daily_generation,
     "g1_interpolate_time": q_g1_interpolate_time,
@@ -662,4 +728,11 @@ QUERIES: dict[str, Query] = {
     "j10_compare_presets": q_j10_compare_presets,
     "j10_metrics_of_models": q_j10_metrics_of_models,
     "b7_unparsed": q_b7_unparsed,
+    "a1_read_capacity": q_a1_read_capacity,
+    "a3_read_locations": q_a3_read_locations,
+    "a6_read_weather_payload": q_a6_read_weather_payload,
+    "a9_write_table": q_a9_write_table,
+    "e5_append_ordered": q_e5_append_ordered,
+    "f16_describe_schema": q_f16_describe_schema,
+    "h4_importance": q_h4_importance,
 }

@@ -617,6 +617,27 @@ def oracle_sql() -> dict[str, str]:
         ["r2"], f"SELECT gsp_id, {TS}, event_id, round(generation_mw, 6) AS generation_mw FROM r2 WHERE gsp_id IS NULL "
         f"OR {TS} IS NULL OR event_id IS NULL OR generation_mw IS NULL ORDER BY {TS}, event_id LIMIT 20")
     q["j4_root_splits"] = _root_splits_sql()
+    q["h4_importance"] = (
+        f"WITH root AS ({_root_splits_sql()}) SELECT e.event_type, f.feature, CASE WHEN root.feature = f.feature THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance "
+        "FROM (SELECT DISTINCT event_type FROM events) e CROSS JOIN (VALUES ('irradiance'), ('hour'), ('day'), ('capacity_mwp')) f(feature) "
+        "LEFT JOIN root ON root.event_type = e.event_type")
+    q["a1_read_capacity"] = with_ctes(
+        ["r4"], f"""SELECT 'R4' AS release, {TSM}, "GSPs", round(cumul_capacity_mwp * 1.25::DOUBLE, 6) AS dc_capacity_mwp,
+        cumul_capacity_mwp, system_count FROM r4 WHERE system_count % 37 <> 0""")
+    q["a3_read_locations"] = with_ctes(
+        ["r5"], "SELECT gsp_id, gsp_name, round(gsp_lat, 6) AS gsp_lat, round(gsp_lon, 6) AS gsp_lon, region_name, pes_id FROM r5 WHERE row_ord = 1")
+    q["a6_read_weather_payload"] = with_ctes(
+        WX, "SELECT CAST(ascii(event_type) AS INTEGER) AS gsp_id, date, " + ", ".join(f"round({v}, 6) AS {v}" for v in WEATHER) + ", year, month, day, hour FROM wx")
+    q["a9_write_table"] = with_ctes(
+        ["r3"], f"SELECT gsp_id, {TS}, round(generation_mw, 6) AS generation_mw, CAST(year({TS}) AS INTEGER) AS year, fmt "
+        "FROM r3, (VALUES ('parquet'), ('csv')) f(fmt)")
+    q["e5_append_ordered"] = with_ctes(
+        SCORED + [split_cte("scored")],
+        f"SELECT event_type, {TS}, event_id, round(generation_mw, 6) AS generation_mw, split, "
+        f"row_number() OVER (PARTITION BY event_type ORDER BY {TS}, event_id) AS place FROM sp")
+    q["f16_describe_schema"] = with_ctes(
+        ["r8"], "SELECT c.column_name, c.column_type, (SELECT count(*) FROM r8) AS n_rows FROM (VALUES ('event_type', 'string'), "
+        "('datetime_gmt', 'timestamp_ntz'), ('event_id', 'bigint'), ('generation_mw', 'double'), ('pred_generation_mw', 'double')) c(column_name, column_type)")
     q["k14_split_coverage"] = with_ctes(
         SCORED + [split_cte("scored")],
         "SELECT event_type, split, count(*) AS n_rows, count(*) AS n_predicted, round(avg(generation_mw), 3) AS mean_actual, "
