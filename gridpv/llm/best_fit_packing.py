@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridpv.llm.byte_bpe import ChunkMemo, read_ranks
+from gridpv.llm.byte_bpe import read_ranks
 from gridpv.llm.common import add_columns, checkpoint, read_table, slices
 
 #: Rows of a (length, chunk) group on average; rarer lengths have one chunk.
@@ -39,7 +39,8 @@ def token_pieces(
     """Pieces of the documents: id, piece, start, length, ids_crc32 (of little-endian unsigned
     32-bit ids), and with ``with_ids`` the ids themselves.
 
-    ``path`` is a rank file; its ids are those of the JSON file of the same vocabulary.
+    ``path`` is a rank file; its ids are those of the JSON file of the same vocabulary, with special tokens in
+    texts taken as ordinary text (``encode_special_tokens``).
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     pattern = public_tokenizers.PATTERN
@@ -48,12 +49,12 @@ def token_pieces(
     def run(batches):
         ranks = {t: i for i, t in enumerate(sent.value)}
         encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        memo = ChunkMemo(lambda chunks: [encoding.encode_to_numpy(c, disallowed_special=()).tobytes() for c in chunks])
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[tuple] = []
-                for key, chunks in zip(part.column("id"), memo.lookup(part.column("text").to_pylist()), strict=True):
-                    data = b"".join([*chunks, end])
+                for key, text in zip(part.column("id"), part.column("text").to_pylist(), strict=True):
+                    # whole texts at once: faster than a memo of chunks, which each task would have to fill
+                    data = (encoding.encode_to_numpy(text, disallowed_special=()).tobytes() if text else b"") + end
                     total = len(data) // 4
                     head = total % capacity or capacity
                     edges = [0, *range(head, total + 1, capacity)]
