@@ -19,8 +19,9 @@ With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with a probabi
 6e-11).  Shingles and set equality go by 64-bit and 128-bit hashes.
 
 Words are lower-cased from A to Z only.  A document with fewer words than a shingle has its whole
-sequence as one shingle; one without words has none and is linked with nothing.  Rows that
-repeat an id are the same document as far as links go; a null id sorts first.
+sequence as one shingle; one without words has none and is linked with nothing.  A class is named by the
+least id of its rows and by the text of that row, so rows that repeat an id with other texts are compared each by
+its own text; a null id sorts first.
 """
 
 from __future__ import annotations
@@ -107,11 +108,12 @@ def _sign(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
+                        part.column("mark"),
                         pa.array(digests, pa.binary()),
                         pa.array(sizes.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel().view(np.int64))),
                     ],
-                    names=["id", "digest", "n", "bands"],
+                    names=["id", "mark", "digest", "n", "bands"],
                 )
 
     return run
@@ -194,23 +196,27 @@ def _rank(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
 
 
+def _mark(text_col: str) -> Column:
+    """The MD5 of a text (null: empty): it tells apart the texts of rows that repeat an id."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> tuple[DataFrame, DataFrame]:
-    """Signatures (id, digest, n, bands) of all rows, and per class of equal sets (digest) its
-    ``component``: the least id that it reaches."""
-    plain = docs.select(_rank(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = checkpoint(plain.mapInArrow(_sign(k), "id long, digest binary, n long, bands array<long>"))
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
+    """Signatures (id, mark, digest, n, bands, row) of all rows, and per class of equal sets (digest) its
+    ``component``: the least (id, mark) that it reaches."""
+    plain = docs.select(_rank(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _mark(text_col).alias("mark"))
+    signed = plain.mapInArrow(_sign(k), "id long, mark binary, digest binary, n long, bands array<long>")
+    # the rows are numbered once, in the checkpoint; the least number of a class is its node
+    signed = checkpoint(signed.withColumn("row", F.monotonically_increasing_id()))
+    classes = signed.where("n > 0").groupBy("digest")
+    classes = classes.agg(F.min("row").alias("node"), F.min(F.struct("id", "mark")).alias("head"), F.first("bands").alias("bands"))
     rows = classes.select("node", F.explode("bands").alias("bucket")).distinct()
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = checkpoint(rows.join(shared.select("bucket"), "bucket"))
-    nodes = members.select("node").distinct()
-    texts = checkpoint(
-        plain.join(nodes, plain["id"] == nodes["node"], "left_semi")
-        .groupBy(F.col("id").alias("node"))
-        .agg(F.min("text").alias("text"))
-    )
+    nodes = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "head.id", "head.mark")
+    texts = checkpoint(plain.join(nodes, ["id", "mark"]).groupBy("node").agg(F.first("text").alias("text")))
 
     def compared(pairs: DataFrame) -> DataFrame:
         held = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
@@ -262,8 +268,9 @@ def near_duplicates(
         last = compared(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"))
         links = links.union(last.where("linked").select("a", "b"))
         found = components(links)
-    heads = classes.select("digest", "node").join(found, "node", "left")
-    return signed, heads.select("digest", F.coalesce("component", "node").alias("component"))
+    tops = found.join(classes.select("node", "head"), "node").groupBy("component").agg(F.min("head").alias("top"))
+    heads = classes.select("digest", "node", "head").join(found.join(tops, "component").select("node", "top"), "node", "left")
+    return signed, heads.select("digest", F.coalesce("top", "head").alias("component"))
 
 
 def mark_duplicates(
@@ -272,7 +279,7 @@ def mark_duplicates(
     """Per row of ``docs``: the id, ``n_shingles``, ``component_id`` and ``kept`` (the id is that of its
     component).  Rows without shingles are their own component."""
     signed, heads = near_duplicates(docs, id_col, text_col, k, percent)
-    component = F.coalesce(F.col("component"), F.col("id"))
+    component = F.coalesce(F.col("component.id"), F.col("id"))
     null = F.lit(-(2**63))
     return signed.join(heads, "digest", "left").select(
         F.when(F.col("id") != null, F.col("id")).alias(id_col),
@@ -282,6 +289,19 @@ def mark_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the rows of its least id and, where
+    texts differ, least text mark stay, and of rows that repeat an id and a text one (the first by its other
+    columns as JSON).  Texts without words are linked with nothing."""
+    signed, heads = near_duplicates(docs, id_col, text_col, k, percent)
+    gone = signed.join(heads, "digest").where((F.col("id") != F.col("component.id")) | (F.col("mark") != F.col("component.mark")))
+    gone = gone.select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _rank(id_col).alias("row_id"), _mark(text_col).alias("row_mark"))
+    kept = rows.join(gone, (F.col("row_id") == F.col("gone_id")) & (F.col("row_mark") == F.col("gone_mark")), "left_anti")
+    order = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() != text_col.lower()]))
+    return kept.groupBy("row_id", "row_mark").agg(F.min_by("row", order).alias("row")).select("row.*")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: its set size, component and whether it is kept."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -78,3 +78,23 @@ def test_components_of_paths_and_cycles(spark):
     rows = {r["node"]: r["component"] for r in md.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert rows == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100}
     assert md.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_compared_by_their_own_texts(spark):
+    a, b, c = prose(50, 100), prose(51, 100), prose(52, 100)
+    rows = [(3, a), (5, a + " more"), (5, b), (7, c), (7, c), (8, b + " more"), (9, ""), (9, " "), (None, c + " end"), (None, prose(53, 60))]
+    docs = with_clashes(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)).repartition(5)
+    out = md.keep_one(docs)
+    assert out.columns == docs.columns
+    want = [(None, c + " end"), (None, prose(53, 60)), (3, a), (5, b), (9, ""), (9, " ")]
+    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=repr) == sorted(want, key=repr)
+    marked = {(r["doc_id"], r["component_id"], r["kept"]) for r in md.mark_duplicates(docs).collect()}
+    assert {(5, 3, False), (5, 5, True), (8, 5, False), (7, None, False)} <= marked
+    # two unrelated texts of one id both stay, two near ones of one id leave one; other columns decide on equal texts
+    rows = [(1, a, "en", "z"), (1, b, "en", "z"), (2, c, "en", "y"), (2, c, "en", "x"), (2, c + " more", "en", "x")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA)
+    left = [(r["doc_id"], r["text"], r["source"]) for r in md.keep_one(docs).collect()]
+    assert len(left) == 3 and {(1, a, "z"), (1, b, "z")} <= set(left)
+    assert [r for r in left if r[0] == 2] == [r for r in [(2, c, "x"), (2, c + " more", "x")] if r in left]
+    assert sorted(left) == sorted((r["doc_id"], r["text"], r["source"]) for r in md.keep_one(docs.repartition(7)).collect())
+    assert md.keep_one(empty_docs(spark)).count() == 0

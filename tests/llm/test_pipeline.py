@@ -72,3 +72,11 @@ def test_empty_tables_and_extra_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
         assert out.count() > 0
+
+
+def test_repeated_ids_with_other_texts_lose_nothing(spark, tmp_path):
+    a, b, c = prose(60, 100), prose(61, 100), prose(62, 100)
+    rows = [(3, a), (5, a + " more"), (5, b), (7, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = cp.near_dedup_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, a), (5, b), (7, c)]
