@@ -8,12 +8,13 @@ executor costs at most the stage that runs.  All but the last return the columns
    documents with a score of 0.5 or more go.
 2. quality rules: documents that fail a base rule or diverge from their language's references go.
 3. MinHash near-dedup: of each group of documents linked by a Jaccard similarity of 0.8 or more
-   on 5-word shingles, the one with the least id stays (of rows that repeat an id, one stays).
+   on 5-word shingles, the one with the least id stays.  Rows that repeat an id with other texts are
+   documents of their own; of rows that repeat an id and a text one stays.
 4. substring dedup: words covered by a 20-word window that also starts earlier are cut; a
    document that is left without words goes.  A text without such words stays as it is.
 5. best-fit packing: token pieces of at most 2048 tokens with their sequence and offset.
 
-A null text is an empty one; stage 2 rejects it for its length.  Rows without id stay alone.
+A null text is an empty one; stage 2 rejects it for its length.  A row without id sorts before all others.
 """
 
 from __future__ import annotations
@@ -42,11 +43,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    gone = minhash_dedup.mark_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # rows that repeat an id are one document; a row without id is not compared to others
-    once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id IS NULL")).select(*docs.columns)
+    return minhash_dedup.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
