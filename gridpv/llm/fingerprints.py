@@ -21,10 +21,8 @@ Documents of equal fingerprints are a class, named by its least id; null where n
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import math
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridpv.llm.common import add_columns, checkpoint, read_table, slices
+from gridpv.llm.minhash_dedup import components
 
 DENSE = 128
 SEED = 8
@@ -164,8 +163,6 @@ def bands(bits: np.ndarray) -> list[tuple[int, int, int]]:
 MISSED = 0.02
 #: A band has so many bits more than it takes to number the fingerprints.
 SPARE_BITS = 6
-#: Buckets of up to so many members compare all pairs.
-SMALL = 8
 
 
 def band_plan(n: int, least: float) -> tuple[int, int]:
@@ -235,11 +232,14 @@ def classes(marked: DataFrame, id_col: str = "doc_id", print_col: str = "fingerp
 def near_documents(
     marked: DataFrame, least: float = 0.8, id_col: str = "doc_id", print_col: str = "fingerprint"
 ) -> DataFrame:
-    """Verified pairs (a, b, likeness) of documents that meet in a band.  Small buckets compare all pairs.
-    In larger ones the least id is compared to the others (a star), then the least two of those that no star has
-    linked to all others, then four, and so on until all are linked or have been compared to all.
-    Equal fingerprints count as one document, that of the least id (``classes`` has the others); rows
-    without id are left out."""
+    """Verified pairs (a, b, likeness) that link documents which meet in a band: enough of them to join all that any
+    such pairs would join (``components`` of them are the near-duplicate groups), not every pair of a group.
+
+    First each document is compared to one other, the least of a bucket that it meets most often.  From then on only
+    members of different components are compared: in each bucket that holds several, the members outside its largest
+    component are compared to the rest, a few at first and four times as many each time, until none is left.  So a
+    group of near copies costs about one comparison per member.  Equal fingerprints count as one
+    document, that of the least id (``classes`` has the others); rows without id are left out."""
     prints = checkpoint(classes(marked.where(F.col(id_col).isNotNull()), id_col, print_col).select("id", "print"))
     width, count = band_plan(prints.count(), least)
 
@@ -256,44 +256,41 @@ def near_documents(
         for batch in batches:
             pairs = zip(batch.column("a_print").to_pylist(), batch.column("b_print").to_pylist(), strict=True)
             found = pa.array([likeness(parse(x), parse(y)) for x, y in pairs], pa.float64())
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), found], names=["a", "b", "likeness"])
-            yield out.filter(pa.compute.greater_equal(found, least))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), found], names=["a", "b", "likeness"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(prints.select(F.col("id").alias("a"), F.col("print").alias("a_print")), "a")
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(prints.select(F.col("id").alias("a"), F.col("print").alias("a_print")), "a")
         pairs = pairs.join(prints.select(F.col("id").alias("b"), F.col("print").alias("b_print")), "b")
         return checkpoint(pairs.select("a", "b", "a_print", "b_print").mapInArrow(verify, "a long, b long, likeness double"))
 
-    def both(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
     members = prints.mapInArrow(keys, "id long, bucket long")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
-    members = checkpoint(members.join(sizes, "bucket"))
-    _release(marked.sparkSession)
-    small = members.where(F.col("size") <= SMALL)
-    others = small.select("bucket", F.col("id").alias("other"))
-    pairs = small.join(others, "bucket").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    members = members.where(F.col("size") > SMALL)
-    found = verified(pairs.union(members.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"))))
-    # the members of larger buckets that no star has linked; of a bucket they are compared to all members
-    members = members.select("bucket", "id")
-    centres = members.groupBy("bucket").agg(F.min("id").alias("centre"))
-    open_ = members
+    firsts = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    members = checkpoint(members.join(firsts, "bucket").select("bucket", "id", "first"))
+    met = members.where("id > first").groupBy("id", "first").agg(F.count("*").alias("times"))
+    nearest = met.groupBy("id").agg(F.max(F.struct("times", (-F.col("first")).alias("other"))).alias("best"))
+    done = compared(nearest.select((-F.col("best.other")).alias("a"), F.col("id").alias("b")))
+    rest = members.select("bucket", "id", F.lit(False).alias("used"))
     take = 1
     while True:
-        linked = centres.join(members, "bucket").select("bucket", "id", *both(F.col("centre"), F.col("id")))
-        linked = linked.join(found, ["a", "b"], "left_semi").select("bucket", "id")
-        done = linked.union(centres.select("bucket", F.col("centre").alias("id"))).distinct()
-        open_ = checkpoint(open_.join(done, ["bucket", "id"], "left_anti"))
-        if open_.isEmpty():
-            return found
-        take *= 2
+        links = done.where(F.col("likeness") >= least)
+        parts = components(links)
+        rest = rest.join(parts, rest["id"] == parts["node"], "left")
+        rest = rest.select("bucket", "id", "used", F.coalesce("component", "id").alias("component"))
+        sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        spread = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top"))
+        spread = spread.where("parts > 1").select("bucket", F.col("top.component").alias("largest"))
+        rest = checkpoint(rest.join(spread, "bucket"))
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        centres = open_.withColumn("place", place).where(F.col("place") <= take).select("bucket", F.col("id").alias("centre"))
-        centres = checkpoint(centres)
-        pairs = centres.join(members, "bucket").where("centre <> id").select(*both(F.col("centre"), F.col("id")))
-        found = checkpoint(found.union(verified(pairs)).distinct())
+        centres = rest.where("component <> largest AND NOT used").withColumn("place", place).where(F.col("place") <= take)
+        centres = checkpoint(centres.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own")))
+        if centres.isEmpty():
+            return links
+        pairs = centres.join(rest, "bucket").where("component <> own")
+        pairs = pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+        done = checkpoint(done.union(compared(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))))
+        mine = centres.select("bucket", F.col("centre").alias("id"), F.lit(True).alias("now"))
+        rest = rest.join(mine, ["bucket", "id"], "left").select("bucket", "id", F.expr("used OR now IS NOT NULL").alias("used"))
+        take *= 4
 
 
 def neighbours(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:
@@ -345,15 +342,6 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -
     return ordered.mapInArrow(run, schema)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of frames that are no longer in use: it does so once the driver's
-    collector finds them, and texts would stay on disk until then.  A second run finds what the first let go."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1.5)
-
-
 def edited(text: str, following: str) -> str:
     """``text`` with its last quarter (rounded down) replaced by as much of the start of ``following``."""
     cut = len(text) // 4
@@ -362,8 +350,10 @@ def edited(text: str, following: str) -> str:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: the fingerprints of its text and its edited text, and the likeness
-    of the first to the second and to that of the next document; then the bands shared with each.  Last its class,
-    the class's documents, and to how many other classes verified links (likeness of 0.8 or more) lead."""
+    of the first to the second and to that of the next document; then the bands shared with each.  Last its class, the
+    class's documents, how many verified links of the search (likeness of 0.8 or more) lead to other classes, and the
+    near-duplicate group that the links make: its least id and its documents.  Rows of a class without id are a
+    group of their own."""
 
     def make(ids, texts):
         changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
@@ -395,10 +385,19 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).split(", ")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = checkpoint(neighbours(docs, "doc_id", "text", make, ", ".join(fields)))
-    _release(spark)
     pairs = near_documents(marked)
-    _release(spark)
     links = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    known = classes(marked).join(links, "id", "left")
-    known = known.select("print", F.col("id").alias("class_id"), F.col("n").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = checkpoint(classes(marked))
+    linked = components(pairs).join(links.withColumnRenamed("id", "node"), "node")
+    linked = known.join(linked, F.col("id") == F.col("node")).select("print", "id", "n", "n_links", "component")
+    totals = linked.groupBy("component").agg(F.sum("n").alias("total"))
+    linked = linked.join(totals, "component").select("print", "n_links", "component", "total")
+    known = known.join(linked, "print", "left").select(
+        "print",
+        F.col("id").alias("class_id"),
+        F.col("n").alias("class_size"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("total", "n").alias("component_size"),
+    )
     return marked.join(known, F.col("fingerprint") == F.col("print")).drop("print")

@@ -1,7 +1,6 @@
 import hashlib
 
 import numpy as np
-import pytest
 from edge import SCHEMA, edge_docs, edge_rows, empty_docs, prose, with_clashes
 
 from gridpv.llm import fingerprints as fp
@@ -99,9 +98,7 @@ def components(pairs):
     return {x: top(x) for x in list(up)}
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_alike_members_meet_beside_a_stranger_of_least_id(spark, monkeypatch, small):
-    monkeypatch.setattr(fp, "SMALL", small, raising=False)
+def test_alike_members_meet_beside_a_stranger_of_least_id(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2, 640)
     flipped = lambda bits, share: bits ^ (rng.random(640) < share)
@@ -131,7 +128,37 @@ def test_query_names_classes_and_counts_links(spark, tmp_path):
     for (i, _), p in zip(rows, prints, strict=True):
         least[p] = min((x for x in (i, least.get(p)) if x is not None), default=None)
     links = {p: sum(q != p and least[q] is not None and fp.likeness(fp.parse(p), fp.parse(q)) >= 0.8 for q in least) for p in least}
-    got = [(r["doc_id"], r["fingerprint"], r["class_id"], r["class_size"], r["n_links"]) for r in fp.op8_fingerprints(spark, str(tmp_path)).collect()]
+    rows_got = fp.op8_fingerprints(spark, str(tmp_path)).collect()
+    got = [(r["doc_id"], r["fingerprint"], r["class_id"], r["class_size"], r["n_links"]) for r in rows_got]
     want = [(i, p, least[p], prints.count(p), links[p]) for (i, _), p in zip(rows, prints, strict=True)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert max(links.values()) >= 1 and max(map(prints.count, prints)) >= 3
+    # 2, 4 and the equal text without id are a class, 3 and 7 another, and the two a group
+    groups = {(r["doc_id"], r["component_id"], r["component_size"]) for r in rows_got}
+    assert groups == {(1, 1, 1), (2, 2, 5), (4, 2, 5), (None, 2, 5), (3, 2, 5), (7, 2, 5), (None, None, 1)}
+
+
+def test_comparisons_grow_as_the_group(spark, monkeypatch):
+    """m near copies of one text, among strangers: the pairs compared for 5 m grow as m."""
+    compared = []
+    real = fp.checkpoint
+
+    def counted(df):
+        out = real(df)
+        if out.columns == ["a", "b", "likeness"]:
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(fp, "checkpoint", counted)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, 640)
+    pairs = {}
+    for m in (60, 300):
+        rows = [base ^ (rng.random(640) < 0.02) for _ in range(m)] + [rng.integers(0, 2, 640) for _ in range(m)]
+        prints = [f"640:{np.packbits(r.astype(np.uint8)).tobytes().hex()}" for r in rows]
+        compared.clear()
+        found = fp.near_documents(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()
+        joined = components((r["a"], r["b"]) for r in found)
+        assert len({joined[i] for i in range(m)}) == 1 and not any(i in joined for i in range(m, 2 * m))
+        pairs[m] = max(compared)
+    assert pairs[300] <= 7 * pairs[60] and pairs[300] <= 2 * 300
