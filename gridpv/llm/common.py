@@ -151,9 +151,11 @@ def sliding(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose ``column`` holds about ``limit`` bytes at most;
-    one longer text makes a run of its own, so memory follows the longest text."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    """Cut a batch into runs of rows whose ``column`` holds about ``limit`` bytes at most (or, in
+    whole numbers, sums up to that); one longer text makes a run of its own, so memory follows the longest text."""
+    sizes = batch.column(column)
+    sizes = sizes if pa.types.is_integer(sizes.type) else pa.compute.binary_length(sizes)
+    sizes = sizes.fill_null(0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes)
     at = 0
     while at < batch.num_rows:

@@ -13,7 +13,7 @@ at the threshold is still missed in no more than ``MISSED`` of cases if its diff
 text goes on, steps count as different.  Equal random bits by chance are discounted, so unrelated
 texts are near 0 and equal ones at 1.
 
-A null text is an empty one; its fingerprint is "0:".  The next document is that of the next id (null first; rows of equal id by text);
+A null text is an empty one; its fingerprint is "0:".  The next document is that of the next id (null first; rows of equal id by a hash of the text);
 the last is followed by the first, and a lone document by itself.
 Documents of equal fingerprints are a class, named by its least id; null where none has an id.
 """
@@ -27,6 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -263,7 +264,7 @@ def near_documents(
         pairs = pairs.join(prints.select(F.col("id").alias("b"), F.col("print").alias("b_print")), "b")
         return checkpoint(pairs.select("a", "b", "a_print", "b_print").mapInArrow(verify, "a long, b long, likeness double"))
 
-    members = prints.mapInArrow(keys, "id long, bucket long")
+    members = prints.mapInArrow(keys, "id long, bucket long").repartition("bucket")  # one shuffle for both uses
     firsts = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     members = checkpoint(members.join(firsts, "bucket").select("bucket", "id", "first"))
     met = members.where("id > first").groupBy("id", "first").agg(F.count("*").alias("times"))
@@ -298,7 +299,8 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -
     each but the last is followed by its next one, and returns arrays for all but the last.
 
     Ranges of ids are dealt to partitions; the first row of each range also goes to the range before
-    it (that of the first to the last).  Only the ranges' first ids come to the driver.
+    it (that of the first to the last).  Only the ranges' first ids come to the driver.  Texts are shuffled
+    compressed, and unpacked in runs of bounded size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -307,23 +309,35 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -
     starts = np.array(sorted(r[1] for r in ranges.collect()), np.int64)
 
     def deal(batches):
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            own = np.searchsorted(starts, ids, side="right") - 1
-            leads = np.flatnonzero(starts[own] == ids)
-            before = (own[leads] - 1) % len(starts)
-            yield _dealt(batch, own, False)
-            yield _dealt(batch.take(pa.array(leads)), before, True)
-
-    def _dealt(batch, part, ahead):
-        arrays = [pa.array(part.astype(np.int32)), pa.array([ahead] * len(part), pa.bool_()), batch.column("id"), batch.column("text")]
-        return pa.RecordBatch.from_arrays(arrays, names=["part", "ahead", "id", "text"])
+            for piece in slices(batch, "text", TOGETHER):
+                texts = [t.encode() for t in piece.column("text").to_pylist()]
+                own = np.searchsorted(starts, piece.column("id").to_numpy(), side="right") - 1
+                packed = pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own.astype(np.int32)),
+                        pa.array([False] * len(texts), pa.bool_()),
+                        piece.column("id"),
+                        pa.array([hashlib.blake2b(t, digest_size=8).digest() for t in texts], pa.binary()),
+                        pa.array([len(t) for t in texts], pa.int64()),
+                        pa.array([pack.compress(t) for t in texts], pa.binary()),
+                    ],
+                    names=["part", "ahead", "id", "hash", "size", "packed"],
+                )
+                yield packed
+                leads = packed.take(pa.array(np.flatnonzero(starts[own] == piece.column("id").to_numpy())))
+                before = (leads.column("part").to_numpy() - 1) % len(starts)
+                leads = leads.set_column(0, "part", pa.array(before.astype(np.int32)))
+                yield leads.set_column(1, "ahead", pa.array([True] * len(before), pa.bool_()))
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor()
         held: list[tuple] = []  # the last row, which waits for its next one
         for batch in batches:
-            for piece in slices(batch, "text", TOGETHER):
-                got = zip(*(piece.column(c).to_pylist() for c in ("part", "ahead", "id", "text")), strict=True)
+            for piece in slices(batch, "size", TOGETHER):
+                texts = [unpack.decompress(t).decode() for t in piece.column("packed").to_pylist()]
+                got = zip(*(piece.column(c).to_pylist() for c in ("part", "ahead", "id")), texts, strict=True)
                 runs: list[list[tuple]] = [held]
                 for row in got:
                     last = runs[-1][-1] if runs[-1] else None
@@ -337,8 +351,8 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -
                     if len(part) > 1:
                         yield make([r[2] for r in part[:-1]], [r[3] for r in part])
 
-    dealt = rows.mapInArrow(deal, "part int, ahead boolean, id long, text string")
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "ahead", "id", "text")
+    dealt = rows.mapInArrow(deal, "part int, ahead boolean, id long, hash binary, size long, packed binary")
+    ordered = dealt.repartition("part").sortWithinPartitions("part", "ahead", "id", "hash", "packed")
     return ordered.mapInArrow(run, schema)
 
 

@@ -162,3 +162,21 @@ def test_comparisons_grow_as_the_group(spark, monkeypatch):
         assert len({joined[i] for i in range(m)}) == 1 and not any(i in joined for i in range(m, 2 * m))
         pairs[m] = max(compared)
     assert pairs[300] <= 7 * pairs[60] and pairs[300] <= 2 * 300
+
+
+def test_neighbours_of_compressible_and_repeated_rows(spark):
+    rows = [(i, c * n) for i, (c, n) in enumerate([("x", 200_000), ("yz", 0), ("ü😀", 50_000), ("x", 200_000), ("a b ", 3)] * 3)] + [(3, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def make(ids, texts):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "text": texts[:-1], "following": texts[1:]})
+
+    got = fp.neighbours(docs, "doc_id", "text", make, "id long, text string, following string").collect()
+    one = {r["id"]: (r["text"], r["following"]) for r in got if r["id"] not in (2, 3)}
+    text = dict(rows[:15])
+    assert one == {i: (text[i], text[(i + 1) % 15]) for i in text if i not in (2, 3)}
+    same = [(r["text"], r["following"]) for r in got if r["id"] == 3]
+    assert sorted(t for t, _ in same) == sorted([text[3], "other"]) and {text[4]} < {f for _, f in same} <= {text[3], "other", text[4]}
+    assert len(got) == 16
