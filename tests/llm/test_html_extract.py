@@ -1,6 +1,13 @@
+import math
+import random
+import time
+from collections import defaultdict
+
 import pytest
 
-from gridpv.llm.html_extract import extract, extract_pages
+from gridpv.llm import html_extract
+from gridpv.llm.common import read_table
+from gridpv.llm.html_extract import NAMED_PRIOR, THRESHOLD, extract, extract_pages
 
 LONG = "A paragraph of the article, with commas, stops and so on. It goes on for a while, as such things do."
 
@@ -113,3 +120,106 @@ def test_frame_keeps_other_columns(spark):
     got = sorted(map(tuple, extract_pages(pages).select("page_id", "url", "text").collect()), key=repr)
     assert got == [(1, "u", LONG), (1, "u", LONG), (None, None, "")]
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("part", "blocks"),
+    [
+        # names that say nothing, and a topic with a heading of its own
+        (f"<div class='hidden-gems'><p>{LONG}</p></div>", [LONG]),
+        (f"<div class='ad-free has-sidebar hidden-xs'><p>{LONG}</p></div>", [LONG]),
+        (f"<div id='login'><h2>Login</h2><p>{LONG}</p></div>", ["Login", LONG]),
+        # controls, formulas and the source of a quotation are read with their text
+        ("<p>Press <button>Save</button>, see <label>Name</label>.</p>", ["Press Save, see Name."]),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>, then.</p>", ["So x=2, then."]),
+        (f"<blockquote><p>{LONG}</p><footer>Someone</footer></blockquote>", [LONG, "Someone"]),
+        # a lost quote ends with its tag; a tag without an end is text
+        (f'<p class="x>{LONG}</p><p class="y">Two "or" so.</p>', [LONG, 'Two "or" so.']),
+        ("<p title='a > b < c'>If a <b and so on.</p>", ["If a <b and so on."]),
+        ("<p>&#0000000000065; &#99999999999; &#x" + "1" * 6000 + ";</p>", ["A \ufffd \ufffd"]),
+        # still boilerplate
+        ("<div class='user-comments'><p>I agree, a lot.</p></div><div class='ad-slot-3'>Buy, now.</div><p><button>Go</button></p>", []),
+        ("<div id='comments'><h2>Comments</h2><p>I agree, a lot.</p></div><div class='cookie-notice'>Cookies, here.</div>", []),
+    ],
+)
+def test_names_and_markup_that_leave_no_holes(part, blocks):
+    page = f"<body>{BOILER[0]}<main><h1>T</h1><p>{LONG}</p>{part}<p>{LONG}</p></main>{BOILER[2]}</body>"
+    assert extract(page) == "\n\n".join(["T", LONG, *blocks, LONG])
+
+
+def test_unnamed_boilerplate_goes_by_its_ratios():
+    low = "<div class='x1'>Home Products Contact</div>"
+    body = f"<div class='x2'><p>{LONG}</p><p>{LONG}</p></div>"
+    assert extract(f"<body>{low * 5}{body}{low * 5}</body>") == f"{LONG}\n\n{LONG}"
+
+
+def _plain_scores(nodes):
+    """The fused scores by their definition, path by path, with paths as strings of tags and classes."""
+
+    def path(e):
+        return () if e.parent is None else (*path(e.parent), e.path)
+
+    seen = [(" ".join(t.split()), path(e), e.off, e.link) if not e.gone and t.split() else None for t, e in nodes]
+    at = [i for i, row in enumerate(seen) if row]
+    groups = defaultdict(list)
+    for i in at:
+        groups[seen[i][1:3]].append(i)
+
+    def ratios(i):
+        mine = [seen[j][0] for j in groups[seen[i][1:3]]]
+        marks = sum(c in ".,;:!?…。、，" for t in mine for c in t)
+        return math.log(1 + sum(map(len, mine)) / len(mine)), math.log(1 + marks / len(mine))
+
+    def smooth(k, part):
+        rows = [(0.5, k)] + [(0.25, o) for o in (k - 1, k + 1) if 0 <= o < len(at)]
+        return sum(w * ratios(at[o])[part] for w, o in rows) / sum(w for w, _ in rows)
+
+    place = {i: k for k, i in enumerate(at)}
+    out = [0.0] * len(nodes)
+    for (_, off), group in groups.items():
+        length, marks = (sum(smooth(place[i], part) for i in group) / len(group) for part in (0, 1))
+        size = sum(len(seen[i][0]) for i in group)
+        free = sum(len(seen[i][0]) for i in group if not seen[i][3]) / size
+        for i in group:
+            out[i] = length * (0.25 + marks) * free * (NAMED_PRIOR if off else 1)
+    return out
+
+
+def test_scores_are_those_of_the_definition():
+    rng = random.Random(5)
+    words = ["one", "two,", "three.", "&amp;", "four!", "five;"]
+    for _ in range(60):
+        page = ""
+        for _ in range(rng.randint(1, 25)):
+            tag = rng.choice(["p", "div class=a", "div class='b ad'", "nav", "a href=x", "section", "li", "article", "script", "div hidden"])
+            page += f"<{tag}>" + " ".join(rng.choices(words, k=rng.randint(0, 8)))
+            page += f"</{tag.split()[0]}>" if rng.random() < 0.6 or tag == "script" else ""
+        nodes = html_extract._Parser(page).nodes
+        assert html_extract.fused_scores(nodes) == pytest.approx(_plain_scores(nodes)), page
+
+
+def test_the_scores_decide(spark, monkeypatch):
+    pages = [r["html"] for r in read_table(spark, "/root/testdata/sf0.001", "pages").collect()]
+    want = [extract(p) for p in pages]
+    rng = random.Random(3)
+    for scores in (lambda nodes: [rng.random() for _ in nodes], lambda nodes: [1.0] * len(nodes)):
+        with monkeypatch.context() as patch:
+            patch.setattr(html_extract, "fused_scores", scores)
+            assert sum(extract(p) != w for p, w in zip(pages, want, strict=True)) >= len(pages) / 2
+    for limit in (0.0001 * THRESHOLD, 5 * THRESHOLD):
+        with monkeypatch.context() as patch:
+            patch.setattr(html_extract, "THRESHOLD", limit)
+            assert sum(extract(p) != w for p, w in zip(pages, want, strict=True)) >= len(pages) / 2
+
+
+@pytest.mark.parametrize(
+    "piece", ["<a ", '<a "', "<p x='", '<a x="', '<a x="<a " x="', "<!", "<!--", "<", "<div>", "<b><div></b>", "<p>", "<li>", "<td>", "&#1", "<header><h1>"]
+)
+def test_time_is_linear_in_hostile_pages(piece):
+    times = []
+    for size in (100_000, 400_000):
+        page = piece * (size // len(piece))
+        start = time.process_time()
+        extract(page)
+        times.append(time.process_time() - start)
+    assert times[1] < 10 * times[0] + 0.2  # 16 times as long if quadratic
