@@ -12,8 +12,8 @@ significance of a document's best segments (the sum statistic of extreme values)
 of tokens in significant segments go through a logistic fit.
 
 The classifier is fitted on a bounded sample: the ``TRAIN`` training rows whose ids have the least
-hash, which are few enough to be picked by a broadcast join.  The model keeps the ``MAX_TOKENS``
-weights of largest z, and the calibration uses ``SAMPLE`` of the sample.  Scoring covers all rows.
+hash, which are few enough to be picked by a broadcast join.  The model keeps every weight beyond ``MIN_Z``
+(so only the sample bounds it), and the calibration uses ``SAMPLE`` of the sample.  Scoring covers all rows.
 Labels, language, source and id are never inputs of a score.  A null or empty text has no tokens and
 scores as a document without findings.  Labels that repeat an id count as toxic if one is.
 """
@@ -36,9 +36,10 @@ MIN_Z = 2.5
 STEM = 4
 DEFAULT = -0.25
 CLIP = (-1.0, 6.0)
-MAX_TOKENS = 50_000
 TRAIN = 30_000
 SAMPLE = 10_000
+#: Tasks that score the sample.
+SAMPLE_PARTS = 32
 SIGNIFICANT = 0.01
 MEMO = 500_000
 TOKEN = r"\w+"
@@ -105,7 +106,7 @@ def token_weights(rows: DataFrame) -> tuple[dict[str, float], dict[str, int], in
         .withColumn("z", F.col("weight") / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)))
         .where(F.abs("z") >= MIN_Z)
     )
-    top = scored.orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).select("token", "weight", "times", "total").collect()
+    top = sorted(scored.select("token", "weight", "times", "total").collect())  # of the bounded sample
     weights = {r["token"]: min(max(r["weight"], CLIP[0]), CLIP[1]) for r in top}
     return weights, {r["token"]: r["times"] for r in top}, top[0]["total"] if top else 0
 
@@ -222,7 +223,8 @@ def train(rows: DataFrame) -> tuple[Scorer, DataFrame]:
     """A scorer without its logistic fit from labelled ``rows`` (doc_id, text, toxic), and the rows
     for that fit.  Equal texts count once."""
     rows = rows.where("toxic IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    firsts = rows.groupBy(F.sha2("text", 256).alias("whole")).agg(F.min("doc_id").alias("doc_id"))
+    rows = rows.withColumn("whole", F.sha2("text", 256))
+    firsts = rows.groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
     rows = rows.join(firsts.select("doc_id").distinct(), "doc_id", "left_semi")
     weights, times, total = token_weights(rows.select("text", "toxic"))
     own = [t for t in weights if not t.startswith("^")]
@@ -246,8 +248,11 @@ def train(rows: DataFrame) -> tuple[Scorer, DataFrame]:
                 names=["best", "n", "toxic"],
             )
 
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text", F.col("toxic").cast("int").alias("toxic"))
-    points = sample.mapInArrow(best, "best double, n long, toxic int").collect()
+    # ids and digests are ordered and cut; the texts come by a join and stay in many partitions
+    picked = rows.select("doc_id", "whole").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "whole").limit(SAMPLE)
+    sample = rows.join(F.broadcast(picked), ["doc_id", "whole"], "left_semi").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = checkpoint(sample.repartition(SAMPLE_PARTS))
+    points = sorted(sample.mapInArrow(best, "best double, n long, toxic int").collect())
     clean = [(r["best"], max(r["n"], 1)) for r in points if not r["toxic"] and r["best"] > 0]
     scale = 1.0
     if clean:
@@ -272,7 +277,7 @@ def fitted(rows: DataFrame) -> Scorer:
                 names=["strength", "share", "toxic"],
             )
 
-    got = sample.mapInArrow(points, "strength double, share double, toxic int").collect()
+    got = sorted(sample.mapInArrow(points, "strength double, share double, toxic int").collect())
     y = np.array([r["toxic"] for r in got], float)
     if 0 < y.sum() < len(y):
         x = np.array([[max(min(r["strength"], 50.0), -20.0), r["share"]] for r in got])

@@ -72,6 +72,43 @@ def test_held_out_documents_are_told_apart(spark, tmp_path):
     assert any(w in found["text"][at["start"] : at["end"]].lower() for w in ("grumph", "snark", "blorp", "zonk"))
 
 
+def test_sample_is_spread_and_its_fit_does_not_depend_on_partitions(spark):
+    docs, labels = corpus(spark)
+    rows = tx.training_rows(docs, labels)
+    scorer, sample = tx.train(rows)
+    sizes = sample.rdd.glom().map(len).collect()
+    assert len(sizes) == tx.SAMPLE_PARTS and max(sizes) <= 2 * -(-sum(sizes) // len(sizes))
+    again, _ = tx.train(rows.repartition(5))
+    assert again.state == scorer.state
+
+
+def test_weights_match_plain_python(spark):
+    docs, labels = corpus(spark)
+    rows = tx.training_rows(docs, labels).select("text", "toxic")
+    got, times, total = tx.token_weights(rows)
+    counts: dict = {}
+    for text, toxic in rows.collect():
+        words = tx.re.findall(tx.TOKEN, text)
+        for word in words:
+            for token in {word.lower(), "^" + word.lower()[: tx.STEM]}:
+                at = counts.setdefault(token, [set(), set(), 0])
+                at[0 if toxic else 1].add(text)
+                at[2] += 0 if toxic else 1
+    assert len({r["text"] for r in rows.collect()}) == rows.count()
+    counts = {t: (len(a), len(b), n) for t, (a, b, n) in counts.items() if len(a) + len(b) > 1}
+    n1, n0 = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    want = {}
+    for token, (y1, y0, _) in counts.items():
+        prior = tx.PRIOR * (y1 + y0)
+        odds = [np.log((y + prior) / (n + tx.PRIOR * (n1 + n0) - y - prior)) for y, n in ((y1, n1), (y0, n0))]
+        if abs(odds[0] - odds[1]) / np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)) >= tx.MIN_Z:
+            want[token] = min(max(odds[0] - odds[1], tx.CLIP[0]), tx.CLIP[1])
+    assert got.keys() == want.keys() and got
+    assert all(abs(got[t] - w) < 1e-9 for t, w in want.items())
+    assert times == {t: counts[t][2] for t in want}
+    assert total == sum(n for t, (_, _, n) in counts.items() if not t.startswith("^"))
+
+
 def test_edges(spark):
     docs, labels = corpus(spark)
     scorer = tx.fitted(tx.training_rows(docs, labels))
