@@ -8,7 +8,8 @@ Only Spark's own functions are used.  A document is rejected if a base rule fail
 ``MIN_WORDS`` words, or more than half of its words in 3-word windows that come twice or more).  With at
 least ``GUARD`` word characters it is also rejected if its class distance is over ``CLASS_FAR``, or over
 ``CLASS_LIMIT`` while its common-word distance is over ``WORD_LIMIT``: shorter texts are too
-noisy to be judged by one histogram, and a listing or a table needs both to be told from prose.
+noisy to be judged by one histogram, and a listing or a table needs both to be told from prose.  From ``WORD_GUARD``
+words on, a common-word distance over ``WORD_FAR`` rejects alone: such a text has next to none of its language's common words.
 
 Languages without a word list use the class reference of all documents and ``CLASS_FAR`` alone.  A null or
 empty text has no words and fails the base rule; all counts are 0.  Rows are judged one by one,
@@ -27,6 +28,8 @@ GUARD = 200
 CLASS_FAR = 0.3
 CLASS_LIMIT = 0.15
 WORD_LIMIT = 0.22
+WORD_GUARD = 100
+WORD_FAR = 0.3
 
 #: Frequent function words of the languages in the corpus.
 COMMON_WORDS = {
@@ -199,6 +202,7 @@ def judge(docs: DataFrame, known: dict, text_col: str = "text", lang_col: str =
     failed = base_failed()
     by_class, by_word = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("class_distance", "word_distance"))
     odd = (F.col("word_chars") >= GUARD) & ((by_class > CLASS_FAR) | (by_class > CLASS_LIMIT) & (by_word > WORD_LIMIT))
+    odd = odd | (F.col("n_words") >= WORD_GUARD) & (by_word > WORD_FAR)
     return df.withColumns({"base_failed": failed, "kept": ~failed & ~odd})
 
 
