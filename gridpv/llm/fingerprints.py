@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpv.llm.common import add_columns, checkpoint, read_table, slices
@@ -230,18 +230,63 @@ def classes(marked: DataFrame, id_col: str = "doc_id", print_col: str = "fingerp
     return marked.groupBy(F.col(print_col).alias("print")).agg(F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("n"))
 
 
+def linked_pairs(ids: list[int], parts: list[int], prints: list[str], least: float) -> list[tuple[int, int, float]]:
+    """Pairs (a, b, likeness) of fingerprints of different ``parts`` that are like to ``least``: enough of them to join all
+    that any such pair would join, at most one per part.  All against all by one product of matrices."""
+    bits = [parse(x) for x in prints]
+    sizes = np.array([len(x) for x in bits])
+    signs = np.zeros((len(bits), max(sizes.max(initial=0), 1)), np.float32)
+    for row, x in zip(signs, bits, strict=True):
+        row[: len(x)] = x * np.float32(2) - np.float32(1)
+    spans = step_spans(signs.shape[1])
+    total = np.concatenate([[0.0], np.cumsum(spans)])
+    _, label = np.unique(np.array(parts, np.int64), return_inverse=True)
+    up = list(range(len(bits)))
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    # spans are powers of two: sums are exact in single precision while walks are shorter than that holds
+    kind = np.float32 if total[-1] < 1 << 24 else np.float64
+    signs = signs.astype(kind, copy=False)
+    weighed = signs * spans.astype(kind)
+    found = []
+    for at in range(0, len(bits), 256):
+        same = (weighed[at : at + 256] @ signs.T).astype(np.float64)
+        whole = total[np.maximum(sizes[at : at + 256, None], sizes[None, :])]
+        like = np.maximum(same, 0.0) / np.maximum(whole, 1.0)
+        apart = label[at : at + 256, None] != label[None, :]
+        for i, j in np.argwhere((like >= least) & apart & (np.arange(len(bits)) > np.arange(at, at + len(same))[:, None])).tolist():
+            x, y = top(label[at + i]), top(label[j])
+            if x != y:
+                up[x] = y
+                found.append((min(ids[at + i], ids[j]), max(ids[at + i], ids[j]), float(like[i, j])))
+    return found
+
+
+#: Members of a bucket that are compared at once with as many others.
+BLOCK_MEMBERS = 1024
+
+
 def near_documents(
     marked: DataFrame, least: float = 0.8, id_col: str = "doc_id", print_col: str = "fingerprint"
 ) -> DataFrame:
     """Verified pairs (a, b, likeness) that link documents which meet in a band: enough of them to join all that any
     such pairs would join (``components`` of them are the near-duplicate groups), not every pair of a group.
 
-    First each document is compared to one other, the least of a bucket that it meets most often.  From then on only
-    members of different components are compared: in each bucket that holds several, the members outside its largest
-    component are compared to the rest, a few at first and four times as many each time, until none is left.  So a
-    group of near copies costs about one comparison per member.  Equal fingerprints count as one
-    document, that of the least id (``classes`` has the others); rows without id are left out."""
-    prints = checkpoint(classes(marked.where(F.col(id_col).isNotNull()), id_col, print_col).select("id", "print"))
+    First each document is compared to one other, the least of a bucket that it meets most often.  Buckets whose members
+    are then in one component are done.  In the others all members of different components are compared, inside the
+    tasks and without a row per pair: a bucket is dealt to blocks of at most about ``2 * BLOCK_MEMBERS`` members, so that each two
+    members meet in one, and of a block only the pairs that join its components come out.  Equal fingerprints
+    count as one document, that of the least id (``classes`` has the others); rows without id are left out."""
+    known = classes(marked.where(F.col(id_col).isNotNull()), id_col, print_col)
+    return near_prints(checkpoint(known.select("id", "print")), least)
+
+
+def near_prints(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """``near_documents`` of the classes (id, print)."""
     width, count = band_plan(prints.count(), least)
 
     def keys(batches):
@@ -259,39 +304,49 @@ def near_documents(
             found = pa.array([likeness(parse(x), parse(y)) for x, y in pairs], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), found], names=["a", "b", "likeness"])
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(prints.select(F.col("id").alias("a"), F.col("print").alias("a_print")), "a")
-        pairs = pairs.join(prints.select(F.col("id").alias("b"), F.col("print").alias("b_print")), "b")
-        return checkpoint(pairs.select("a", "b", "a_print", "b_print").mapInArrow(verify, "a long, b long, likeness double"))
+    def compare(batches):
+        """Of rows sorted by block, the pairs that each block joins."""
+        block, held = None, []
+        names = ["bucket", "i", "j", "id", "component", "print"]
+
+        def done():
+            found = linked_pairs([r[0] for r in held], [r[1] for r in held], [r[2] for r in held], least) if len(held) > 1 else []
+            columns = list(zip(*found, strict=True)) or [[], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "likeness"])
+
+        for batch in batches:
+            for *key, node, component, fingerprint in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if key != block:
+                    yield done()
+                    block, held = key, []
+                held.append((node, component, fingerprint))
+        yield done()
 
     members = prints.mapInArrow(keys, "id long, bucket long").repartition("bucket")  # one shuffle for both uses
     firsts = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     members = checkpoint(members.join(firsts, "bucket").select("bucket", "id", "first"))
     met = members.where("id > first").groupBy("id", "first").agg(F.count("*").alias("times"))
     nearest = met.groupBy("id").agg(F.max(F.struct("times", (-F.col("first")).alias("other"))).alias("best"))
-    done = compared(nearest.select((-F.col("best.other")).alias("a"), F.col("id").alias("b")))
-    rest = members.select("bucket", "id", F.lit(False).alias("used"))
-    take = 1
-    while True:
-        links = done.where(F.col("likeness") >= least)
-        parts = components(links)
-        rest = rest.join(parts, rest["id"] == parts["node"], "left")
-        rest = rest.select("bucket", "id", "used", F.coalesce("component", "id").alias("component"))
-        sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        spread = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top"))
-        spread = spread.where("parts > 1").select("bucket", F.col("top.component").alias("largest"))
-        rest = checkpoint(rest.join(spread, "bucket"))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        centres = rest.where("component <> largest AND NOT used").withColumn("place", place).where(F.col("place") <= take)
-        centres = checkpoint(centres.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own")))
-        if centres.isEmpty():
-            return links
-        pairs = centres.join(rest, "bucket").where("component <> own")
-        pairs = pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-        done = checkpoint(done.union(compared(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))))
-        mine = centres.select("bucket", F.col("centre").alias("id"), F.lit(True).alias("now"))
-        rest = rest.join(mine, ["bucket", "id"], "left").select("bucket", "id", F.expr("used OR now IS NOT NULL").alias("used"))
-        take *= 4
+    pairs = nearest.select((-F.col("best.other")).alias("a"), F.col("id").alias("b"))
+    pairs = pairs.join(prints.select(F.col("id").alias("a"), F.col("print").alias("a_print")), "a")
+    pairs = pairs.join(prints.select(F.col("id").alias("b"), F.col("print").alias("b_print")), "b")
+    done = checkpoint(pairs.select("a", "b", "a_print", "b_print").mapInArrow(verify, "a long, b long, likeness double"))
+    links = done.where(F.col("likeness") >= least)
+
+    parts = components(links)
+    rest = members.join(parts, members["id"] == parts["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    spread = rest.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    spread = spread.where("low < high").select("bucket", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    rest = rest.join(spread, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rest = rest.select("bucket", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component")
+    rest = rest.join(prints, "id").select("bucket", "i", "j", "id", "component", "print")
+    rest = rest.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+    more = rest.mapInArrow(compare, "a long, b long, likeness double").dropDuplicates(["a", "b"])
+    return checkpoint(links.union(more))
 
 
 def neighbours(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:
@@ -399,9 +454,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).split(", ")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = checkpoint(neighbours(docs, "doc_id", "text", make, ", ".join(fields)))
-    pairs = near_documents(marked)
+    known = checkpoint(classes(marked))  # a class has an id if any of its rows has one
+    pairs = near_prints(known.where("id IS NOT NULL").select("id", "print"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    known = checkpoint(classes(marked))
     linked = components(pairs).join(links.withColumnRenamed("id", "node"), "node")
     linked = known.join(linked, F.col("id") == F.col("node")).select("print", "id", "n", "n_links", "component")
     totals = linked.groupBy("component").agg(F.sum("n").alias("total"))

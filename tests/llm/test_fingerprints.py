@@ -180,3 +180,42 @@ def test_neighbours_of_compressible_and_repeated_rows(spark):
     same = [(r["text"], r["following"]) for r in got if r["id"] == 3]
     assert sorted(t for t, _ in same) == sorted([text[3], "other"]) and {text[4]} < {f for _, f in same} <= {text[3], "other", text[4]}
     assert len(got) == 16
+
+
+def test_blocks_give_the_likeness_of_the_pairs():
+    rng = np.random.default_rng(5)
+    bases = [rng.integers(0, 2, 900) for _ in range(3)]
+    bits = [(bases[k % 3] ^ (rng.random(900) < 0.02 * (k % 5)))[: int(rng.integers(500, 900))] for k in range(90)]
+    prints = [f"{len(b)}:{np.packbits(b.astype(np.uint8)).tobytes().hex()}" for b in bits]
+    parts = [0, 0, 0, *range(3, 90)]
+    found = fp.linked_pairs(list(range(100, 190)), parts, prints, 0.6)
+    assert all(like == fp.likeness(bits[a - 100], bits[b - 100]) >= 0.6 and a < b for a, b, like in found)
+    true = [(i, j) for i in range(90) for j in range(i) if fp.likeness(bits[i], bits[j]) >= 0.6]
+    want, got = (components([(0, 1), (1, 2), *p]) for p in (true, [(a - 100, b - 100) for a, b, _ in found]))
+    same = lambda c: {frozenset(x for x in c if c[x] == t) for t in c.values()}
+    assert len(true) > 200 > len(found) and same(want) == same(got)
+
+
+def test_members_below_the_threshold_make_no_row_per_pair(spark, monkeypatch):
+    """Many that meet in buckets and are not alike enough: all are compared, in blocks, and only links come out."""
+    rows, real = [], fp.checkpoint
+
+    def counted(df):
+        out = real(df)
+        if out.columns == ["a", "b", "likeness"]:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(fp, "checkpoint", counted)
+    monkeypatch.setattr(fp, "BLOCK_MEMBERS", 16)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2, 640)
+    members = [base ^ (rng.random(640) < 0.09) for _ in range(400)]
+    members += [members[0] ^ (rng.random(640) < 0.02), members[399] ^ (rng.random(640) < 0.02)]
+    prints = [f"640:{np.packbits(r.astype(np.uint8)).tobytes().hex()}" for r in members]
+    found = fp.near_documents(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()
+    true = {(i, j) for j in range(402) for i in range(j) if fp.likeness(members[i], members[j]) >= 0.8}
+    assert {(r["a"], r["b"]) for r in found} <= true and {(0, 400), (399, 401)} <= true
+    joined = components((r["a"], r["b"]) for r in found)
+    assert sum(a in joined and joined[a] == joined.get(b) for a, b in true) >= 0.97 * len(true)
+    assert sum(rows) <= 2 * len(members)
