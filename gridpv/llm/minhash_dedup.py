@@ -182,12 +182,21 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.where("ups > 1 OR ups = 1 AND top = 1").isEmpty()
 
 
+#: Edges for which a task is worth while.
+TASK_EDGES = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node that it reaches) for the nodes of ``edges`` (a, b), by
-    large-star and small-star steps until each component is a star around its least node."""
+    large-star and small-star steps until each component is a star around its least node.
+
+    The steps run in as many tasks as there are edges for: each task of a shuffle costs files, whatever it holds."""
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    tasks = edges.count() // TASK_EDGES + 1  # the steps add no edges
+    edges = edges.coalesce(tasks)
     while not _are_stars(edges):
-        edges = checkpoint(_star(_star(edges, True), False).distinct())
+        large = _star(edges, True).coalesce(tasks)
+        edges = checkpoint(_star(large, False).coalesce(tasks).distinct().coalesce(tasks))
     tops = edges.select(F.col("v").alias("u")).distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
 

@@ -98,3 +98,32 @@ def test_rows_that_repeat_an_id_are_compared_by_their_own_texts(spark):
     assert [r for r in left if r[0] == 2] == [r for r in [(2, c, "x"), (2, c + " more", "x")] if r in left]
     assert sorted(left) == sorted((r["doc_id"], r["text"], r["source"]) for r in md.keep_one(docs.repartition(7)).collect())
     assert md.keep_one(empty_docs(spark)).count() == 0
+
+
+def test_components_take_tasks_by_their_edges(spark, monkeypatch):
+    """A chain takes several steps; each runs in as many tasks as its edges need, not in all shuffle partitions."""
+    tasks, real = [], md.checkpoint
+
+    def counted(df):
+        out = real(df)
+        tasks.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(md, "checkpoint", counted)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    edges = [(i, i + 1) for i in range(0, 24)] + [(i, i + 1) for i in range(100, 110)] + [(200, 201)]
+    try:
+        spark.conf.set(names[0], "13")
+        spark.conf.set(names[1], "false")
+        got = {}
+        for most in (100_000, 10):
+            tasks.clear()
+            monkeypatch.setattr(md, "TASK_EDGES", most)
+            got[most] = {r["node"]: r["component"] for r in md.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+            assert len(tasks) >= 3 and max(tasks[1:]) == len(edges) // most + 1
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    want = {i: 0 for i in range(25)} | {i: 100 for i in range(100, 111)} | {200: 200, 201: 200}
+    assert got == {100_000: want, 10: want}
