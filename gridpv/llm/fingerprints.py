@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpv.llm.common import add_columns, checkpoint, read_table, slices
+from gridpv.llm.common import add_columns, checkpoint, read_table, slices, stored
 from gridpv.llm.minhash_dedup import components
 
 DENSE = 128
@@ -41,26 +41,34 @@ CLASSES = 251
 #: Bands of sampled bits, and bits of a band.
 BANDS, BAND_BITS = 16, 16
 #: Up to so many texts walk one by one; for more, a step of all at once is faster.
-FEW = 24
+FEW = 48
 #: Steps whose random bits are drawn at once.
 BLOCK = 1024
 
 
+@functools.cache
+def _octave_steps(low: int) -> np.ndarray:
+    rng = np.random.Generator(np.random.PCG64([SEED, 1, low]))
+    return low + np.sort(rng.choice(low, DENSE, replace=False))
+
+
 def sampled_steps(limit: int) -> np.ndarray:
     """The sampled steps below ``limit``: all up to DENSE, then DENSE random ones in each octave."""
     out, low = [np.arange(min(DENSE, limit))], DENSE
     while low < limit:
-        rng = np.random.Generator(np.random.PCG64([SEED, 1, low]))
-        out.append(low + np.sort(rng.choice(low, DENSE, replace=False)))
+        out.append(_octave_steps(low))
         low *= 2
     steps = np.concatenate(out)
     return steps[steps < limit]
 
 
+@functools.lru_cache(4096)
 def step_spans(n: int) -> np.ndarray:
     """The stretch of the walk that each of the first ``n`` sampled steps stands for."""
     at = np.arange(n)
-    return np.where(at < DENSE, 1.0, 2.0 ** np.maximum(at // DENSE - 1, 0))
+    spans = np.where(at < DENSE, 1.0, 2.0 ** np.maximum(at // DENSE - 1, 0))
+    spans.flags.writeable = False  # shared by all callers
+    return spans
 
 
 def _random_bits(block: int, kind: int) -> np.ndarray:
@@ -73,12 +81,11 @@ def fingerprints(texts: list[str]) -> list[str]:
     """The fingerprint of each text: "n:bits", the number of sampled steps of its walk and their
     bits in hex.  All texts walk in step, and those that are through leave."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     # every text is followed by one end mark, on which the walk stays
-    data = np.full(len(codes) + len(texts), CLASSES, np.uint8)
+    data = np.full(int(sizes.sum()) + len(texts), CLASSES, np.uint8)
     first = np.cumsum(sizes + 1) - (sizes + 1)
-    data[np.arange(len(codes)) + np.repeat(np.arange(len(texts)), sizes)] = codes % CLASSES
-    del codes
+    for start, text in zip(first.tolist(), texts, strict=True):
+        data[start : start + len(text)] = np.frombuffer(text.encode("utf-32-le"), np.uint32) % CLASSES
     at, end = first.copy(), first + sizes
     alive = np.flatnonzero(sizes > 0)
     kept: list[list[np.ndarray]] = [[] for _ in texts]
@@ -96,10 +103,10 @@ def fingerprints(texts: list[str]) -> list[str]:
             now = at[alive]
             samples = []
             for j in range(BLOCK):
-                char = data[now]
+                char = data.take(now)
                 if j in wanted:
-                    samples.append(bits[j][char])
-                now += shifts[j][char]
+                    samples.append(bits[j].take(char))
+                now += shifts[j].take(char)
             at[alive] = now
             if samples:
                 for i, row in zip(alive.tolist(), np.stack(samples, axis=1), strict=True):
@@ -144,6 +151,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return max(float(spans[:n] @ np.where(same, 1.0, -1.0)), 0.0) / float(spans.sum())
 
 
+@functools.cache
+def _band_picks(octave: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([SEED, 4, octave])).integers(0, octave * DENSE, (BANDS, BAND_BITS))
+
+
 def bands(bits: np.ndarray) -> list[tuple[int, int, int]]:
     """Keys (octave, band, value) of sampled bits: at the octave that the walk has just filled and
     the one below, so that texts of similar length meet."""
@@ -153,9 +165,7 @@ def bands(bits: np.ndarray) -> list[tuple[int, int, int]]:
         have = bits[: octave * DENSE]
         if len(have) < octave * DENSE:  # a short text: its missing steps read as 0
             have = np.concatenate([have, np.zeros(octave * DENSE - len(have), np.uint8)])
-        rng = np.random.Generator(np.random.PCG64([SEED, 4, octave]))
-        picks = rng.integers(0, octave * DENSE, (BANDS, BAND_BITS))
-        values = have[picks] @ (1 << np.arange(BAND_BITS))
+        values = have[_band_picks(octave)] @ (1 << np.arange(BAND_BITS))
         out += [(octave, i, int(v)) for i, v in enumerate(values)]
     return out
 
@@ -211,8 +221,10 @@ def buckets(bits: np.ndarray, least: float, width: int, count: int) -> list[int]
     return out
 
 
-#: Bytes of text that walk together.
-TOGETHER = 1 << 23
+#: Bytes of text that walk together: a step costs as much for few walks as for hundreds.
+TOGETHER = 1 << 25
+#: Bytes of text that are compressed at once.
+DEALT = 1 << 23
 
 
 def add_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
@@ -266,6 +278,69 @@ def linked_pairs(ids: list[int], parts: list[int], prints: list[str], least: flo
     return found
 
 
+#: Blocks of up to so many members are compared together, larger ones one by one.
+SMALL = 32
+#: Members of blocks, and pairs of them, that are held at once.
+HELD, PAIRS = 1 << 13, 1 << 16
+
+
+def _packed(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of sampled bits, and the bits as rows of 64-bit words with zeros behind."""
+    cut = [x.partition(":") for x in prints]
+    sizes = np.array([int(n) for n, _, _ in cut], np.int64)
+    wide = (int(sizes.max(initial=0)) + 63) // 64 * 16
+    raw = bytes.fromhex("".join(digits.ljust(wide, "0") for _, _, digits in cut))
+    return sizes, np.frombuffer(raw, np.uint64).reshape(len(prints), wide // 16)
+
+
+def linked_in_blocks(starts: np.ndarray, ids: list[int], parts: list[int], prints: list[str], least: float) -> list[tuple[int, int, float]]:
+    """``linked_pairs`` of each of the small blocks that begin at ``starts``; all their pairs are compared together."""
+    sizes, words = _packed(prints)
+    total = np.concatenate([[0.0], np.cumsum(step_spans(max(int(sizes.max(initial=0)), 1)))])
+    spans = step_spans(max(words.shape[1], 1) * 64)[::64]
+    lengths, which = np.unique(sizes, return_inverse=True)
+    masks = np.zeros((len(lengths), words.shape[1] * 8), np.uint8)
+    for row, n in zip(masks, lengths.tolist(), strict=True):
+        row[: (n + 7) // 8] = np.packbits(np.ones(n, np.uint8))
+    masks = masks.view(np.uint64)
+    label = np.unique(np.array(parts, np.int64), return_inverse=True)[1]
+    members = np.diff(np.append(starts, len(prints)))
+    a, b = [], []
+    for size in np.unique(members[members > 1]).tolist():
+        i, j = np.triu_indices(size, 1)
+        first = starts[members == size][:, None]
+        a.append((first + i).ravel())
+        b.append((first + j).ravel())
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    short, long = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    # the longer one's further steps count as different, so some are too long for any other
+    worth = (label[a] != label[b]) & (total[short] >= least * total[long] * (1 - 1e-9))
+    a, b = a[worth], b[worth]
+    hits = []
+    for at in range(0, len(a), PAIRS):
+        x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+        ends = which[np.where(sizes[x] <= sizes[y], x, y)]
+        apart = np.bitwise_count((words[x] ^ words[y]) & masks[ends]).astype(np.float64) @ spans[: words.shape[1]]
+        same = total[np.minimum(sizes[x], sizes[y])] - 2 * apart
+        like = np.maximum(same, 0.0) / np.maximum(total[np.maximum(sizes[x], sizes[y])], 1.0)
+        hits += [(int(x[k]), int(y[k]), float(like[k])) for k in np.flatnonzero(like >= least)]
+    up: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def top(key):
+        while (above := up.get(key, key)) != key:
+            key = above
+        return key
+
+    block = np.repeat(np.arange(len(starts)), members)
+    found = []
+    for i, j, like in sorted(hits):
+        x, y = top((int(block[i]), int(label[i]))), top((int(block[j]), int(label[j])))
+        if x != y:
+            up[x] = y
+            found.append((min(ids[i], ids[j]), max(ids[i], ids[j]), like))
+    return found
+
+
 #: Members of a bucket that are compared at once with as many others.
 BLOCK_MEMBERS = 1024
 
@@ -304,28 +379,44 @@ def near_prints(prints: DataFrame, least: float = 0.8) -> DataFrame:
             found = pa.array([likeness(parse(x), parse(y)) for x, y in pairs], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), found], names=["a", "b", "likeness"])
 
-    def compare(batches):
-        """Of rows sorted by block, the pairs that each block joins."""
-        block, held = None, []
-        names = ["bucket", "i", "j", "id", "component", "print"]
-
-        def done():
-            found = linked_pairs([r[0] for r in held], [r[1] for r in held], [r[2] for r in held], least) if len(held) > 1 else []
-            columns = list(zip(*found, strict=True)) or [[], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "likeness"])
+    def links_of(rows):
+        """The pairs that the blocks of ``rows`` join."""
+        keys = [rows.column(n).to_numpy() for n in ("bucket", "i", "j")]
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, rows.num_rows))
+        found = []
+        for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            found += linked_pairs(*(rows.column(n).slice(start, size).to_pylist() for n in ("id", "component", "print")), least)
+        few = (sizes > 1) & (sizes <= SMALL)
+        if few.any():
+            kept = rows.filter(pa.array(np.repeat(few, sizes)))
+            firsts = np.cumsum(sizes[few]) - sizes[few]
+            found += linked_in_blocks(firsts, *(kept.column(n).to_pylist() for n in ("id", "component", "print")), least)
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "likeness"])
 
+    def compare(batches):
+        """Of rows sorted by block, the pairs that each block joins.  Whole blocks are held until there are many."""
+        held = None
         for batch in batches:
-            for *key, node, component, fingerprint in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                if key != block:
-                    yield done()
-                    block, held = key, []
-                held.append((node, component, fingerprint))
-        yield done()
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if held.num_rows < HELD:
+                continue
+            last = [held.column(n)[-1].as_py() for n in ("bucket", "i", "j")]
+            own = [held.column(n).to_numpy() == v for n, v in zip(("bucket", "i", "j"), last, strict=True)]
+            whole = int(np.argmax(np.logical_and.reduce(own)))  # the last block may go on
+            if whole:
+                yield links_of(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield links_of(held)
 
     members = prints.mapInArrow(keys, "id long, bucket long").repartition("bucket")  # one shuffle for both uses
     firsts = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    members = checkpoint(members.join(firsts, "bucket").select("bucket", "id", "first"))
+    members = stored(members.join(firsts, "bucket").select("bucket", "id", "first"))
     met = members.where("id > first").groupBy("id", "first").agg(F.count("*").alias("times"))
     nearest = met.groupBy("id").agg(F.max(F.struct("times", (-F.col("first")).alias("other"))).alias("best"))
     pairs = nearest.select((-F.col("best.other")).alias("a"), F.col("id").alias("b"))
@@ -366,7 +457,7 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -
     def deal(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for piece in slices(batch, "text", TOGETHER):
+            for piece in slices(batch, "text", DEALT):
                 texts = [t.encode() for t in piece.column("text").to_pylist()]
                 own = np.searchsorted(starts, piece.column("id").to_numpy(), side="right") - 1
                 packed = pa.RecordBatch.from_arrays(
@@ -453,7 +544,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited double, near_next double, bands_edited long, bands_next long"
     ).split(", ")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = checkpoint(neighbours(docs, "doc_id", "text", make, ", ".join(fields)))
+    marked = stored(neighbours(docs, "doc_id", "text", make, ", ".join(fields)))
     known = checkpoint(classes(marked))  # a class has an id if any of its rows has one
     pairs = near_prints(known.where("id IS NOT NULL").select("id", "print"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))

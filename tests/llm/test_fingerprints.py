@@ -219,3 +219,34 @@ def test_members_below_the_threshold_make_no_row_per_pair(spark, monkeypatch):
     joined = components((r["a"], r["b"]) for r in found)
     assert sum(a in joined and joined[a] == joined.get(b) for a, b in true) >= 0.97 * len(true)
     assert sum(rows) <= 2 * len(members)
+
+
+def test_small_blocks_are_compared_together_with_the_same_links(spark, monkeypatch):
+    """Many small blocks give what each gives by itself, and are not compared one by one."""
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 2, 1000) for _ in range(4)]
+    bits = [(base[k % 4] ^ (rng.random(1000) < 0.03 * (k % 4)))[: int(rng.integers(1, 1000))] for k in range(300)]
+    prints = [f"{len(b)}:{np.packbits(b.astype(np.uint8)).tobytes().hex()}" for b in bits]
+    ids, parts = list(range(300)), rng.integers(0, 120, 300).tolist()
+    starts = np.unique(np.concatenate([[0], rng.integers(1, 300, 40)]))
+    ends = [*starts[1:].tolist(), 300]
+    alone = [x for s, e in zip(starts.tolist(), ends, strict=True) for x in fp.linked_pairs(ids[s:e], parts[s:e], prints[s:e], 0.5)]
+    assert len(alone) > 20 and fp.linked_in_blocks(starts, ids, parts, prints, 0.5) == alone
+
+    def refused(*_):
+        raise AssertionError("a small block was compared by itself")
+
+    monkeypatch.setattr(fp, "linked_pairs", refused)
+    monkeypatch.setattr(fp, "HELD", 8)
+    one = rng.integers(0, 2, 640)
+    near = [one ^ (rng.random(640) < 0.07) for _ in range(20)]
+    rows = [f"640:{np.packbits(r.astype(np.uint8)).tobytes().hex()}" for r in near]
+    found = fp.near_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, fingerprint string"), 0.7).collect()
+    assert all(r["likeness"] == fp.likeness(near[r["a"]], near[r["b"]]) >= 0.7 for r in found)
+
+
+def test_bands_draw_their_bits_once(monkeypatch):
+    bits = [np.random.default_rng(k).integers(0, 2, 700) for k in range(5)]
+    want = [fp.bands(b) for b in bits]
+    monkeypatch.setattr(fp.np.random, "Generator", None)
+    assert [fp.bands(b) for b in bits] == want
