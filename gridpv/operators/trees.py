@@ -40,6 +40,9 @@ SENT_BORDERS = 64 << 20
 #: Levels of a deep tree, and rounds of boosting, after which the lineage is cut.
 CUT_LEVELS, CUT_ROUNDS = 8, 5
 
+#: Up to so many features the tried ones are told by comparing hashes, beyond by sorting them once per row.
+FEW_FEATURES = 32
+
 _NODE = ["model", "tree", "node"]
 
 
@@ -91,6 +94,12 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df``, dealt to one task per core at least.  Levels cost time per row and feature, not per byte: partitions cut
+    by bytes (one row group of a file, a small exchange) would leave them to a few tasks."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()), *by)
+
+
 def _hash(seed: int, *parts: Column | str) -> Column:
     return F.xxhash64(F.lit(seed).cast("long"), *[F.col(p).cast("long") if isinstance(p, str) else p.cast("long") for p in parts])
 
@@ -217,24 +226,36 @@ def _each(text: str) -> str:
     return ", ".join(text.format(n=n) for n in "gwc")
 
 
-def _candidates(p: TreeParams, features: int, level: int, columns: Sequence[int] | None) -> str:
+def _candidates(p: TreeParams, features: int, level: int, columns: Sequence[int] | None, few: bool = False) -> str:
     """CTEs up to ``cand``: per node, feature and threshold ``v`` the sums to its left (gl, wl, cl), of missing values
-    (gm, wm, cm) and of the node (gt, wt, ct)."""
+    (gm, wm, cm) and of the node (gt, wt, ct).  ``few``: the thresholds drawn for extra trees fit in every task, so the
+    rows are not shuffled to them."""
     tests = ["true"]
     if columns is not None and len(columns) < features:
         tests.append(f"f IN ({', '.join(map(str, columns))})")
+    source = "{rows}"
     if (tried := _tried(p, features)) < features:
-        order = f"transform(sequence(0, {features - 1}), i -> struct(xxhash64({p.seed}L, tree, {level}L, node, CAST(i AS BIGINT)) AS h, i AS i))"
-        tests.append(f"array_contains(slice(array_sort({order}), 1, {tried}).i, f)")
+        # the features of the least hashes: one array of hashes per row, not a sort per row and feature
+        hashes = ", ".join(f"xxhash64({p.seed}L, tree, {level}L, node, {i}L)" for i in range(features))
+        source = f"(SELECT *, array({hashes}) AS h FROM {{rows}})"
+        if features <= FEW_FEATURES:
+            before = " + ".join(f"IF(h[{i}] < h[f] OR h[{i}] = h[f] AND {i} < f, 1, 0)" for i in range(features))
+            tests.append(f"{before} < {tried}")
+        else:
+            order = "array_sort(transform(h, (value, i) -> struct(value, i)))"
+            source = f"(SELECT *, slice({order}, 1, {tried}).i AS tried FROM {source})"
+            tests.append("array_contains(tried, f)")
     node, spot = "model, tree, node", "model, tree, node, f"
-    long = f"long AS (SELECT {node}, g, w, 1L AS c, f, v FROM {{rows}} LATERAL VIEW posexplode(x) AS f, v WHERE {' AND '.join(tests)})"
+    long = f"long AS (SELECT {node}, g, w, 1L AS c, f, v FROM {source} LATERAL VIEW posexplode(x) AS f, v WHERE {' AND '.join(tests)})"
     if p.kind == "extra":
         u = f"(xxhash64({p.seed + 1}L, tree, {level}L, node, CAST(f AS BIGINT)) & {(1 << 53) - 1}L) / {float(1 << 53)!r}D"
+        hint = "/*+ BROADCAST(picked) */ " if few else ""
         return f"""{long},
         ends AS (SELECT {spot}, min(v) AS lo, max(v) AS hi FROM long GROUP BY {spot}),
         drawn AS (SELECT {spot}, lo, hi, lo + {u} * (hi - lo) AS at FROM ends WHERE lo < hi),
-        cand AS (SELECT {spot}, at AS v, {_each("sum(IF(v <= at, {n}, 0L)) AS {n}l")}, {_each("sum(IF(v IS NULL, {n}, 0L)) AS {n}m")},
-          {_each("sum({n}) AS {n}t")} FROM long JOIN (SELECT {spot}, IF(at < hi, at, lo) AS at FROM drawn) USING ({spot}) GROUP BY {spot}, at)"""
+        picked AS (SELECT {spot}, IF(at < hi, at, lo) AS at FROM drawn),
+        cand AS (SELECT {hint}{spot}, at AS v, {_each("sum(IF(v <= at, {n}, 0L)) AS {n}l")}, {_each("sum(IF(v IS NULL, {n}, 0L)) AS {n}m")},
+          {_each("sum({n}) AS {n}t")} FROM long JOIN picked USING ({spot}) GROUP BY {spot}, at)"""
     return f"""{long},
         hist AS (SELECT {spot}, v, {_each("sum({n}) AS {n}")} FROM long GROUP BY {spot}, v),
         cand AS (SELECT {spot}, v, {_each("sum(IF(v IS NOT NULL, {n}, 0L)) OVER upto AS {n}l")},
@@ -242,15 +263,18 @@ def _candidates(p: TreeParams, features: int, level: int, columns: Sequence[int]
           FROM hist WINDOW whole AS (PARTITION BY {spot}), upto AS (PARTITION BY {spot} ORDER BY v ROWS UNBOUNDED PRECEDING))"""
 
 
-def best_splits(rows: DataFrame, p: TreeParams, features: int, level: int = 0, columns: Sequence[int] | None = None) -> DataFrame:
+def best_splits(rows: DataFrame, p: TreeParams, features: int, level: int = 0, columns: Sequence[int] | None = None,
+                at_most: int | None = None) -> DataFrame:
     """The split of each node that has one: f, threshold, missing_left, gain, and the rows (cl, cr) and
     values (vl, vr) of both sides.
 
     ``rows``: model, tree, node, x, g (gradient) and w (weight).  gain is half the loss that the split saves.
+    ``at_most``: the number of nodes, if it is bounded.
     """
     least = max(p.min_leaf, 1)
     saved = f"({_worth('gl', 'wl', p)} + {_worth('gr', 'wr', p)} - {_worth('gt', 'wt', p)}) * {0.5 / SCALE**2!r}D"
-    query = f"""WITH {_candidates(p, features, level, columns)},
+    few = at_most is not None and at_most * _tried(p, features) <= LOCAL
+    query = f"""WITH {_candidates(p, features, level, columns, few)},
         sided AS (SELECT model, tree, node, f, v, missing_left, {_each("{n}t")}, {_each("{n}l + IF(missing_left, {n}m, 0L) AS {n}l")}
           FROM cand LATERAL VIEW explode(IF(cm > 0, array(false, true), array(false))) AS missing_left
           WHERE v IS NOT NULL AND ct >= {p.min_split}),
@@ -303,17 +327,19 @@ def grow(rows: DataFrame, p: TreeParams, features: int, models: int, trees: int,
     roots = rows.groupBy("model", "tree").agg(F.expr(f"{_leaf('sum(g)', 'sum(w)', p)} AS value"))
     out = Grown(spark.createDataFrame(roots.collect(), roots.schema) if at_most <= LOCAL else _cut(roots))
     here = rows.withColumn("node", F.lit(0).cast("long"))
-    level = 0
+    level, least = 0, max(p.min_split, 2 * max(p.min_leaf, 1))
     while p.depth is None or level < p.depth:
-        splits, n = _numbered(best_splits(here, p, features, level, columns), at_most)
+        nodes = {"at_most": at_most} if p.kind == "extra" else {}
+        splits, n = _numbered(best_splits(here, p, features, level, columns, **nodes), at_most)
         if not n:
             break
         out.levels.append((splits, n))
         level += 1
         if level == p.depth:
             break
-        # rows of nodes without a split stay behind
-        here = here.join(_side(splits, n), _NODE).selectExpr("model", "tree", "x", "g", "w", f"child + {_GO} AS node")
+        # rows of nodes without a split stay behind, and those that go to a node too small for one
+        here = here.join(_side(splits, n), _NODE).where(f"IF({_GO} = 0, cl, cr) >= {least}")
+        here = here.selectExpr("model", "tree", "x", "g", "w", f"child + {_GO} AS node")
         if level % CUT_LEVELS == 0:
             here = _cut(here)
         at_most = 2 * n
@@ -407,7 +433,7 @@ def training_rows(train: DataFrame, features: Sequence[str], label: str, id_cols
     y = F.col(label).cast("double")
     known = train.where(y.isNotNull() & ~F.isnan(y))
     rows = known.select(F.xxhash64(*id_cols).alias("rid"), model_key(keys).alias("model"), _fixed(y * SCALE).alias("y"), feature_array(features).alias("x"))
-    rows = _cut(rows)
+    rows = _cut(_spread(rows, "rid"))
     return _cut(bin_values(rows, bins)) if bins else rows
 
 
@@ -450,7 +476,7 @@ def predict_trees(model: Ensemble, df: DataFrame, pred: str = "pred_generation_m
     """``df`` with a prediction for every row.  Each part of the trees adds a joined walk per level; rows are told
     apart by a number of their own, given once."""
     names = [c for c in df.columns if c != pred]
-    numbered = _cut(df.select(*names).withColumn("_row", F.monotonically_increasing_id()))
+    numbered = _cut(_spread(df.select(*names)).withColumn("_row", F.monotonically_increasing_id()))
     rows = numbered.select("_row", model_key(model.keys).alias("model"), feature_array(model.features).alias("x"))
     side = F.broadcast(model.base) if model.models <= LOCAL else model.base
     total = None

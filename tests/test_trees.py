@@ -189,3 +189,37 @@ def test_importance_and_selection(spark):
     assert set(shares) == set(FEATURES) and abs(sum(shares.values()) - 1) < 1e-9
     kept = trees.select_by_importance(model)
     assert kept == [f for f in FEATURES if shares[f] >= 0.25] and kept and "c" not in kept
+
+
+def _level(spark, few=True, **more):
+    """The plan of a level of extra trees, and its splits, of rows in one partition."""
+    p = small("extra_trees_tuned", trees=2, **more)
+    x = F.array("a", "b", "c", F.col("d").cast("double"))
+    rows = spark.createDataFrame(rows_of(5, 300), SCHEMA).where("y IS NOT NULL").coalesce(1)
+    rows = rows.withColumn("tree", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    rows = rows.select(F.lit("").alias("model"), "tree", x.alias("x"), F.expr(f"-CAST(y * {SCALE} AS LONG)").alias("g"), F.lit(1).cast("long").alias("w"), F.lit(0).cast("long").alias("node"))
+    out = trees.best_splits(rows, p, 4, 0, None, 2 if few else None)
+    return out._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, out.collect()))
+
+
+def test_rows_of_extra_trees_are_not_shuffled_to_their_thresholds(spark, monkeypatch):
+    """Drawn thresholds go to the rows; the tried features of a node are not sorted out per row and feature."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan, splits = _level(spark)
+        _, shuffled = _level(spark, few=False)
+        monkeypatch.setattr(trees, "FEW_FEATURES", 0)
+        _, sorted_ = _level(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "array_sort" not in plan
+    assert splits and splits == shuffled == sorted_
+
+
+def test_training_rows_are_dealt_to_all_cores(spark):
+    """One input partition does not leave the levels to one task."""
+    df = spark.createDataFrame(rows_of(6, 400), SCHEMA).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    for bins in (None, 256):
+        assert trees.training_rows(df, FEATURES, "y", ["id"], ["gsp_id"], bins).rdd.getNumPartitions() >= cores
