@@ -5,17 +5,18 @@ whole vocabulary entry; the others are merged with a heap over a linked list of
 
 The vocabulary is a rank file (base64 token, space, rank per line); its path is a parameter, the
 driver reads it and sends the tables to the tasks as one broadcast, whose size is that of the
-vocabulary.  Texts are cut at white space into chunks first, which no match of the pre-token
-pattern crosses; each distinct chunk of a batch is encoded once, and a bounded memo keeps
-the recent ones.  A null text is an empty one and gives no ids.  Special tokens are ordinary text.
+vocabulary.  Texts are cut at spaces into chunks first, which no match of the pre-token
+pattern crosses; each distinct chunk of a slice is encoded once, and a bounded memo keeps
+the recent short ones.  A null text is an empty one and gives no ids.  Special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-import struct
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,13 @@ from pyspark.sql import functions as F
 
 from gridpv.llm.common import add_columns, mix, read_table, slices, span_hashes
 
-#: Chunks that a worker remembers between batches.
-MEMO = 300_000
+#: Chunks and pre-tokens that a worker remembers between slices, and the characters of the longest.
+MEMO = 600_000
+LONGEST = 64
+#: Pre-tokens that are merged together.
+MERGED = 1_000
+#: Bytes of text in a slice.
+SLICE = 1 << 19
 #: White space as the pre-token pattern treats it: a chunk is a run of other characters with at
 #: most one space before it, or white space that no such run takes.
 CHUNK = r" ?\S+|\s+(?!\S)|\s+"
@@ -109,34 +115,56 @@ class PerfectHash:
         return self.key_at[slots]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: join the neighbours of least rank, leftmost first, until none joins."""
+def join_parts(piece: bytes, ranks: dict[bytes, int], ids: list[int], joint: list[int], heap: list[int], shift: int) -> list[int]:
+    """Ids of one pre-token: join the neighbours of least rank, leftmost first, until none joins.
+
+    ``ids`` are those of its bytes (-1 for none), ``joint`` has for the part that starts at a place the heap's entry
+    of that part and the next one as one token (``id << shift | place``), or -1.
+    """
     n = len(piece)
-    after = list(range(1, n + 2))  # where the part that starts here ends
-    before = list(range(-1, n))
-    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    alive = [True] * n
+    low = (1 << shift) - 1
+    get = ranks.get
+    after = list(range(1, n + 1))  # where the part that starts here ends
+    before = list(range(-1, n - 1))
     while heap:
-        _, i, j, end = heapq.heappop(heap)
-        if not alive[i] or after[i] != j or j >= n or not alive[j] or after[j] != end:
-            continue
-        after[i] = end
-        alive[j] = False
+        x = heappop(heap)
+        i = x & low
+        if joint[i] != x:
+            continue  # one of the two has grown since
+        j = after[i]
+        after[i] = end = after[j]
+        ids[i] = x >> shift
+        joint[i] = joint[j] = -1
         if end < n:
             before[end] = i
-            follow = after[end]
-            if (r := ranks.get(piece[i:follow])) is not None:
-                heapq.heappush(heap, (r, i, end, follow))
-        if (k := before[i]) >= 0 and (r := ranks.get(piece[k:end])) is not None:
-            heapq.heappush(heap, (r, k, i, end))
+            if (r := get(piece[i : after[end]])) is not None:
+                joint[i] = x = r << shift | i
+                heappush(heap, x)
+        if i:
+            k = before[i]
+            if (r := get(piece[k:end])) is not None:
+                joint[k] = x = r << shift | k
+                heappush(heap, x)
+            else:
+                joint[k] = -1
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
+        out.append(ids[i])
         i = after[i]
+    if -1 in out:
+        raise KeyError(piece)  # the vocabulary lacks one of its bytes
     return out
 
 
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """``join_parts`` for a pre-token of any length."""
+    shift = len(piece).bit_length()
+    found = [ranks.get(piece[i : i + 2]) for i in range(len(piece) - 1)]
+    joint = [-1 if r is None else r << shift | i for i, r in enumerate(found)] + [-1]
+    ids = [ranks.get(piece[i : i + 1], -1) for i in range(len(piece))]
+    return join_parts(piece, ranks, ids, joint, sorted(x for x in joint if x >= 0), shift)
+
+
 class Vocabulary:
     """The tables of a rank file: tokens by id, ranks by token, and the perfect hash."""
 
@@ -147,6 +175,14 @@ class Vocabulary:
         self.ends = np.cumsum([len(t) for t in tokens])
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+        self.single = np.full(256, -1)  # ids by byte, and by two bytes
+        self.double = np.full(1 << 16, -1)
+        for i in np.flatnonzero(self.sizes <= 2).tolist():
+            t = tokens[i]
+            if len(t) == 1:
+                self.single[t[0]] = i
+            else:
+                self.double[t[0] << 8 | t[1]] = i
 
     def send(self, spark: SparkSession):
         """A broadcast from which tasks restore the vocabulary (``received``)."""
@@ -157,15 +193,39 @@ class Vocabulary:
         tokens, shift, key_at = sent.value
         return cls(tokens, PerfectHash(shift, key_at))
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token: the perfect hash first, the heap for what it lacks."""
+    def merge_all(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """``merge`` for many pre-tokens of up to 256 bytes, whose pairs of bytes are looked up together."""
+        sizes = np.array([len(p) for p in pieces])
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        rank = self.double[data << 8 | np.append(data[1:], 0)]
+        rank[ends - 1] = -1
+        entry = np.where(rank < 0, -1, rank << 8 | np.arange(len(data)) - (ends - sizes)[owner])
+        some = rank >= 0
+        entries = (np.sort(owner[some] << 32 | entry[some]) & 0xFFFFFFFF).tolist()  # a sorted run is a heap
+        ids, joint = self.single[data].tolist(), entry.tolist()
+        at = from_ = 0
+        for piece, end, to in zip(pieces, ends.tolist(), np.cumsum(np.bincount(owner, some)).astype(int).tolist(), strict=True):
+            yield join_parts(piece, self.ranks, ids[at:end], joint[at:end], entries[from_:to], 8)
+            at, from_ = end, to
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token as 32-bit integers: the perfect hash first, the heap for what it lacks."""
         if not pieces:
             return []
         tokens, ranks = self.tokens, self.ranks
-        return [
-            [c] if tokens[c] == piece else merge(piece, ranks)
-            for piece, c in zip(pieces, self.hash.candidates(pieces).tolist(), strict=True)
-        ]
+        out = [(c,) if tokens[c] == p else None for p, c in zip(pieces, self.hash.candidates(pieces).tolist(), strict=True)]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        short = [i for i in rest if len(pieces[i]) <= 256]
+        for i in rest:
+            if len(pieces[i]) > 256:
+                out[i] = merge(pieces[i], ranks)
+        for at in range(0, len(short), MERGED):
+            part = short[at : at + MERGED]
+            for i, ids in zip(part, self.merge_all([pieces[i] for i in part]), strict=True):
+                out[i] = ids
+        return [array("i", ids).tobytes() for ids in out]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, end to end."""
@@ -176,57 +236,101 @@ class Vocabulary:
         return self.blob[np.repeat(self.ends[ids] - total, sizes) + np.arange(total[-1])]
 
 
-class ChunkMemo:
-    """Values of chunks of text: ``fill(new chunks)`` makes those that it does not hold."""
-
-    def __init__(self, fill, limit: int = MEMO):
-        self.fill, self.limit, self.known = fill, limit, {}
-        self.find = regex.compile(CHUNK).findall
-
-    def lookup(self, texts: Iterable[str | None]) -> list[list]:
-        """Per text the values of its chunks, in order."""
-        chunks = [self.find(t) if t else [] for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = list(set().union(*chunks).difference(self.known)) if chunks else []
-        if new:
-            self.known.update(zip(new, self.fill(new), strict=True))
-        get = self.known.__getitem__
-        return [list(map(get, c)) for c in chunks]
+class Encoder:
+    """Ids of texts, with a memo of those of their chunks and pre-tokens.
 
+    A chunk starts at each space before a character that isn't white space.  The memo's key of a chunk is the
+    chunk without that space; one that starts otherwise gets a space more as its key.  So the
+    keys of a text are those of ``split(" ")``, unless white space follows a space.
+    """
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col`` (array of int): the token ids of ``text_col``."""
+    def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN, limit: int = MEMO, longest: int = LONGEST):
+        self.vocabulary, self.limit, self.longest = vocabulary, limit, longest
+        self.known: dict[str, bytes] = {}
+        self.split = regex.compile(pattern).findall
+        self.find = regex.compile(CHUNK).findall
+        # with the public pattern a run of letters, with a space before it or not, is one pre-token
+        self.letters = str.isalpha if pattern == public_tokenizers.PATTERN else lambda key: False
+
+    @staticmethod
+    def key(chunk: str) -> str:
+        return chunk[1:] if chunk[0] == " " and not (chunk[1:2] or " ").isspace() else " " + chunk
+
+    def keys(self, text: str) -> list[str]:
+        """Keys of the chunks of a text whose white space may come in runs."""
+        return [self.key(c) for c in self.find(text)]
+
+    def fill(self, new: Iterable[str]) -> list[str]:
+        """Put the ids of the chunks with these keys into the memo; returns the keys that are too long to stay."""
+        known, letters, split = self.known, self.letters, self.split
+        pieces: dict[str, str] = {}
+        compound = []
+        for k in new:
+            chunk = k[1:] if k[0] == " " else " " + k
+            if letters(k):
+                pieces[k] = chunk
+                continue
+            parts = split(chunk)
+            if len(parts) == 1:
+                pieces[k] = chunk
+                continue
+            own = [self.key(p) for p in parts]
+            compound.append((k, own))
+            for x, p in zip(own, parts):
+                if x not in known:
+                    pieces[x] = p
+        known.update(zip(pieces, self.vocabulary.encode_pieces([p.encode() for p in pieces.values()]), strict=True))
+        for k, own in compound:
+            known[k] = b"".join([known[x] for x in own])
+        return [k for k in (*pieces, *(k for k, _ in compound)) if len(k) > self.longest]
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Per text its ids, as 32-bit integers end to end."""
+        known = self.known
+        of, has = known.__getitem__, known.__contains__
+        out: list[bytes] = []
+        late: list[tuple[int, list[str]]] = []
+        new: set[str] = set()
+        for text in texts:
+            keys = text.split(" ") if text else [""]
+            keys[0] = " " + keys[0]
+            try:
+                out.append(b"".join(map(of, keys)))
+            except KeyError:
+                lacking = set(filterfalse(has, keys))
+                if not all(k and (k[0] == " " or not k[0].isspace()) for k in lacking):  # a space before white space
+                    keys = self.keys(text)
+                    lacking = set(filterfalse(has, keys))
+                new |= lacking
+                late.append((len(out), keys))
+                out.append(b"")
+        long = self.fill(new)
+        for at, keys in late:
+            out[at] = b"".join(map(of, keys))
+        for k in long:
+            known.pop(k, None)
+        if len(known) > self.limit:
+            known.clear()
+        return out
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", ids_col: str = "ids", drop: tuple[str, ...] = ()
+) -> DataFrame:
+    """``docs`` with ``ids_col`` (array of int): the token ids of ``text_col``.  Columns in ``drop`` are left out."""
     sent = Vocabulary(read_ranks(path)).send(docs.sparkSession)
-
-    def chunk_memo():
-        vocabulary = Vocabulary.received(sent)
-        split = regex.compile(pattern).findall
-        packed: dict[str, bytes] = {}
-
-        def fill(chunks: list[str]) -> list[bytes]:
-            if len(packed) > MEMO:
-                packed.clear()
-            pieces = [split(c) for c in chunks]
-            new = list({p for ps in pieces for p in ps}.difference(packed))
-            ids = vocabulary.encode_pieces([p.encode() for p in new])
-            packed.update((p, struct.pack(f"{len(i)}i", *i)) for p, i in zip(new, ids, strict=True))
-            return [b"".join([packed[p] for p in ps]) for ps in pieces]
-
-        return ChunkMemo(fill)
-
-    state: list[ChunkMemo] = []
+    state: list[Encoder] = []
 
     def run(batch):
         if not state:
-            state.append(chunk_memo())
-        for part in slices(batch, text_col):
-            packed = [b"".join(x) for x in state[0].lookup(part.column(text_col).to_pylist())]
+            state.append(Encoder(Vocabulary.received(sent), pattern))
+        for part in slices(batch, text_col, SLICE):
+            packed = state[0].encode(part.column(text_col).to_pylist())
             offsets = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), np.int32))
             yield part, (pa.ListArray.from_arrays(pa.array(offsets), values),)
 
-    return add_columns(docs, f"`{ids_col}` array<int>", run)
+    return add_columns(docs, f"`{ids_col}` array<int>", run, drop)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -249,7 +353,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: token count, digest of the ids, digest of the decoded ids."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, path).drop("text")
+    ids = encode(docs, path, drop=("text",))
     return decode(ids, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -68,3 +68,49 @@ def test_query_digests(spark, library, tmp_path):
         ids = library.encode_ordinary(t or "")
         want.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert {tuple(r) for r in byte_bpe.op1_byte_bpe(spark, str(tmp_path)).collect()} == want
+
+
+def test_encoder_is_the_library_on_any_white_space_and_in_any_order(vocabulary, library):
+    rnd = random.Random(7)
+    encoder = byte_bpe.Encoder(vocabulary, limit=500, longest=8)
+    for _ in range(60):
+        texts = ["".join(rnd.choice("  \n\t\x1c\x85\u2003ab'sl1é.,<ſ中") for _ in range(rnd.randint(0, 30))) for _ in range(40)]
+        texts += [None, "", " ", "  ", "   a", " a", "a ", "a  ", "a \n b", "it's, it 's", "x" * 300 + " é" * 200, "中" * 400]
+        got = [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)]
+        assert got == [library.encode_ordinary(t or "") for t in texts]
+
+
+def test_known_chunks_cost_no_pattern_and_no_merge(vocabulary, library, monkeypatch):
+    encoder = byte_bpe.Encoder(vocabulary)
+    text = " ".join(f"qzx{a}kwv, éü{a}" for a in "abcdefgh") + ".\nEnd"
+    first = encoder.encode([text, None])
+
+    def never(*_):
+        raise AssertionError("worked again on a known chunk")
+
+    for name in ("find", "split"):
+        monkeypatch.setattr(encoder, name, never)
+    monkeypatch.setattr(vocabulary, "merge_all", never, raising=False)
+    assert encoder.encode([text, None]) == first == [np.array(library.encode_ordinary(text), np.int32).tobytes(), b""]
+
+
+def test_memo_keeps_no_long_chunks(vocabulary, library):
+    encoder = byte_bpe.Encoder(vocabulary, longest=64)
+    texts = ["a" * 5_000 + " b", "1" * 65 + "," + "c" * 64]
+    assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert encoder.known and max(map(len, encoder.known)) <= 65
+
+
+def test_letters_of_python_are_letters_of_the_pattern():
+    letters = "".join(c for c in map(chr, range(0x110000)) if c.isalpha())
+    assert byte_bpe.regex.fullmatch(r"\p{L}+", letters)
+
+
+def test_merges_set_up_together_are_those_of_one(vocabulary):
+    rnd = random.Random(8)
+    pieces = ["".join(rnd.choice("abcdeéstrin中😀") for _ in range(rnd.randint(1, 60))).encode() for _ in range(2_500)]
+    pieces += [b"a" * 256, b"a" * 257, b"z"]
+    want = [byte_bpe.merge(p, vocabulary.ranks) for p in pieces]
+    assert [np.frombuffer(x, np.int32).tolist() for x in vocabulary.encode_pieces(pieces)] == want
+    with pytest.raises(KeyError):
+        byte_bpe.Vocabulary([b"a", b"b", b"ab"]).encode_pieces([b"ab", b"abc"])
