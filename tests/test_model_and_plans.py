@@ -141,6 +141,20 @@ def test_compare_presets_shares_rows_and_scores_in_one_aggregate(spark):
     assert got["stump", "train"]["r2"] > 0.3 and sum(got["stump", s]["n"] for s in ("train", "test")) == df.count()
 
 
+def test_query_compares_whole_presets(spark, monkeypatch):
+    """J10 grows every tree of the four presets."""
+    from gridpv import catalog
+    from gridpv.operators import trees
+
+    given = []
+    monkeypatch.setattr(catalog, "_tree_table", lambda spark, d: None)
+    monkeypatch.setattr(catalog.modelling, "compare_presets", lambda table, keys, presets, *a, **k: given.append(presets) or (None, {}))
+    catalog.q_j10_compare_presets(spark, "nowhere")
+    names = {"boosted_tuned": 50, "forest_tuned": 50, "extra_trees_tuned": 100, "gradient_boosting": 30}
+    assert {n: p.trees for n, p in given[0].items()} == names
+    assert all(p == trees.TREE_PRESETS[n] for n, p in given[0].items())
+
+
 def test_evaluate_columns_equals_one_model_at_a_time(spark):
     rows = [("train", float(i), float(i % 3), None if i % 4 else float(i)) for i in range(20)] + [("test", 1.0, None, 2.0)]
     df = spark.createDataFrame(rows, "split string, generation_mw double, a double, b double")
