@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpv.functions.columns import quote
+from gridpv.operators import blocks
 from gridpv.session import checkpoint_dir
 
 #: Labels and leaf values are whole numbers of this fraction of a unit.
@@ -100,6 +101,11 @@ def _spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()), *by)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as cores at least, behind a checkpoint."""
+    return _cut(_spread(df))
+
+
 def _hash(seed: int, *parts: Column | str) -> Column:
     return F.xxhash64(F.lit(seed).cast("long"), *[F.col(p).cast("long") if isinstance(p, str) else p.cast("long") for p in parts])
 
@@ -409,20 +415,28 @@ def poisson_weight(u: Column) -> Column:
 
 
 def fit_trees(train: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str], keys: Sequence[str] = (),
-              params: TreeParams | str = "boosted_tuned", binned: DataFrame | None = None) -> Ensemble:
+              params: TreeParams | str = "boosted_tuned",
+              binned: DataFrame | blocks.Packed | None = None) -> Ensemble | blocks.BlockEnsemble:
     """Fit one model per key (or one pooled model) on the rows with a label.
 
     ``id_cols`` name the columns that tell rows apart; samples go by their hash.  ``binned`` reuses the rows
-    of :func:`training_rows` for several presets.
+    of :func:`training_rows` for several presets, as they are or packed (:func:`packed_rows`); trees grow from packed rows
+    where they can.
     """
     p = TREE_PRESETS[params] if isinstance(params, str) else params
     features, keys = list(features), list(keys)
+    packed = binned if isinstance(binned, blocks.Packed) else None
+    binned = packed.rows if packed else binned
     # thresholds of extra trees are drawn between raw values, all others from bins
     rows = binned if binned is not None else training_rows(train, features, label, id_cols, keys, None if p.kind == "extra" else p.bins)
     stats = rows.groupBy("model").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
     start = _fixed(F.col("y") / F.col("n")) if p.kind == "boosted" else F.lit(0).cast("long")
     base = _cut(stats.select("model", start.alias("base")))
     models = base.count()
+    if packed and blocks.fits(packed, p):
+        start = {r["model"]: r["base"] for r in base.collect()}
+        columns = lambda tree: tree_columns(p, tree, len(features))
+        return blocks.fit(packed, keys, features, p, start, _tried(p, len(features)), columns, LOCAL)
     fit = _boost if p.kind == "boosted" else _forest
     return Ensemble(keys, features, p, base, models, fit(rows, p, len(features), base, models))
 
@@ -437,6 +451,11 @@ def training_rows(train: DataFrame, features: Sequence[str], label: str, id_cols
     return _cut(bin_values(rows, bins)) if bins else rows
 
 
+def packed_rows(rows: DataFrame, features: Sequence[str], bins: int | None = 256) -> blocks.Packed:
+    """The rows of :func:`training_rows` in blocks of arrays, kept in memory and on disk."""
+    return blocks.pack(rows, len(features), bins, LOCAL)
+
+
 def _boost(rows: DataFrame, p: TreeParams, features: int, base: DataFrame, models: int) -> list[tuple[list[int], Grown]]:
     side = F.broadcast(base) if models <= LOCAL else base
     here = rows.join(side, "model").withColumnRenamed("base", "pred").persist()
@@ -472,9 +491,11 @@ def _forest(rows: DataFrame, p: TreeParams, features: int, base: DataFrame, mode
     return parts
 
 
-def predict_trees(model: Ensemble, df: DataFrame, pred: str = "pred_generation_mw") -> DataFrame:
+def predict_trees(model: Ensemble | blocks.BlockEnsemble, df: DataFrame, pred: str = "pred_generation_mw") -> DataFrame:
     """``df`` with a prediction for every row.  Each part of the trees adds a joined walk per level; rows are told
-    apart by a number of their own, given once."""
+    apart by a number of their own, given once.  Trees grown from packed rows are walked in arrays, without a join."""
+    if isinstance(model, blocks.BlockEnsemble):
+        return blocks.predict(model, df, model_key(model.keys), feature_array(model.features), pred)
     names = [c for c in df.columns if c != pred]
     numbered = _cut(_spread(df.select(*names)).withColumn("_row", F.monotonically_increasing_id()))
     rows = numbered.select("_row", model_key(model.keys).alias("model"), feature_array(model.features).alias("x"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpv.operators import model, trees
+from gridpv.operators.blocks import Packed
 from gridpv.operators.trees import Ensemble, TreeParams
 
 
@@ -67,21 +68,21 @@ def compare_presets(table: DataFrame, keys: Sequence[str], presets: dict[str, Tr
                     exclude: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> tuple[DataFrame, dict[str, float]]:
     """Metrics per model and split of several presets, and the seconds that each fit took.
 
-    The split is made once; presets that need the same bins share one table of training rows; each preset
+    The split is made once; presets that need the same bins share one table of packed training rows; each preset
     adds its column of predictions, and one aggregate over these gives all metrics.
     """
     keys, tiebreak = list(keys), list(tiebreak)
     x = _sides(table, keys, ts, tiebreak)
     features = model.feature_columns(x, exclude=[ts, "split", *keys, *tiebreak, *exclude])
     train, ids = x.filter("split = 'train'"), [*keys, ts, *tiebreak]
-    shared: dict[int | None, DataFrame] = {}
-    columns, seconds, scored = {}, {}, x
+    shared: dict[int | None, Packed] = {}
+    columns, seconds, scored = {}, {}, trees.dealt(x)
     for number, (name, preset) in enumerate(presets.items()):
         p = trees.TREE_PRESETS[preset] if isinstance(preset, str) else preset
         bins = None if p.kind == "extra" else p.bins
         began = time.perf_counter()
         if bins not in shared:
-            shared[bins] = trees.training_rows(train, features, model.TARGET, ids, keys, bins)
+            shared[bins] = trees.packed_rows(trees.training_rows(train, features, model.TARGET, ids, keys, bins), features, bins)
         fitted = trees.fit_trees(train, features, model.TARGET, ids, keys, p, binned=shared[bins])
         columns[name] = f"_pred_{number}"
         scored = trees.predict_trees(fitted, scored, columns[name])
