@@ -95,17 +95,12 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _spread(df: DataFrame, *by: str) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """``df``, dealt to one task per core at least.  Levels cost time per row and feature, not per byte: partitions cut
     by bytes (one row group of a file, a small exchange) would leave them to a few tasks."""
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()), *by)
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as cores at least, behind a checkpoint."""
-    return _cut(_spread(df))
-
-
 def _hash(seed: int, *parts: Column | str) -> Column:
     return F.xxhash64(F.lit(seed).cast("long"), *[F.col(p).cast("long") if isinstance(p, str) else p.cast("long") for p in parts])
 
@@ -425,18 +420,17 @@ def fit_trees(train: DataFrame, features: Sequence[str], label: str, id_cols: Se
     """
     p = TREE_PRESETS[params] if isinstance(params, str) else params
     features, keys = list(features), list(keys)
-    packed = binned if isinstance(binned, blocks.Packed) else None
-    binned = packed.rows if packed else binned
+    if isinstance(binned, blocks.Packed):
+        if blocks.fits(binned, p):
+            columns = lambda tree: tree_columns(p, tree, len(features))
+            return blocks.fit(binned, keys, features, p, _tried(p, len(features)), columns, LOCAL)
+        binned = binned.rows
     # thresholds of extra trees are drawn between raw values, all others from bins
     rows = binned if binned is not None else training_rows(train, features, label, id_cols, keys, None if p.kind == "extra" else p.bins)
     stats = rows.groupBy("model").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
     start = _fixed(F.col("y") / F.col("n")) if p.kind == "boosted" else F.lit(0).cast("long")
     base = _cut(stats.select("model", start.alias("base")))
     models = base.count()
-    if packed and blocks.fits(packed, p):
-        start = {r["model"]: r["base"] for r in base.collect()}
-        columns = lambda tree: tree_columns(p, tree, len(features))
-        return blocks.fit(packed, keys, features, p, start, _tried(p, len(features)), columns, LOCAL)
     fit = _boost if p.kind == "boosted" else _forest
     return Ensemble(keys, features, p, base, models, fit(rows, p, len(features), base, models))
 
@@ -447,13 +441,13 @@ def training_rows(train: DataFrame, features: Sequence[str], label: str, id_cols
     y = F.col(label).cast("double")
     known = train.where(y.isNotNull() & ~F.isnan(y))
     rows = known.select(F.xxhash64(*id_cols).alias("rid"), model_key(keys).alias("model"), _fixed(y * SCALE).alias("y"), feature_array(features).alias("x"))
-    rows = _cut(_spread(rows, "rid"))
+    rows = _cut(spread(rows, "rid"))
     return _cut(bin_values(rows, bins)) if bins else rows
 
 
 def packed_rows(rows: DataFrame, features: Sequence[str], bins: int | None = 256) -> blocks.Packed:
     """The rows of :func:`training_rows` in blocks of arrays, kept in memory and on disk."""
-    return blocks.pack(rows, len(features), bins, LOCAL)
+    return blocks.pack(rows, len(features), bins, LOCAL, _fixed(F.col("y") / F.col("n")))
 
 
 def _boost(rows: DataFrame, p: TreeParams, features: int, base: DataFrame, models: int) -> list[tuple[list[int], Grown]]:
@@ -497,7 +491,7 @@ def predict_trees(model: Ensemble | blocks.BlockEnsemble, df: DataFrame, pred: s
     if isinstance(model, blocks.BlockEnsemble):
         return blocks.predict(model, df, model_key(model.keys), feature_array(model.features), pred)
     names = [c for c in df.columns if c != pred]
-    numbered = _cut(_spread(df.select(*names)).withColumn("_row", F.monotonically_increasing_id()))
+    numbered = _cut(spread(df.select(*names)).withColumn("_row", F.monotonically_increasing_id()))
     rows = numbered.select("_row", model_key(model.keys).alias("model"), feature_array(model.features).alias("x"))
     side = F.broadcast(model.base) if model.models <= LOCAL else model.base
     total = None

@@ -76,7 +76,7 @@ def compare_presets(table: DataFrame, keys: Sequence[str], presets: dict[str, Tr
     features = model.feature_columns(x, exclude=[ts, "split", *keys, *tiebreak, *exclude])
     train, ids = x.filter("split = 'train'"), [*keys, ts, *tiebreak]
     shared: dict[int | None, Packed] = {}
-    columns, seconds, scored = {}, {}, trees.dealt(x)
+    columns, seconds, scored = {}, {}, trees.spread(x)
     for number, (name, preset) in enumerate(presets.items()):
         p = trees.TREE_PRESETS[preset] if isinstance(preset, str) else preset
         bins = None if p.kind == "extra" else p.bins
